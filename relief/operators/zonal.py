@@ -123,7 +123,7 @@ def tile_quantile_class(cells: DataFrame, grid: Grid, classes: int = 254) -> Dat
     w = Window.partitionBy("col", "row")
     r = F.rank().over(w.orderBy("value"))
     n = F.count(F.lit(1)).over(w)
-    cls = F.when(n > 1, F.expr(f"((`_r` - 1) * {int(classes)}) div (`_n` - 1)")).otherwise(F.lit(0))
+    cls = F.when(F.col("_n") > 1, F.expr(f"((`_r` - 1) * {int(classes)}) div (`_n` - 1)")).otherwise(F.lit(0))
     return (
         v.select("gx", "gy", "value", r.alias("_r"), n.alias("_n"))
         .select("gx", "gy", "value", cls.cast("int").alias("class"))

@@ -34,6 +34,19 @@ QUERIES: dict[str, Query] = {
     "k2_flood_classes": P.flood_class_shares,
     "g9_rasterize": _g9_rasterize,
     "k4_point_value": P.point_value,
+    "f1_slope": lambda s, d: P.focal_layer(s, d, "slope"),
+    "f2_aspect": lambda s, d: P.focal_layer(s, d, "aspect"),
+    "f3_hillshade": lambda s, d: P.focal_layer(s, d, "hillshade"),
+    "f4_flow_direction": lambda s, d: P.focal_layer(s, d, "flowdir"),
+    "f5_focal_median": lambda s, d: P.focal_layer(s, d, "median"),
+    "p1_color": P.color,
+    "p2_grey": P.grey,
+    "p3_contour": P.contour,
+    "p4_hillshade": P.hillshade,
+    "p5_aspect": P.aspect,
+    "p6_slope": P.slope,
+    "p7_color_hillshade": P.color_hillshade,
+    "p8_hand": P.hand,
 }
 
 ORACLE: dict[str, str] = {
@@ -41,4 +54,17 @@ ORACLE: dict[str, str] = {
     "k2_flood_classes": O.K2_FLOOD_CLASSES,
     "g9_rasterize": O.G9_RASTERIZE,
     "k4_point_value": O.K4_POINT_VALUE,
+    "f1_slope": O.focal_sql("slope"),
+    "f2_aspect": O.focal_sql("aspect"),
+    "f3_hillshade": O.focal_sql("hillshade"),
+    "f4_flow_direction": O.focal_sql("flowdir"),
+    "f5_focal_median": O.focal_sql("median"),
+    "p1_color": O.P1_COLOR,
+    "p2_grey": O.P2_GREY,
+    "p3_contour": O.P3_CONTOUR,
+    "p4_hillshade": O.P4_HILLSHADE,
+    "p5_aspect": O.P5_ASPECT,
+    "p6_slope": O.P6_SLOPE,
+    "p7_color_hillshade": O.P7_COLOR_HILLSHADE,
+    "p8_hand": O.P8_HAND,
 }

@@ -101,3 +101,146 @@ FROM cover GROUP BY id"""
 K4_POINT_VALUE = f"""WITH {HAND_EXTENT}, {POINTS}
 SELECT p.id, CAST(floor((x + 7420000e0) / 10) AS BIGINT) AS gx, CAST(floor((5775000e0 - y) / 10) AS BIGINT) AS gy, h.value
 FROM pts p LEFT JOIN hand_extent h ON h.gx = CAST(floor((x + 7420000e0) / 10) AS BIGINT) AND h.gy = CAST(floor((5775000e0 - y) / 10) AS BIGINT)"""
+
+
+# --- dense layer grid, 3x3 neighbourhoods, kernels ------------------------------------
+
+import math  # noqa: E402
+
+from relief.functions.color import ASPECT_COLORMAP, DEM_COLORMAP, HAND_COLORMAP  # noqa: E402
+from relief.functions.local import exaggeration_factor  # noqa: E402
+from relief.sources.fixtures import FIXTURE_ZOOM  # noqa: E402
+
+# every cell position of every stored 32x32 tile (tiles are full; positions past the data are NODATA)
+GRID = """tile_rows AS (SELECT unnest(range(0, (max(o_orderkey) // 128 // 32 + 1) * 32)) AS gy FROM orders),
+grid AS (SELECT a.gx, t.gy FROM range(0, 128) a(gx), tile_rows t)"""
+
+
+def dense(raster: str, name: str, scale: str = "") -> str:
+    return f"""{name} AS (SELECT g.gx, g.gy, r.value{scale} AS value FROM grid g LEFT JOIN {raster} r ON r.gx = g.gx AND r.gy = g.gy)"""
+
+
+_NB = {"a": (-1, -1), "b": (0, -1), "c": (1, -1), "d": (-1, 0), "e": (0, 0), "f": (1, 0), "g": (-1, 1), "h": (0, 1), "i": (1, 1)}
+
+
+def neighbourhood(src: str) -> str:
+    cols = ", ".join(f"{n}.value AS {n}" for n in _NB)
+    joins = " ".join(
+        f"LEFT JOIN {src} {n} ON {n}.gx = z.gx + ({dx}) AND {n}.gy = z.gy + ({dy})" for n, (dx, dy) in _NB.items()
+    )
+    return f"""nb AS (SELECT z.gx, z.gy, {cols} FROM {src} z {joins})"""
+
+
+P = "(((c + 2 * f + i) - (a + 2 * d + g)) / 24.0)"
+Q = "(((g + 2 * h + i) - (a + 2 * b + c)) / 24.0)"
+SLOPE = f"degrees(atan(sqrt({P} * {P} + {Q} * {Q})))"
+ASPECT = f"CASE WHEN {P} = 0 AND {Q} = 0 THEN -1e0 ELSE fmod(degrees(atan2(-{P}, {Q})) + 360.0, 360.0) END"
+
+
+def hillshade_sql(altitude: float = 60.0, azimuth: float = 315.0) -> str:
+    zen = math.radians(90.0 - altitude)
+    az = math.radians(azimuth)
+    s = f"atan(sqrt({P} * {P} + {Q} * {Q}))"
+    v = f"({math.cos(zen)!r} * cos({s}) + {math.sin(zen)!r} * sin({s}) * cos({az!r} - atan2(-{P}, {Q})))"
+    return f"CASE WHEN {v} IS NULL THEN NULL ELSE 127.0 * greatest(0.0, {v}) END"
+
+
+_R2 = repr(math.sqrt(2.0))
+_D8 = [("f", 1, False), ("i", 2, True), ("h", 4, False), ("g", 8, True), ("d", 16, False), ("a", 32, True), ("b", 64, False), ("c", 128, True)]
+
+
+def _drop(n, diag):
+    return f"((e - {n}) / {_R2})" if diag else f"(e - {n})"
+
+
+FLOWDIR = (
+    "CASE WHEN " + " OR ".join(f"{n} IS NULL" for n in _NB) + " THEN NULL "
+    + "WHEN greatest(" + ", ".join(_drop(n, d) for n, _, d in _D8) + ") <= 0 THEN NULL "
+    + " ".join(
+        f"WHEN {_drop(n, d)} = greatest(" + ", ".join(_drop(m, dd) for m, _, dd in _D8) + f") THEN {code}e0"
+        for n, code, d in _D8
+    )
+    + " END"
+)
+
+
+
+def focal_sql(kernel: str) -> str:
+    if kernel == "median":
+        return f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}, {neighbourhood('ddem')}
+SELECT gx, gy, round((SELECT median(x) FROM (SELECT unnest([a, b, c, d, e, f, g, h, i]) AS x)), 6) AS value FROM nb"""
+    expr = {"slope": SLOPE, "aspect": ASPECT, "hillshade": hillshade_sql(), "flowdir": FLOWDIR}[kernel]
+    return f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}, {neighbourhood('ddem')}
+SELECT gx, gy, round({expr}, 6) AS value FROM nb"""
+
+
+def _cmap(definition: str) -> list[tuple[float, int]]:
+    out = []
+    for part in definition.split(";"):
+        lim, hexa = part.strip().split(":")
+        out.append((float(lim), int(hexa, 16)))
+    return sorted(out)
+
+
+def classify_le_sql(v: str, definition: str) -> str:
+    cm = _cmap(definition)
+    whens = " ".join(f"WHEN {v} <= {lim!r} THEN {col}" for lim, col in cm)
+    return f"CAST(CASE WHEN {v} IS NULL THEN 0 {whens} ELSE {cm[-1][1]} END AS BIGINT)"
+
+
+def classify_ge_sql(v: str, definition: str) -> str:
+    cm = _cmap(definition)
+    whens = " ".join(f"WHEN {v} >= {lim!r} THEN {col}" for lim, col in reversed(cm))
+    return f"CAST(CASE WHEN {v} IS NULL THEN 0 {whens} ELSE {cm[0][1]} END AS BIGINT)"
+
+
+def normalize_sql(v: str, a, b, c, d) -> str:
+    return f"CAST(trunc(({v} - {float(a)!r}) * {float(d - c)!r} / {float(b - a)!r} + {float(c)!r}) AS INTEGER)"
+
+
+P1_COLOR = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}
+SELECT gx, gy, {classify_le_sql('value', DEM_COLORMAP)} AS color FROM ddem"""
+
+P2_GREY = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')},
+k AS (SELECT gx, gy, (rank() OVER w - 1) AS r, count(*) OVER w AS n FROM ddem WHERE value IS NOT NULL
+      WINDOW w AS (PARTITION BY gx // 32, gy // 32 ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+cls AS (SELECT gx, gy, CASE WHEN n > 1 THEN r * 254 // (n - 1) ELSE 0 END AS class FROM k),
+lvl AS (SELECT gx, gy, (class * 510 + 254) // 508 AS g FROM cls)
+SELECT gx, gy, CAST(g * 16777216 + g * 65536 + g * 256 + 255 AS BIGINT) AS color FROM lvl
+UNION ALL SELECT gx, gy, CAST(0 AS BIGINT) AS color FROM ddem WHERE value IS NULL"""
+
+P3_CONTOUR = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem', ' / 4.0')}, {neighbourhood('ddem')}
+SELECT gx, gy, {FLOWDIR} AS value FROM nb"""
+
+_HS = exaggeration_factor(FIXTURE_ZOOM, "hillshade")
+_SL = exaggeration_factor(FIXTURE_ZOOM, "slope")
+
+P4_HILLSHADE = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem', f' * {_HS!r}')}, {neighbourhood('ddem')}
+SELECT gx, gy, CASE WHEN e IS NULL THEN 0 ELSE {normalize_sql(hillshade_sql(), 0, 127, 1, 254)} END AS value FROM nb"""
+
+P5_ASPECT = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}, {neighbourhood('ddem')},
+asp AS (SELECT gx, gy, {ASPECT} AS v FROM nb)
+SELECT gx, gy, {classify_ge_sql('v', ASPECT_COLORMAP)} AS color FROM asp"""
+
+P6_SLOPE = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem', f' * {_SL!r}')}, {neighbourhood('ddem')}
+SELECT gx, gy, CASE WHEN e IS NULL THEN 0 ELSE {normalize_sql(SLOPE, 0, 100, 1, 254)} END AS value FROM nb"""
+
+P7_COLOR_HILLSHADE = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem', f' * {_HS!r}')}, {neighbourhood('ddem')},
+parts AS (SELECT n.gx, n.gy, d.value AS src, {normalize_sql(hillshade_sql(), 0, 127, 1, 254)} AS shade
+          FROM nb n JOIN (SELECT g.gx, g.gy, r.value FROM grid g LEFT JOIN dem r ON r.gx = g.gx AND r.gy = g.gy) d
+          ON d.gx = n.gx AND d.gy = n.gy),
+base AS (SELECT gx, gy, src, shade, {classify_le_sql('src', DEM_COLORMAP)} AS c FROM parts)
+SELECT gx, gy, CAST(CASE WHEN src IS NULL THEN 0 WHEN shade IS NULL THEN NULL ELSE
+       4278190080 + (greatest(((c >> 16) & 255) - (255 - shade), 1) << 16)
+                  + (greatest(((c >> 8) & 255) - (255 - shade), 1) << 8)
+                  + greatest((c & 255) - (255 - shade), 1) END AS BIGINT) AS color FROM base"""
+
+P8_HAND = f"""WITH {HAND_EXTENT}, {HAND_DEPTH},
+req AS (SELECT s_suppkey AS id, s_suppkey % 4 AS col, (s_suppkey * 7 + 1) % 4 AS row, (s_suppkey % 10) + 1e0 AS level FROM supplier),
+tiles AS (SELECT DISTINCT gx // 32 AS col, gy // 32 AS row FROM hand_extent),
+cells AS (SELECT r.id, r.level, r.col * 32 + p.i % 32 AS gx, r.row * 32 + p.i // 32 AS gy
+          FROM req r JOIN tiles t ON t.col = r.col AND t.row = r.row, range(0, 1024) p(i)),
+v AS (SELECT c.id, c.gx, c.gy,
+             CASE WHEN e.value = 0 THEN NULL WHEN e.value <= c.level AND e.value > -1 THEN c.level - d.value ELSE NULL END AS depth
+      FROM cells c LEFT JOIN hand_extent e ON e.gx = c.gx AND e.gy = c.gy LEFT JOIN hand_depth d ON d.gx = c.gx AND d.gy = c.gy)
+SELECT id, gx, gy, {classify_le_sql('depth', HAND_COLORMAP)} AS color FROM v"""

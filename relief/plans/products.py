@@ -29,3 +29,99 @@ def flood_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value of the HAND layer under each point request."""
     return zonal.point_values(fx.points(spark, sf_dir), fx.hand_extent(spark, sf_dir), G)
+
+
+# --- terrain products on packed tiles (P1-P8) --------------------------------------
+
+from relief.functions import color as Y  # noqa: E402
+from relief.functions import local as L  # noqa: E402
+from relief.operators import focal, tiles  # noqa: E402
+from relief.operators.local import flood_depth_tiles, map_tiles  # noqa: E402
+
+ZOOM = fx.FIXTURE_ZOOM
+
+
+def dem_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 ingest: the DEM packed into tiles (the stored layer form)."""
+    return tiles.pack(fx.dem(spark, sf_dir), G)
+
+
+def _unpack2(t: DataFrame) -> DataFrame:
+    """Cells of a focal result tile with its source tile: ``(gx, gy, value, src)``."""
+    e = t.select("col", "row", F.posexplode(F.arrays_zip(F.col("data"), F.col("src"))).alias("pos", "z"))
+    return e.select(
+        (F.col("col") * G.tile_cols + F.col("pos") % G.tile_cols).cast("bigint").alias("gx"),
+        (F.col("row") * G.tile_rows + F.expr(f"pos div {G.tile_cols}")).cast("bigint").alias("gy"),
+        F.col("z.data").alias("value"),
+        F.col("z.src").alias("src"),
+    )
+
+
+def color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEM classified by the elevation colour map (NODATA -> 0)."""
+    c = tiles.unpack(dem_tiles(spark, sf_dir), G)
+    return c.select("gx", "gy", Y.classify_le("value", Y.colormap_literal(Y.DEM_COLORMAP)).alias("color"))
+
+
+def grey(spark: SparkSession, sf_dir: str, stops: int = 254) -> DataFrame:
+    """Per-tile equal-count classes onto a grey ramp of ``stops + 1`` colours."""
+    c = tiles.unpack(dem_tiles(spark, sf_dir), G)
+    k = zonal.tile_quantile_class(c, G, stops)
+    graded = k.select("gx", "gy", Y.grey_rgba(F.col("class"), stops).alias("color"))
+    nodata = c.where(F.col("value").isNull()).select("gx", "gy", F.lit(0).cast("bigint").alias("color"))
+    return graded.unionByName(nodata)
+
+
+def contour(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
+    """Elevation divided by the zoom's contour interval, then D8 flow direction."""
+    t = map_tiles(dem_tiles(spark, sf_dir), lambda v: L.contour_quantise(v, zoom))
+    return tiles.unpack(focal.focal_tiles(t, G, "flowdir"), G)
+
+
+def hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude: float = 60.0, azimuth: float = 315.0) -> DataFrame:
+    """Exaggerated hillshade over the tile and its neighbours, 0..127 -> 1..254, NODATA -> 0."""
+    t = focal.focal_tiles(
+        dem_tiles(spark, sf_dir), G, "hillshade", keep_source=True,
+        zfactor=L.exaggeration_factor(zoom, "hillshade"), altitude=altitude, azimuth=azimuth,
+    )
+    c = _unpack2(t)
+    return c.select("gx", "gy", L.mask_nodata(L.normalize("value", 0, 127, 1, 254), "src").alias("value"))
+
+
+def aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: aspect classified with the >= boundary rule (NODATA -> 0)."""
+    c = tiles.unpack(focal.focal_tiles(dem_tiles(spark, sf_dir), G, "aspect"), G)
+    return c.select("gx", "gy", Y.classify_ge("value", Y.colormap_literal(Y.ASPECT_COLORMAP)).alias("color"))
+
+
+def slope(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
+    """Exaggerated slope (degrees) 0..100 -> 1..254, NODATA -> 0."""
+    t = focal.focal_tiles(dem_tiles(spark, sf_dir), G, "slope", keep_source=True, zfactor=L.exaggeration_factor(zoom, "slope"))
+    c = _unpack2(t)
+    return c.select("gx", "gy", L.mask_nodata(L.normalize("value", 0, 100, 1, 254), "src").alias("value"))
+
+
+def color_hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude: float = 60.0, azimuth: float = 315.0) -> DataFrame:
+    """Colour-map colour darkened by the (unmasked) normalised hillshade; NODATA -> 0."""
+    t = focal.focal_tiles(
+        dem_tiles(spark, sf_dir), G, "hillshade", keep_source=True,
+        zfactor=L.exaggeration_factor(zoom, "hillshade"), altitude=altitude, azimuth=azimuth,
+    )
+    c = _unpack2(t)
+    base = Y.classify_le("src", Y.colormap_literal(Y.DEM_COLORMAP))
+    blended = Y.shade_blend(base, L.normalize("value", 0, 127, 1, 254))
+    return c.select("gx", "gy", L.mask_nodata(blended, "src").cast("bigint").alias("color"))
+
+
+def hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile requests (key + level) -> flood depth from the two HAND layers -> colour."""
+    depth = tiles.pack(fx.hand_depth(spark, sf_dir), G)
+    ext = tiles.pack(fx.hand_extent(spark, sf_dir), G)
+    d = flood_depth_tiles(fx.tile_requests(spark, sf_dir), depth, ext, G)
+    return d.select("id", "gx", "gy", Y.classify_le("value", Y.colormap_literal(Y.HAND_COLORMAP)).alias("color"))
+
+
+def focal_layer(spark: SparkSession, sf_dir: str, op: str, **kw) -> DataFrame:
+    """F1-F5 over the whole DEM (tile path), doubles rounded to 6 decimals."""
+    c = tiles.unpack(focal.focal_tiles(dem_tiles(spark, sf_dir), G, op, **kw), G)
+    return c.select("gx", "gy", F.round("value", 6).alias("value"))
