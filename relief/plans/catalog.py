@@ -47,6 +47,10 @@ QUERIES: dict[str, Query] = {
     "p6_slope": P.slope,
     "p7_color_hillshade": P.color_hillshade,
     "p8_hand": P.hand,
+    "v2_viewshed_r2": P.viewshed_r2,
+    "v3_viewshed_exact": P.viewshed_exact,
+    "v4_viewshed_approx": P.viewshed_approx,
+    "p11_viewshed_mask": P.viewshed_mask,
 }
 
 ORACLE: dict[str, str] = {
@@ -67,4 +71,8 @@ ORACLE: dict[str, str] = {
     "p6_slope": O.P6_SLOPE,
     "p7_color_hillshade": O.P7_COLOR_HILLSHADE,
     "p8_hand": O.P8_HAND,
+    "v2_viewshed_r2": O.V2_VIEWSHED,
+    "v3_viewshed_exact": O.V3_VIEWSHED_EXACT,
+    "v4_viewshed_approx": O.V4_VIEWSHED_APPROX,
+    "p11_viewshed_mask": O.P11_VIEWSHED_MASK,
 }

@@ -244,3 +244,119 @@ v AS (SELECT c.id, c.gx, c.gy,
              CASE WHEN e.value = 0 THEN NULL WHEN e.value <= c.level AND e.value > -1 THEN c.level - d.value ELSE NULL END AS depth
       FROM cells c LEFT JOIN hand_extent e ON e.gx = c.gx AND e.gy = c.gy LEFT JOIN hand_depth d ON d.gx = c.gx AND d.gy = c.gy)
 SELECT id, gx, gy, {classify_le_sql('depth', HAND_COLORMAP)} AS color FROM v"""
+
+
+# --- visibility --------------------------------------------------------------------
+
+def observers_sql(radius: int, height: float = 200.0, raster: str = "dem") -> str:
+    return f"""obs0 AS (SELECT s_suppkey AS id, s_suppkey * 37 % 128 AS ox, s_suppkey * 53 % 100 AS oy,
+                  {height!r} AS height, {int(radius)} AS r FROM supplier),
+obs AS (SELECT o.id, o.ox, o.oy, d.value + o.height AS oz, o.r FROM obs0 o JOIN {raster} d ON d.gx = o.ox AND d.gy = o.oy
+        WHERE d.value IS NOT NULL)"""
+
+
+def rays_sql(step: int = 1) -> str:
+    return f"""rays AS (SELECT id, ox, oy, oz, r, unnest(range(0, 8 * r, {int(step)})) AS t FROM obs),
+dir AS (SELECT id, ox, oy, oz, r, t,
+               CASE t // (2 * r) WHEN 0 THEN -r + (t - (t // (2 * r)) * 2 * r) WHEN 1 THEN r
+                    WHEN 2 THEN r - (t - (t // (2 * r)) * 2 * r) ELSE -r END AS dx,
+               CASE t // (2 * r) WHEN 0 THEN -r WHEN 1 THEN -r + (t - (t // (2 * r)) * 2 * r)
+                    WHEN 2 THEN r ELSE r - (t - (t // (2 * r)) * 2 * r) END AS dy FROM rays),
+st AS (SELECT id, ox, oy, oz, r, t, dx, dy, unnest(range(1, r + 1)) AS k FROM dir),
+sm AS (SELECT id, t, k, oz, CAST(floor((2 * k * dx + r) / (2.0 * r)) AS BIGINT) AS sx,
+              CAST(floor((2 * k * dy + r) / (2.0 * r)) AS BIGINT) AS sy, ox, oy FROM st)"""
+
+
+def r2_sql(surface: str, keyed: bool = False) -> str:
+    on = "AND c.id = s.id" if keyed else ""
+    return f"""samp AS (SELECT s.id, s.t, s.k, s.ox + s.sx AS gx, s.oy + s.sy AS gy,
+                (c.value - s.oz) / sqrt(s.sx * s.sx + s.sy * s.sy) AS slope
+         FROM sm s JOIN {surface} c ON c.gx = s.ox + s.sx AND c.gy = s.oy + s.sy {on} WHERE c.value IS NOT NULL),
+seen AS (SELECT id, gx, gy, slope, max(slope) OVER (PARTITION BY id, t ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hz
+         FROM samp),
+vs AS (SELECT id, gx, gy, max(vis) AS vis FROM (
+         SELECT id, gx, gy, CASE WHEN hz IS NULL OR slope >= hz THEN 1 ELSE 0 END AS vis FROM seen
+         UNION ALL SELECT id, ox, oy, 1 FROM obs) u GROUP BY id, gx, gy)"""
+
+
+V2_VIEWSHED = f"""WITH {DEM}, {observers_sql(20)}, {rays_sql()}, {r2_sql('dem')}
+SELECT id, gx, gy, vis FROM vs"""
+
+
+def approx_fill_sql(surface: str, keyed: bool = False) -> str:
+    on = "AND c.id = q.id" if keyed else ""
+    return f"""sq AS (SELECT id, ox, oy, r, unnest(range(-r, r + 1)) AS dx FROM obs),
+sq2 AS (SELECT id, ox, oy, r, dx, unnest(range(-r, r + 1)) AS dy FROM sq),
+ring AS (SELECT id, ox + dx AS gx, oy + dy AS gy, greatest(abs(dx), abs(dy)) AS g, dx, dy FROM sq2),
+pos AS (SELECT id, gx, gy, g,
+               CASE WHEN dy = -g AND dx < g THEN dx + g WHEN dx = g THEN 2 * g + dy + g
+                    WHEN dy = g THEN 4 * g + g - dx ELSE 6 * g + g - dy END AS p FROM ring),
+cand AS (SELECT q.id, q.gx, q.gy, q.g, q.p, v.vis FROM pos q JOIN {surface} c ON c.gx = q.gx AND c.gy = q.gy {on}
+         LEFT JOIN vs v ON v.id = q.id AND v.gx = q.gx AND v.gy = q.gy WHERE c.value IS NOT NULL),
+nb AS (SELECT id, gx, gy, p, vis,
+              last_value(CASE WHEN vis IS NOT NULL THEN p END IGNORE NULLS) OVER wb AS p0,
+              last_value(vis IGNORE NULLS) OVER wb AS v0,
+              first_value(CASE WHEN vis IS NOT NULL THEN p END IGNORE NULLS) OVER wa AS p1,
+              first_value(vis IGNORE NULLS) OVER wa AS v1
+       FROM cand
+       WINDOW wb AS (PARTITION BY id, g ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+              wa AS (PARTITION BY id, g ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT id, gx, gy, coalesce(vis, CASE WHEN p1 IS NULL THEN v0 WHEN p0 IS NULL THEN v1
+                                              WHEN p - p0 <= p1 - p THEN v0 ELSE v1 END) AS vis FROM nb)"""
+
+
+V4_VIEWSHED_APPROX = f"""WITH {DEM}, {observers_sql(20)}, {rays_sql(4)}, {r2_sql('dem')}, {approx_fill_sql('dem')}
+SELECT id, gx, gy, vis FROM filled WHERE vis IS NOT NULL"""
+
+V3_VIEWSHED_EXACT = f"""WITH {DEM}, {observers_sql(6)},
+sq AS (SELECT id, ox, oy, oz, r, unnest(range(-r, r + 1)) AS dx FROM obs),
+sq2 AS (SELECT id, ox, oy, oz, r, dx, unnest(range(-r, r + 1)) AS dy FROM sq),
+tg AS (SELECT q.id, q.ox, q.oy, q.oz, q.dx, q.dy, greatest(abs(q.dx), abs(q.dy)) AS m, q.ox + q.dx AS gx, q.oy + q.dy AS gy,
+              (c.value - q.oz) / sqrt(q.dx * q.dx + q.dy * q.dy) AS ts
+       FROM sq2 q JOIN dem c ON c.gx = q.ox + q.dx AND c.gy = q.oy + q.dy
+       WHERE (q.dx <> 0 OR q.dy <> 0) AND c.value IS NOT NULL),
+stp AS (SELECT id, ox, oy, oz, dx, dy, m, gx, gy, unnest(range(1, m)) AS k FROM tg WHERE m > 1),
+geo AS (SELECT id, gx AS tx, gy AS ty, oz, k, abs(dx) >= abs(dy) AS xmaj,
+               k * (CASE WHEN abs(dx) >= abs(dy) THEN dy ELSE dx END) AS num, m, ox, oy,
+               sign(CASE WHEN abs(dx) >= abs(dy) THEN dx ELSE dy END) * k AS kmaj FROM stp),
+geo2 AS (SELECT *, CAST(floor(num / CAST(m AS DOUBLE)) AS BIGINT) AS lo FROM geo),
+geo3 AS (SELECT *, (num - lo * m) / CAST(m AS DOUBLE) AS frac,
+                sqrt(CAST(k * k AS DOUBLE) + pow(num / CAST(m AS DOUBLE), 2)) AS dist FROM geo2),
+c0 AS (SELECT g.*, CASE WHEN xmaj THEN ox + kmaj ELSE ox + lo END AS x0, CASE WHEN xmaj THEN oy + lo ELSE oy + kmaj END AS y0,
+              CASE WHEN xmaj THEN ox + kmaj ELSE ox + lo + 1 END AS x1, CASE WHEN xmaj THEN oy + lo + 1 ELSE oy + kmaj END AS y1
+       FROM geo3 g),
+zs AS (SELECT c0.id, c0.tx, c0.ty, c0.oz, c0.dist,
+              CASE WHEN c0.frac = 0 THEN a.value * 1.0 ELSE a.value * (1 - c0.frac) + b.value * c0.frac END AS z
+       FROM c0 LEFT JOIN dem a ON a.gx = c0.x0 AND a.gy = c0.y0 LEFT JOIN dem b ON b.gx = c0.x1 AND b.gy = c0.y1),
+hz AS (SELECT id, tx, ty, max((z - oz) / dist) AS h FROM zs WHERE z IS NOT NULL GROUP BY id, tx, ty)
+SELECT t.id, t.gx, t.gy, CASE WHEN h.h IS NULL OR t.ts >= h.h THEN 1 ELSE 0 END AS vis
+FROM tg t LEFT JOIN hz h ON h.id = t.id AND h.tx = t.gx AND h.ty = t.gy
+UNION ALL SELECT id, ox, oy, 1 FROM obs"""
+
+# DSM cells of the tiles within buff (200 m) of each observer; observer cell overridden
+P11_SURFACE = f"""tk AS (SELECT o.id, c.col, c.row, o.ox, o.oy FROM obs0 o,
+          (SELECT DISTINCT gx // 32 AS col, gy // 32 AS row FROM dsm) c
+        WHERE pow(greatest(-7420000e0 + c.col * 320e0 - (-7420000e0 + (o.ox + 0.5) * 10e0), 0e0,
+                           (-7420000e0 + (o.ox + 0.5) * 10e0) - (-7420000e0 + c.col * 320e0 + 320e0)), 2)
+            + pow(greatest((5775000e0 - c.row * 320e0 - 320e0) - (5775000e0 - (o.oy + 0.5) * 10e0), 0e0,
+                           (5775000e0 - (o.oy + 0.5) * 10e0) - (5775000e0 - c.row * 320e0)), 2) <= 200e0 * 200e0),
+surf AS (SELECT t.id, d.gx, d.gy, CASE WHEN d.gx = b.ox AND d.gy = b.oy THEN b.oz ELSE d.value END AS value
+         FROM tk t JOIN dsm d ON d.gx // 32 = t.col AND d.gy // 32 = t.row JOIN obs b ON b.id = t.id)"""
+
+P11_VIEWSHED_MASK = f"""WITH {DEM}, {DSM}, {observers_sql(20)}, {P11_SURFACE}, {rays_sql(4)}, {r2_sql('surf', keyed=True)},
+{approx_fill_sql('surf', keyed=True)},
+fv AS (SELECT id, gx, gy, CAST(vis AS DOUBLE) AS value FROM filled WHERE vis IS NOT NULL),
+med AS (SELECT z.id, z.gx, z.gy,
+               (SELECT median(x) FROM (SELECT unnest([a.value, b.value, c.value, d.value, z.value, f.value, g.value, h.value, i.value]) AS x)) AS m
+        FROM fv z
+        LEFT JOIN fv a ON a.id = z.id AND a.gx = z.gx - 1 AND a.gy = z.gy - 1
+        LEFT JOIN fv b ON b.id = z.id AND b.gx = z.gx AND b.gy = z.gy - 1
+        LEFT JOIN fv c ON c.id = z.id AND c.gx = z.gx + 1 AND c.gy = z.gy - 1
+        LEFT JOIN fv d ON d.id = z.id AND d.gx = z.gx - 1 AND d.gy = z.gy
+        LEFT JOIN fv f ON f.id = z.id AND f.gx = z.gx + 1 AND f.gy = z.gy
+        LEFT JOIN fv g ON g.id = z.id AND g.gx = z.gx - 1 AND g.gy = z.gy + 1
+        LEFT JOIN fv h ON h.id = z.id AND h.gx = z.gx AND h.gy = z.gy + 1
+        LEFT JOIN fv i ON i.id = z.id AND i.gx = z.gx + 1 AND i.gy = z.gy + 1),
+lv AS (SELECT id, gx, gy, CAST(floor(m + 0.5) AS BIGINT) AS idx FROM med),
+gl AS (SELECT id, gx, gy, (idx * 510 + 1) // 2 AS gg FROM lv)
+SELECT id, gx, gy, CAST(gg * 16777216 + gg * 65536 + gg * 256 + 255 AS BIGINT) AS color FROM gl"""

@@ -125,3 +125,42 @@ def focal_layer(spark: SparkSession, sf_dir: str, op: str, **kw) -> DataFrame:
     """F1-F5 over the whole DEM (tile path), doubles rounded to 6 decimals."""
     c = tiles.unpack(focal.focal_tiles(dem_tiles(spark, sf_dir), G, op, **kw), G)
     return c.select("gx", "gy", F.round("value", 6).alias("value"))
+
+
+# --- visibility products (V2-V5, P11) ------------------------------------------------
+
+from relief.functions.kernels import median_col  # noqa: E402
+from relief.operators import visibility as V  # noqa: E402
+
+
+def _observers(spark: SparkSession, sf_dir: str, radius: int, height: float = 200.0) -> DataFrame:
+    return V.observer_cells(fx.observers(spark, sf_dir, radius, height), fx.dem(spark, sf_dir), G)
+
+
+def viewshed_r2(spark: SparkSession, sf_dir: str, radius: int = 20) -> DataFrame:
+    """V2 for every supplier observer on the DEM."""
+    return V.viewshed_r2(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir))
+
+
+def viewshed_exact(spark: SparkSession, sf_dir: str, radius: int = 6) -> DataFrame:
+    """V3 for every supplier observer on the DEM."""
+    return V.viewshed_exact(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir))
+
+
+def viewshed_approx(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+    """V4 for every supplier observer on the DEM."""
+    return V.viewshed_approx(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), ray_step)
+
+
+def observer_viewshed(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+    """V5: DEM observer heights, DSM surface within ``buff``, approximate rays."""
+    obs = fx.observers(spark, sf_dir, radius)
+    return V.observer_viewshed(obs, fx.dem(spark, sf_dir), fx.dsm(spark, sf_dir), G, ray_step)
+
+
+def viewshed_mask(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+    """V5 -> 3x3 focal median per observer -> black/white ramp colour."""
+    vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
+    med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
+    m = med.select("id", "gx", "gy", median_col().alias("m"))
+    return m.select("id", "gx", "gy", Y.grey_rgba(F.round("m").cast("int"), 1).alias("color"))
