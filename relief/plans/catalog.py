@@ -51,6 +51,9 @@ QUERIES: dict[str, Query] = {
     "v3_viewshed_exact": P.viewshed_exact,
     "v4_viewshed_approx": P.viewshed_approx,
     "p11_viewshed_mask": P.viewshed_mask,
+    "z1_regions": P.regions,
+    "z3_region_polygons": P.region_polygons,
+    "p12_viewshed_polygons": P.viewshed_polygons,
 }
 
 ORACLE: dict[str, str] = {
@@ -75,4 +78,5 @@ ORACLE: dict[str, str] = {
     "v3_viewshed_exact": O.V3_VIEWSHED_EXACT,
     "v4_viewshed_approx": O.V4_VIEWSHED_APPROX,
     "p11_viewshed_mask": O.P11_VIEWSHED_MASK,
+    "z1_regions": O.Z1_REGIONS,
 }

@@ -360,3 +360,20 @@ med AS (SELECT z.id, z.gx, z.gy,
 lv AS (SELECT id, gx, gy, CAST(floor(m + 0.5) AS BIGINT) AS idx FROM med),
 gl AS (SELECT id, gx, gy, (idx * 510 + 1) // 2 AS gg FROM lv)
 SELECT id, gx, gy, CAST(gg * 16777216 + gg * 65536 + gg * 256 + 255 AS BIGINT) AS color FROM gl"""
+
+
+# --- regions (recursive closure over row runs) ------------------------------------------
+
+Z1_REGIONS = f"""WITH RECURSIVE {DEM},
+q AS (SELECT gx, gy, CAST(floor(value / 100) AS DOUBLE) AS v FROM dem WHERE value IS NOT NULL),
+r0 AS (SELECT gx, gy, v, CASE WHEN lag(gx) OVER w = gx - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS nw
+       FROM q WINDOW w AS (PARTITION BY gy ORDER BY gx)),
+r1 AS (SELECT gx, gy, v, sum(nw) OVER (PARTITION BY gy ORDER BY gx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM r0),
+runs AS (SELECT gy, grp, min(gx) AS gx0, max(gx) AS gx1, any_value(v) AS v, gy * 4294967296 + min(gx) AS run FROM r1 GROUP BY gy, grp),
+cr AS (SELECT c.gx, c.gy, c.v, r.run FROM r1 c JOIN runs r ON r.gy = c.gy AND r.grp = c.grp),
+e AS (SELECT DISTINCT a.run AS a, b.run AS b FROM cr a JOIN cr b ON b.gx = a.gx AND b.gy = a.gy + 1 AND b.v = a.v),
+ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT run, run FROM runs UNION SELECT r.a, ee.b FROM reach r JOIN ee ON ee.a = r.b),
+lab AS (SELECT a AS run, min(b) AS region FROM reach GROUP BY a)
+SELECT l.region, any_value(r.v) AS value, CAST(sum(r.gx1 - r.gx0 + 1) AS BIGINT) AS cells
+FROM runs r JOIN lab l ON l.run = r.run GROUP BY l.region"""

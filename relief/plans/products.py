@@ -164,3 +164,33 @@ def viewshed_mask(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step:
     med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
     m = med.select("id", "gx", "gy", median_col().alias("m"))
     return m.select("id", "gx", "gy", Y.grey_rgba(F.round("m").cast("int"), 1).alias("color"))
+
+
+# --- vectorize (Z1-Z3, P12) ----------------------------------------------------------
+
+from relief.functions.local import zero_to_nodata  # noqa: E402
+from relief.operators import vectorize as Z  # noqa: E402
+
+
+def dem_classes(spark: SparkSession, sf_dir: str, interval: float = 100.0) -> DataFrame:
+    """The DEM quantised to elevation bands (L1), the input of the region queries."""
+    d = fx.dem(spark, sf_dir)
+    return d.select("gx", "gy", F.floor(F.col("value") / interval).cast("double").alias("value"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected regions of equal elevation band: ``(region, value, cells)``."""
+    return Z.region_summary(Z.regions(dem_classes(spark, sf_dir)))
+
+
+def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z2+Z3: one GeoJSON polygon (with holes) per elevation-band region."""
+    return Z.region_polygons(Z.regions(dem_classes(spark, sf_dir)), G)
+
+
+def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+    """V5 -> median 3x3 -> 0 becomes NODATA -> regions per observer -> GeoJSON."""
+    vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
+    med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
+    m = med.select("id", "gx", "gy", zero_to_nodata(median_col()).alias("value"))
+    return Z.region_polygons(Z.regions(m, keys=("id",)), G, keys=("id",))
