@@ -88,13 +88,18 @@ def median_col() -> Column:
     return F.when(n == 0, F.lit(None).cast("double")).when(n % 2 == 1, mid).otherwise((lo + hi) / 2)
 
 
+def _centre_valid(c: Column) -> Column:
+    """Horn's gradient does not read the centre; a NODATA centre still gives NODATA."""
+    return F.when(_w("e").isNotNull(), c)
+
+
 def kernel_col(op: str, **kw) -> Column:
     if op == "slope":
-        return slope_col(kw.get("cell_size", 3.0))
+        return _centre_valid(slope_col(kw.get("cell_size", 3.0)))
     if op == "aspect":
-        return aspect_col(kw.get("cell_size", 3.0))
+        return _centre_valid(aspect_col(kw.get("cell_size", 3.0)))
     if op == "hillshade":
-        return hillshade_col(kw.get("cell_size", 3.0), kw.get("altitude", 60.0), kw.get("azimuth", 315.0))
+        return _centre_valid(hillshade_col(kw.get("cell_size", 3.0), kw.get("altitude", 60.0), kw.get("azimuth", 315.0)))
     if op == "flowdir":
         return flow_direction_col()
     if op == "median":
@@ -120,26 +125,29 @@ def _np_pq(w, cell_size):
     return p, q
 
 
+def _gradient_np(op: str, w: dict, cs: float, kw: dict) -> np.ndarray:
+    p, q = _np_pq(w, cs)
+    if op == "slope":
+        return np.degrees(np.arctan(np.sqrt(p * p + q * q)))
+    if op == "aspect":
+        a = np.mod(np.degrees(np.arctan2(-p, q)) + 360.0, 360.0)
+        return np.where((p == 0) & (q == 0), -1.0, a)
+    zen = math.radians(90.0 - kw.get("altitude", 60.0))
+    az = math.radians(kw.get("azimuth", 315.0))
+    s = np.arctan(np.sqrt(p * p + q * q))
+    v = math.cos(zen) * np.cos(s) + math.sin(zen) * np.sin(s) * np.cos(az - np.arctan2(-p, q))
+    return np.where(np.isnan(v), np.nan, 127.0 * np.maximum(0.0, v))
+
+
 def kernel_np(op: str, padded: np.ndarray, **kw) -> np.ndarray:
     if kw.get("zfactor") is not None:
         padded = padded * kw["zfactor"]
     w = windows(padded)
     cs = kw.get("cell_size", 3.0)
+    if op in ("slope", "aspect", "hillshade"):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(np.isnan(w["e"]), np.nan, _gradient_np(op, w, cs, kw))
     with np.errstate(invalid="ignore", divide="ignore"):
-        if op == "slope":
-            p, q = _np_pq(w, cs)
-            return np.degrees(np.arctan(np.sqrt(p * p + q * q)))
-        if op == "aspect":
-            p, q = _np_pq(w, cs)
-            a = np.mod(np.degrees(np.arctan2(-p, q)) + 360.0, 360.0)
-            return np.where((p == 0) & (q == 0), -1.0, a)
-        if op == "hillshade":
-            p, q = _np_pq(w, cs)
-            zen = math.radians(90.0 - kw.get("altitude", 60.0))
-            az = math.radians(kw.get("azimuth", 315.0))
-            s = np.arctan(np.sqrt(p * p + q * q))
-            v = math.cos(zen) * np.cos(s) + math.sin(zen) * np.sin(s) * np.cos(az - np.arctan2(-p, q))
-            return np.where(np.isnan(v), np.nan, 127.0 * np.maximum(0.0, v))
         if op == "flowdir":
             e = w["e"]
             drops = np.stack([(e - w[n]) / SQRT2 if diag else (e - w[n]) for n, _, diag in D8])

@@ -110,3 +110,13 @@ def polygon_tile_keys(polygons: DataFrame, grid: Grid, id_col: str = "id", rings
     return b.select(
         id_col, F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1"
     ).select(id_col, "col", F.explode(F.sequence("r0", "r1")).alias("row"))
+
+
+def cover_bound(polygons: DataFrame, grid: Grid, rings_col: str = "rings") -> Column:
+    """Per-polygon upper bound of covered cells: its bounding box in cells (a column)."""
+    pts = F.flatten(F.col(rings_col))
+    xs = F.transform(pts, lambda p: p["x"])
+    ys = F.transform(pts, lambda p: p["y"])
+    w = F.ceil((F.array_max(xs) - F.array_min(xs)) / F.lit(grid.cell_w)) + 1
+    h = F.ceil((F.array_max(ys) - F.array_min(ys)) / F.lit(grid.cell_h)) + 1
+    return F.coalesce(w * h, F.lit(0))

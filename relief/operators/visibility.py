@@ -23,9 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent, tile_key
+from relief.operators.joins import join_bounded, row_bound
 from relief.schema import Grid
 
 
+def samples_bound(obs: DataFrame, ray_step: int = 1) -> int:
+    """Proven upper bound of the ray samples of an observer table."""
+    r = F.col("radius")
+    return row_bound(obs, (F.floor((8 * r - 1) / ray_step) + 1) * r)
+
+
 def observer_cells(observers: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
     """V1: ``(id, ox, oy, oz, radius)``; oz = DEM value under the observer + height.
 
@@ -88,7 +95,7 @@ def viewshed_r2(obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool
 
     ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface)."""
     on = ["id", "gx", "gy"] if keyed else ["gx", "gy"]
-    s = ray_samples(obs, ray_step).join(_valid(cells, keyed), on)
+    s = join_bounded(_valid(cells, keyed), ray_samples(obs, ray_step), on, samples_bound(obs, ray_step), row_bytes=56)
     s = s.select("id", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
     w = Window.partitionBy("id", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     seen = s.select("id", "gx", "gy", "slope", F.max("slope").over(w).alias("horizon"))

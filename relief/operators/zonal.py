@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, polygon_area, tile_key
-from relief.operators.rasterize import rasterize
+from relief.operators.joins import join_bounded, row_bound
+from relief.operators.rasterize import cover_bound, rasterize
 from relief.schema import Grid
 
 
@@ -28,7 +29,8 @@ def flood_classes(requests: DataFrame, cells: DataFrame, grid: Grid) -> DataFram
     (see :func:`valid_flood_requests`).  ``cells``: ``(gx, gy, value)``.
     """
     cover = rasterize(requests.select("id", "rings", "level", "step"), grid, carry=("level", "step"))
-    j = cover.join(cells.select("gx", "gy", "value"), ["gx", "gy"])
+    bound = row_bound(requests, cover_bound(requests, grid))
+    j = join_bounded(cells.select("gx", "gy", "value"), cover, ["gx", "gy"], bound, row_bytes=48)
     depth_class = F.when(
         F.col("value") < F.col("level"), F.ceil((F.col("level") - F.col("value")) / F.col("step"))
     ).otherwise(F.lit(0))

@@ -133,8 +133,8 @@ def neighbourhood(src: str) -> str:
 
 P = "(((c + 2 * f + i) - (a + 2 * d + g)) / 24.0)"
 Q = "(((g + 2 * h + i) - (a + 2 * b + c)) / 24.0)"
-SLOPE = f"degrees(atan(sqrt({P} * {P} + {Q} * {Q})))"
-ASPECT = f"CASE WHEN {P} = 0 AND {Q} = 0 THEN -1e0 ELSE fmod(degrees(atan2(-{P}, {Q})) + 360.0, 360.0) END"
+SLOPE = f"CASE WHEN e IS NULL THEN NULL ELSE degrees(atan(sqrt({P} * {P} + {Q} * {Q}))) END"
+ASPECT = f"CASE WHEN e IS NULL THEN NULL WHEN {P} = 0 AND {Q} = 0 THEN -1e0 ELSE fmod(degrees(atan2(-{P}, {Q})) + 360.0, 360.0) END"
 
 
 def hillshade_sql(altitude: float = 60.0, azimuth: float = 315.0) -> str:
@@ -142,7 +142,7 @@ def hillshade_sql(altitude: float = 60.0, azimuth: float = 315.0) -> str:
     az = math.radians(azimuth)
     s = f"atan(sqrt({P} * {P} + {Q} * {Q}))"
     v = f"({math.cos(zen)!r} * cos({s}) + {math.sin(zen)!r} * sin({s}) * cos({az!r} - atan2(-{P}, {Q})))"
-    return f"CASE WHEN {v} IS NULL THEN NULL ELSE 127.0 * greatest(0.0, {v}) END"
+    return f"CASE WHEN e IS NULL OR {v} IS NULL THEN NULL ELSE 127.0 * greatest(0.0, {v}) END"
 
 
 _R2 = repr(math.sqrt(2.0))
