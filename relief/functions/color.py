@@ -37,20 +37,44 @@ def parse_colormap(definition: Column | str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.array_sort(entries))
 
 
-def classify_le(v: Column | str, cmap: Column) -> Column:
+def parse_definition(definition: str) -> list[tuple[float, int]]:
+    """S10 for a constant definition (driver side, a few entries): sorted (limit, colour)."""
+    out = []
+    for part in definition.split(";"):
+        lim, hexa = part.strip().split(":")
+        out.append((float(lim), int(hexa, 16) & 0xFFFFFFFF))
+    return sorted(out)
+
+
+def classify_le(v: Column | str, cmap: Column | str) -> Column:
     """Colour of the first class with ``v <= limit``; above the last limit -> last
-    colour; NODATA -> 0."""
+    colour; NODATA -> 0.
+
+    ``cmap`` is a colour-map column (S10, e.g. joined from a definitions table) or a
+    constant definition string, which becomes a CASE chain inside whole-stage codegen."""
     v = F.col(v) if isinstance(v, str) else v
+    if isinstance(cmap, str):
+        cm = parse_definition(cmap)
+        e = F.when(v.isNull(), F.lit(0).cast("bigint"))
+        for lim, colour in cm:
+            e = e.when(v <= F.lit(lim), F.lit(colour).cast("bigint"))
+        return e.otherwise(F.lit(cm[-1][1]).cast("bigint"))
     hit = F.try_element_at(F.filter(cmap, lambda e: v <= e["limit"]), F.lit(1))
     return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(
         F.coalesce(hit["color"], F.try_element_at(cmap, F.lit(-1))["color"])
     )
 
 
-def classify_ge(v: Column | str, cmap: Column) -> Column:
+def classify_ge(v: Column | str, cmap: Column | str) -> Column:
     """Y2: colour of the last class with ``v >= limit``; below the first limit -> first
-    colour; NODATA -> 0."""
+    colour; NODATA -> 0.  ``cmap`` as for :func:`classify_le`."""
     v = F.col(v) if isinstance(v, str) else v
+    if isinstance(cmap, str):
+        cm = parse_definition(cmap)
+        e = F.when(v.isNull(), F.lit(0).cast("bigint"))
+        for lim, colour in reversed(cm):
+            e = e.when(v >= F.lit(lim), F.lit(colour).cast("bigint"))
+        return e.otherwise(F.lit(cm[0][1]).cast("bigint"))
     hit = F.try_element_at(F.filter(cmap, lambda e: v >= e["limit"]), F.lit(-1))
     return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(
         F.coalesce(hit["color"], F.try_element_at(cmap, F.lit(1))["color"])

@@ -60,7 +60,7 @@ def _unpack2(t: DataFrame) -> DataFrame:
 def color(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DEM classified by the elevation colour map (NODATA -> 0)."""
     c = tiles.unpack(dem_tiles(spark, sf_dir), G)
-    return c.select("gx", "gy", Y.classify_le("value", Y.colormap_literal(Y.DEM_COLORMAP)).alias("color"))
+    return c.select("gx", "gy", Y.classify_le("value", Y.DEM_COLORMAP).alias("color"))
 
 
 def grey(spark: SparkSession, sf_dir: str, stops: int = 254) -> DataFrame:
@@ -91,7 +91,7 @@ def hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude: floa
 def aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: aspect classified with the >= boundary rule (NODATA -> 0)."""
     c = tiles.unpack(focal.focal_tiles(dem_tiles(spark, sf_dir), G, "aspect"), G)
-    return c.select("gx", "gy", Y.classify_ge("value", Y.colormap_literal(Y.ASPECT_COLORMAP)).alias("color"))
+    return c.select("gx", "gy", Y.classify_ge("value", Y.ASPECT_COLORMAP).alias("color"))
 
 
 def slope(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
@@ -108,7 +108,7 @@ def color_hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude
         zfactor=L.exaggeration_factor(zoom, "hillshade"), altitude=altitude, azimuth=azimuth,
     )
     c = _unpack2(t)
-    base = Y.classify_le("src", Y.colormap_literal(Y.DEM_COLORMAP))
+    base = Y.classify_le("src", Y.DEM_COLORMAP)
     blended = Y.shade_blend(base, L.normalize("value", 0, 127, 1, 254))
     return c.select("gx", "gy", L.mask_nodata(blended, "src").cast("bigint").alias("color"))
 
@@ -118,7 +118,7 @@ def hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = tiles.pack(fx.hand_depth(spark, sf_dir), G)
     ext = tiles.pack(fx.hand_extent(spark, sf_dir), G)
     d = flood_depth_tiles(fx.tile_requests(spark, sf_dir), depth, ext, G)
-    return d.select("id", "gx", "gy", Y.classify_le("value", Y.colormap_literal(Y.HAND_COLORMAP)).alias("color"))
+    return d.select("id", "gx", "gy", Y.classify_le("value", Y.HAND_COLORMAP).alias("color"))
 
 
 def focal_layer(spark: SparkSession, sf_dir: str, op: str, **kw) -> DataFrame:
