@@ -54,6 +54,17 @@ QUERIES: dict[str, Query] = {
     "z1_regions": P.regions,
     "z3_region_polygons": P.region_polygons,
     "p12_viewshed_polygons": P.viewshed_polygons,
+    "s2_tile_lookup": P.tile_lookup,
+    "s3_layer_metadata": P.layer_metadata,
+    "s4_key_bounds": P.key_bounds_guard,
+    "s5_point_requests": P.point_request_check,
+    "s7_collection_polygon": P.collection_polygon,
+    "s9_pack": P.pack_stats,
+    "g1_reproject": P.reproject,
+    "g6_polygon_tiles": P.polygon_tiles,
+    "g7_buffer_tiles": P.buffer_tiles,
+    "l2_combine": P.combine,
+    "v1_observers": P.observers,
 }
 
 ORACLE: dict[str, str] = {
@@ -79,4 +90,15 @@ ORACLE: dict[str, str] = {
     "v4_viewshed_approx": O.V4_VIEWSHED_APPROX,
     "p11_viewshed_mask": O.P11_VIEWSHED_MASK,
     "z1_regions": O.Z1_REGIONS,
+    "s2_tile_lookup": O.S2_TILE_LOOKUP,
+    "s3_layer_metadata": O.S3_LAYER_METADATA,
+    "s4_key_bounds": O.S4_KEY_BOUNDS,
+    "s5_point_requests": O.S5_POINT_REQUESTS,
+    "s7_collection_polygon": O.S7_COLLECTION_POLYGON,
+    "s9_pack": O.S9_PACK,
+    "g1_reproject": O.G1_REPROJECT,
+    "g6_polygon_tiles": O.G6_POLYGON_TILES,
+    "g7_buffer_tiles": O.G7_BUFFER_TILES,
+    "l2_combine": O.L2_COMBINE,
+    "v1_observers": O.V1_OBSERVERS,
 }

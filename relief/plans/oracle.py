@@ -377,3 +377,65 @@ reach(a, b) AS (SELECT run, run FROM runs UNION SELECT r.a, ee.b FROM reach r JO
 lab AS (SELECT a AS run, min(b) AS region FROM reach GROUP BY a)
 SELECT l.region, any_value(r.v) AS value, CAST(sum(r.gx1 - r.gx0 + 1) AS BIGINT) AS cells
 FROM runs r JOIN lab l ON l.run = r.run GROUP BY l.region"""
+
+
+# --- sources, geometry and local rows ----------------------------------------------
+
+TILE_REQ = """treq AS (SELECT s_suppkey AS id, CAST(s_suppkey % 6 - 1 AS INTEGER) AS col,
+                       CAST(s_suppkey * 7 % 50 - 1 AS INTEGER) AS row FROM supplier),
+dtiles AS (SELECT gx // 32 AS col, gy // 32 AS row, count(value) AS valid_cells FROM dem GROUP BY 1, 2)"""
+
+S2_TILE_LOOKUP = f"""WITH {DEM}, {TILE_REQ}
+SELECT r.id, r.col, r.row, CAST(t.valid_cells AS INTEGER) AS valid_cells
+FROM treq r LEFT JOIN dtiles t ON t.col = r.col AND t.row = r.row"""
+
+S3_LAYER_METADATA = f"""WITH {DEM}, kb AS (SELECT CAST(min(gx // 32) AS INTEGER) AS col_min, CAST(min(gy // 32) AS INTEGER) AS row_min,
+                           CAST(max(gx // 32) AS INTEGER) AS col_max, CAST(max(gy // 32) AS INTEGER) AS row_max FROM dem)
+SELECT 'dem' AS layer, {FIXTURE_ZOOM} AS zoom, 'EPSG:3857' AS crs, 32 AS tile_cols, 32 AS tile_rows,
+       -7420000e0 + col_min * 320e0 AS xmin, 5775000e0 - (row_max + 1) * 320e0 AS ymin,
+       -7420000e0 + (col_max + 1) * 320e0 AS xmax, 5775000e0 - row_min * 320e0 AS ymax,
+       col_min, row_min, col_max, row_max FROM kb"""
+
+S4_KEY_BOUNDS = f"""WITH {DEM}, {TILE_REQ},
+kb AS (SELECT min(gx // 32) AS c0, min(gy // 32) AS r0, max(gx // 32) AS c1, max(gy // 32) AS r1 FROM dem)
+SELECT r.id, r.col, r.row FROM treq r, kb WHERE r.col BETWEEN kb.c0 AND kb.c1 AND r.row BETWEEN kb.r0 AND kb.r1"""
+
+_LAT = "((c_custkey * 53 % 1700) / 10.0 - 85.0)"
+_LON = "((c_custkey * 37 % 3600) / 10.0 - 180.0)"
+_MX = f"round(radians({_LON}) * 6378137.0, 4)"
+_MY = f"round(ln(tan({math.pi / 4!r} + radians({_LAT}) / 2)) * 6378137.0, 4)"
+
+S5_POINT_REQUESTS = f"""SELECT c_custkey AS id,
+       CASE c_custkey % 3 WHEN 0 THEN {_MX} WHEN 1 THEN round(-7420000e0 + c_custkey, 4) END AS x,
+       CASE c_custkey % 3 WHEN 0 THEN {_MY} WHEN 1 THEN round(5775000e0 - c_custkey, 4) END AS y,
+       c_custkey % 3 <> 2 AS valid
+FROM customer"""
+
+G1_REPROJECT = f"""SELECT c_custkey AS id, {_MX} AS x, {_MY} AS y FROM customer"""
+
+S7_COLLECTION_POLYGON = f"""WITH {POLYS}
+SELECT id, {len(U_SHAPE)} AS vertices, CAST(trunc(abs(sum(u1 * v2 - u2 * v1)) / 2 * 100) AS BIGINT) AS area FROM edges GROUP BY id"""
+
+S9_PACK = f"""WITH {DEM}
+SELECT CAST(gx // 32 AS INTEGER) AS col, CAST(gy // 32 AS INTEGER) AS row, count(value) AS cells, sum(value) AS total
+FROM dem GROUP BY 1, 2 HAVING count(value) > 0"""
+
+G6_POLYGON_TILES = f"""WITH {POLYS},
+bb AS (SELECT id, CAST(floor(u0 / 32) AS INTEGER) AS c0, CAST(floor(u9 / 32) AS INTEGER) AS c1,
+              CAST(floor(v0 / 32) AS INTEGER) AS r0, CAST(floor(v9 / 32) AS INTEGER) AS r1 FROM bbox)
+SELECT id, c.col, r.row FROM bb, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r"""
+
+G7_BUFFER_TILES = """WITH obs AS (SELECT s_suppkey AS id, -7420000e0 + (s_suppkey * 37 % 128 + 0.5) * 10e0 AS x,
+                     5775000e0 - (s_suppkey * 53 % 100 + 0.5) * 10e0 AS y FROM supplier),
+keys AS (SELECT id, x, y, unnest(range(CAST(floor((x - 200 + 7420000e0) / 320) AS BIGINT),
+                                       CAST(floor((x + 200 + 7420000e0) / 320) AS BIGINT) + 1)) AS col,
+                floor((5775000e0 - y - 200) / 320) AS r0, floor((5775000e0 - y + 200) / 320) AS r1 FROM obs),
+keys2 AS (SELECT id, x, y, col, unnest(range(CAST(r0 AS BIGINT), CAST(r1 AS BIGINT) + 1)) AS row FROM keys)
+SELECT id, CAST(col AS INTEGER) AS col, CAST(row AS INTEGER) AS row FROM keys2
+WHERE pow(greatest((-7420000e0 + col * 320e0) - x, 0e0, x - (-7420000e0 + col * 320e0 + 320e0)), 2)
+    + pow(greatest((5775000e0 - row * 320e0 - 320e0) - y, 0e0, y - (5775000e0 - row * 320e0)), 2) <= 40000e0"""
+
+L2_COMBINE = f"""WITH {DEM}, {DSM}
+SELECT s.gx, s.gy, s.value - d.value AS value FROM dsm s JOIN dem d ON d.gx = s.gx AND d.gy = s.gy"""
+
+V1_OBSERVERS = f"""WITH {DEM}, {observers_sql(20)} SELECT id, ox, oy, oz FROM obs"""

@@ -194,3 +194,122 @@ def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_st
     med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
     m = med.select("id", "gx", "gy", zero_to_nodata(median_col()).alias("value"))
     return Z.region_polygons(Z.regions(m, keys=("id",)), G, keys=("id",))
+
+
+# --- sources, geometry and local rows registered on their own -------------------------
+
+from relief.functions.geo import lonlat_to_mercator  # noqa: E402
+from relief.operators.local import combine_cells  # noqa: E402
+from relief.operators.rasterize import polygon_tile_keys  # noqa: E402
+from relief.sources import layers as S  # noqa: E402
+from relief.sources.requests import geojson_first_polygon_rings, point_requests  # noqa: E402
+from relief.functions.geo import polygon_area  # noqa: E402
+
+
+def _layered(t: DataFrame, layer: str = "dem", zoom: int = ZOOM) -> DataFrame:
+    return t.select(F.lit(layer).alias("layer"), F.lit(zoom).alias("zoom"), "col", "row", "data")
+
+
+def _tile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tile request per supplier; keys deliberately run past the layer's bounds."""
+    s = fx.table(spark, sf_dir, "supplier", "s_suppkey")
+    k = F.col("s_suppkey")
+    return s.select(
+        k.alias("id"), F.lit("dem").alias("layer"), F.lit(ZOOM).alias("zoom"),
+        (k % 6 - 1).cast("int").alias("col"), (k * 7 % 50 - 1).cast("int").alias("row"),
+    )
+
+
+def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed tile lookup; a missing key keeps its request row with NULL data."""
+    t = _layered(dem_tiles(spark, sf_dir))
+    j = S.lookup_tiles(_tile_requests(spark, sf_dir), t)
+    return j.select("id", "col", "row", F.size(F.array_compact("data")).alias("valid_cells"))
+
+
+def layer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the layers row of the packed DEM (extent, layout, key bounds) flattened."""
+    m = S.layer_metadata(dem_tiles(spark, sf_dir), G, "dem", ZOOM)
+    return m.select(
+        "layer", "zoom", "crs", "tile_cols", "tile_rows",
+        "extent.xmin", "extent.ymin", "extent.xmax", "extent.ymax",
+        "key_bounds.col_min", "key_bounds.row_min", "key_bounds.col_max", "key_bounds.row_max",
+    )
+
+
+def key_bounds_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile requests kept only when inside the layer's key bounds."""
+    t = dem_tiles(spark, sf_dir)
+    meta = S.layer_metadata(t, G, "dem", ZOOM)
+    return S.within_key_bounds(_tile_requests(spark, sf_dir), meta).select("id", "col", "row")
+
+
+def point_request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5+G1: a request table mixing (lat, lon), (x, y) and malformed rows."""
+    c = fx.table(spark, sf_dir, "customer", "c_custkey")
+    k = F.col("c_custkey")
+    kind = k % 3
+    lat = (k * 53 % 1700) / 10.0 - 85.0
+    lon = (k * 37 % 3600) / 10.0 - 180.0
+    req = c.select(
+        k.alias("id"),
+        F.when(kind == 0, lat).when(kind == 2, lat).alias("lat"),
+        F.when(kind == 0, lon).alias("lon"),
+        F.when(kind == 1, F.lit(fx.FIXTURE_GRID.xmin) + k).alias("x"),
+        F.when(kind == 1, F.lit(fx.FIXTURE_GRID.ymax) - k).alias("y"),
+    )
+    ok, bad = point_requests(req)
+    return ok.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.lit(True).alias("valid")).unionByName(
+        bad.select("id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("valid"))
+    )
+
+
+def reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: lon/lat of every customer to Web Mercator (4 decimals)."""
+    c = fx.table(spark, sf_dir, "customer", "c_custkey")
+    k = F.col("c_custkey")
+    p = lonlat_to_mercator((k * 37 % 3600) / 10.0 - 180.0, (k * 53 % 1700) / 10.0 - 85.0)
+    return c.select(k.alias("id"), F.round(p["x"], 4).alias("x"), F.round(p["y"], 4).alias("y"))
+
+
+def collection_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First Polygon of a FeatureCollection per supplier (a LineString comes first,
+    the supplier's flood polygon second, a square third), its vertex count and area."""
+    p = fx.flood_polygons(spark, sf_dir)
+    ring = F.col("rings")[0]
+    line = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(
+        F.lit("LineString").alias("type"), F.transform(ring, lambda v: F.array(v["x"], v["y"])).alias("coordinates")).alias("geometry")))
+    poly = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(
+        F.lit("Polygon").alias("type"), F.transform("rings", lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))).alias("coordinates")).alias("geometry")))
+    coll = F.concat(F.lit('{"type":"FeatureCollection","features":['), line, F.lit(","), poly, F.lit("]}"))
+    r = p.select("id", geojson_first_polygon_rings(coll).alias("rings"))
+    return r.select("id", F.size(F.col("rings")[0]).alias("vertices"), polygon_area("rings").alias("area"))
+
+
+def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of the DEM with their valid-cell count and sum (unpacked back)."""
+    t = dem_tiles(spark, sf_dir)
+    c = tiles.unpack(t, G, dense=False)
+    col = F.floor(F.col("gx") / G.tile_cols).cast("int").alias("col")
+    row = F.floor(F.col("gy") / G.tile_rows).cast("int").alias("row")
+    return c.groupBy(col, row).agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+
+
+def polygon_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile keys each flood polygon's bounding box touches."""
+    return polygon_tile_keys(fx.flood_polygons(spark, sf_dir), G)
+
+
+def buffer_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles whose rectangle touches each observer's 200 m buffer disk."""
+    return V.tiles_within(fx.observers(spark, sf_dir, 20), G)
+
+
+def combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: cell-wise DSM - DEM (object heights), NODATA where the DEM is NODATA."""
+    return combine_cells(fx.dsm(spark, sf_dir), fx.dem(spark, sf_dir), lambda a, b: a - b)
+
+
+def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: observer grid cell and elevation (DEM + height)."""
+    return _observers(spark, sf_dir, 20).select("id", "ox", "oy", "oz")
