@@ -110,11 +110,11 @@ def kernel_col(op: str, **kw) -> Column:
 # --- NumPy form (one padded tile at a time) ----------------------------------
 
 def windows(padded: np.ndarray) -> dict[str, np.ndarray]:
-    """Nine shifted views of a (rows+2, cols+2) padded tile."""
-    r, c = padded.shape
+    """Nine shifted views of padded tiles ``(..., rows+2, cols+2)`` (a batch works too)."""
+    r, c = padded.shape[-2:]
     out = {}
     for n, (dx, dy) in OFFSETS.items():
-        out[n] = padded[1 + dy : r - 1 + dy, 1 + dx : c - 1 + dx]
+        out[n] = padded[..., 1 + dy : r - 1 + dy, 1 + dx : c - 1 + dx]
     return out
 
 
@@ -157,6 +157,9 @@ def kernel_np(op: str, padded: np.ndarray, **kw) -> np.ndarray:
             top = np.take_along_axis(drops, best[None], axis=0)[0]
             return np.where(any_nan | ~(top > 0), np.nan, codes)
         if op == "median":
-            stack = np.stack([w[n] for n in NAMES])
-            return np.nanmedian(stack, axis=0) if stack.size else stack[0]
+            stack = np.sort(np.stack([w[n] for n in NAMES]), axis=0)  # NaN sorts last
+            n = (~np.isnan(stack)).sum(axis=0)
+            lo = np.take_along_axis(stack, np.maximum((n - 1) // 2, 0)[None], axis=0)[0]
+            hi = np.take_along_axis(stack, np.maximum(n // 2, 0)[None], axis=0)[0]
+            return np.where(n == 0, np.nan, np.where(n % 2 == 1, hi, (lo + hi) / 2))
     raise ValueError(op)

@@ -54,35 +54,38 @@ def focal_cells(cells: DataFrame, op: str, keys: tuple[str, ...] = (), **kw) ->
 
 # --- tile path -------------------------------------------------------------------
 
-def _to_np(lst, n: int) -> np.ndarray:
-    if lst is None or not lst.is_valid:
-        return np.full(n, np.nan)
-    return lst.values.to_numpy(zero_copy_only=False).astype(float, copy=False)
+def _dense(arr: pa.Array, length: int) -> np.ndarray:
+    """A list column of fixed-length lists (NULL list or NULL item -> NaN) as (rows, length)."""
+    out = np.full((len(arr), length), np.nan)
+    valid = arr.is_valid().to_numpy(zero_copy_only=False)
+    if valid.any():
+        vals = arr.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
+        out[valid] = np.asarray(vals, dtype=float).reshape(-1, length)
+    return out
 
 
 def _tile_kernel(op: str, tc: int, tr: int, keys: tuple[str, ...], kw: dict, keep_source: bool):
+    """Arrow batch -> batch: every tile of the batch is padded and processed at once."""
+
     def run(batches):
         warnings.simplefilter("ignore", RuntimeWarning)
         for rb in batches:
             cols = {name: rb.column(name) for name in rb.schema.names}
-            outs, lens = [], [0]
-            for k in range(rb.num_rows):
-                pad = np.full((tr + 2, tc + 2), np.nan)
-                pad[1:-1, 1:-1] = _to_np(cols["data"][k], tc * tr).reshape(tr, tc)
-                pad[0, 1:-1] = _to_np(cols["n"][k], tc)
-                pad[-1, 1:-1] = _to_np(cols["s"][k], tc)
-                pad[1:-1, 0] = _to_np(cols["w"][k], tr)
-                pad[1:-1, -1] = _to_np(cols["e"][k], tr)
-                pad[0, 0] = _to_np(cols["nw"][k], 1)[0]
-                pad[0, -1] = _to_np(cols["ne"][k], 1)[0]
-                pad[-1, 0] = _to_np(cols["sw"][k], 1)[0]
-                pad[-1, -1] = _to_np(cols["se"][k], 1)[0]
-                res = kernel_np(op, pad, **kw).reshape(-1)
-                outs.append(res)
-                lens.append(lens[-1] + res.size)
-            values = np.concatenate(outs) if outs else np.zeros(0)
-            data = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(values, mask=np.isnan(values)))
-            arrays = [cols[k] for k in keys] + [cols["col"], cols["row"], data]
+            k = rb.num_rows
+            pad = np.full((k, tr + 2, tc + 2), np.nan)
+            pad[:, 1:-1, 1:-1] = _dense(cols["data"], tc * tr).reshape(k, tr, tc)
+            pad[:, 0, 1:-1] = _dense(cols["n"], tc)
+            pad[:, -1, 1:-1] = _dense(cols["s"], tc)
+            pad[:, 1:-1, 0] = _dense(cols["w"], tr)
+            pad[:, 1:-1, -1] = _dense(cols["e"], tr)
+            pad[:, 0, 0] = _dense(cols["nw"], 1)[:, 0]
+            pad[:, 0, -1] = _dense(cols["ne"], 1)[:, 0]
+            pad[:, -1, 0] = _dense(cols["sw"], 1)[:, 0]
+            pad[:, -1, -1] = _dense(cols["se"], 1)[:, 0]
+            values = np.ascontiguousarray(kernel_np(op, pad, **kw)).reshape(-1)
+            offsets = pa.array(np.arange(0, (k + 1) * tc * tr, tc * tr, dtype=np.int32))
+            data = pa.ListArray.from_arrays(offsets, pa.array(values, mask=np.isnan(values)))
+            arrays = [cols[c] for c in keys] + [cols["col"], cols["row"], data]
             names = list(keys) + ["col", "row", "data"]
             if keep_source:
                 arrays.append(cols["data"])

@@ -30,15 +30,17 @@ def pack(cells: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells -> tiles ``(*keys, col, row, data)``; cells absent from the input are NULL.
 
     The group is one tile, so its size is bounded by the layout, never by the data.
-    A full tile (the common case) is its index-sorted value list; only a partial
-    tile (layer edge) pays for the per-index lookup that fills its gaps."""
+    A full tile (the common case) is its index-sorted value list; a partial tile
+    gets its missing indices from a hash-based ``array_except`` as NULL entries
+    and is sorted once -- O(n log n) per tile, no per-cell lookup."""
     col, row = tile_key(grid, "gx", "gy")
     idx = (F.col("gy") - row * grid.tile_rows) * grid.tile_cols + (F.col("gx") - col * grid.tile_cols)
     c = cells.select(*keys, col.alias("col"), row.alias("row"), idx.cast("int").alias("i"), "value")
     g = c.groupBy(*keys, "col", "row").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("s"))
     full = F.transform("s", lambda e: e["value"])
-    m = F.map_from_entries("s")
-    gaps = F.transform(F.sequence(F.lit(0), F.lit(grid.tile_size - 1)), lambda i: F.try_element_at(m, i))
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(grid.tile_size - 1)), F.transform("s", lambda e: e["i"]))
+    filler = F.transform(missing, lambda j: F.struct(j.alias("i"), F.lit(None).cast("double").alias("value")))
+    gaps = F.transform(F.array_sort(F.concat("s", filler)), lambda e: e["value"])
     data = F.when(F.size("s") == grid.tile_size, full).otherwise(gaps)
     return g.select(*keys, "col", "row", data.alias("data"))
 

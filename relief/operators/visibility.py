@@ -33,12 +33,13 @@ def samples_bound(obs: DataFrame, ray_step: int = 1) -> int:
     return row_bound(obs, (F.floor((8 * r - 1) / ray_step) + 1) * r)
 
 
-def observer_cells(observers: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
-    """V1: ``(id, ox, oy, oz, radius)``; oz = DEM value under the observer + height.
+def observer_cells(observers: DataFrame, dem: DataFrame, grid: Grid, carry: tuple[str, ...] = ()) -> DataFrame:
+    """V1: ``(id, ox, oy, oz, radius, *carry)``; oz = DEM value under the observer + height.
 
     An observer off the DEM or on NODATA has no elevation and gets no viewshed."""
     o = observers.select(
         "id",
+        *carry,
         map_to_grid_x(grid, "x").alias("ox"),
         map_to_grid_y(grid, "y").alias("oy"),
         F.coalesce(F.col("height"), F.lit(0.0)).alias("height"),
@@ -48,7 +49,7 @@ def observer_cells(observers: DataFrame, dem: DataFrame, grid: Grid) -> DataFram
     return (
         o.join(d, ["ox", "oy"])
         .where(F.col("ground").isNotNull())
-        .select("id", "ox", "oy", (F.col("ground") + F.col("height")).alias("oz"), "radius")
+        .select("id", "ox", "oy", (F.col("ground") + F.col("height")).alias("oz"), "radius", *carry)
     )
 
 
@@ -66,19 +67,33 @@ def _nearest(k: Column, d: Column, r: Column) -> Column:
     return F.floor((2 * k * d + r).cast("double") / (2 * r).cast("double")).cast("int")
 
 
+BUFFER_COLS = ("px", "py", "buff")
+
+
+def _carry(obs: DataFrame) -> tuple[str, ...]:
+    return BUFFER_COLS if all(c in obs.columns for c in BUFFER_COLS) else ()
+
+
+def in_buffer(grid: Grid) -> Column:
+    """G7 as a row predicate: the cell's tile touches the observer's buffer disk."""
+    col, row = tile_key(grid, "gx", "gy")
+    return point_rect_dist2(F.col("px"), F.col("py"), tile_extent(grid, col, row)) <= F.col("buff") * F.col("buff")
+
+
 def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
     """``(id, ray, k, gx, gy, dist, oz)`` samples of the perimeter rays of each observer."""
+    carry = _carry(obs)
     rays = obs.select(
-        "id", "ox", "oy", "oz", "radius",
+        "id", "ox", "oy", "oz", "radius", *carry,
         F.explode(F.sequence(F.lit(0), 8 * F.col("radius") - 1, F.lit(int(ray_step)))).alias("ray"),
     ).where(F.col("radius") > 0)
     dx, dy = _perimeter(F.col("ray"), F.col("radius"))
-    rays = rays.select("id", "ox", "oy", "oz", "radius", "ray", dx.alias("dx"), dy.alias("dy"))
+    rays = rays.select("id", "ox", "oy", "oz", "radius", *carry, "ray", dx.alias("dx"), dy.alias("dy"))
     steps = rays.select("*", F.explode(F.sequence(F.lit(1), F.col("radius"))).alias("k"))
     sx = _nearest(F.col("k"), F.col("dx"), F.col("radius"))
     sy = _nearest(F.col("k"), F.col("dy"), F.col("radius"))
     return steps.select(
-        "id", "ray", "k", "oz",
+        "id", "ray", "k", "oz", *carry,
         (F.col("ox") + sx).cast("bigint").alias("gx"),
         (F.col("oy") + sy).cast("bigint").alias("gy"),
         F.sqrt((sx * sx + sy * sy).cast("double")).alias("dist"),
@@ -90,12 +105,20 @@ def _valid(cells: DataFrame, keyed: bool) -> DataFrame:
     return cells.where(F.col("value").isNotNull()).select(*keys, "gx", "gy", "value")
 
 
-def viewshed_r2(obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False) -> DataFrame:
+def viewshed_r2(
+    obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False, buffer_grid: Grid | None = None
+) -> DataFrame:
     """V2: ``(id, gx, gy, vis)`` for every valid cell reached by a perimeter ray.
 
-    ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface)."""
+    ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface).
+    ``buffer_grid``: observers carry ``px, py, buff`` and see only the tiles of
+    ``buffer_grid`` that touch their buffer disk (V5) -- a predicate on each
+    sample, so the surface is never copied per observer."""
     on = ["id", "gx", "gy"] if keyed else ["gx", "gy"]
-    s = join_bounded(_valid(cells, keyed), ray_samples(obs, ray_step), on, samples_bound(obs, ray_step), row_bytes=56)
+    samples = ray_samples(obs, ray_step)
+    if buffer_grid is not None:
+        samples = samples.where(in_buffer(buffer_grid))
+    s = join_bounded(_valid(cells, keyed), samples, on, samples_bound(obs, ray_step), row_bytes=56)
     s = s.select("id", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
     w = Window.partitionBy("id", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     seen = s.select("id", "gx", "gy", "slope", F.max("slope").over(w).alias("horizon"))
@@ -178,13 +201,16 @@ def viewshed_exact(obs: DataFrame, cells: DataFrame) -> DataFrame:
     return res.select("id", "gx", "gy", vis.alias("vis")).unionByName(here)
 
 
-def viewshed_approx(obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed: bool = False) -> DataFrame:
+def viewshed_approx(
+    obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed: bool = False, buffer_grid: Grid | None = None
+) -> DataFrame:
     """V4: V2 over every ``ray_step``-th perimeter ray; a valid cell no ray reached takes
     the answer of the nearest reached cell on the same square ring (ties -> the
     earlier position)."""
-    reached = viewshed_r2(obs, cells, ray_step, keyed)
+    reached = viewshed_r2(obs, cells, ray_step, keyed, buffer_grid)
     valid = _valid(cells, keyed).drop("value")
-    sq = obs.select("id", "ox", "oy", "radius", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
+    carry = _carry(obs) if buffer_grid is not None else ()
+    sq = obs.select("id", "ox", "oy", "radius", *carry, F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
     sq = sq.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dy"))
     ring = F.greatest(F.abs("dx"), F.abs("dy"))
     # position along the ring, same walk as the perimeter rays
@@ -196,11 +222,18 @@ def viewshed_approx(obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed:
     )
     sq = sq.select(
         "id",
+        *carry,
         (F.col("ox") + F.col("dx")).cast("bigint").alias("gx"),
         (F.col("oy") + F.col("dy")).cast("bigint").alias("gy"),
         ring.alias("ring"),
         pos.alias("pos"),
-    ).join(valid, ["id", "gx", "gy"] if keyed else ["gx", "gy"])
+    )
+    if buffer_grid is not None:
+        # the observer's own cell always answers (it is overridden with its elevation)
+        sq = sq.where(in_buffer(buffer_grid) | (F.col("ring") == 0))
+    here = sq.where(F.col("ring") == 0).select("id", "gx", "gy", "ring", "pos")
+    sq = sq.join(valid, ["id", "gx", "gy"] if keyed else ["gx", "gy"]).select("id", "gx", "gy", "ring", "pos")
+    sq = sq.unionByName(here).dropDuplicates(["id", "gx", "gy"])
     j = sq.join(reached, ["id", "gx", "gy"], "left")
     w = Window.partitionBy("id", "ring").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -250,14 +283,12 @@ def observer_surface(observers: DataFrame, surface: DataFrame, grid: Grid) -> Da
 def observer_viewshed(
     observers: DataFrame, dem: DataFrame, surface: DataFrame, grid: Grid, ray_step: int = 1
 ) -> DataFrame:
-    """V5: observer height from the DEM, visibility over the surface model (DSM) restricted
-    to the tiles within ``buff``; the observer's surface cell is overridden with its
-    elevation (L8).  Result ``(id, gx, gy, vis)``."""
-    obs = observer_cells(observers, dem, grid)
-    surf = observer_surface(observers, surface, grid)
-    # L8 per observer: its own cell carries the observer elevation
-    surf = surf.join(obs.select("id", F.col("ox").alias("gx"), F.col("oy").alias("gy"), "oz"), ["id", "gx", "gy"], "left")
-    surf = surf.select("id", "gx", "gy", F.coalesce(F.col("oz"), F.col("value")).alias("value"))
+    """V5: observer height from the DEM, visibility over the surface model (DSM) of the
+    tiles within ``buff`` of each observer.  The observer's surface cell counts as its
+    elevation (L8): it is always visible and never sampled by a ray (steps start at 1),
+    so the override needs no per-observer copy of the surface.  ``(id, gx, gy, vis)``."""
+    o = observers.select("id", "x", "y", "height", "radius", F.col("x").alias("px"), F.col("y").alias("py"), "buff")
+    obs = observer_cells(o, dem, grid, carry=BUFFER_COLS)
     if ray_step == 1:
-        return viewshed_r2(obs, surf, 1, keyed=True)
-    return viewshed_approx(obs, surf, ray_step, keyed=True)
+        return viewshed_r2(obs, surface, 1, buffer_grid=grid)
+    return viewshed_approx(obs, surface, ray_step, buffer_grid=grid)

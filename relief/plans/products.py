@@ -158,11 +158,19 @@ def observer_viewshed(spark: SparkSession, sf_dir: str, radius: int = 20, ray_st
     return V.observer_viewshed(obs, fx.dem(spark, sf_dir), fx.dsm(spark, sf_dir), G, ray_step)
 
 
+def keyed_median(cells: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """F5 per key (e.g. per observer): ``(*keys, gx, gy, m)`` for the input cells.
+
+    Per-observer rasters are small and ragged (mostly partial tiles), so the
+    9-offset scatter beats packing them for the halo path here (measured)."""
+    nb = focal.neighbourhood_cells(cells.withColumn("value", F.col("value").cast("double")), keys=keys)
+    return nb.select(*keys, "gx", "gy", median_col().alias("m"))
+
+
 def viewshed_mask(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
     """V5 -> 3x3 focal median per observer -> black/white ramp colour."""
     vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
-    med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
-    m = med.select("id", "gx", "gy", median_col().alias("m"))
+    m = keyed_median(vs)
     return m.select("id", "gx", "gy", Y.grey_rgba(F.round("m").cast("int"), 1).alias("color"))
 
 
@@ -191,8 +199,7 @@ def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
     """V5 -> median 3x3 -> 0 becomes NODATA -> regions per observer -> GeoJSON."""
     vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
-    med = focal.neighbourhood_cells(vs.withColumn("value", F.col("value").cast("double")), keys=("id",))
-    m = med.select("id", "gx", "gy", zero_to_nodata(median_col()).alias("value"))
+    m = keyed_median(vs).select("id", "gx", "gy", zero_to_nodata(F.col("m")).alias("value"))
     return Z.region_polygons(Z.regions(m, keys=("id",)), G, keys=("id",))
 
 
