@@ -16,14 +16,15 @@ Plan:
      ``checkpoint()`` in the session's checkpoint folder, so a lost executor
      recomputes at most one round.
 Z2 turns each region's outline into rings: 4 directed sides per cell, sides
-shared inside a region cancel (anti-join), and the remaining sides are chained
-per region in ``applyInPandas`` (a region's outline is one output value).
+shared inside a region cancel (anti-join), the remaining sides of a region are
+gathered in one row (a region's outline is one output value anyway) and chained
+into rings in Arrow batches of many regions (``mapInArrow``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,12 +144,12 @@ RING_FIELDS = [
 ]
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chain(x0s, y0s, x1s, y1s) -> list[tuple[float, list[int], list[int]]]:
     """Chain one region's directed sides into closed rings, merging collinear sides.
     At a pinch vertex (two outgoing sides) the walk takes the sharpest right turn, so
-    rings never cross."""
+    rings never cross.  Returns rings sorted by |area| (outer ring first)."""
     out_edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in zip(pdf.x0.to_numpy(), pdf.y0.to_numpy(), pdf.x1.to_numpy(), pdf.y1.to_numpy()):
+    for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s):
         out_edges.setdefault((int(x0), int(y0)), []).append((int(x1), int(y1)))
     rings = []
     while out_edges:
@@ -182,39 +183,52 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
             if (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) != 0:
                 keep.append(b)
         keep.append(keep[0])
-        xs = np.array([p[0] for p in keep], dtype=np.int64)
-        ys = np.array([p[1] for p in keep], dtype=np.int64)
-        signed = float(np.sum(xs[:-1] * ys[1:] - xs[1:] * ys[:-1])) / 2.0
+        xs = [p[0] for p in keep]
+        ys = [p[1] for p in keep]
+        signed = sum(a * d - b * c for a, b, c, d in zip(xs, ys, xs[1:], ys[1:])) / 2.0
         rings.append((signed, xs, ys))
     rings.sort(key=lambda r: -abs(r[0]))
-    return pd.DataFrame(
-        {
-            "ring": np.arange(len(rings), dtype=np.int32),
-            "hole": [i > 0 for i in range(len(rings))],
-            "xs": [r[1] for r in rings],
-            "ys": [r[2] for r in rings],
-        }
-    )
+    return rings
+
+
+def _chain_batches(keys: list[str]):
+    def run(batches):
+        for rb in batches:
+            d = rb.to_pydict()
+            out = {c: [] for c in keys + ["region", "value", "ring", "hole", "xs", "ys"]}
+            for r in range(rb.num_rows):
+                sides = d["sides"][r]
+                rings = _chain([e["x0"] for e in sides], [e["y0"] for e in sides], [e["x1"] for e in sides], [e["y1"] for e in sides])
+                for n, (_, xs, ys) in enumerate(rings):
+                    for c in keys + ["region", "value"]:
+                        out[c].append(d[c][r])
+                    out["ring"].append(n)
+                    out["hole"].append(n > 0)
+                    out["xs"].append(xs)
+                    out["ys"].append(ys)
+            yield pa.RecordBatch.from_pydict(out, schema=run.schema)
+
+    return run
 
 
 def region_rings(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(*keys, region, value, ring, hole, xs, ys)`` in grid-corner units; ring 0 is
     the outer ring (a 4-connected region has exactly one), the others are holes."""
     k = list(keys)
-    s = boundary_sides(labelled, keys).drop("value")
-    vals = labelled.groupBy(*k, "region").agg(F.first("value").alias("value"))
+    s = boundary_sides(labelled, keys)
+    g = s.groupBy(*k, "region").agg(
+        F.first("value").alias("value"), F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides")
+    )
     schema = T.StructType(
-        [s.schema[c] for c in k] + [T.StructField("region", T.LongType())] + RING_FIELDS
+        [s.schema[c] for c in k] + [T.StructField("region", T.LongType()), T.StructField("value", T.DoubleType())] + RING_FIELDS
     )
-
-    def per_region(key, pdf):
-        r = _chain(pdf)
-        for i, name in enumerate(k + ["region"]):
-            r.insert(i, name, key[i])
-        return r
-
-    rings = s.groupBy(*k, "region").applyInPandas(per_region, schema)
-    return rings.join(vals, k + ["region"])
+    fn = _chain_batches(k)
+    fn.schema = pa.schema(
+        [(c, pa.from_numpy_dtype(np.int64) if isinstance(s.schema[c].dataType, T.LongType) else pa.string()) for c in k]
+        + [("region", pa.int64()), ("value", pa.float64()), ("ring", pa.int32()), ("hole", pa.bool_()),
+           ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))]
+    )
+    return g.mapInArrow(fn, schema)
 
 
 def region_polygons(labelled: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
