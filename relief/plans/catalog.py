@@ -65,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "g7_buffer_tiles": P.buffer_tiles,
     "l2_combine": P.combine,
     "v1_observers": P.observers,
+    "p13_fixed_cell_viewshed": P.fixed_cell_viewshed,
 }
 
 ORACLE: dict[str, str] = {
@@ -101,4 +102,5 @@ ORACLE: dict[str, str] = {
     "g7_buffer_tiles": O.G7_BUFFER_TILES,
     "l2_combine": O.L2_COMBINE,
     "v1_observers": O.V1_OBSERVERS,
+    "p13_fixed_cell_viewshed": O.P13_FIXED_CELL_VIEWSHED,
 }

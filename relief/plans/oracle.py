@@ -439,3 +439,11 @@ L2_COMBINE = f"""WITH {DEM}, {DSM}
 SELECT s.gx, s.gy, s.value - d.value AS value FROM dsm s JOIN dem d ON d.gx = s.gx AND d.gy = s.gy"""
 
 V1_OBSERVERS = f"""WITH {DEM}, {observers_sql(20)} SELECT id, ox, oy, oz FROM obs"""
+
+P13_FIXED_CELL_VIEWSHED = f"""WITH {DEM},
+obs AS (SELECT CAST(0 AS BIGINT) AS id, CAST(20 AS BIGINT) AS ox, CAST(5 AS BIGINT) AS oy,
+               max(CASE WHEN gx = 20 AND gy = 5 THEN value END) + 0.0 AS oz,
+               CAST(max(greatest(abs(gx - 20), abs(gy - 5))) AS INTEGER) AS r FROM dem
+        HAVING max(CASE WHEN gx = 20 AND gy = 5 THEN value END) IS NOT NULL),
+{rays_sql()}, {r2_sql('dem')}
+SELECT id, gx, gy, vis FROM vs"""

@@ -320,3 +320,18 @@ def combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: observer grid cell and elevation (DEM + height)."""
     return _observers(spark, sf_dir, 20).select("id", "ox", "oy", "oz")
+
+
+def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, ox: int = 20, oy: int = 5, height: float = 0.0) -> DataFrame:
+    """V2 from one fixed cell over the whole DEM (radius = Chebyshev distance to the
+    farthest cell).  The observer row is one aggregate over the raster -- no join."""
+    dem = fx.dem(spark, sf_dir)
+    here = (F.col("gx") == ox) & (F.col("gy") == oy)
+    obs = dem.agg(
+        F.lit(0).cast("bigint").alias("id"),
+        F.lit(ox).cast("bigint").alias("ox"),
+        F.lit(oy).cast("bigint").alias("oy"),
+        (F.max(F.when(here, F.col("value"))) + F.lit(height)).alias("oz"),
+        F.max(F.greatest(F.abs(F.col("gx") - ox), F.abs(F.col("gy") - oy))).cast("int").alias("radius"),
+    ).where(F.col("oz").isNotNull())
+    return V.viewshed_r2(obs, dem)

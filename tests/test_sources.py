@@ -84,3 +84,35 @@ def test_pack_unpack_roundtrip_and_layer_store(spark, raster, tmp_path):
     got = {(x.col, x.row): x.data is not None for x in layers.lookup_tiles(req, r).collect()}
     assert got == {(0, 0): True, (5, 5): False, (1, 1): True}
     assert layers.within_key_bounds(req, meta).count() == 2
+
+
+def test_sinks_write_parquet_and_json(spark, raster, tmp_path):
+    cells = raster([[1.0, 2.0], [3.0, None]])
+    t = tiles.pack(cells, G).select(F.lit("dem").alias("layer"), F.lit(15).alias("zoom"), "col", "row", "data")
+    layers.write_tiles(t, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("zoom = 15").count() == 1
+    layers.write_json(cells.where("value is not null"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_reproject_polygon_area(spark):
+    import math
+
+    from relief.functions.geo import polygon_area, reproject_rings
+
+    sq = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([(sq,)], "rings array<array<struct<x:double,y:double>>>")
+    a = df.select(polygon_area(reproject_rings("rings", "EPSG:4326")).alias("a")).first().a
+    r = 6378137.0
+    exp = (r * math.radians(1.0)) * (r * math.log(math.tan(math.pi / 4 + math.radians(1.0) / 2)))
+    assert abs(a - int(exp)) <= 1
+
+
+def test_override_and_crop(spark, raster):
+    from relief.operators.local import override_cells
+
+    cells = raster([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]])
+    o = spark.createDataFrame([(1, 1, 50.0)], "gx long, gy long, value double")
+    got = {(r.gx, r.gy): r.value for r in override_cells(cells, o).collect()}
+    assert got[(1, 1)] == 50.0 and got[(0, 0)] == 1.0 and len(got) == 6
+    assert tiles.crop(cells, 1, 0, 2, 0).count() == 2
