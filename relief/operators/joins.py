@@ -30,9 +30,29 @@ def row_bound(requests: DataFrame, per_request_rows: Column) -> int:
     return int(v or 0)
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str], bound_rows: int, row_bytes: int) -> DataFrame:
+def join_bounded(
+    big: DataFrame, small: DataFrame, on: list[str], bound_rows: int, row_bytes: int, prune=None
+) -> DataFrame:
     """Inner join of an exploded request side to a big layer: broadcast when the proven
-    bound fits, else a sort-merge join (spills, and AQE splits skewed partitions)."""
+    bound fits (the layer streams, no shuffle), else a sort-merge join (spills, and AQE
+    splits skewed partitions).  ``prune(big) -> big`` first drops the layer's cells that
+    no request can touch, so only those are shuffled."""
     if bound_rows * row_bytes <= max_broadcast_bytes(small):
         return big.join(F.broadcast(small), on)
+    if prune is not None:
+        big = prune(big)
     return big.join(small.hint("merge"), on)
+
+
+def prune_to_tiles(cells: DataFrame, tile_keys: DataFrame, grid, bound_keys: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keep only the cells of tiles in ``tile_keys(*keys, col, row)`` -- the layer query's
+    spatial predicate as a semi-join on the tile key.  The distinct key set is broadcast
+    when its proven bound (``bound_keys`` rows) fits, else shuffled."""
+    from relief.functions.geo import tile_key
+
+    col, row = tile_key(grid, "gx", "gy")
+    k = tile_keys.select(*keys, "col", "row").distinct()
+    k = F.broadcast(k) if bound_keys * 16 <= max_broadcast_bytes(cells) else k
+    return cells.withColumn("_col", col).withColumn("_row", row).join(
+        k.withColumnRenamed("col", "_col").withColumnRenamed("row", "_row"), [*keys, "_col", "_row"], "left_semi"
+    ).drop("_col", "_row")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent, tile_key
-from relief.operators.joins import join_bounded, row_bound
+from relief.operators.joins import join_bounded, prune_to_tiles, row_bound
 from relief.schema import Grid
 
 
@@ -105,8 +105,19 @@ def _valid(cells: DataFrame, keyed: bool) -> DataFrame:
     return cells.where(F.col("value").isNotNull()).select(*keys, "gx", "gy", "value")
 
 
+def observer_tile_keys(obs: DataFrame, grid: Grid) -> DataFrame:
+    """``(id, col, row)``: tiles of each observer's square of radius R (G5/G7 on keys)."""
+    c0 = F.floor((F.col("ox") - F.col("radius")) / grid.tile_cols).cast("int")
+    c1 = F.floor((F.col("ox") + F.col("radius")) / grid.tile_cols).cast("int")
+    r0 = F.floor((F.col("oy") - F.col("radius")) / grid.tile_rows).cast("int")
+    r1 = F.floor((F.col("oy") + F.col("radius")) / grid.tile_rows).cast("int")
+    k = obs.select("id", F.explode(F.sequence(c0, c1)).alias("col"), r0.alias("r0"), r1.alias("r1"))
+    return k.select("id", "col", F.explode(F.sequence("r0", "r1")).alias("row"))
+
+
 def viewshed_r2(
-    obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False, buffer_grid: Grid | None = None
+    obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False, buffer_grid: Grid | None = None,
+    prune_grid: Grid | None = None,
 ) -> DataFrame:
     """V2: ``(id, gx, gy, vis)`` for every valid cell reached by a perimeter ray.
 
@@ -118,7 +129,13 @@ def viewshed_r2(
     samples = ray_samples(obs, ray_step)
     if buffer_grid is not None:
         samples = samples.where(in_buffer(buffer_grid))
-    s = join_bounded(_valid(cells, keyed), samples, on, samples_bound(obs, ray_step), row_bytes=56)
+    bound = samples_bound(obs, ray_step)
+    grid = prune_grid or buffer_grid
+    prune = None
+    if grid is not None and not keyed:
+        tk = observer_tile_keys(obs, grid)
+        prune = lambda big: prune_to_tiles(big, tk, grid, bound)
+    s = join_bounded(_valid(cells, keyed), samples, on, bound, row_bytes=56, prune=prune)
     s = s.select("id", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
     w = Window.partitionBy("id", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     seen = s.select("id", "gx", "gy", "slope", F.max("slope").over(w).alias("horizon"))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, polygon_area, tile_key
-from relief.operators.joins import join_bounded, row_bound
-from relief.operators.rasterize import cover_bound, rasterize
+from relief.operators.joins import join_bounded, prune_to_tiles, row_bound
+from relief.operators.rasterize import cover_bound, polygon_tile_keys, rasterize
 from relief.schema import Grid
 
 
@@ -30,7 +30,12 @@ def flood_classes(requests: DataFrame, cells: DataFrame, grid: Grid) -> DataFram
     """
     cover = rasterize(requests.select("id", "rings", "level", "step"), grid, carry=("level", "step"))
     bound = row_bound(requests, cover_bound(requests, grid))
-    j = join_bounded(cells.select("gx", "gy", "value"), cover, ["gx", "gy"], bound, row_bytes=48)
+    # tile keys touched by the polygons' bounding boxes; at most one key per covered cell
+    keys = polygon_tile_keys(requests.select("id", "rings"), grid)
+    j = join_bounded(
+        cells.select("gx", "gy", "value"), cover, ["gx", "gy"], bound, row_bytes=48,
+        prune=lambda big: prune_to_tiles(big, keys, grid, bound),
+    )
     depth_class = F.when(
         F.col("value") < F.col("level"), F.ceil((F.col("level") - F.col("value")) / F.col("step"))
     ).otherwise(F.lit(0))

@@ -139,7 +139,7 @@ def _observers(spark: SparkSession, sf_dir: str, radius: int, height: float = 20
 
 def viewshed_r2(spark: SparkSession, sf_dir: str, radius: int = 20) -> DataFrame:
     """V2 for every supplier observer on the DEM."""
-    return V.viewshed_r2(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir))
+    return V.viewshed_r2(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), prune_grid=G)
 
 
 def viewshed_exact(spark: SparkSession, sf_dir: str, radius: int = 6) -> DataFrame:
@@ -334,4 +334,4 @@ def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, ox: int = 20, oy: int
         (F.max(F.when(here, F.col("value"))) + F.lit(height)).alias("oz"),
         F.max(F.greatest(F.abs(F.col("gx") - ox), F.abs(F.col("gy") - oy))).cast("int").alias("radius"),
     ).where(F.col("oz").isNotNull())
-    return V.viewshed_r2(obs, dem)
+    return V.viewshed_r2(obs, dem, prune_grid=G)
