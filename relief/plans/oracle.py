@@ -441,9 +441,7 @@ SELECT s.gx, s.gy, s.value - d.value AS value FROM dsm s JOIN dem d ON d.gx = s.
 V1_OBSERVERS = f"""WITH {DEM}, {observers_sql(20)} SELECT id, ox, oy, oz FROM obs"""
 
 P13_FIXED_CELL_VIEWSHED = f"""WITH {DEM},
-obs AS (SELECT CAST(0 AS BIGINT) AS id, CAST(20 AS BIGINT) AS ox, CAST(5 AS BIGINT) AS oy,
-               max(CASE WHEN gx = 20 AND gy = 5 THEN value END) + 0.0 AS oz,
-               CAST(max(greatest(abs(gx - 20), abs(gy - 5))) AS INTEGER) AS r FROM dem
-        HAVING max(CASE WHEN gx = 20 AND gy = 5 THEN value END) IS NOT NULL),
+f AS (SELECT min(CASE WHEN gy = 5 AND value IS NOT NULL THEN gx END) AS ox, CAST(greatest(max(gx), max(gy)) AS INTEGER) AS r FROM dem),
+obs AS (SELECT CAST(0 AS BIGINT) AS id, d.gx AS ox, d.gy AS oy, d.value + 0.0 AS oz, f.r FROM dem d JOIN f ON d.gx = f.ox AND d.gy = 5),
 {rays_sql()}, {r2_sql('dem')}
 SELECT id, gx, gy, vis FROM vs"""

@@ -322,16 +322,21 @@ def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observers(spark, sf_dir, 20).select("id", "ox", "oy", "oz")
 
 
-def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, ox: int = 20, oy: int = 5, height: float = 0.0) -> DataFrame:
-    """V2 from one fixed cell over the whole DEM (radius = Chebyshev distance to the
-    farthest cell).  The observer row is one aggregate over the raster -- no join."""
+def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, oy: int = 5, height: float = 0.0) -> DataFrame:
+    """V2 from one cell over the whole DEM -- the first valid cell of row ``oy``,
+    radius = the raster's largest index (every cell is inside the square).  The
+    observer is one aggregate over the raster, joined back to its own cell (a
+    one-row side, so the broadcast is bounded by construction)."""
     dem = fx.dem(spark, sf_dir)
-    here = (F.col("gx") == ox) & (F.col("gy") == oy)
-    obs = dem.agg(
+    first = dem.agg(
+        F.min(F.when((F.col("gy") == oy) & F.col("value").isNotNull(), F.col("gx"))).alias("gx"),
+        F.greatest(F.max("gx"), F.max("gy")).cast("int").alias("radius"),
+    ).select("gx", F.lit(oy).cast("bigint").alias("gy"), "radius")
+    obs = dem.join(F.broadcast(first), ["gx", "gy"]).select(
         F.lit(0).cast("bigint").alias("id"),
-        F.lit(ox).cast("bigint").alias("ox"),
-        F.lit(oy).cast("bigint").alias("oy"),
-        (F.max(F.when(here, F.col("value"))) + F.lit(height)).alias("oz"),
-        F.max(F.greatest(F.abs(F.col("gx") - ox), F.abs(F.col("gy") - oy))).cast("int").alias("radius"),
-    ).where(F.col("oz").isNotNull())
+        F.col("gx").alias("ox"),
+        F.col("gy").alias("oy"),
+        (F.col("value") + F.lit(height)).alias("oz"),
+        "radius",
+    )
     return V.viewshed_r2(obs, dem, prune_grid=G)
