@@ -20,16 +20,24 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from relief.plans import catalog  # noqa: E402
 from relief.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
+# every named product of SURVEY section 2.10 (P9 is the point lookup k4) plus the
+# core operators behind them
 HEADLINE = [
-    "p10_flood_summary",
-    "k4_point_value",
-    "f1_slope",
+    "p1_color",
+    "p2_grey",
+    "p3_contour",
     "p4_hillshade",
+    "p5_aspect",
+    "p6_slope",
     "p7_color_hillshade",
-    "p2_grey",
     "p8_hand",
-    "v2_viewshed_r2",
+    "k4_point_value",
+    "p10_flood_summary",
     "p11_viewshed_mask",
+    "p12_viewshed_polygons",
+    "p13_fixed_cell_viewshed",
+    "f1_slope",
+    "v2_viewshed_r2",
     "z1_regions",
 ]
 

@@ -10,11 +10,13 @@ Plan:
   2. run graph: every cell sends one message to the cell below it and, at a
      segment end, one to the cell on its right; an equi-join on
      (keys, gx, gy, value) returns the touching run pairs;
-  3. connected components of the run graph by alternating large-star and
-     small-star rounds (Kiveris et al., 2014).  Each round is a few joins and
-     aggregates; its result is cut from the lineage with a reliable
+  3. connected components, in two levels: inside each ``segment`` x ``segment``
+     block (a bounded group) a union-find in Arrow batches labels the block's
+     runs; only edges between blocks go to alternating large-star / small-star
+     rounds (Kiveris et al., 2014) over block-local labels.  Each round is a
+     few joins and aggregates cut from the lineage with a reliable
      ``checkpoint()`` in the session's checkpoint folder, so a lost executor
-     recomputes at most one round.
+     recomputes at most one round; no cross-block edge means no round.
 Z2 turns each region's outline into rings: 4 directed sides per cell, sides
 shared inside a region cancel (anti-join), the remaining sides of a region are
 gathered in one row (a region's outline is one output value anyway) and chained
@@ -101,14 +103,80 @@ def components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 2
     return e.select(*k, "u", F.col("v").alias("label"))
 
 
+def _block(run: str, segment: int) -> list:
+    """Block of a run, straight from its id ``gy * 2^32 + gx0``."""
+    return [
+        F.floor(F.shiftright(F.col(run), 32) / segment).alias("_by"),
+        F.floor(F.col(run).bitwiseAND(F.lit(SHIFT - 1)) / segment).alias("_bx"),
+    ]
+
+
+def _union_find(keys: list[str]):
+    def run(batches):
+        for rb in batches:
+            d = rb.to_pydict()
+            out = {c: [] for c in keys + ["run", "label"]}
+            for r in range(rb.num_rows):
+                nodes = d["runs"][r]
+                parent = {n: n for n in nodes}
+
+                def find(x):
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for e in d["edges"][r] or []:
+                    a, b = find(e["u"]), find(e["v"])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                for n in nodes:
+                    for c in keys:
+                        out[c].append(d[c][r])
+                    out["run"].append(n)
+                    out["label"].append(find(n))
+            yield pa.RecordBatch.from_pydict(out, schema=run.schema)
+
+    return run
+
+
+def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
+    """``(*keys, run, label)`` for every run: min run id of its connected component."""
+    k = list(keys)
+    r = runs.select(*k, "run", *_block("run", segment))
+    vb = [c.alias(n) for c, n in zip(_block("v", segment), ("_vy", "_vx"))]
+    e = edges.select(*k, "u", "v", *_block("u", segment), *vb)
+    inner = e.where((F.col("_by") == F.col("_vy")) & (F.col("_bx") == F.col("_vx")))
+    cross = e.where((F.col("_by") != F.col("_vy")) | (F.col("_bx") != F.col("_vx"))).select(*k, "u", "v")
+    g = r.groupBy(*k, "_by", "_bx").agg(F.collect_list("run").alias("runs")).join(
+        inner.groupBy(*k, "_by", "_bx").agg(F.collect_list(F.struct("u", "v")).alias("edges")), k + ["_by", "_bx"], "left"
+    )
+    schema = T.StructType([runs.schema[c] for c in k] + [T.StructField("run", T.LongType()), T.StructField("label", T.LongType())])
+    fn = _union_find(k)
+    fn.schema = pa.schema([(c, pa.int64() if isinstance(runs.schema[c].dataType, T.LongType) else pa.string()) for c in k]
+                          + [("run", pa.int64()), ("label", pa.int64())])
+    local = g.mapInArrow(fn, schema).checkpoint()
+    # cross-block edges between block-local labels
+    lu = local.select(*k, F.col("run").alias("u"), F.col("label").alias("lu"))
+    lv = local.select(*k, F.col("run").alias("v"), F.col("label").alias("lv"))
+    ce = cross.join(lu, k + ["u"]).join(lv, k + ["v"]).select(
+        *k, F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")
+    ).where("u != v").distinct().checkpoint()
+    if ce.isEmpty():
+        return local
+    glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
+    return local.join(glob, k + ["label"], "left").select(
+        *k, "run", F.coalesce("glabel", "label").alias("label")
+    )
+
+
 def regions(cells: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
     """``(*keys, gx, gy, value, region)`` for every valid cell."""
     k = list(keys)
-    runs = row_runs(cells, keys, segment)
-    lab = components(run_edges(runs, keys, segment), keys)
-    r = runs.join(lab.withColumnRenamed("u", "run"), k + ["run"], "left").select(
-        *k, "run", "gy", "gx0", "gx1", "value", F.coalesce("label", "run").alias("region")
-    )
+    ensure_checkpoint_dir(cells.sparkSession)
+    runs = row_runs(cells, keys, segment).checkpoint()
+    lab = block_components(runs, run_edges(runs, keys, segment), keys, segment)
+    r = runs.join(lab, k + ["run"]).select(*k, "run", "gy", "gx0", "gx1", "value", F.col("label").alias("region"))
     return r.select(*k, F.explode(F.sequence("gx0", "gx1")).alias("gx"), "gy", "value", "region")
 
 
