@@ -423,7 +423,7 @@ FROM dem GROUP BY 1, 2 HAVING count(value) > 0"""
 G6_POLYGON_TILES = f"""WITH {POLYS},
 bb AS (SELECT id, CAST(floor(u0 / 32) AS INTEGER) AS c0, CAST(floor(u9 / 32) AS INTEGER) AS c1,
               CAST(floor(v0 / 32) AS INTEGER) AS r0, CAST(floor(v9 / 32) AS INTEGER) AS r1 FROM bbox)
-SELECT id, c.col, r.row FROM bb, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r"""
+SELECT id, CAST(c.col AS INTEGER) AS col, CAST(r.row AS INTEGER) AS row FROM bb, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r"""
 
 G7_BUFFER_TILES = """WITH obs AS (SELECT s_suppkey AS id, -7420000e0 + (s_suppkey * 37 % 128 + 0.5) * 10e0 AS x,
                      5775000e0 - (s_suppkey * 53 % 100 + 0.5) * 10e0 AS y FROM supplier),
