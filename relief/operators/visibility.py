@@ -80,16 +80,38 @@ def in_buffer(grid: Grid) -> Column:
     return point_rect_dist2(F.col("px"), F.col("py"), tile_extent(grid, col, row)) <= F.col("buff") * F.col("buff")
 
 
+EXTENT_COLS = ("bx0", "by0", "bx1", "by1")
+
+
+def _last_step(clip: bool) -> Column:
+    """Last step of a ray.  With the raster's cell extent on the observer row
+    (``bx0, by0, bx1, by1``) a ray stops once it has left the extent: its offset
+    ``round(k*d/R)`` grows monotonically, so no later sample can hit a cell.
+    The bound is conservative (``ceil``); the join drops the rest."""
+    r = F.col("radius")
+    if not clip:
+        return r
+
+    def axis(d: str, o: str, lo: str, hi: str) -> Column:
+        dd = F.col(d)
+        pos = F.ceil(r * (2 * (F.col(hi) - F.col(o)) + 1) / (2 * dd))
+        neg = F.ceil(r * (2 * (F.col(o) - F.col(lo)) + 1) / (-2 * dd))
+        return F.when(dd > 0, pos).when(dd < 0, neg).otherwise(r)
+
+    return F.least(r, axis("dx", "ox", "bx0", "bx1"), axis("dy", "oy", "by0", "by1")).cast("int")
+
+
 def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
     """``(id, ray, k, gx, gy, dist, oz)`` samples of the perimeter rays of each observer."""
     carry = _carry(obs)
+    ext = [c for c in EXTENT_COLS if c in obs.columns]
     rays = obs.select(
-        "id", "ox", "oy", "oz", "radius", *carry,
+        "id", "ox", "oy", "oz", "radius", *carry, *ext,
         F.explode(F.sequence(F.lit(0), 8 * F.col("radius") - 1, F.lit(int(ray_step)))).alias("ray"),
     ).where(F.col("radius") > 0)
     dx, dy = _perimeter(F.col("ray"), F.col("radius"))
-    rays = rays.select("id", "ox", "oy", "oz", "radius", *carry, "ray", dx.alias("dx"), dy.alias("dy"))
-    steps = rays.select("*", F.explode(F.sequence(F.lit(1), F.col("radius"))).alias("k"))
+    rays = rays.select("id", "ox", "oy", "oz", "radius", *carry, *ext, "ray", dx.alias("dx"), dy.alias("dy"))
+    steps = rays.select("*", F.explode(F.sequence(F.lit(1), _last_step(len(ext) == 4))).alias("k"))
     sx = _nearest(F.col("k"), F.col("dx"), F.col("radius"))
     sy = _nearest(F.col("k"), F.col("dy"), F.col("radius"))
     return steps.select(

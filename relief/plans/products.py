@@ -331,12 +331,13 @@ def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, oy: int = 5, height: f
     first = dem.agg(
         F.min(F.when((F.col("gy") == oy) & F.col("value").isNotNull(), F.col("gx"))).alias("gx"),
         F.greatest(F.max("gx"), F.max("gy")).cast("int").alias("radius"),
-    ).select("gx", F.lit(oy).cast("bigint").alias("gy"), "radius")
+        F.min("gx").alias("bx0"), F.min("gy").alias("by0"), F.max("gx").alias("bx1"), F.max("gy").alias("by1"),
+    ).select("gx", F.lit(oy).cast("bigint").alias("gy"), "radius", "bx0", "by0", "bx1", "by1")
     obs = dem.join(F.broadcast(first), ["gx", "gy"]).select(
         F.lit(0).cast("bigint").alias("id"),
         F.col("gx").alias("ox"),
         F.col("gy").alias("oy"),
         (F.col("value") + F.lit(height)).alias("oz"),
-        "radius",
+        "radius", "bx0", "by0", "bx1", "by1",
     )
     return V.viewshed_r2(obs, dem, prune_grid=G)
