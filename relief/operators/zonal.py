@@ -119,18 +119,20 @@ def point_values_tiles(points: DataFrame, tiles: DataFrame, grid: Grid) -> DataF
 
 
 def tile_quantile_class(cells: DataFrame, grid: Grid, classes: int = 254) -> DataFrame:
-    """K5: per-tile equal-count class index 0..classes of every valid cell.
+    """K5: per-tile equal-count class index 0..classes of every cell (NULL for NODATA).
 
     ``class = ((rank - 1) * classes) div (n - 1)`` over the tile's valid cells
-    ordered by value (ties share a class).  The window partition is one tile,
-    so its size is bounded by the layout.
+    ordered by value (ties share a class; NODATA ranks last and is not counted).
+    The window partition is one tile, so its size is bounded by the layout.
     """
     col, row = tile_key(grid, "gx", "gy")
-    v = cells.where(F.col("value").isNotNull()).select("gx", "gy", "value", col.alias("col"), row.alias("row"))
+    v = cells.select("gx", "gy", "value", col.alias("col"), row.alias("row"))
     w = Window.partitionBy("col", "row")
-    r = F.rank().over(w.orderBy("value"))
-    n = F.count(F.lit(1)).over(w)
-    cls = F.when(F.col("_n") > 1, F.expr(f"((`_r` - 1) * {int(classes)}) div (`_n` - 1)")).otherwise(F.lit(0))
+    r = F.rank().over(w.orderBy(F.col("value").asc_nulls_last()))
+    n = F.count("value").over(w)
+    cls = F.when(F.col("value").isNull(), F.lit(None)).when(
+        F.col("_n") > 1, F.expr(f"((`_r` - 1) * {int(classes)}) div (`_n` - 1)")
+    ).otherwise(F.lit(0))
     return (
         v.select("gx", "gy", "value", r.alias("_r"), n.alias("_n"))
         .select("gx", "gy", "value", cls.cast("int").alias("class"))

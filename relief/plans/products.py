@@ -67,9 +67,7 @@ def grey(spark: SparkSession, sf_dir: str, stops: int = 254) -> DataFrame:
     """Per-tile equal-count classes onto a grey ramp of ``stops + 1`` colours."""
     c = tiles.unpack(dem_tiles(spark, sf_dir), G)
     k = zonal.tile_quantile_class(c, G, stops)
-    graded = k.select("gx", "gy", Y.grey_rgba(F.col("class"), stops).alias("color"))
-    nodata = c.where(F.col("value").isNull()).select("gx", "gy", F.lit(0).cast("bigint").alias("color"))
-    return graded.unionByName(nodata)
+    return k.select("gx", "gy", F.coalesce(Y.grey_rgba(F.col("class"), stops), F.lit(0).cast("bigint")).alias("color"))
 
 
 def contour(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
