@@ -110,6 +110,7 @@ def halo(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), diagonals: bo
         F.col("m.role").alias("role"),
         F.col("m.strip").alias("strip"),
     )
-    aggs = [F.first(F.when(F.col("role") == r, F.col("strip")), ignorenulls=True).alias(r) for r in ("c",) + ROLES]
-    g = m.groupBy(*keys, "col", "row").agg(*aggs)
+    # one message per (tile, role): a hash aggregate of the 9 messages, no sort
+    g = m.groupBy(*keys, "col", "row").agg(F.map_from_entries(F.collect_list(F.struct("role", "strip"))).alias("_m"))
+    g = g.select(*keys, "col", "row", *[F.try_element_at("_m", F.lit(r)).alias(r) for r in ("c",) + ROLES])
     return g.where(F.col("c").isNotNull()).withColumnRenamed("c", "data")
