@@ -36,8 +36,9 @@ def combine_tiles(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Colu
 
 
 def override_cells(cells: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Set the value of given cells ``(gx, gy, value)``; others unchanged."""
-    o = overrides.select("gx", "gy", F.col("value").alias("_o"))
+    """Set the value of given cells ``(gx, gy, value)``; others unchanged.  Several
+    overrides of one cell resolve to the largest (one row per cell, always)."""
+    o = overrides.groupBy("gx", "gy").agg(F.max("value").alias("_o"))
     return cells.join(o, ["gx", "gy"], "left").select(
         "gx", "gy", F.when(F.col("_o").isNotNull(), F.col("_o")).otherwise(F.col("value")).alias("value")
     )

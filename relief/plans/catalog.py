@@ -66,6 +66,16 @@ QUERIES: dict[str, Query] = {
     "l2_combine": P.combine,
     "v1_observers": P.observers,
     "p13_fixed_cell_viewshed": P.fixed_cell_viewshed,
+    "l3_exaggerate": P.exaggerated,
+    "l4_contour_quantise": P.contour_levels,
+    "l5_normalize": P.normalized,
+    "l6_mask_nodata": P.masked,
+    "l7_zero_to_nodata": P.zero_as_nodata,
+    "l8_override": P.overridden,
+    "l9_flood_depth": P.flood_depth,
+    "m3_crop": P.cropped,
+    "k5_quantile_class": P.quantile_classes,
+    "f0_neighbourhood": P.neighbourhoods,
 }
 
 ORACLE: dict[str, str] = {
@@ -103,4 +113,14 @@ ORACLE: dict[str, str] = {
     "l2_combine": O.L2_COMBINE,
     "v1_observers": O.V1_OBSERVERS,
     "p13_fixed_cell_viewshed": O.P13_FIXED_CELL_VIEWSHED,
+    "l3_exaggerate": O.L3_EXAGGERATE,
+    "l4_contour_quantise": O.L4_CONTOUR,
+    "l5_normalize": O.L5_NORMALIZE,
+    "l6_mask_nodata": O.L6_MASK,
+    "l7_zero_to_nodata": O.L7_ZERO_NODATA,
+    "l8_override": O.L8_OVERRIDE,
+    "l9_flood_depth": O.L9_FLOOD_DEPTH,
+    "m3_crop": O.M3_CROP,
+    "k5_quantile_class": O.K5_QUANTILE_CLASS,
+    "f0_neighbourhood": O.F0_NEIGHBOURHOOD,
 }

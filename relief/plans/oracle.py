@@ -445,3 +445,27 @@ f AS (SELECT min(CASE WHEN gy = 5 AND value IS NOT NULL THEN gx END) AS ox, CAST
 obs AS (SELECT CAST(0 AS BIGINT) AS id, d.gx AS ox, d.gy AS oy, d.value + 0.0 AS oz, f.r FROM dem d JOIN f ON d.gx = f.ox AND d.gy = 5),
 {rays_sql()}, {r2_sql('dem')}
 SELECT id, gx, gy, vis FROM vs"""
+
+
+# --- local rows, crop, quantiles, neighbourhoods -------------------------------------------
+
+L3_EXAGGERATE = f"""WITH {DEM} SELECT gx, gy, round(value * {_HS!r}, 6) AS value FROM dem"""
+L4_CONTOUR = f"""WITH {DEM} SELECT gx, gy, value / 4 AS value FROM dem"""
+L5_NORMALIZE = f"""WITH {DEM} SELECT gx, gy, {normalize_sql('value', 0, 500, 1, 254)} AS value FROM dem"""
+L6_MASK = f"""WITH {DEM}, {DSM}
+SELECT s.gx, s.gy, CASE WHEN d.value IS NULL THEN 0e0 ELSE s.value END AS value
+FROM dsm s JOIN dem d ON d.gx = s.gx AND d.gy = s.gy"""
+L7_ZERO_NODATA = f"""WITH {HAND_EXTENT} SELECT gx, gy, CASE WHEN value = 0 THEN NULL ELSE value END AS value FROM hand_extent"""
+L8_OVERRIDE = f"""WITH {DEM}, {observers_sql(20)},
+ov AS (SELECT ox AS gx, oy AS gy, max(oz) AS oz FROM obs GROUP BY ox, oy)
+SELECT d.gx, d.gy, CASE WHEN ov.oz IS NOT NULL THEN ov.oz ELSE d.value END AS value
+FROM dem d LEFT JOIN ov ON ov.gx = d.gx AND ov.gy = d.gy"""
+L9_FLOOD_DEPTH = P8_HAND.replace(f"SELECT id, gx, gy, {classify_le_sql('depth', HAND_COLORMAP)} AS color FROM v", "SELECT id, gx, gy, depth AS value FROM v")
+M3_CROP = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}
+SELECT gx, gy, value FROM ddem WHERE gx BETWEEN 30 AND 97 AND gy BETWEEN 4 AND 90"""
+K5_QUANTILE_CLASS = f"""WITH {DEM},
+k AS (SELECT gx, gy, value, rank() OVER w - 1 AS r, count(value) OVER w AS n FROM dem
+      WINDOW w AS (PARTITION BY gx // 32, gy // 32 ORDER BY value ASC NULLS LAST
+                   RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT gx, gy, CAST(CASE WHEN value IS NULL THEN NULL WHEN n > 1 THEN r * 254 // (n - 1) ELSE 0 END AS INTEGER) AS class FROM k"""
+F0_NEIGHBOURHOOD = f"""WITH {DEM}, {neighbourhood('dem')} SELECT * FROM nb"""

@@ -339,3 +339,62 @@ def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, oy: int = 5, height: f
         "radius", "bx0", "by0", "bx1", "by1",
     )
     return V.viewshed_r2(obs, dem, prune_grid=G)
+
+
+# --- local, crop, quantile and neighbourhood rows registered on their own -------------
+
+from relief.operators.local import map_cells, override_cells  # noqa: E402
+
+
+def exaggerated(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
+    """L3: DEM times the hillshade exaggeration of a zoom level (6 decimals)."""
+    return map_cells(fx.dem(spark, sf_dir), lambda v: F.round(L.exaggerate(v, zoom), 6))
+
+
+def contour_levels(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
+    """L4: DEM divided by the zoom's contour interval."""
+    return map_cells(fx.dem(spark, sf_dir), lambda v: L.contour_quantise(v, zoom))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEM 0..500 -> 1..254, truncated to INT."""
+    return fx.dem(spark, sf_dir).select("gx", "gy", L.normalize("value", 0, 500, 1, 254).alias("value"))
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DSM where the DEM has data, 0 where the DEM is NODATA (join on the cell index)."""
+    j = fx.dsm(spark, sf_dir).join(fx.dem(spark, sf_dir).select("gx", "gy", F.col("value").alias("m")), ["gx", "gy"])
+    return j.select("gx", "gy", L.mask_nodata("value", "m", 0.0).alias("value"))
+
+
+def zero_as_nodata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HAND extent with 0 turned into NODATA."""
+    return map_cells(fx.hand_extent(spark, sf_dir), zero_to_nodata)
+
+
+def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The DEM with every observer's cell set to its elevation (DEM + height)."""
+    o = _observers(spark, sf_dir, 20).select(F.col("ox").alias("gx"), F.col("oy").alias("gy"), F.col("oz").alias("value"))
+    return override_cells(fx.dem(spark, sf_dir), o)
+
+
+def flood_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flood depth of every requested tile (id, gx, gy, value)."""
+    depth = tiles.pack(fx.hand_depth(spark, sf_dir), G)
+    ext = tiles.pack(fx.hand_extent(spark, sf_dir), G)
+    return flood_depth_tiles(fx.tile_requests(spark, sf_dir), depth, ext, G).select("id", "gx", "gy", "value")
+
+
+def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: the stitched DEM tiles cropped to an inclusive window."""
+    return tiles.crop(tiles.unpack(dem_tiles(spark, sf_dir), G), 30, 4, 97, 90)
+
+
+def quantile_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: per-tile equal-count class (0..254) of every DEM cell, NULL for NODATA."""
+    return zonal.tile_quantile_class(fx.dem(spark, sf_dir), G, 254).select("gx", "gy", "class")
+
+
+def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the nine window values of every DEM cell (scatter form)."""
+    return focal.neighbourhood_cells(fx.dem(spark, sf_dir))
