@@ -241,13 +241,13 @@ def viewshed_exact(obs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def viewshed_approx(
-    obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed: bool = False, buffer_grid: Grid | None = None
+    obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed: bool = False, buffer_grid: Grid | None = None,
+    prune_grid: Grid | None = None,
 ) -> DataFrame:
     """V4: V2 over every ``ray_step``-th perimeter ray; a valid cell no ray reached takes
     the answer of the nearest reached cell on the same square ring (ties -> the
     earlier position)."""
-    reached = viewshed_r2(obs, cells, ray_step, keyed, buffer_grid)
-    valid = _valid(cells, keyed).drop("value")
+    reached = viewshed_r2(obs, cells, ray_step, keyed, buffer_grid, prune_grid)
     carry = _carry(obs) if buffer_grid is not None else ()
     sq = obs.select("id", "ox", "oy", "radius", *carry, F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
     sq = sq.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dy"))
@@ -268,11 +268,15 @@ def viewshed_approx(
         pos.alias("pos"),
     )
     if buffer_grid is not None:
-        # the observer's own cell always answers (it is overridden with its elevation)
         sq = sq.where(in_buffer(buffer_grid) | (F.col("ring") == 0))
-    here = sq.where(F.col("ring") == 0).select("id", "gx", "gy", "ring", "pos")
-    sq = sq.join(valid, ["id", "gx", "gy"] if keyed else ["gx", "gy"]).select("id", "gx", "gy", "ring", "pos")
-    sq = sq.unionByName(here).dropDuplicates(["id", "gx", "gy"])
+    # valid surface cells, plus the observer's own cell, which always answers
+    flag = _valid(cells, keyed).select(*(["id"] if keyed else []), "gx", "gy", F.lit(True).alias("_v"))
+    grid = prune_grid or buffer_grid
+    if grid is not None and not keyed:
+        flag = prune_to_tiles(flag, observer_tile_keys(obs, grid), grid, samples_bound(obs, 1))
+    sq = sq.join(flag, ["id", "gx", "gy"] if keyed else ["gx", "gy"], "left").where(
+        F.col("_v").isNotNull() | (F.col("ring") == 0)
+    ).select("id", "gx", "gy", "ring", "pos")
     j = sq.join(reached, ["id", "gx", "gy"], "left")
     w = Window.partitionBy("id", "ring").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -147,7 +147,7 @@ def viewshed_exact(spark: SparkSession, sf_dir: str, radius: int = 6) -> DataFra
 
 def viewshed_approx(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
     """V4 for every supplier observer on the DEM."""
-    return V.viewshed_approx(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), ray_step)
+    return V.viewshed_approx(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), ray_step, prune_grid=G)
 
 
 def observer_viewshed(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
