@@ -255,7 +255,8 @@ def _chain(x0s, y0s, x1s, y1s) -> list[tuple[float, list[int], list[int]]]:
         ys = [p[1] for p in keep]
         signed = sum(a * d - b * c for a, b, c, d in zip(xs, ys, xs[1:], ys[1:])) / 2.0
         rings.append((signed, xs, ys))
-    rings.sort(key=lambda r: -abs(r[0]))
+    # outer ring first; equal areas by the ring's smallest (y, x) vertex, as the distributed path
+    rings.sort(key=lambda r: (-abs(r[0]), min(zip(r[2], r[1]))))
     return rings
 
 
@@ -279,12 +280,84 @@ def _chain_batches(keys: list[str]):
     return run
 
 
-def region_rings(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _side_table(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Sides with direction (0 E, 1 S, 2 W, 3 N) and an id ordered by (y0, x0, dir)."""
+    d = (
+        F.when(F.col("x1") > F.col("x0"), 0).when(F.col("y1") > F.col("y0"), 1)
+        .when(F.col("x1") < F.col("x0"), 2).otherwise(3)
+    )
+    t = sides.select(*keys, "region", "x0", "y0", "x1", "y1", d.alias("dir"))
+    return t.withColumn("sid", (F.col("y0") * (1 << 30) + F.col("x0")) * 4 + F.col("dir"))
+
+
+def distributed_rings(sides: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 64) -> DataFrame:
+    """Z2 without gathering a region: ``(*keys, region, ring_id, seq, x, y, area)`` corner
+    vertices of every ring, ``seq`` in walking order from the ring's smallest side.
+
+    successor  equi-join of sides on (region, end vertex = start vertex); at a pinch
+               vertex the right turn wins, as in the in-memory chain;
+    rings      pointer jumping: each side keeps the smallest side id seen ahead and its
+               distance; windows double every round (one join + reliable checkpoint),
+               so ceil(log2 L) + 1 rounds label every ring of length L and rank it;
+    corners    a side's end vertex is kept when the next side turns;
+    area       shoelace sum per ring (a partially aggregated sum)."""
+    k = list(keys)
+    t = _side_table(sides, k).checkpoint()
+    e = t.select(*k, "region", "sid", "x1", "y1", "dir")
+    f = t.select(*k, "region", F.col("sid").alias("fsid"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("dir").alias("fdir"))
+    turn = F.pmod(F.col("fdir") - F.col("dir"), F.lit(4))
+    prio = F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)
+    cand = e.join(f, k + ["region", "x1", "y1"]).select(*k, "region", "sid", "x1", "y1", "dir", "fsid", "fdir", prio.alias("p"))
+    succ = cand.groupBy(*k, "region", "sid").agg(
+        F.min(F.struct("p", "fsid", "fdir")).alias("best"), F.first("x1").alias("x1"), F.first("y1").alias("y1"),
+        F.first("dir").alias("dir"),
+    ).select(
+        *k, "region", "sid", F.col("best.fsid").alias("nxt"), (F.col("best.fdir") != F.col("dir")).alias("corner"), "x1", "y1"
+    ).checkpoint()
+    state = succ.select(*k, "region", "sid", "nxt", F.lit(1).cast("bigint").alias("w"), F.col("sid").alias("mn"), F.lit(0).cast("bigint").alias("dmn"))
+    state = state.checkpoint()
+    for _ in range(max_rounds):
+        b = state.select(*k, "region", F.col("sid").alias("nxt"), F.col("nxt").alias("bn"), F.col("w").alias("bw"),
+                         F.col("mn").alias("bmn"), F.col("dmn").alias("bdmn"))
+        j = state.join(b, k + ["region", "nxt"])
+        better = F.col("bmn") < F.col("mn")
+        new = j.select(
+            *k, "region", "sid", F.col("bn").alias("nxt"), (F.col("w") + F.col("bw")).alias("w"),
+            F.when(better, F.col("bmn")).otherwise(F.col("mn")).alias("mn"),
+            F.when(better, F.col("w") + F.col("bdmn")).otherwise(F.col("dmn")).alias("dmn"),
+            better.alias("_chg"),
+        ).checkpoint()
+        changed = not new.where("_chg").isEmpty()
+        state = new.drop("_chg")
+        if not changed:
+            break
+    else:
+        raise RuntimeError("ring labelling did not converge")
+    size = state.groupBy(*k, "region", "mn").agg(F.count(F.lit(1)).alias("L"))
+    area = t.join(state.select(*k, "region", "sid", "mn"), k + ["region", "sid"]).groupBy(*k, "region", "mn").agg(
+        (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area")
+    )
+    v = state.join(succ.select(*k, "region", "sid", "corner", "x1", "y1"), k + ["region", "sid"]).where("corner")
+    v = v.join(size, k + ["region", "mn"]).join(area, k + ["region", "mn"])
+    seq = F.pmod(F.col("L") - F.col("dmn"), F.col("L"))
+    return v.select(*k, "region", F.col("mn").alias("ring_id"), seq.alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"), "area")
+
+
+def region_rings(labelled: DataFrame, keys: tuple[str, ...] = (), max_sides: int = 1_000_000) -> DataFrame:
     """``(*keys, region, value, ring, hole, xs, ys)`` in grid-corner units; ring 0 is
-    the outer ring (a 4-connected region has exactly one), the others are holes."""
+    the outer ring (a 4-connected region has exactly one), the others are holes.
+
+    A region with at most ``max_sides`` outline sides is chained in memory (its sides
+    are one bounded row, many regions per Arrow batch); a larger region is chained by
+    :func:`distributed_rings`, so no task ever holds an unbounded outline -- only each
+    ring's final coordinate arrays (the output value itself) are assembled per ring."""
     k = list(keys)
     s = boundary_sides(labelled, keys)
-    g = s.groupBy(*k, "region").agg(
+    n = s.groupBy(*k, "region").agg(F.count(F.lit(1)).alias("_n"))
+    s = s.join(n, k + ["region"])
+    small = s.where(F.col("_n") <= max_sides).drop("_n")
+    large = s.where(F.col("_n") > max_sides).drop("_n")
+    g = small.groupBy(*k, "region").agg(
         F.first("value").alias("value"), F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides")
     )
     schema = T.StructType(
@@ -296,7 +369,22 @@ def region_rings(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         + [("region", pa.int64()), ("value", pa.float64()), ("ring", pa.int32()), ("hole", pa.bool_()),
            ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))]
     )
-    return g.mapInArrow(fn, schema)
+    out = g.mapInArrow(fn, schema)
+    if large.isEmpty():
+        return out
+    vals = large.groupBy(*k, "region").agg(F.first("value").alias("value"))
+    v = distributed_rings(large.drop("value"), keys)
+    rings = v.groupBy(*k, "region", "ring_id", "area").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    w = Window.partitionBy(*k, "region").orderBy(F.abs(F.col("area")).desc(), F.col("ring_id"))
+    rings = rings.select(
+        *k, "region", F.row_number().over(w).alias("_r"),
+        F.concat(F.transform("p", lambda q: q["x"]), F.slice(F.transform("p", lambda q: q["x"]), 1, 1)).alias("xs"),
+        F.concat(F.transform("p", lambda q: q["y"]), F.slice(F.transform("p", lambda q: q["y"]), 1, 1)).alias("ys"),
+    ).join(vals, k + ["region"])
+    big = rings.select(
+        *k, "region", "value", (F.col("_r") - 1).cast("int").alias("ring"), (F.col("_r") > 1).alias("hole"), "xs", "ys"
+    )
+    return out.unionByName(big)
 
 
 def region_polygons(labelled: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:

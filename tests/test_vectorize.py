@@ -45,3 +45,23 @@ def test_polygon_geojson(raster):
     lab = Z.regions(raster([[3.0, 3.0], [3.0, None]]))
     g = Z.region_polygons(lab, FIXTURE_GRID).first().geojson
     assert '"type":"Polygon"' in g and '"value":3.0' in g
+
+
+def _norm(xs, ys):
+    pts = list(zip(xs, ys))[:-1]
+    i = pts.index(min(pts))
+    return tuple(pts[i:] + pts[:i])
+
+
+def test_distributed_rings_equal_in_memory_chain(raster):
+    import random
+
+    rnd = random.Random(11)
+    rows = [[float(rnd.randint(0, 1)) if rnd.random() > 0.05 else None for _ in range(13)] for _ in range(12)]
+    rows[5][5] = None  # a hole somewhere
+    lab = Z.regions(raster(rows), segment=4)
+    a = Z.region_rings(lab).collect()
+    b = Z.region_rings(lab, max_sides=0).collect()
+    key = lambda r: (r.region, r.ring, r.hole, _norm(r.xs, r.ys))
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    assert len(a) > 10
