@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relief.schema import Grid
-from relief.session import ensure_checkpoint_dir
+from relief.session import cut_lineage, ensure_checkpoint_dir
 
 SHIFT = 4294967296  # 2^32: cell id = gy * 2^32 + gx
 
@@ -91,9 +91,9 @@ def components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 2
     k = list(keys)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(*k, "u", "v").checkpoint()
+    e = cut_lineage(edges.select(*k, "u", "v"))
     for _ in range(max_rounds):
-        e = _small_star(_large_star(e, k), k).checkpoint()
+        e = cut_lineage(_small_star(_large_star(e, k), k))
         leaves = e.select(*k, "u")
         centres = e.select(*k, F.col("v").alias("u")).distinct()
         if centres.join(leaves, k + ["u"], "left_semi").isEmpty():
@@ -155,13 +155,14 @@ def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] =
     fn = _union_find(k)
     fn.schema = pa.schema([(c, pa.int64() if isinstance(runs.schema[c].dataType, T.LongType) else pa.string()) for c in k]
                           + [("run", pa.int64()), ("label", pa.int64())])
-    local = g.mapInArrow(fn, schema).checkpoint()
+    local = cut_lineage(g.mapInArrow(fn, schema))
     # cross-block edges between block-local labels
     lu = local.select(*k, F.col("run").alias("u"), F.col("label").alias("lu"))
     lv = local.select(*k, F.col("run").alias("v"), F.col("label").alias("lv"))
     ce = cross.join(lu, k + ["u"]).join(lv, k + ["v"]).select(
         *k, F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")
-    ).where("u != v").distinct().checkpoint()
+    ).where("u != v").distinct()
+    ce = cut_lineage(ce)
     if ce.isEmpty():
         return local
     glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
@@ -174,7 +175,7 @@ def regions(cells: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) ->
     """``(*keys, gx, gy, value, region)`` for every valid cell."""
     k = list(keys)
     ensure_checkpoint_dir(cells.sparkSession)
-    runs = row_runs(cells, keys, segment).checkpoint()
+    runs = cut_lineage(row_runs(cells, keys, segment))
     lab = block_components(runs, run_edges(runs, keys, segment), keys, segment)
     r = runs.join(lab, k + ["run"]).select(*k, "run", "gy", "gx0", "gx1", "value", F.col("label").alias("region"))
     return r.select(*k, F.explode(F.sequence("gx0", "gx1")).alias("gx"), "gy", "value", "region")
@@ -302,7 +303,7 @@ def distributed_rings(sides: DataFrame, keys: tuple[str, ...] = (), max_rounds:
     corners    a side's end vertex is kept when the next side turns;
     area       shoelace sum per ring (a partially aggregated sum)."""
     k = list(keys)
-    t = _side_table(sides, k).checkpoint()
+    t = cut_lineage(_side_table(sides, k))
     e = t.select(*k, "region", "sid", "x1", "y1", "dir")
     f = t.select(*k, "region", F.col("sid").alias("fsid"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("dir").alias("fdir"))
     turn = F.pmod(F.col("fdir") - F.col("dir"), F.lit(4))
@@ -313,9 +314,10 @@ def distributed_rings(sides: DataFrame, keys: tuple[str, ...] = (), max_rounds:
         F.first("dir").alias("dir"),
     ).select(
         *k, "region", "sid", F.col("best.fsid").alias("nxt"), (F.col("best.fdir") != F.col("dir")).alias("corner"), "x1", "y1"
-    ).checkpoint()
+    )
+    succ = cut_lineage(succ)
     state = succ.select(*k, "region", "sid", "nxt", F.lit(1).cast("bigint").alias("w"), F.col("sid").alias("mn"), F.lit(0).cast("bigint").alias("dmn"))
-    state = state.checkpoint()
+    state = cut_lineage(state)
     for _ in range(max_rounds):
         b = state.select(*k, "region", F.col("sid").alias("nxt"), F.col("nxt").alias("bn"), F.col("w").alias("bw"),
                          F.col("mn").alias("bmn"), F.col("dmn").alias("bdmn"))
@@ -326,7 +328,8 @@ def distributed_rings(sides: DataFrame, keys: tuple[str, ...] = (), max_rounds:
             F.when(better, F.col("bmn")).otherwise(F.col("mn")).alias("mn"),
             F.when(better, F.col("w") + F.col("bdmn")).otherwise(F.col("dmn")).alias("dmn"),
             better.alias("_chg"),
-        ).checkpoint()
+        )
+        new = cut_lineage(new)
         changed = not new.where("_chg").isEmpty()
         state = new.drop("_chg")
         if not changed:
@@ -354,7 +357,8 @@ def region_rings(labelled: DataFrame, keys: tuple[str, ...] = (), max_sides: int
     k = list(keys)
     s = boundary_sides(labelled, keys)
     n = s.groupBy(*k, "region").agg(F.count(F.lit(1)).alias("_n"))
-    s = s.join(n, k + ["region"])
+    ensure_checkpoint_dir(labelled.sparkSession)
+    s = cut_lineage(s.join(n, k + ["region"]))  # both paths and the size test read it once
     small = s.where(F.col("_n") <= max_sides).drop("_n")
     large = s.where(F.col("_n") > max_sides).drop("_n")
     g = small.groupBy(*k, "region").agg(

@@ -46,3 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="relief-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder, computed once.
+
+    ``Dataset.checkpoint`` runs its plan for the eager job and again to write the
+    files; persisting first lets the write read the blocks of the first run.  The
+    blocks are released as soon as the checkpoint exists, so a lost executor is
+    recovered from the checkpoint files, never from machine-local state."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
