@@ -7,9 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relief.operators import zonal
+from relief.functions import color as Y
+from relief.functions import local as L
+from relief.functions.geo import lonlat_to_mercator, polygon_area
+from relief.functions.local import zero_to_nodata
+from relief.operators import focal, tiles, zonal
+from relief.operators import vectorize as Z
+from relief.operators import visibility as V
+from relief.operators.local import combine_cells, flood_depth_tiles, map_cells, map_tiles, override_cells
+from relief.operators.rasterize import polygon_tile_keys
 from relief.sources import fixtures as fx
-from relief.sources.requests import flood_requests
+from relief.sources import layers as S
+from relief.sources.requests import flood_requests, geojson_first_polygon_rings, point_requests
 
 G = fx.FIXTURE_GRID
 
@@ -33,10 +42,6 @@ def point_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- terrain products on packed tiles (P1-P8) --------------------------------------
 
-from relief.functions import color as Y  # noqa: E402
-from relief.functions import local as L  # noqa: E402
-from relief.operators import focal, tiles  # noqa: E402
-from relief.operators.local import flood_depth_tiles, map_tiles  # noqa: E402
 
 ZOOM = fx.FIXTURE_ZOOM
 
@@ -127,8 +132,6 @@ def focal_layer(spark: SparkSession, sf_dir: str, op: str, **kw) -> DataFrame:
 
 # --- visibility products (V2-V5, P11) ------------------------------------------------
 
-from relief.operators import visibility as V  # noqa: E402
-
 
 def _observers(spark: SparkSession, sf_dir: str, radius: int, height: float = 200.0) -> DataFrame:
     return V.observer_cells(fx.observers(spark, sf_dir, radius, height), fx.dem(spark, sf_dir), G)
@@ -185,9 +188,6 @@ def viewshed_mask(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step:
 
 # --- vectorize (Z1-Z3, P12) ----------------------------------------------------------
 
-from relief.functions.local import zero_to_nodata  # noqa: E402
-from relief.operators import vectorize as Z  # noqa: E402
-
 
 def dem_classes(spark: SparkSession, sf_dir: str, interval: float = 100.0) -> DataFrame:
     """The DEM quantised to elevation bands (L1), the input of the region queries."""
@@ -214,13 +214,6 @@ def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_st
 
 # --- sources, geometry and local rows registered on their own -------------------------
 
-from relief.functions.geo import lonlat_to_mercator  # noqa: E402
-from relief.operators.local import combine_cells  # noqa: E402
-from relief.operators.rasterize import polygon_tile_keys  # noqa: E402
-from relief.sources import layers as S  # noqa: E402
-from relief.sources.requests import geojson_first_polygon_rings, point_requests  # noqa: E402
-from relief.functions.geo import polygon_area  # noqa: E402
-
 
 def _layered(t: DataFrame, layer: str = "dem", zoom: int = ZOOM) -> DataFrame:
     return t.select(F.lit(layer).alias("layer"), F.lit(zoom).alias("zoom"), "col", "row", "data")
@@ -354,8 +347,6 @@ def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, oy: int = 5, height: f
 
 # --- local, crop, quantile and neighbourhood rows registered on their own -------------
 
-from relief.operators.local import map_cells, override_cells  # noqa: E402
-
 
 def exaggerated(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
     """L3: DEM times the hillshade exaggeration of a zoom level (6 decimals)."""

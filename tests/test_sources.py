@@ -116,3 +116,16 @@ def test_override_and_crop(spark, raster):
     got = {(r.gx, r.gy): r.value for r in override_cells(cells, o).collect()}
     assert got[(1, 1)] == 50.0 and got[(0, 0)] == 1.0 and len(got) == 6
     assert tiles.crop(cells, 1, 0, 2, 0).count() == 2
+
+
+def test_geojson_all_polygons(spark):
+    from relief.sources.requests import geojson_all_polygons
+
+    coll = json.dumps({"type": "FeatureCollection", "features": [
+        {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}},
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [3, 3]}},
+        {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[5, 5], [6, 5], [6, 6], [5, 5]]]}},
+    ]})
+    df = spark.createDataFrame([(1, coll)], "id long, collection string")
+    got = [(r.feature, r.rings[0][0].x) for r in geojson_all_polygons(df).orderBy("feature").collect()]
+    assert got == [(0, 0.0), (1, 5.0)]
