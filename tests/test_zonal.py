@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from relief.operators import zonal
 from relief.operators.rasterize import rasterize
