@@ -76,7 +76,8 @@ def test_pack_unpack_roundtrip_and_layer_store(spark, raster, tmp_path):
     r = layers.read_layer(spark, path, "dem", 15)
     assert r.count() == 4
     plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "zoom" in plan
+    pf = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "(layer#" in pf and "= dem)" in pf and "(zoom#" in pf and "= 15)" in pf
     meta = layers.layer_metadata(r, G, "dem", 15)
     kb = meta.first().key_bounds
     assert (kb.col_min, kb.row_min, kb.col_max, kb.row_max) == (0, 0, 1, 1)
