@@ -140,6 +140,23 @@ def _union_find(keys: list[str]):
     return run
 
 
+# at most this many cross-block edges are solved by one union-find task (a checked bound)
+SMALL_GRAPH_EDGES = 2_000_000
+
+
+def _union_find_groups(edges: DataFrame, keys: list[str], schema_of: DataFrame) -> DataFrame:
+    """Union-find per key group of an edge table ``(*keys, u, v)`` -> ``(*keys, run, label)``."""
+    g = edges.groupBy(*keys).agg(
+        F.array_distinct(F.flatten(F.collect_list(F.array("u", "v")))).alias("runs"),
+        F.collect_list(F.struct("u", "v")).alias("edges"),
+    )
+    schema = T.StructType([schema_of.schema[c] for c in keys] + [T.StructField("run", T.LongType()), T.StructField("label", T.LongType())])
+    fn = _union_find(keys)
+    fn.schema = pa.schema([(c, pa.int64() if isinstance(schema_of.schema[c].dataType, T.LongType) else pa.string()) for c in keys]
+                          + [("run", pa.int64()), ("label", pa.int64())])
+    return g.mapInArrow(fn, schema)
+
+
 def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
     """``(*keys, run, label)`` for every run: min run id of its connected component."""
     k = list(keys)
@@ -163,9 +180,14 @@ def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] =
         *k, F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")
     ).where("u != v").distinct()
     ce = cut_lineage(ce)
-    if ce.isEmpty():
+    n = ce.count()
+    if n == 0:
         return local
-    glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
+    if n <= SMALL_GRAPH_EDGES:
+        # proven small: one union-find over all cross-block edges (per key group)
+        glob = _union_find_groups(ce, k, runs).select(*k, F.col("run").alias("label"), F.col("label").alias("glabel"))
+    else:
+        glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
     return local.join(glob, k + ["label"], "left").select(
         *k, "run", F.coalesce("glabel", "label").alias("label")
     )

@@ -65,3 +65,15 @@ def test_distributed_rings_equal_in_memory_chain(raster):
     key = lambda r: (r.region, r.ring, r.hole, _norm(r.xs, r.ys))
     assert sorted(map(key, a)) == sorted(map(key, b))
     assert len(a) > 10
+
+
+def test_star_rounds_equal_union_find_shortcut(raster, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [[float(rnd.randint(0, 1)) for _ in range(15)] for _ in range(15)]
+    cells = raster(rows)
+    a = sorted(tuple(r) for r in Z.regions(cells, segment=4).collect())
+    monkeypatch.setattr(Z, "SMALL_GRAPH_EDGES", 0)
+    b = sorted(tuple(r) for r in Z.regions(cells, segment=4).collect())
+    assert a == b and len({r[3] for r in a}) > 1
