@@ -48,17 +48,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def cut_lineage(df):
+def cut_lineage(df, rows_per_partition: int = 1_000_000):
     """Reliable checkpoint into the shared checkpoint folder, computed once.
 
     ``Dataset.checkpoint`` runs its plan for the eager job and again to write the
     files; persisting first lets the write read the blocks of the first run.  The
+    row count of the persisted blocks sizes the checkpoint (about
+    ``rows_per_partition`` rows per file, never more partitions than it had, a
+    narrow coalesce without shuffle): later stages read a checkpoint as-is, so
+    hundreds of near-empty partitions would otherwise follow every round.  The
     blocks are released as soon as the checkpoint exists, so a lost executor is
     recovered from the checkpoint files, never from machine-local state."""
+    import math
+
     from pyspark import StorageLevel
 
     ensure_checkpoint_dir(df.sparkSession)
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = p.checkpoint(eager=True)
+    n = p.count()
+    parts = p.rdd.getNumPartitions()
+    target = max(1, min(parts, math.ceil(n / rows_per_partition)))
+    out = (p.coalesce(target) if target < parts else p).checkpoint(eager=True)
     p.unpersist()
     return out
