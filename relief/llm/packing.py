@@ -8,9 +8,11 @@ and one Arrow batch.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -189,30 +191,78 @@ def pack(
     return docs.select(*columns).mapInArrow(run, f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def word_encoder(path: str, end_id: int | None = None, cache_words: int = 400_000):
-    """For ``pack``: ids of a ``tokenizers`` file whose pre-tokens never span white space, plus ``end_id`` after each text.
+#: a character that is a pre-token by itself between spaces; words that hold it are encoded one by one
+SEPARATOR = "\x01"
+MARKS = ".,;:!?#$%&*"
 
-    Each distinct space-separated word is encoded once and kept, up to ``cache_words`` per task.  Strings of special tokens
-    inside texts are ordinary text.
+
+def folded(text: str) -> str:
+    """Lower case where that is the same character by character (up to U+00FF); other texts are left to the tokenizer."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+#: words and their ids by tokenizer file, kept between the tasks of a Python worker
+_known: dict[str, dict[str, bytes]] = {}
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def encode_words(tokenizer, words: list[str], together: int = 256) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit; many words go through the tokenizer as one text."""
+    mark = tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+    plain = [w for w in words if SEPARATOR not in w] if len(mark) == 1 else []
+    out: dict[str, bytes] = {}
+    chunks = [plain[lo : lo + together] for lo in range(0, len(plain), together)]
+    texts = [f" {SEPARATOR} ".join(chunk) for chunk in chunks]
+    for chunk, encoding in zip(chunks, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        ids = np.array([*encoding.ids, mark[0]], "<u4")
+        ends = np.flatnonzero(ids == mark[0])
+        raw = ids.tobytes()
+        starts = np.r_[0, ends[:-1] + 1]
+        out.update((w, raw[a:b]) for w, a, b in zip(chunk, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+    rest = [w for w in words if w not in out]
+    for w, encoding in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        out[w] = np.array(encoding.ids, "<u4").tobytes()
+    return [out[w] for w in words]
+
+
+def word_encoder(path: str, end_id: int | None = None, cache_words: int = 1_000_000):
+    """For ``pack``: ids of a ``tokenizers`` file, plus ``end_id`` after each text.
+
+    The file has to lower-case, and to make runs of letters, single digits, and runs of other marks pre-tokens of their own.
+
+    Each distinct space-separated word is encoded once and kept; beyond ``cache_words`` (about 200 MB) the older half goes.
+    Strings of special tokens inside texts are ordinary text.
     """
 
     def make():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer = _tokenizer(path)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        known: dict[str, bytes] = {}
+        known = _known.setdefault(path, {})
 
         def encode(texts: pa.Array) -> list[np.ndarray]:
-            split = [(t or "").split(" ") for t in texts.to_pylist()]
-            words_here = set(chain.from_iterable(split))
-            new = list(words_here.difference(known))
-            if len(known) + len(new) > cache_words:
-                known.clear()
-                new = list(words_here)
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            split = [folded(t or "").replace("\n", " ").split(" ") for t in texts.to_pylist()]
+            if len(known) > cache_words:
+                for w in list(islice(known, len(known) // 2)):
+                    del known[w]
+            new = set(chain.from_iterable(split)).difference(known)
+            # marks at the end of a word are a pre-token of their own: their ids follow the bare word's
+            ended = {w: (bare, w[len(bare) :]) for w in new if len(bare := w.rstrip(MARKS)) < len(w) and bare[-1:].isalnum() and bare[-1] <= "\xff"}
+            parts = list((new.difference(ended) | set(chain.from_iterable(ended.values()))).difference(known))
+            known.update(zip(parts, encode_words(tokenizer, parts), strict=True))
+            known.update((w, known[bare] + known[marks]) for w, (bare, marks) in ended.items())
             return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4") for words in split]
 
         return encode
