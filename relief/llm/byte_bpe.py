@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -91,10 +92,12 @@ class ByteBpe:
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(rank, np.int32))
         self.known: dict[str, bytes] = {}
 
-    @classmethod
-    def load(cls, path: str, pattern: str) -> ByteBpe:
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def load(path: str, pattern: str) -> ByteBpe:
+        """Kept, with its merged matches, between the tasks of a Python worker."""
         with open(path, "rb") as f:
-            return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}, pattern)
+            return ByteBpe({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}, pattern)
 
     def merge(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``ids``: rows padded with -1 on the right.  Yields (row numbers, their final ids, padded) as rows finish."""
@@ -179,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """One row per input row: ``id_col, n_tokens, ids`` (binary, little-endian unsigned 32-bit).
 
     Null text: as empty, no tokens.  Null and repeated ids stay as they are; other columns are ignored.  A match is merged
-    once per task and kept (up to 400,000 matches, about 60 MB).  ``path`` has to exist on the executors.
+    once per Python worker and kept (up to 400,000 matches, about 60 MB).  ``path`` has to exist on the executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relief.llm.common import shared_table
 
 
+EDGES_PER_PARTITION = 100_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -39,7 +44,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = shared_table(_small_star(_large_star(edges)))
+        # as few partitions as the edges need, so that a round over few of them is not all task overhead
+        edges = shared_table(_small_star(_large_star(edges.coalesce(ceil(before[0] / EDGES_PER_PARTITION)))))
         after = _mark(edges)
         if after == before:
             break

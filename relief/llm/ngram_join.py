@@ -9,9 +9,10 @@
    ``block`` sets are dealt to block pairs; small groups share a task, bounded in rows.
 4. Surviving pairs are checked on the exact sets, recomputed from the whole texts of the documents concerned.
 
-Steps 3 and 4 run twice.  The first run looks at few shingles per set and takes one partner per set from a group; its links
-join most of a large group of near copies into one component.  The second run takes every surviving pair between different
-components, so no link that changes a component is lost, while copies of copies are not expanded into all pairs.
+Steps 3 and 4 run twice or more.  The merging rounds (one by default) look at the first few shingles of a set that others share, and of a set's surviving partners in other
+components take the one of greatest possible similarity (a Boruvka step); their links join most of a large group of near
+copies into one component.  The last round takes every surviving pair between different components, so no link that
+changes a component is lost, while copies of copies are not expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.llm.common import binary_column, bounded_slices, mix64, shared_table
 from relief.llm.components import components
 from relief.llm.shingles import shingle_sets
-from relief.llm.signature_tree import join_group, signature
+from relief.llm.signature_tree import LEAF, join_group, join_leaves, signature
 
-SKETCH_CELLS = 1 << 21
+SKETCH_CELLS = 1 << 20
 SKETCH_CHUNK = 1 << 15
 
 
@@ -38,31 +39,49 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Frequency level of each hash cell: 0 up to twice the mean load, one more per doubling (uint8, SKETCH_CELLS)."""
+def _scan(docs: DataFrame, words: int) -> DataFrame:
+    """Per document its size and a 128-bit digest of its set; per task the counts of all its shingles by hash cell, in chunks."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, any_rows = np.zeros(SKETCH_CELLS, np.int64), False
         for batch in batches:
             for part in bounded_slices(batch, "_text"):
                 any_rows = True
-                hashes, _ = shingle_sets(part.column("_text"), words)
+                hashes, at = shingle_sets(part.column("_text"), words)
                 cells += np.bincount((hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
+                none = pa.nulls(part.num_rows, pa.int32())
+                described = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
+                yield pa.RecordBatch.from_arrays([*described, none, none, pa.nulls(part.num_rows, pa.binary())], names)
         if any_rows:
             chunks = cells.astype(np.uint32).reshape(-1, SKETCH_CHUNK)
-            ids = np.arange(len(chunks), dtype=np.int32)
+            none = pa.nulls(len(chunks), pa.int64())
             # partial sums first meet in 256 groups of tasks, then in one per chunk
             salt = np.full(len(chunks), TaskContext.get().partitionId() % 256, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(salt), binary_column([c.tobytes() for c in chunks])], ["chunk", "salt", "counts"])
+            counts = [pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array(salt), binary_column([c.tobytes() for c in chunks])]
+            yield pa.RecordBatch.from_arrays([none] * 4 + counts, names)
+
+    names = ["doc", "size", "d1", "d2", "chunk", "salt", "counts"]
+    return docs.mapInArrow(run, "doc long, size long, d1 long, d2 long, chunk int, salt int, counts binary")
+
+
+def _digests(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        sums = np.r_[np.uint64(0), np.cumsum(mix64(hashes ^ np.uint64(salt)))]
+        out.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
+    return out
 
-    def add(dtype_in):
+
+def _levels(parts: DataFrame) -> np.ndarray:
+    """Frequency level of each hash cell: 0 up to twice the mean load, one more per doubling (uint8, SKETCH_CELLS)."""
+
+    def add(kind):
         def run(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, dtype_in).astype(np.uint64) for x in table.column("counts").to_pylist())
+            total = sum(np.frombuffer(x, kind).astype(np.uint64) for x in table.column("counts").to_pylist())
             return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": binary_column([total.tobytes()])})
 
         return run
 
-    parts = docs.mapInArrow(count, "chunk int, salt int, counts binary")
     parts = parts.groupBy("chunk", "salt").applyInArrow(add(np.uint32), "chunk int, counts binary")
     parts = parts.groupBy("chunk").applyInArrow(add(np.uint64), "chunk int, counts binary")
     counts = np.zeros((SKETCH_CELLS // SKETCH_CHUNK, SKETCH_CHUNK), np.uint64)
@@ -74,18 +93,13 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
-    """Per document: size, a 128-bit digest of the set, its prefix shingles in order, its signature."""
+    """Per document with shingles: size, digest, its prefix shingles in order, its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             for part in bounded_slices(batch, "_text"):
                 hashes, at = shingle_sets(part.column("_text"), words)
-                size = np.diff(at)
-                digests = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    sums = np.r_[np.uint64(0), np.cumsum(mix64(hashes ^ np.uint64(salt)))]
-                    digests.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
                 rank = level[(hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)]
                 prefix, marks = [], []
                 for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -96,16 +110,37 @@ def _describe(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
                     marks.append(signature(own))
                 ends = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(size, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())), binary_column(marks)],
-                    ["doc", "size", "d1", "d2", "prefix", "mark"],
-                )
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+                columns = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at)), listed, binary_column(marks)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "size", "d1", "d2", "prefix", "mark"])
 
-    return docs.mapInArrow(run, "doc long, size long, d1 long, d2 long, prefix array<long>, mark binary")
+    return docs.mapInArrow(run, "doc long, size long, d1 long, d2 long, prefix array<long>, mark binary").where("size > 0")
+
+
+def _id_filter(ids: DataFrame, most_bits: int = 1 << 30):
+    """(bits, broadcast bitmap): 16 to 32 bits per id up to ``most_bits`` (128 MB), bit ``hash(id) mod bits`` set for each.
+
+    Lets a scan drop most documents that aren't wanted before they are shuffled; an exact join follows.
+    """
+    bits = min(most_bits, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    page = min(bits, 1 << 18)
+
+    def fill(table: pa.Table) -> pa.Table:
+        held = np.zeros(page, np.uint8)
+        held[table.column("at").to_numpy()] = 1
+        return pa.table({"page": table.column("page").slice(0, 1), "held": binary_column([np.packbits(held, bitorder="little").tobytes()])})
+
+    cell = F.pmod(F.xxhash64("_id"), F.lit(bits))
+    cells = ids.select((cell / page).cast("long").alias("page"), (cell % page).cast("int").alias("at")).distinct()
+    bitmap = np.zeros((bits // page, page // 8), np.uint8)
+    for row in cells.groupBy("page").applyInArrow(fill, "page long, held binary").collect():
+        bitmap[row.page] = np.frombuffer(row.held, np.uint8)
+    return bits, ids.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
 def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool) -> DataFrame:
-    """Pairs (a < b) that survive the traversal, from ``members``: token, n (sets of the token), doc, size, component, mark."""
+    """Pairs (a < b) that survive the traversal, from ``members``: token, n (sets of the token), bin (tokens to
+    be dealt together), doc, size, component, mark."""
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token = table.column("token").to_numpy()
@@ -115,29 +150,39 @@ def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool)
         component = table.column("component").to_numpy()
         mark = table.column("mark").to_pylist()
         order = np.lexsort((doc, size, token))
-        cuts = np.flatnonzero(np.diff(token[order])) + 1
-        out = []
-        for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(order)].tolist(), strict=True):
-            at = order[lo:hi]
-            if len(at) < 2:
-                continue
-            dense = np.unique(component[at], return_inverse=True)[1]
-            if dense.max() == 0:
-                continue
-            sides = side[at] if side[at].any() else None
-            group = [mark[k] for k in at.tolist()]
-            first = np.full(len(at), len(at), np.int64)
-            for i, j in join_group(group, size[at], dense, percent, sides):
-                if one_partner:
-                    np.minimum.at(first, np.maximum(i, j), np.minimum(i, j))
-                else:
-                    out.append(np.stack([doc[at[i]], doc[at[j]]]))
+        token, side, doc, size = token[order], side[order], doc[order], size[order]
+        component = np.unique(component[order], return_inverse=True)[1]
+        mark = [mark[k] for k in order.tolist()]
+        starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
+        counts = np.diff(np.r_[starts, len(token)])
+        small = (counts > 1) & (counts <= LEAF) if not side.any() else np.zeros(len(counts), bool)
+
+        def survivors():
+            yield from join_leaves(mark, size, component, starts[small], counts[small], percent)
+            for lo, n in zip(starts[(counts > 1) & ~small].tolist(), counts[(counts > 1) & ~small].tolist(), strict=True):
+                own = slice(lo, lo + n)
+                sides = side[own] if side[own].any() else None
+                for i, j, most in join_group(mark[own], size[own], component[own], percent, sides):
+                    yield lo + i, lo + j, most
+
+        out, held = [], 0
+        share, partner = np.zeros(len(token)), np.full(len(token), -1)  # of a set in a group
+        for i, j, most in survivors():
             if one_partner:
-                has = np.flatnonzero(first < len(at))
-                out.append(np.stack([doc[at[first[has]]], doc[at[has]]]))
-            if sum(x.shape[1] for x in out) > 1 << 16:
-                both = np.concatenate(out, axis=1)
-                out = [np.unique(np.sort(both, axis=0), axis=1)]
+                similar = most / (size[i] + size[j] - most)
+                for x, y in ((i, j), (j, i)):  # the last of ascending values stays
+                    up = np.argsort(similar, kind="stable")
+                    up = up[similar[up] > share[x[up]]]
+                    share[x[up]], partner[x[up]] = similar[up], y[up]
+                continue
+            out.append(np.stack([doc[i], doc[j]]))
+            held += len(i)
+            if held > 1 << 18:  # groups repeat pairs
+                out = [np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)]
+                held = out[0].shape[1] // 2
+        if one_partner:
+            has = np.flatnonzero(partner >= 0)
+            out = [np.stack([doc[partner[has]], doc[has]])]
         both = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
         both = both[:, both[0] != both[1]]
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
@@ -146,13 +191,13 @@ def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool)
     small = F.col("blocks") == 1
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # a set of block b meets every block: pairs (b, other) with the lower block on side 0; tasks of small groups hold
-    # tokens of one hash bucket, about 4 * block rows
+    # the bins of one hash bucket, about 4 * block rows, and at most about 16 * block more
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.withColumn("side", F.when(low == high, 0).when(F.col("block") == low, 0).otherwise(1))
     total = members.count()
     bins = max(1, total // (4 * block))
-    task = F.when(small, F.pmod(F.xxhash64("token"), F.lit(bins))).otherwise(F.xxhash64("token", low, high))
+    task = F.when(small, F.pmod("bin", F.lit(bins))).otherwise(F.xxhash64("token", low, high))
     rows = rows.withColumn("task", task).withColumn("many", ~small)
     return (
         rows.select("task", "many", "token", "side", "doc", "size", "component", "mark")
@@ -164,9 +209,14 @@ def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool)
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose exact sets are similar: a, b, overlap, union."""
+    wanted = shared_table(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
+    bits, bitmap = _id_filter(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
+            cell = batch.column("_cell").to_numpy()
+            batch = batch.filter(pa.array((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
             for part in bounded_slices(batch, "_text"):
                 hashes, at = shingle_sets(part.column("_text"), words)
                 parts = [hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -183,8 +233,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             kept = 100 * common >= percent * union
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[kept]) for c in ("a", "b")] + [pa.array(common[kept]), pa.array(union[kept])], ["a", "b", "overlap", "union"])
 
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    own = shared_table(docs.join(wanted, "_id", "left_semi").mapInArrow(sets, "doc long, shingles binary"))
+    celled = docs.where("_id is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
+    own = celled.mapInArrow(sets, "doc long, shingles binary").join(wanted.withColumnRenamed("_id", "doc"), "doc", "left_semi")
+    own = shared_table(own)
     left = own.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     right = own.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, overlap long, union long")
@@ -197,6 +248,7 @@ def ngram_join(
     words: int = 4,
     percent: int = 85,
     first_shingles: int = 6,
+    merging_rounds: int = 1,
     block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, links).  Documents: ``id_col, n_shingles, class_id, class_size, component_id``, one row per input row;
@@ -214,31 +266,42 @@ def ngram_join(
         raise ValueError("percent has to be over 50")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    levels = spark.sparkContext.broadcast(_sketch(docs.select("_text"), words).tobytes())
-    described = shared_table(_describe(docs, words, percent, levels))
+    scanned = shared_table(_scan(docs, words))
+    described = scanned.where("chunk is null").select("doc", "size", "d1", "d2")
+    levels = spark.sparkContext.broadcast(_levels(scanned.where("chunk is not null").select("chunk", "salt", "counts")).tobytes())
     classes = shared_table(
-        described.where("size > 0")
+        _describe(docs, words, percent, levels)
         .groupBy("size", "d1", "d2")
         .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("class_size"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
     )
     nodes = classes.where("doc is not null")
-    exploded = nodes.select("doc", F.posexplode("prefix").alias("at", "token"))
-
-    def members(tokens: DataFrame, labels: DataFrame | None) -> DataFrame:
+    # shingles that more than one set has among its first; one shuffle, read by both sides of the join
+    tokens = nodes.select("doc", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    common = tokens.groupBy("token").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.max("at").alias("_at")).where("_lo <> _hi")
+    held = tokens.join(common, "token").select("token", "doc", "at")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("at", "token"))
+    held = shared_table(held.withColumn("nth", nth).drop("at"))
+
+    def members(tokens: DataFrame) -> DataFrame:
+        """Sets of the shingles that sets of several components share, with size and signature."""
+        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+        # groups with the same least component go to the same few tasks, which then repeat fewer pairs
+        spread = shared.groupBy("_lo").agg(F.ceil(F.sum("n") / F.lit(16 * block)).alias("_parts"))
+        shared = shared.join(spread, "_lo").withColumn("bin", F.xxhash64("_lo", F.pmod(F.xxhash64("token"), "_parts")))
+        rows = tokens.join(shared.select("token", "n", "bin"), "token")
+        return shared_table(rows.join(nodes.select("doc", "size", "mark"), "doc").select("token", "n", "bin", "doc", "size", "component", "mark"))
+
+    links = labels = None
+    for last in [False] * merging_rounds + [True]:
+        part = held if last else held.where(F.col("nth") <= first_shingles)
         if labels is None:
-            tokens = tokens.withColumn("component", F.col("doc"))
+            labelled = part.select("token", "doc", F.col("doc").alias("component"))
         else:
-            tokens = tokens.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-        held = tokens.join(shared.select("token", "n"), "token")
-        return shared_table(held.join(nodes.select("doc", "size", "mark"), "doc").select("token", "n", "doc", "size", "component", "mark"))
-
-    found = _candidates(members(exploded.where(F.col("at") < first_shingles).drop("at"), None), percent, block, True)
-    links = shared_table(_verify(shared_table(found), docs, words, percent))
-    labels = components(links)
-    found = shared_table(_candidates(members(exploded.drop("at"), labels), percent, block, False))
-    links = links.unionByName(shared_table(_verify(found, docs, words, percent)))
-    labels = components(links)
+            labelled = part.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
+        found = shared_table(_candidates(members(labelled), percent, block, not last))
+        verified = _verify(found, docs, words, percent)
+        links = shared_table(verified if links is None else links.unionByName(verified))
+        labels = components(links)
     of_class = classes.select("size", "d1", "d2", "class_size", F.col("doc").alias("class_id")).join(
         labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
     )

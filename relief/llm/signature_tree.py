@@ -46,10 +46,10 @@ def fold(signatures: np.ndarray) -> np.ndarray:
     return signatures[:, :half] | signatures[:, half:]
 
 
-def build(signatures: np.ndarray, sizes: np.ndarray, component: np.ndarray) -> list[Level]:
+def build(signatures: np.ndarray, sizes: np.ndarray, component: np.ndarray, leaves_only: bool = False) -> list[Level]:
     """Levels from the sets, in their order, up to one root; a node has FANOUT children, above the sets LEAF."""
     levels = [Level(signatures, sizes, sizes, np.bitwise_count(signatures).sum(1, dtype=np.int64), component)]
-    while len(levels[-1].low) > 1:
+    while len(levels[-1].low) > 1 and not leaves_only:
         below, step = levels[-1], LEAF if len(levels) == 1 else FANOUT
         cuts = np.arange(0, len(below.low), step)
         one = np.minimum.reduceat(below.component, cuts)
@@ -65,36 +65,37 @@ def build(signatures: np.ndarray, sizes: np.ndarray, component: np.ndarray) -> l
     return levels
 
 
-def keeps(a: Level, i: np.ndarray, b: Level, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which node pairs (i of a, j of b) can hold a pair of ``100 * overlap >= percent * union`` across components."""
+def keeps(a: Level, i: np.ndarray, b: Level, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which node pairs (i of a, j of b) can hold a pair of ``100 * overlap >= percent * union`` across components, and the
+    greatest overlap that they allow."""
     low, high = np.minimum(a.high[i], b.high[j]), np.maximum(a.low[i], b.low[j])
     keep = (100 * low >= percent * high) & ((a.component[i] != b.component[j]) | (a.component[i] == -1))
+    most = np.zeros(len(i), np.int64)
     step = max(1, (1 << 21) // a.union.shape[1])  # bitmaps of 16 MB at once
     for lo in range(0, len(i), step):
         k = lo + np.flatnonzero(keep[lo : lo + step])
         x, y = i[k], j[k]
         common = np.bitwise_count(a.union[x] & b.union[y]).sum(1, dtype=np.int64)
-        most = np.minimum(a.high[x] - np.maximum(0, a.bits[x] - common), b.high[y] - np.maximum(0, b.bits[y] - common))
-        keep[k] = (100 + percent) * most >= percent * (a.low[x] + b.low[y])
-    return keep
+        most[k] = np.minimum(a.high[x] - np.maximum(0, a.bits[x] - common), b.high[y] - np.maximum(0, b.bits[y] - common))
+        keep[k] = (100 + percent) * most[k] >= percent * (a.low[x] + b.low[y])
+    return keep, most
 
 
 def traverse(a: list[Level], b: list[Level], percent: int):
-    """Yield arrays (i, j) of set pairs that survive; for ``a is b`` each unordered pair once, no set with itself."""
+    """Yield arrays (i, j, greatest overlap) of set pairs that survive; for ``a is b`` each unordered pair once, no set with
+    itself."""
     own = a is b
     top = max(len(a), len(b)) - 1
     stack = [(min(top, len(a) - 1), min(top, len(b) - 1), np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
-        ok = keeps(a[la], i, b[lb], j, percent)
-        if own and la:
-            ok |= i == j
+        ok, most = keeps(a[la], i, b[lb], j, percent)
+        if own:
+            ok = ok | (i == j) if la else ok & (i < j)
         i, j = i[ok], j[ok]
         if la == lb == 0:
-            if own:
-                i, j = i[i < j], j[i < j]
             if len(i):
-                yield i, j
+                yield i, j, most[ok]
             continue
         if not len(i):
             continue
@@ -115,7 +116,7 @@ def traverse(a: list[Level], b: list[Level], percent: int):
 
 
 def join_group(signatures: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, side: np.ndarray | None = None):
-    """Yield index arrays (i, j) of the pairs of a group that can be similar and are in different components.
+    """Yield arrays (i, j, greatest overlap) of the pairs of a group that can be similar and are in different components.
 
     Sets of one signature width share a tree; widths a factor two apart are compared at the narrower (sets further
     apart in size can't be similar, for ``percent`` over 50).  ``side`` (0 or 1): only pairs across sides.
@@ -139,5 +140,49 @@ def join_group(signatures: list[bytes], sizes: np.ndarray, component: np.ndarray
         for (ia, a), other in pairs:
             ib, b = (ia, a) if other is None else other
             if a and b:
-                for i, j in traverse(a, b, percent):
-                    yield ia[i], ib[j]
+                for i, j, most in traverse(a, b, percent):
+                    yield ia[i], ib[j], most
+
+
+def join_leaves(signatures: list[bytes], sizes: np.ndarray, component: np.ndarray, starts: np.ndarray, counts: np.ndarray, percent: int):
+    """As ``join_group`` for many groups of at most LEAF sets each (from ``starts``, ``counts`` long): trees of a single leaf,
+    whose pairs are all compared at once."""
+    firsts, seconds = [], []
+    for n in np.unique(counts).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = starts[counts == n][:, None]
+        firsts.append((at + i).ravel())
+        seconds.append((at + j).ravel())
+    if not firsts:
+        return
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    can = (100 * low >= percent * high) & (component[i] != component[j])
+    i, j = i[can], j[can]
+    widths = np.fromiter(map(len, signatures), np.int64, len(signatures))
+    wide = widths[i] > widths[j]
+    i, j = np.where(wide, j, i), np.where(wide, i, j)  # i is the narrower, if they differ
+    place = np.zeros(len(widths), np.int64)
+    for width in np.unique(widths[i]).tolist():
+
+        def level(held: np.ndarray, folded: bool) -> Level:
+            place[held] = np.arange(len(held))
+            bitmaps = np.frombuffer(b"".join([signatures[k] for k in held.tolist()]), np.uint64).reshape(len(held), -1)
+            return build(fold(bitmaps) if folded else bitmaps, sizes[held], component[held], leaves_only=True)[0]
+
+        for folded in (False, True):
+            pick = (widths[i] == width) & (widths[j] == (2 * width if folded else width))
+            for lo in range(0, int(pick.sum()), CHUNK):  # bitmaps of a bounded number of pairs
+                k = np.flatnonzero(pick)[lo : lo + CHUNK]
+                x, y = i[k], j[k]
+                if folded:
+                    a = level(np.unique(x), False)
+                    px = place[x]
+                    b = level(np.unique(y), True)
+                    py = place[y]
+                else:
+                    a = b = level(np.unique(np.r_[x, y]), False)
+                    px, py = place[x], place[y]
+                ok, most = keeps(a, px, b, py, percent)
+                if ok.any():
+                    yield x[ok], y[ok], most[ok]
