@@ -32,11 +32,11 @@ def exaggerate(v: Column | str, zoom: int | Column, kind: str = "hillshade") ->
 
 
 def contour_quantise(v: Column | str, zoom: int | Column, integer_layer: bool = False) -> Column:
-    """L4: z / interval(zoom); an unknown zoom gives NULL.  Integer layers truncate."""
+    """L4: z / interval(zoom); an unknown zoom gives NULL.  Integer layers truncate towards zero."""
     m = F.create_map(*[x for k, d in sorted(CONTOUR_INTERVAL.items()) for x in (F.lit(k), F.lit(d))])
     z = F.lit(zoom) if isinstance(zoom, int) else zoom
     q = _c(v) / F.try_element_at(m, z)
-    return F.floor(q).cast("double") if integer_layer else q
+    return q.cast("bigint").cast("double") if integer_layer else q
 
 
 def normalize(v: Column | str, old_min: float, old_max: float, new_min: float, new_max: float, to_int: bool = True) -> Column:

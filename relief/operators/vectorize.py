@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from relief.schema import Grid
 from relief.session import cut_lineage, ensure_checkpoint_dir
@@ -87,16 +88,18 @@ def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
 def components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 200) -> DataFrame:
     """``(*keys, u, label)``: min-label of every vertex that has an edge.
 
-    Stops when the graph is a union of stars (no centre is itself a leaf)."""
+    Stops when the edges are stars: every leaf has one centre, and no centre is a
+    leaf.  A leaf with two centres still joins two stars, so both are needed."""
     k = list(keys)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = cut_lineage(edges.select(*k, "u", "v"))
     for _ in range(max_rounds):
         e = cut_lineage(_small_star(_large_star(e, k), k))
-        leaves = e.select(*k, "u")
-        centres = e.select(*k, F.col("v").alias("u")).distinct()
-        if centres.join(leaves, k + ["u"], "left_semi").isEmpty():
+        leaves = e.groupBy(*k, "u").agg(F.count(F.lit(1)).alias("n"))
+        torn = leaves.where("n > 1").select(*k, "u")
+        chained = e.select(*k, F.col("v").alias("u")).join(leaves, k + ["u"], "left_semi")
+        if torn.unionByName(chained).isEmpty():
             break
     else:
         raise RuntimeError("connected components did not converge")
@@ -140,23 +143,6 @@ def _union_find(keys: list[str]):
     return run
 
 
-# at most this many cross-block edges are solved by one union-find task (a checked bound)
-SMALL_GRAPH_EDGES = 2_000_000
-
-
-def _union_find_groups(edges: DataFrame, keys: list[str], schema_of: DataFrame) -> DataFrame:
-    """Union-find per key group of an edge table ``(*keys, u, v)`` -> ``(*keys, run, label)``."""
-    g = edges.groupBy(*keys).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.array("u", "v")))).alias("runs"),
-        F.collect_list(F.struct("u", "v")).alias("edges"),
-    )
-    schema = T.StructType([schema_of.schema[c] for c in keys] + [T.StructField("run", T.LongType()), T.StructField("label", T.LongType())])
-    fn = _union_find(keys)
-    fn.schema = pa.schema([(c, pa.int64() if isinstance(schema_of.schema[c].dataType, T.LongType) else pa.string()) for c in keys]
-                          + [("run", pa.int64()), ("label", pa.int64())])
-    return g.mapInArrow(fn, schema)
-
-
 def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
     """``(*keys, run, label)`` for every run: min run id of its connected component."""
     k = list(keys)
@@ -170,8 +156,7 @@ def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] =
     )
     schema = T.StructType([runs.schema[c] for c in k] + [T.StructField("run", T.LongType()), T.StructField("label", T.LongType())])
     fn = _union_find(k)
-    fn.schema = pa.schema([(c, pa.int64() if isinstance(runs.schema[c].dataType, T.LongType) else pa.string()) for c in k]
-                          + [("run", pa.int64()), ("label", pa.int64())])
+    fn.schema = to_arrow_schema(schema)
     local = cut_lineage(g.mapInArrow(fn, schema))
     # cross-block edges between block-local labels
     lu = local.select(*k, F.col("run").alias("u"), F.col("label").alias("lu"))
@@ -180,14 +165,9 @@ def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] =
         *k, F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")
     ).where("u != v").distinct()
     ce = cut_lineage(ce)
-    n = ce.count()
-    if n == 0:
+    if ce.isEmpty():
         return local
-    if n <= SMALL_GRAPH_EDGES:
-        # proven small: one union-find over all cross-block edges (per key group)
-        glob = _union_find_groups(ce, k, runs).select(*k, F.col("run").alias("label"), F.col("label").alias("glabel"))
-    else:
-        glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
+    glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
     return local.join(glob, k + ["label"], "left").select(
         *k, "run", F.coalesce("glabel", "label").alias("label")
     )

@@ -64,7 +64,8 @@ def _perimeter(t: Column, r: Column) -> tuple[Column, Column]:
 
 def _nearest(k: Column, d: Column, r: Column) -> Column:
     """round(k * d / r) half up, exact for integer inputs."""
-    return F.floor((2 * k * d + r).cast("double") / (2 * r).cast("double")).cast("int")
+    k, d, r = (c.cast("bigint") for c in (k, d, r))  # 2 * k * d leaves INT from R = 32,768 on
+    return F.floor((2 * k * d + r).cast("double") / (2 * r).cast("double")).cast("bigint")
 
 
 BUFFER_COLS = ("px", "py", "buff")
@@ -88,7 +89,7 @@ def _last_step(clip: bool) -> Column:
     (``bx0, by0, bx1, by1``) a ray stops once it has left the extent: its offset
     ``round(k*d/R)`` grows monotonically, so no later sample can hit a cell.
     The bound is conservative (``ceil``); the join drops the rest."""
-    r = F.col("radius")
+    r = F.col("radius").cast("bigint")
     if not clip:
         return r
 
@@ -314,15 +315,6 @@ def tiles_within(obs_xy: DataFrame, grid: Grid, buff_col: str = "buff") -> DataF
     return k.where(d2 <= F.col("buff") * F.col("buff")).select("id", "col", "row")
 
 
-def observer_surface(observers: DataFrame, surface: DataFrame, grid: Grid) -> DataFrame:
-    """V5 surface: ``(id, gx, gy, value)`` -- the surface cells of every tile within each
-    observer's buffer (G7 keys, then an equi-join on the tile key)."""
-    keys = tiles_within(observers.select("id", "x", "y", "buff"), grid)
-    col, row = tile_key(grid, "gx", "gy")
-    s = surface.select("gx", "gy", "value", col.alias("col"), row.alias("row"))
-    return keys.join(s, ["col", "row"]).select("id", "gx", "gy", "value")
-
-
 def observer_viewshed(
     observers: DataFrame, dem: DataFrame, surface: DataFrame, grid: Grid, ray_step: int = 1
 ) -> DataFrame:

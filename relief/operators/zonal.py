@@ -26,7 +26,7 @@ def flood_classes(requests: DataFrame, cells: DataFrame, grid: Grid) -> DataFram
     """K1+K2: ``(id, class, cells)``.
 
     ``requests``: ``(id, rings, level, step)`` in the grid's CRS, ``step > 0``
-    (see :func:`valid_flood_requests`).  ``cells``: ``(gx, gy, value)``.
+    (see :func:`relief.sources.requests.flood_requests`).  ``cells``: ``(gx, gy, value)``.
     """
     cover = rasterize(requests.select("id", "rings", "level", "step"), grid, carry=("level", "step"))
     bound = row_bound(requests, cover_bound(requests, grid))
@@ -47,13 +47,6 @@ def half_up_ratio(n, total, scale: int = 4):
     return F.round(F.try_divide(n.cast("double"), F.when(total > 0, total).cast("double")), scale)
 
 
-def valid_flood_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into (valid, rejected): a step <= 0 or a missing polygon cannot be answered."""
-    ok = (F.col("step") > 0) & F.col("rings").isNotNull() & (F.size("rings") > 0) & F.col("level").isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
-    return requests.where(ok), requests.where(~ok)
-
-
 def flood_summary(requests: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     """K3 / P10: one row per request ``(id, area, total, flooded, coverage, intervals)``.
 

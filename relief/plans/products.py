@@ -206,9 +206,10 @@ def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
-    """V5 -> median 3x3 -> 0 becomes NODATA -> regions per observer -> GeoJSON."""
+    """V5 -> median 3x3, an even split counting as visible as in P11 -> 0 becomes NODATA -> regions per observer ->
+    GeoJSON."""
     vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
-    m = binary_median(vs).select("id", "gx", "gy", zero_to_nodata(F.col("m")).alias("value"))
+    m = binary_median(vs).select("id", "gx", "gy", zero_to_nodata(F.round("m")).alias("value"))
     return Z.region_polygons(Z.regions(m, keys=("id",)), G, keys=("id",))
 
 

@@ -53,7 +53,12 @@ def point_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _rings_of(poly: Column) -> Column:
-    return F.transform(poly["coordinates"], lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    """Rings of a parsed polygon; NULL unless it has a ring, every ring four positions, and every position two numbers."""
+    rings = poly["coordinates"]
+    position = lambda p: F.coalesce(F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull(), F.lit(False))
+    sound = (F.size(rings) > 0) & F.forall(rings, lambda r: F.coalesce((F.size(r) >= 4) & F.forall(r, position), F.lit(False)))
+    points = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    return F.when(F.coalesce(sound, F.lit(False)), points)
 
 
 def geojson_polygon_rings(geom: Column | str) -> Column:

@@ -26,10 +26,18 @@ def point_value_stream(spark: SparkSession, request_dir: str, tiles: DataFrame,
 
 
 def start_point_value_stream(
-    spark: SparkSession, request_dir: str, tiles: DataFrame, grid: Grid, out_dir: str, checkpoint_dir: str, available_now: bool = True
+    spark: SparkSession, request_dir: str, tiles: DataFrame, grid: Grid, out_dir: str, reject_dir: str, checkpoint_dir: str, available_now: bool = True
 ):
-    """Start the answer stream into parquet; ``available_now`` processes what is there and stops."""
-    answers, _ = point_value_stream(spark, request_dir, tiles, grid)
-    w = answers.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
+    """Start the stream: answers to ``out_dir`` and rejects to ``reject_dir``, as parquet by batch; ``available_now``
+    processes what is there and stops."""
+    requests = spark.readStream.schema(POINTS).json(request_dir)
+
+    def answer(batch: DataFrame, number: int) -> None:
+        # a batch that runs again after a failure overwrites its own folders
+        valid, rejected = point_requests(batch)
+        point_values_tiles(valid, tiles, grid).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        rejected.select("id", F.lit("bad_request").alias("reason")).write.mode("overwrite").parquet(f"{reject_dir}/batch={number}")
+
+    w = requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.outputMode("append").start()
+    return w.start()

@@ -130,3 +130,32 @@ def test_geojson_all_polygons(spark):
     df = spark.createDataFrame([(1, coll)], "id long, collection string")
     got = [(r.feature, r.rings[0][0].x) for r in geojson_all_polygons(df).orderBy("feature").collect()]
     assert got == [(0, 0.0), (1, 5.0)]
+
+
+def test_malformed_polygons_reject_their_own_rows_only(spark):
+    from relief.sources.requests import flood_requests
+
+    good = '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,4],[0,0]]]}'
+    bad = ['{"type":"Polygon","coordinates":[[[0,0],[4],[4,4],[0,0]]]}', '{"type":"Polygon","coordinates":[[]]}', '{"type":"Polygon","coordinates":[[[0,0],[1,1],[0,0]]]}', '{"type":"Polygon","coordinates":[]}', "{", '{"type":"Point"}']
+    rows = [(i, 15, 1.0, 1.0, g, None) for i, g in enumerate([good, *bad])]
+    valid, rejected = flood_requests(spark.createDataFrame(rows, "id int, zoom int, level double, step double, geom string, collection string"), src_crs="EPSG:3857")
+    assert [r.id for r in valid.collect()] == [0]
+    assert sorted(r.id for r in rejected.collect()) == list(range(1, 1 + len(bad)))
+
+
+def test_contour_levels_truncate_towards_zero(spark):
+    from pyspark.sql import functions as F
+
+    from relief.functions.local import contour_quantise
+
+    row = spark.range(1).select(contour_quantise(F.lit(-7.0), 15, integer_layer=True).alias("a"), contour_quantise(F.lit(7.0), 15, integer_layer=True).alias("b")).first()
+    assert (row.a, row.b) == (-1.0, 1.0)
+
+
+def test_ray_steps_beyond_the_int_range(spark):
+    from pyspark.sql import functions as F
+
+    from relief.operators.visibility import _nearest
+
+    row = spark.range(1).select(_nearest(F.lit(40_000), F.lit(39_999), F.lit(40_000)).alias("x")).first()
+    assert row.x == 39_999

@@ -67,13 +67,47 @@ def test_distributed_rings_equal_in_memory_chain(raster):
     assert len(a) > 10
 
 
-def test_star_rounds_equal_union_find_shortcut(raster, monkeypatch):
+def reach(edges):
+    """Plain union-find: vertex -> least vertex of its component."""
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+def test_components_equal_union_find(spark):
+    """All graphs in one job, the graph's number as key; the first one has a leaf with two centres."""
+    import random
+
+    graphs = [[(4, 3), (4, 1), (5, 3), (5, 2)]]
+    for seed in range(50):
+        rnd = random.Random(seed)
+        graphs.append([(max(e), min(e)) for e in ((rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(25)) if e[0] != e[1]])
+    rows = [(g, u, v) for g, edges in enumerate(graphs) for u, v in set(edges)]
+    got = Z.components(spark.createDataFrame(rows, "g int, u long, v long"), ("g",)).collect()
+    labels = {}
+    for r in got:
+        assert (r.g, r.u) not in labels  # one label per vertex
+        labels[r.g, r.u] = r.label
+    for g, edges in enumerate(graphs):
+        for x, least in reach(edges).items():
+            assert labels.get((g, x), x) == least
+
+
+def test_regions_across_blocks_with_any_key_type(raster):
     import random
 
     rnd = random.Random(5)
-    rows = [[float(rnd.randint(0, 1)) for _ in range(15)] for _ in range(15)]
-    cells = raster(rows)
-    a = sorted(tuple(r) for r in Z.regions(cells, segment=4).collect())
-    monkeypatch.setattr(Z, "SMALL_GRAPH_EDGES", 0)
-    b = sorted(tuple(r) for r in Z.regions(cells, segment=4).collect())
-    assert a == b and len({r[3] for r in a}) > 1
+    cells = raster([[float(rnd.randint(0, 1)) for _ in range(15)] for _ in range(15)])
+    whole = {(r.gx, r.gy): r.region for r in Z.regions(cells, segment=64).collect()}
+    for kind in ("int", "string", "bigint"):
+        keyed = cells.withColumn("id", F.lit("7").cast(kind))
+        got = Z.regions(keyed, keys=("id",), segment=4).collect()
+        assert {(r.gx, r.gy): r.region for r in got} == whole and len(got) == len(whole)
