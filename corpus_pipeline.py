@@ -33,20 +33,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_quality.accepted(docs, line_quality.train(docs, labels, F.lit(True)), LEAST_QUALITY)
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that the table doesn't have."""
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the document with the largest id stays; of rows with equal id and text, one."""
-    judged = exact.exact_dedup(docs)
-    dropped = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("content_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_hash", F.sha2(exact.lower_ascii(F.col("text")), 256))
-    here = (F.col("doc_id") == F.col("_id")) & (hashed["_hash"] == dropped["_hash"])
-    return hashed.join(dropped, here, "left_anti").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    digest = free_name(docs)
+    hashed = docs.withColumn(digest, F.sha2(exact.lower_ascii(F.col("text")), 256))
+    dropped = exact.exact_dedup(docs).where("not kept").select("doc_id", F.col("content_hash").alias(digest)).distinct()
+    return hashed.join(dropped, ["doc_id", digest], "left_anti").dropDuplicates(["doc_id", digest]).drop(digest).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays; null ids stay."""
     rows, _ = ngram_join.ngram_join(docs, words=5, percent=80)
-    dropped = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    dropped = rows.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
