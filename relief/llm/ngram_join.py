@@ -9,9 +9,10 @@
    ``block`` sets are dealt to block pairs; small groups share a task, bounded in rows.
 4. Surviving pairs are checked on the exact sets, recomputed from the whole texts of the documents concerned.
 
-Steps 3 and 4 run twice or more.  The merging rounds (one by default) look at the first few shingles of a set that others share, and of a set's surviving partners in other
-components take the one of greatest possible similarity (a Boruvka step); their links join most of a large group of near
-copies into one component.  The last round takes every surviving pair between different components, so no link that
+Steps 3 and 4 run twice or more.  The merging rounds (two by default) look at the first few shingles of a set that others
+share, and of a set's surviving partners in other components take the one of greatest possible similarity (a Boruvka
+step).  The first leaves a large group of near copies as a number of clusters, the second joins most of these into one
+component, so that few pairs between clusters are left.  The last round takes every surviving pair between different components, so no link that
 changes a component is lost, while copies of copies are not expanded into all pairs.
 """
 
@@ -248,7 +249,7 @@ def ngram_join(
     words: int = 4,
     percent: int = 85,
     first_shingles: int = 6,
-    merging_rounds: int = 1,
+    merging_rounds: int = 2,
     block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, links).  Documents: ``id_col, n_shingles, class_id, class_size, component_id``, one row per input row;
