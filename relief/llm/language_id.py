@@ -19,6 +19,8 @@ from relief.llm.common import bounded_slices, mix64
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3, 4)
+#: texts that a task works on at once; the arrays over their subwords take about 200 times as much
+SLICE_BYTES = 1 << 18
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -155,7 +157,7 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, "_text"):
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
                 buckets, at = subword_counts(part.column("_text").to_pylist())
                 pairs = [np.unique(buckets[lo:hi], return_counts=True) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 held = [r % 5 == 0 for r in part.column("_rank").to_pylist()]
@@ -179,7 +181,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, "_text"):
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
                 names, scores, rejected = model.judge(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
@@ -192,7 +194,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, text_col):
+            for part in bounded_slices(batch, text_col, SLICE_BYTES):
                 yield part.filter(pa.array(~model.judge(part.column(text_col))[2]))
 
     return docs.mapInArrow(run, docs.schema)
