@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from relief.sources.fixtures import U_SHAPE
 
+ROWS = "(SELECT max(o_orderkey) // 128 + 1 FROM orders)"
+
 DEM = """dem AS (
   SELECT o_orderkey % 128 AS gx, o_orderkey // 128 AS gy,
          CAST(CASE WHEN o_custkey % 37 = 0 THEN NULL ELSE floor(o_totalprice / 1000) END AS DOUBLE) AS value
@@ -31,8 +33,8 @@ HAND_DEPTH = """hand_depth AS (
   SELECT o_orderkey % 128 AS gx, o_orderkey // 128 AS gy, CAST(floor(o_totalprice / 50000) AS DOUBLE) AS value
   FROM orders)"""
 
-POINTS = """pts AS (
-  SELECT c_custkey AS id, -7420000e0 + (c_custkey * 37 % 1280) AS x, 5775000e0 - (c_custkey * 53 % 2000) AS y
+POINTS = f"""pts AS (
+  SELECT c_custkey AS id, -7420000e0 + (c_custkey * 37 % 1280) AS x, 5775000e0 - (c_custkey * 53 % ({ROWS} * 10 + 100)) AS y
   FROM customer)"""
 
 _OFFSETS = ", ".join(f"({i}, {ox}e0, {oy}e0)" for i, (ox, oy) in enumerate(U_SHAPE))
@@ -40,8 +42,8 @@ _OFFSETS = ", ".join(f"({i}, {ox}e0, {oy}e0)" for i, (ox, oy) in enumerate(U_SHA
 # polygons in grid units (u east, v south), one per supplier
 POLYS = f"""off(i, ox, oy) AS (VALUES {_OFFSETS}),
 poly AS (
-  SELECT s_suppkey AS id, CAST(s_suppkey * 29 % 100 AS DOUBLE) AS cx, CAST(s_suppkey * 17 % 100 AS DOUBLE) AS cy,
-         50e0 + (s_suppkey % 5) * 100e0 AS level, 50e0 AS step
+  SELECT s_suppkey AS id, CAST(s_suppkey * 29 % 128 AS DOUBLE) AS cx, CAST(s_suppkey * 17 % {ROWS} AS DOUBLE) AS cy,
+         2e0 + (s_suppkey % 5) * 3e0 AS level, 2e0 AS step
   FROM supplier),
 edges AS (
   SELECT p.id, p.cx + a.ox AS u1, p.cy + a.oy AS v1, p.cx + b.ox AS u2, p.cy + b.oy AS v2
@@ -84,7 +86,7 @@ n AS (SELECT id, class, count(*) AS cells FROM cls GROUP BY id, class)
 SELECT id, class, cells, {ratio('cells', 'sum(cells) OVER (PARTITION BY id)')} AS ratio FROM n"""
 
 G9_RASTERIZE = f"""WITH {POLYS},
-cells AS (SELECT gx, gy FROM range(0, 128) a(gx), range(0, 200) b(gy)),
+cells AS (SELECT gx, gy FROM range(0, 150) a(gx), (SELECT unnest(range(0, {ROWS} + 20)) AS gy)),
 cand AS (
   SELECT b.id, r.gx, r.gy FROM bbox b JOIN cells r
     ON r.gx + 0.5 BETWEEN b.u0 AND b.u9 AND r.gy + 0.5 BETWEEN b.v0 AND b.v9),
@@ -236,7 +238,7 @@ SELECT gx, gy, CAST(CASE WHEN src IS NULL THEN 0 WHEN shade IS NULL THEN NULL EL
                   + greatest((c & 255) - (255 - shade), 1) END AS BIGINT) AS color FROM base"""
 
 P8_HAND = f"""WITH {HAND_EXTENT}, {HAND_DEPTH},
-req AS (SELECT s_suppkey AS id, s_suppkey % 4 AS col, (s_suppkey * 7 + 1) % 4 AS row, (s_suppkey % 10) + 1e0 AS level FROM supplier),
+req AS (SELECT s_suppkey AS id, s_suppkey % 4 AS col, (s_suppkey * 7 + 1) % (({ROWS} + 31) // 32) AS row, (s_suppkey % 10) + 1e0 AS level FROM supplier),
 tiles AS (SELECT DISTINCT gx // 32 AS col, gy // 32 AS row FROM hand_extent),
 cells AS (SELECT r.id, r.level, r.col * 32 + p.i % 32 AS gx, r.row * 32 + p.i // 32 AS gy
           FROM req r JOIN tiles t ON t.col = r.col AND t.row = r.row, range(0, 1024) p(i)),
@@ -249,7 +251,7 @@ SELECT id, gx, gy, {classify_le_sql('depth', HAND_COLORMAP)} AS color FROM v"""
 # --- visibility --------------------------------------------------------------------
 
 def observers_sql(radius: int, height: float = 200.0, raster: str = "dem") -> str:
-    return f"""obs0 AS (SELECT s_suppkey AS id, s_suppkey * 37 % 128 AS ox, s_suppkey * 53 % 100 AS oy,
+    return f"""obs0 AS (SELECT s_suppkey AS id, s_suppkey * 37 % 128 AS ox, s_suppkey * 53 % {ROWS} AS oy,
                   {height!r} AS height, {int(radius)} AS r FROM supplier),
 obs AS (SELECT o.id, o.ox, o.oy, d.value + o.height AS oz, o.r FROM obs0 o JOIN {raster} d ON d.gx = o.ox AND d.gy = o.oy
         WHERE d.value IS NOT NULL)"""
@@ -425,8 +427,8 @@ bb AS (SELECT id, CAST(floor(u0 / 32) AS INTEGER) AS c0, CAST(floor(u9 / 32) AS
               CAST(floor(v0 / 32) AS INTEGER) AS r0, CAST(floor(v9 / 32) AS INTEGER) AS r1 FROM bbox)
 SELECT id, CAST(c.col AS INTEGER) AS col, CAST(r.row AS INTEGER) AS row FROM bb, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r"""
 
-G7_BUFFER_TILES = """WITH obs AS (SELECT s_suppkey AS id, -7420000e0 + (s_suppkey * 37 % 128 + 0.5) * 10e0 AS x,
-                     5775000e0 - (s_suppkey * 53 % 100 + 0.5) * 10e0 AS y FROM supplier),
+G7_BUFFER_TILES = f"""WITH obs AS (SELECT s_suppkey AS id, -7420000e0 + (s_suppkey * 37 % 128 + 0.5) * 10e0 AS x,
+                     5775000e0 - (s_suppkey * 53 % {ROWS} + 0.5) * 10e0 AS y FROM supplier),
 keys AS (SELECT id, x, y, unnest(range(CAST(floor((x - 200 + 7420000e0) / 320) AS BIGINT),
                                        CAST(floor((x + 200 + 7420000e0) / 320) AS BIGINT) + 1)) AS col,
                 floor((5775000e0 - y - 200) / 320) AS r0, floor((5775000e0 - y + 200) / 320) AS r1 FROM obs),

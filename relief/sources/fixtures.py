@@ -8,7 +8,7 @@ aggregation of the given tables, so its size grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relief.schema import Grid
@@ -20,13 +20,18 @@ FIXTURE_GRID = Grid(xmin=-7420000.0, ymax=5775000.0, cell_w=10.0, cell_h=10.0, t
 FIXTURE_ZOOM = 15
 
 # Vertex offsets (grid units) of the concave U-shaped flood polygon,
-# one per supplier, anchored at (cx, cy).
+# one per supplier, anchored at (cx, cy); those near the last column or row reach over the raster's edge.
 U_SHAPE = [
     (0.25, 0.25), (20.25, 2.25), (20.25, 18.25), (12.25, 18.25), (12.25, 8.25),
     (6.25, 8.25), (6.25, 18.25), (0.25, 18.25), (0.25, 0.25),
 ]
 
 
+def raster_rows(spark: SparkSession, sf_dir: str) -> Column:
+    """Rows of the raster, as a scalar subquery: requests spread over all of them at every scale factor."""
+    return table(spark, sf_dir, "orders", "o_orderkey").select(F.expr(f"max(o_orderkey) div {RASTER_COLS} + 1")).scalar()
+
+
 def _cell_index() -> tuple:
     k = F.col("o_orderkey")
     return (k % RASTER_COLS).alias("gx"), F.expr(f"o_orderkey div {RASTER_COLS}").alias("gy")
@@ -76,7 +81,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         k.alias("id"),
         (F.lit(FIXTURE_GRID.xmin) + (k * 37 % 1280)).alias("x"),
-        (F.lit(FIXTURE_GRID.ymax) - (k * 53 % 2000)).alias("y"),
+        (F.lit(FIXTURE_GRID.ymax) - (k * 53 % (raster_rows(spark, sf_dir) * 10 + 100))).alias("y"),
     )
 
 
@@ -84,8 +89,8 @@ def flood_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One U-shaped polygon per supplier in map coordinates, with its flood level and step."""
     s = table(spark, sf_dir, "supplier", "s_suppkey")
     k = F.col("s_suppkey")
-    cx = (k * 29 % 100).cast("double")
-    cy = (k * 17 % 100).cast("double")
+    cx = (k * 29 % RASTER_COLS).cast("double")
+    cy = (k * 17 % raster_rows(spark, sf_dir)).cast("double")
     g = FIXTURE_GRID
     ring = F.array(
         *[
@@ -99,8 +104,8 @@ def flood_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         k.alias("id"),
         F.array(ring).alias("rings"),
-        (F.lit(50.0) + (k % 5) * F.lit(100.0)).alias("level"),
-        F.lit(50.0).alias("step"),
+        (F.lit(2.0) + (k % 5) * F.lit(3.0)).alias("level"),
+        F.lit(2.0).alias("step"),
     )
 
 
@@ -125,7 +130,7 @@ def observers(spark: SparkSession, sf_dir: str, radius: int = 20, height: float
     k = F.col("s_suppkey")
     g = FIXTURE_GRID
     ox = (k * 37 % RASTER_COLS).cast("double")
-    oy = (k * 53 % 100).cast("double")
+    oy = (k * 53 % raster_rows(spark, sf_dir)).cast("double")
     return s.select(
         k.alias("id"),
         (F.lit(g.xmin) + (ox + 0.5) * F.lit(g.cell_w)).alias("x"),
@@ -143,6 +148,6 @@ def tile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         k.alias("id"),
         (k % 4).cast("int").alias("col"),
-        ((k * 7 + 1) % 4).cast("int").alias("row"),
+        ((k * 7 + 1) % F.ceil(raster_rows(spark, sf_dir) / FIXTURE_GRID.tile_rows)).cast("int").alias("row"),
         ((k % 10) + F.lit(1.0)).alias("level"),
     )
