@@ -211,7 +211,7 @@ lvl AS (SELECT gx, gy, (class * 510 + 254) // 508 AS g FROM cls)
 SELECT gx, gy, CAST(g * 16777216 + g * 65536 + g * 256 + 255 AS BIGINT) AS color FROM lvl
 UNION ALL SELECT gx, gy, CAST(0 AS BIGINT) AS color FROM ddem WHERE value IS NULL"""
 
-P3_CONTOUR = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem', ' / 4.0')}, {neighbourhood('ddem')}
+P3_CONTOUR = f"""WITH {DEM}, {GRID}, dem4 AS (SELECT gx, gy, trunc(value / 4.0) AS value FROM dem), {dense('dem4', 'ddem')}, {neighbourhood('ddem')}
 SELECT gx, gy, {FLOWDIR} AS value FROM nb"""
 
 _HS = exaggeration_factor(FIXTURE_ZOOM, "hillshade")

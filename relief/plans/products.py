@@ -76,8 +76,9 @@ def grey(spark: SparkSession, sf_dir: str, stops: int = 254) -> DataFrame:
 
 
 def contour(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
-    """Elevation divided by the zoom's contour interval, then D8 flow direction."""
-    t = map_tiles(dem_tiles(spark, sf_dir), lambda v: L.contour_quantise(v, zoom))
+    """Whole contour intervals of the elevation at the zoom (truncated, as the DEM holds whole numbers), then D8 flow
+    direction."""
+    t = map_tiles(dem_tiles(spark, sf_dir), lambda v: L.contour_quantise(v, zoom, integer_layer=True))
     return tiles.unpack(focal.focal_tiles(t, G, "flowdir"), G)
 
 
