@@ -25,6 +25,8 @@ for _chars, _k in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0), (b"abcdefghijklmnopqrstuv
     _CLASS[np.frombuffer(_chars, np.uint8)] = _k
 OWN = 14
 FEATURES = 3 * OWN + 1
+#: texts that a task works on at once; the arrays over their bytes take about 80 times as much
+SLICE_BYTES = 1 << 18
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, "_text"):
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
                 features, size, at = line_features(part.column("_text"))
                 packed = [np.c_[features[lo:hi], size[lo:hi]].astype("<f4").tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_rank"), part.column("_y"), pa.array(packed, pa.binary())], ["rank", "y", "lines"])
@@ -264,7 +266,7 @@ def predict(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, "_text"):
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(model.score(part.column("_text")))], [id_col, "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -276,7 +278,7 @@ def accepted(docs: DataFrame, model: QualityModel, least: float, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, text_col):
+            for part in bounded_slices(batch, text_col, SLICE_BYTES):
                 yield part.filter(pa.array(model.score(part.column(text_col)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

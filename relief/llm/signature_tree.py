@@ -15,7 +15,7 @@ import numpy as np
 
 LEAF = 16
 FANOUT = 8
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 
 
 def signature_width(size: int) -> int:
@@ -71,7 +71,7 @@ def keeps(a: Level, i: np.ndarray, b: Level, j: np.ndarray, percent: int) -> tup
     low, high = np.minimum(a.high[i], b.high[j]), np.maximum(a.low[i], b.low[j])
     keep = (100 * low >= percent * high) & ((a.component[i] != b.component[j]) | (a.component[i] == -1))
     most = np.zeros(len(i), np.int64)
-    step = max(1, (1 << 21) // a.union.shape[1])  # bitmaps of 16 MB at once
+    step = max(1, (1 << 19) // a.union.shape[1])  # bitmaps of 4 MB at once
     for lo in range(0, len(i), step):
         k = lo + np.flatnonzero(keep[lo : lo + step])
         x, y = i[k], j[k]
