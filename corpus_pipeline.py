@@ -51,7 +51,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays; null ids stay."""
-    rows, _ = ngram_join.ngram_join(docs, words=5, percent=80)
+    rows, _ = ngram_join.ngram_join(docs, words=5, percent=80, all_links=False)
     dropped = rows.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

@@ -14,6 +14,10 @@ share, and of a set's surviving partners in other components take the one of gre
 step).  The first leaves a large group of near copies as a number of clusters, the second joins most of these into one
 component, so that few pairs between clusters are left.  The last round takes every surviving pair between different components, so no link that
 changes a component is lost, while copies of copies are not expanded into all pairs.
+
+5. All links lie within components.  The exact sets of each component of several classes are brought together once more,
+   a large component as pairs of blocks; the signature trees are traversed without the component test, every surviving
+   pair is checked, and the tasks count the links of each class.  The links themselves are written out only on demand.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from pyspark.sql import functions as F
 from relief.llm.common import binary_column, bounded_slices, mix64, shared_table
 from relief.llm.components import components
 from relief.llm.shingles import shingle_sets
-from relief.llm.signature_tree import LEAF, join_group, join_leaves, signature
+from relief.llm.signature_tree import CHUNK, LEAF, join_group, join_leaves, signature
 
 SKETCH_CELLS = 1 << 20
 SKETCH_CHUNK = 1 << 15
 #: texts that a task works on at once; the arrays over their bytes take about 60 times as much
 SLICE_BYTES = 1 << 18
+#: shingles of a block of a component, and about those of the small components that share a task
+BLOCK_SHINGLES, TASK_SHINGLES = 1 << 20, 1 << 18
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -244,6 +250,104 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, overlap long, union long")
 
 
+def _members_of_components(classes: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
+    """Classes of components of several classes: doc, size, d1, d2, class_key, component, ids (distinct ids with the set)."""
+    key = ["size", "d1", "d2"]
+    ids = described.where("doc is not null").select("doc", *key).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("ids"))
+    labelled = classes.where("doc is not null").select("doc", *key).join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = labelled.withColumns({"component": F.coalesce("component", "doc"), "class_key": F.xxhash64(*key)}).join(ids, key)
+    several = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
+    return shared_table(labelled.join(several, "component"))
+
+
+def _overlaps(ids: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Common shingles of the sets i and j of each pair; ``ids``: the sets back to back, ``held``: zeros for every id."""
+    order = np.argsort(i, kind="stable")
+    out = np.zeros(len(i), np.int64)
+    for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        own = ids[at[i[part[0]]] : at[i[part[0]] + 1]]
+        held[own] = 1
+        others = j[part]
+        if 4 * len(others) > len(at):
+            out[part] = np.add.reduceat(held[ids], at[:-1], dtype=np.int64)[others]
+        else:
+            out[part] = [np.count_nonzero(held[ids[at[k] : at[k + 1]]]) for k in others.tolist()]
+        held[own] = 0
+    return out
+
+
+def _all_links(members: DataFrame, docs: DataFrame, words: int, percent: int, block: int, counted: bool) -> DataFrame:
+    """Of every pair of classes of a component whose exact sets are similar: ``a, b, overlap, union``; ``counted``: instead
+    ``class_key, n``, the ids with a set similar to a class's, in parts that are still to be summed."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            cell = batch.column("_cell").to_numpy()
+            batch = batch.filter(pa.array((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
+                hashes, at = shingle_sets(part.column("_text"), words)
+                parts = [hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                described = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
+                yield pa.RecordBatch.from_arrays([*described, binary_column(parts)], ["doc", "size", "d1", "d2", "shingles"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("size", "ascending"), ("class_key", "ascending")]).combine_chunks()
+        component, side, size, own, doc, many = (table.column(c).to_numpy() for c in ("component", "side", "size", "class_key", "doc", "ids"))
+        parts = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        marks = [signature(p) for p in parts]
+        at = np.r_[0, np.cumsum(size)]
+        vocabulary, ids = np.unique(np.concatenate(parts), return_inverse=True)
+        held = np.zeros(len(vocabulary), np.uint8)
+        starts = np.r_[0, np.flatnonzero(np.diff(component)) + 1]
+        counts = np.diff(np.r_[starts, len(component)])
+        apart = np.arange(len(component))  # every set by itself: no pair is dropped
+        sides = side if side.any() else None
+        small = (counts > 1) & (counts <= LEAF) & (sides is None)
+
+        def survivors():
+            yield from join_leaves(marks, size, apart, starts[small], counts[small], percent)
+            for lo, n in zip(starts[(counts > 1) & ~small].tolist(), counts[(counts > 1) & ~small].tolist(), strict=True):
+                group = slice(lo, lo + n)
+                for i, j, _ in join_group(marks[lo : lo + n], size[group], apart[group], percent, None if sides is None else sides[group]):
+                    yield lo + i, lo + j
+
+        linked, found = np.zeros(len(size), np.int64), []
+        for pair in survivors():
+            for lo in range(0, len(pair[0]), CHUNK):
+                i, j = pair[0][lo : lo + CHUNK], pair[1][lo : lo + CHUNK]
+                common = _overlaps(ids, at, i, j, held)
+                union = size[i] + size[j] - common
+                ok = 100 * common >= percent * union
+                i, j = i[ok], j[ok]
+                if counted:
+                    np.add.at(linked, i, many[j])
+                    np.add.at(linked, j, many[i])
+                else:
+                    found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), common[ok], union[ok]]))
+        if counted:
+            has = np.flatnonzero(linked)
+            return pa.table({"class_key": pa.array(own[has], pa.int64()), "n": pa.array(linked[has], pa.int64())})
+        rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table({name: pa.array(row, pa.int64()) for name, row in zip(("a", "b", "overlap", "union"), rows, strict=True)})
+
+    bits, bitmap = _id_filter(members.select(F.col("doc").alias("_id")).distinct())
+    celled = docs.where("_id is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
+    key = ["doc", "size", "d1", "d2"]
+    rows = celled.mapInArrow(sets, "doc long, size long, d1 long, d2 long, shingles binary").join(members, key).dropDuplicates(key)
+    # components of over 256 classes already are several tasks' work; large ones have blocks of at most about ``block`` classes
+    several = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(8), F.ceil(F.col("n") / 256)), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    rows = rows.withColumn("blocks", several.cast("int")).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    bin_ = F.pmod(F.xxhash64("component"), F.lit(max(1, total // TASK_SHINGLES)))
+    rows = rows.withColumn("side", F.when(F.col("block") > F.col("other"), 1).otherwise(0))
+    rows = rows.withColumn("task", F.when(F.col("blocks") == 1, bin_).otherwise(F.xxhash64("component", low, high))).withColumn("split", F.col("blocks") > 1)
+    rows = rows.select("task", "split", "component", "side", "size", "class_key", "doc", "ids", "shingles")
+    return rows.groupBy("task", "split").applyInArrow(run, "class_key long, n long" if counted else "a long, b long, overlap long, union long")
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -253,16 +357,18 @@ def ngram_join(
     first_shingles: int = 6,
     merging_rounds: int = 2,
     block: int = 2048,
+    all_links: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, links).  Documents: ``id_col, n_shingles, class_id, class_size, component_id``, one row per input row;
-    ``class_id`` is the least id of the documents with the same set, ``component_id`` the least id reachable by links.
-    Links: ``a, b, overlap, union`` between class representatives, enough of them to connect every component (a link
-    between sets that others connect already may be left out).
+    """(documents, links).  Documents: ``id_col, n_shingles, class_id, class_size, component_id, n_links``, one row per
+    input row; ``class_id`` is the least id of the documents with the same set, ``component_id`` the least id reachable by
+    links, ``n_links`` the number of other documents, by id and set, that link to the row's, those of the same set included.
+    Links: ``a, b, overlap, union`` of all linked pairs of classes, by their representatives; they are found when read.
+    Without ``all_links`` there is no ``n_links``, and the links are only enough of them to connect every component.
 
     Two documents link when ``100 * overlap >= percent * union`` of their sets of ``words``-word shingles (``percent`` over
     50).  Words are runs of other characters than space and 0x09-0x0D, lower-cased in A-Z only; with fewer words the whole
     sequence is the one shingle.  Null, empty or wordless text: no shingles, no links, a component of its own.  Rows that
-    repeat an id are one node of the graph.  Rows with a null id get the class and component of equal sets, else null.
+    repeat an id are one node of the graph.  Rows with a null id get the class, component and links of equal sets, else null.
     Other columns are ignored.  Hashes have 64 bits.
     """
     if percent <= 50:
@@ -308,11 +414,19 @@ def ngram_join(
     of_class = classes.select("size", "d1", "d2", "class_size", F.col("doc").alias("class_id")).join(
         labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
     )
-    rows = described.select("doc", "size", "d1", "d2").join(of_class, ["size", "d1", "d2"], "left")
-    return rows.select(
+    out = [
         F.col("doc").alias(id_col),
         F.col("size").alias("n_shingles"),
         F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("component", "class_id", "doc").alias("component_id"),
-    ), links
+    ]
+    if all_links:
+        grouped = _members_of_components(classes, labels, described)
+        linked = _all_links(grouped, docs, words, percent, block, True).groupBy("class_key").agg(F.sum("n").alias("linked"))
+        ids = described.where("doc is not null").select("doc", "size", "d1", "d2").distinct().groupBy("size", "d1", "d2").agg(F.count(F.lit(1)).alias("ids"))
+        of_class = of_class.join(ids, ["size", "d1", "d2"], "left").withColumn("class_key", F.xxhash64("size", "d1", "d2")).join(linked, "class_key", "left")
+        others = F.col("ids") - F.col("doc").isNotNull().cast("int") + F.coalesce("linked", F.lit(0))
+        out.append(F.when(F.col("size") == 0, 0).otherwise(others).cast("long").alias("n_links"))
+        links = _all_links(grouped, docs, words, percent, block, False).where("a <> b")
+    return described.select("doc", "size", "d1", "d2").join(of_class, ["size", "d1", "d2"], "left").select(*out), links

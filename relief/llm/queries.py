@@ -33,10 +33,16 @@ def op1_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
+    rows, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85, all_links=False)
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_ngram_join with each document's number of links."""
+    rows, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), hash_all=True)
     return rows.withColumnRenamed("content_hash", "text_sha256")
@@ -112,7 +118,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -138,6 +144,12 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) c USING (doc_id)
 """
 
+OP2_LINKS_SQL = OP2_SQL[: OP2_SQL.index("SELECT d.doc_id")] + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) c USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) k USING (doc_id)
+"""
+
 OP3_SQL = f"""
 WITH t AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
@@ -165,4 +177,4 @@ FROM r GROUP BY conv_id
 """
 
 #: the other queries' results depend on hashes, trained models or tokenizers; tests hold them against brute force
-ORACLE = {"op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL}
+ORACLE = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL}

@@ -91,6 +91,32 @@ def test_join_empty_table_null_and_repeated_ids(spark):
     assert state == sorted([(None, 1, None), (None, 97, 4), (4, 97, 4), (9, 98, 4), (9, 1, 4)], key=str)
 
 
+@pytest.mark.parametrize(("seed", "words", "percent", "block"), [(1, 4, 85, 2048), (2, 5, 80, 8), (3, 3, 60, 16)])
+def test_join_counts_and_returns_every_link(spark, seed, words, percent, block):
+    texts = corpus(seed)
+    sets = {i * 3: shingles(t, words) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    degree = Counter(x for link in links for x in link)
+    first = {}
+    for i, own in sets.items():
+        first.setdefault(own, i)
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got, found = ngram_join.ngram_join(docs, words=words, percent=percent, block=block)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {i: degree[i] for i in sets}
+    want = sorted((a, b) for a, b in links if first[sets[a]] == a and first[sets[b]] == b)
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+
+
+def test_links_of_split_components_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 290)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5]), (None, texts[5]), (None, "lone text")], "doc_id long, text string")
+    got, found = ngram_join.ngram_join(docs)  # over 256 sets: several blocks
+    state = Counter((r.doc_id is None, r.n_links) for r in got.collect())
+    assert state == {(False, 289): 291, (True, 290): 1, (True, None): 1}
+    assert found.count() == 290 * 289 // 2
+
+
 def test_shingles_of_whole_texts():
     texts = corpus(9, 60) + ["x" * 5000, "a\x0bb\x0cc\rd e\tf\ng", "nb sp stays one", None]
     hashes, at = shingle_sets(pa.array(texts), 4)
