@@ -3,7 +3,8 @@
 The models are smoothed variable-order Markov models over bytes, one of the URLs that rules allow and one of those that
 rules block.  The probability of a byte after its longest context is interpolated down the shorter contexts:
 ``P_k = (count(context_k, byte) + strength * P_(k-1)) / (count(context_k) + strength)``.  Counts come from every URL
-with a rule, and are kept in ``CELLS`` hash cells per model, which bounds the models whatever the input.
+with a rule and are exact: a Spark table by (context, byte), which grows with the input.  To score, the URLs are dealt to
+chunks; the distinct grams of a chunk are joined to the table, and their counts meet the chunk's URLs in one task.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relief.llm.common import bounded_slices, mix64, text_bytes
+from relief.llm.common import bounded_slices, mix64, shared_table, text_bytes
 
-CELLS = 1 << 20
+CELLS = 1 << 20  # of UrlModel only, which no query uses
+SLICE_BYTES = 1 << 18
 ORDER = 5
 START, STOP = 256, 257  # symbols beside the bytes
 
@@ -74,15 +77,34 @@ def symbols(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets + extra
 
 
-def gram_cells(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, contexts, row) of every byte and STOP of every URL: cell of the gram of k context symbols and the symbol, and
-    of the context alone, for k from 0 to ORDER (arrays symbols x orders)."""
+def _places(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, at, row): ``symbols`` of the URLs, the places of every byte and STOP among them, and their rows."""
     code, offsets = symbols(urls)
     own = np.ones(len(code), bool)
     for k in range(ORDER):
         own[offsets[:-1] + k] = False
     at = np.flatnonzero(own)
-    row = np.searchsorted(offsets, at, side="right") - 1
+    return code, at, np.searchsorted(offsets, at, side="right") - 1
+
+
+def gram_keys(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, contexts, row) as ``gram_cells``, but each gram and context has a number of its own: nine bits a symbol, from
+    1, the last 0 for a context alone."""
+    code, at, row = _places(urls)
+    value = code + 1
+    grams, contexts = np.zeros((len(at), ORDER + 1), np.int64), np.zeros((len(at), ORDER + 1), np.int64)
+    for k in range(ORDER + 1):
+        for j in range(k, 0, -1):
+            contexts[:, k] = contexts[:, k] << 9 | value[at - j]
+        contexts[:, k] <<= 9
+        grams[:, k] = contexts[:, k] | value[at]
+    return grams, contexts, row
+
+
+def gram_cells(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, contexts, row) of every byte and STOP of every URL: cell of the gram of k context symbols and the symbol, and
+    of the context alone, for k from 0 to ORDER (arrays symbols x orders)."""
+    code, at, row = _places(urls)
     value = mix64(code.astype(np.uint64) + np.uint64(1))
     step = np.uint64(0x9E3779B97F4A7C15)
     grams, contexts = np.zeros((len(at), ORDER + 1), np.int64), np.zeros((len(at), ORDER + 1), np.int64)
@@ -96,9 +118,24 @@ def gram_cells(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, contexts, row
 
 
+def mean_log_ratio(seen, base, row: np.ndarray, rows: int, strength: float, less: np.ndarray | None) -> np.ndarray:
+    """Per row, the mean over its symbols of log P(allow) - log P(block).  ``seen``, ``base``: counts of the grams and of the
+    contexts by class and order; ``less``: the class (0 or 1) whose counts hold the row itself, which are then taken out."""
+    total = np.zeros(len(row))
+    for side, sign in ((0, -1.0), (1, 1.0)):
+        out = np.zeros(len(row)) if less is None else (less[row] == side) * 1.0
+        p = np.full(len(row), 1 / 257)
+        for k in range(ORDER + 1):
+            own = np.maximum(0, seen(side, k) - out)
+            p = (own + strength * p) / (np.maximum(own, base(side, k) - out) + strength)
+        total += sign * np.log(p)
+    n = np.bincount(row, minlength=rows)
+    return np.bincount(row, total, minlength=rows) / np.maximum(n, 1)
+
+
 @dataclass(frozen=True)
 class UrlModel:
-    """Counts per cell of grams and contexts, for block (0) and allow (1); the log ratio from which a URL is allowed."""
+    """Counts per cell of grams and contexts, for block (0) and allow (1), in memory; of a few URLs, to compare with."""
 
     grams: np.ndarray  # 2 x CELLS
     contexts: np.ndarray
@@ -106,56 +143,100 @@ class UrlModel:
     strength: float = 4.0
 
     def log_ratio(self, urls: pa.Array, less: np.ndarray | None = None) -> np.ndarray:
-        """Per row, the mean over its symbols of log P(allow) - log P(block); ``less``: the class (0 or 1) whose counts
-        hold the row itself, which are then taken out."""
         grams, contexts, row = gram_cells(urls)
-        total = np.zeros(len(row))
-        for side, sign in ((0, -1.0), (1, 1.0)):
-            out = np.zeros(len(row)) if less is None else (less[row] == side) * 1.0
-            p = np.full(len(row), 1 / 257)
-            for k in range(ORDER + 1):
-                seen = np.maximum(0, self.grams[side, grams[:, k]] - out)
-                base = np.maximum(seen, self.contexts[side, contexts[:, k]] - out)
-                p = (seen + self.strength * p) / (base + self.strength)
-            total += sign * np.log(p)
-        n = np.bincount(row, minlength=len(urls))
-        return np.bincount(row, total, minlength=len(urls)) / np.maximum(n, 1)
-
-
-def train(urls: DataFrame, max_calibration: int = 4096) -> UrlModel | None:
-    """``urls``: ``page_id, url, verdict`` (allow, block or null).  Counts cover every URL with a verdict.
-
-    The threshold is the one of least mean error rate over both classes on ``max_calibration`` URLs with a verdict (least
-    hashes), each scored with its own counts taken out.  None if either class has no URL.
-    """
+        seen, base = (lambda side, k: self.grams[side, grams[:, k]]), (lambda side, k: self.contexts[side, contexts[:, k]])
+        return mean_log_ratio(seen, base, row, len(urls), self.strength, less)
+
+
+@dataclass(frozen=True)
+class UrlCounts:
+    """``table``: key, block, allow, the exact counts of each gram and context (``gram_keys``); the sums of both by class."""
+
+    table: DataFrame
+    grams: np.ndarray  # 2
+    contexts: np.ndarray
+    strength: float = 4.0
+
+
+def train(urls: DataFrame) -> UrlCounts | None:
+    """``urls``: ``page_id, url, verdict`` (allow, block or null).  Counts cover every URL with a verdict.  None if either class
+    has no URL."""
     known = urls.where("verdict is not null and url is not null").select("url", (F.col("verdict") == "allow").cast("int").alias("allow"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((2, 2, CELLS), np.int32)
         for batch in batches:
-            for part in bounded_slices(batch, "url", 1 << 18):
-                grams, contexts, row = gram_cells(part.column("url"))
+            for part in bounded_slices(batch, "url", SLICE_BYTES):
+                grams, contexts, row = gram_keys(part.column("url"))
                 side = part.column("allow").to_numpy()[row]
-                for which, cell in ((0, grams), (1, contexts)):
-                    for s in (0, 1):
-                        cells[which, s] += np.bincount(cell[side == s].ravel(), minlength=CELLS).astype(np.int32)
-        where = np.flatnonzero(cells.ravel())
-        for lo in range(0, len(where), 100_000):
-            k = where[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cells.ravel()[k].astype(np.int64))], ["cell", "n"])
-
-    found = known.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 4 * CELLS rows
-    cells = np.zeros(4 * CELLS)
-    cells[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    grams, contexts = cells.reshape(2, 2, CELLS)
-    if not grams[0].any() or not grams[1].any():
+                for s in (0, 1):
+                    key, n = np.unique(np.concatenate([grams[side == s], contexts[side == s]]), return_counts=True)
+                    both = [n, np.zeros_like(n)] if s == 0 else [np.zeros_like(n), n]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, both)], ["key", "block", "allow"])
+
+    sums = F.sum("block").alias("block"), F.sum("allow").alias("allow")
+    table = shared_table(known.mapInArrow(count, "key long, block long, allow long").groupBy("key").agg(*sums))
+    totals = {r.context: (r.block, r.allow) for r in table.groupBy((F.col("key") % 512 == 0).alias("context")).agg(*sums).collect()}
+    if not all(totals.get(False, (0, 0))):
         return None
+    return UrlCounts(table, np.array(totals[False]), np.array(totals[True]))
+
+
+def score(rows: DataFrame, model: UrlCounts) -> DataFrame:
+    """``rows`` (with ``url, verdict``) and ``log_ratio``; ``own_ratio``: the same with the row's own counts taken out, null
+    without a verdict."""
+    strength, schema = model.strength, rows.schema
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in bounded_slices(batch, "url", SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], [*part.schema.names, "chunk"])
+                chunk += 1
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)] if len(chunk) else np.zeros(1, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                grams, contexts, _ = gram_keys(batch.column("url").slice(lo, hi - lo))
+                key = np.unique(np.concatenate([grams, contexts]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk[lo])), pa.array(key)], ["chunk", "key"])
+
+    def run(part: pa.Table, counts: pa.Table) -> pa.Table:
+        url, verdict = (part.column(c).combine_chunks() for c in ("url", "verdict"))
+        url = pa.concat_arrays(url.chunks) if isinstance(url, pa.ChunkedArray) else url
+        held = counts.sort_by("key")
+        key = np.r_[held.column("key").to_numpy(), np.iinfo(np.int64).max]  # the last stands for all that aren't held
+        n = [np.r_[held.column(c).to_numpy(), 0].astype(np.float64) for c in ("block", "allow")]
+        grams, contexts, row = gram_keys(url)
+
+        def place(wanted: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(key, wanted)
+            return np.where(key[at] == wanted, at, len(key) - 1)
+
+        grams, contexts = place(grams), place(contexts)
+        seen, base = (lambda side, k: n[side][grams[:, k]]), (lambda side, k: n[side][contexts[:, k]])
+        named = verdict.to_pylist()
+        # a null URL has a verdict of no rule, and is not in the counts
+        less = np.array([-1 if v is None else int(v == "allow") for v in named], np.int64)
+        ratio, own = (mean_log_ratio(seen, base, row, part.num_rows, strength, x) for x in (None, less))
+        own = pa.array(own, mask=less < 0)
+        return part.drop_columns("chunk").append_column("log_ratio", pa.array(ratio)).append_column("own_ratio", own)
+
+    # the chunks are written, so that both sides of the join see the same ones
+    dealt = shared_table(rows.mapInArrow(deal, type(schema)([*schema.fields]).add("chunk", "long")))
+    counts = dealt.select("url", "chunk").mapInArrow(keys, "chunk long, key long").distinct().join(model.table, "key")
+    out = type(schema)([*schema.fields]).add("log_ratio", "double").add("own_ratio", "double")
+    return dealt.groupBy("chunk").cogroup(counts.select("chunk", "key", "block", "allow").groupBy("chunk")).applyInArrow(run, out)
+
+
+def calibrated(scored: DataFrame, max_calibration: int = 4096) -> float:
+    """The threshold of least mean error rate over both classes on ``max_calibration`` URLs with a verdict (least hashes),
+    each scored with its own counts taken out."""
     order = F.xxhash64("url", F.lit("calibration"))
-    sample = known.distinct().orderBy(order, "url", "allow").limit(max_calibration).toArrow()
-    model = UrlModel(grams, contexts, 0.0)
-    allow = sample.column("allow").to_numpy()
-    ratio = model.log_ratio(sample.column("url").combine_chunks(), less=allow)
-    return UrlModel(grams, contexts, best_threshold(ratio, allow))
+    known = scored.where("own_ratio is not null").select("url", (F.col("verdict") == "allow").cast("int").alias("allow"), "own_ratio")
+    sample = known.dropDuplicates(["url", "allow"]).orderBy(order, "url", "allow").limit(max_calibration).toArrow()
+    return best_threshold(sample.column("own_ratio").to_numpy(), sample.column("allow").to_numpy())
 
 
 def best_threshold(ratio: np.ndarray, allow: np.ndarray) -> float:
@@ -185,17 +266,6 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     if model is None:
         out = rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("log_ratio"))
         return out.withColumnRenamed("page_id", id_col)
-    # counts as one broadcast of a fixed size, 2 * 2 * CELLS four-byte numbers
-    shared = rows.sparkSession.sparkContext.broadcast((model.grams.astype(np.float32), model.contexts.astype(np.float32)))
-    threshold, strength = model.threshold, model.strength
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = UrlModel(*shared.value, threshold, strength)
-        for batch in batches:
-            for part in bounded_slices(batch, "url", 1 << 18):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.log_ratio(part.column("url")))], [*part.schema.names, "log_ratio"])
-
-    schema = type(rows.schema)([*rows.schema.fields]).add("log_ratio", "double")
-    judged = F.when(F.col("log_ratio") >= F.lit(threshold), "allow").otherwise("block")
-    scored = rows.mapInArrow(score, schema)
+    scored = shared_table(score(rows, model))
+    judged = F.when(F.col("log_ratio") >= F.lit(calibrated(scored)), "allow").otherwise("block")
     return scored.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", judged).alias("verdict"), "log_ratio")

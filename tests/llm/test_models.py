@@ -241,6 +241,37 @@ def test_log_ratio_equals_plain_recursion():
     assert np.allclose(got, [log_probability(u, 1) - log_probability(u, 0) for u in tests])
 
 
+def test_counts_are_exact_with_more_grams_than_a_fixed_table_holds(spark):
+    rng = random.Random(8)
+    tail = lambda: "".join(chr(rng.randint(33, 126)) for _ in range(60)).replace("/", "-")
+    known = [(f"http://a.example.net/en/{tail()}", 1) for _ in range(2000)] + [(f"http://b.net/{tail()}", 0) for _ in range(2000)]
+    rest = [f"http://c.info/{tail()}" for _ in range(20)] + [None, ""]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([u for u, _ in known] + rest)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r.log_ratio for r in url_filter.judge(pages, RULES).collect()}
+    counted = [{}, {}]
+
+    def grams(u):
+        code = [url_filter.START] * url_filter.ORDER + list((u or "").encode()) + [url_filter.STOP]
+        return [[(tuple(code[i - k : i]), code[i]) for k in range(url_filter.ORDER + 1)] for i in range(url_filter.ORDER, len(code))]
+
+    for u, side in known:
+        for orders in grams(u):
+            for context, symbol in orders:
+                for key in ((context, symbol), (context, None)):
+                    counted[side][key] = counted[side].get(key, 0) + 1
+
+    def log_probability(u, side):
+        total = 0.0
+        for orders in grams(u):
+            p = 1 / 257
+            for context, symbol in orders:
+                p = (counted[side].get((context, symbol), 0) + 4 * p) / (counted[side].get((context, None), 0) + 4)
+            total += np.log(p)
+        return total / len(grams(u))
+
+    assert np.allclose([got[4000 + i] for i in range(len(rest))], [log_probability(u, 1) - log_probability(u, 0) for u in rest], rtol=1e-9, atol=1e-12)
+
+
 def test_urls_without_a_class_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.info/"), (1, "http://a.info/"), (None, "http://b.net/x")], "page_id long, url string")
     assert sorted(r.verdict for r in url_filter.judge(pages, RULES).collect()) == ["allow", "allow", "block"]
