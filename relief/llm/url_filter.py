@@ -22,6 +22,7 @@ from relief.llm.common import bounded_slices, mix64, shared_table, text_bytes
 
 CELLS = 1 << 20  # of UrlModel only, which no query uses
 SLICE_BYTES = 1 << 18
+STEPS = 1 << 14  # histogram cells per unit of log ratio
 ORDER = 5
 START, STOP = 256, 257  # symbols beside the bytes
 
@@ -230,24 +231,24 @@ def score(rows: DataFrame, model: UrlCounts) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(counts.select("chunk", "key", "block", "allow").groupBy("chunk")).applyInArrow(run, out)
 
 
-def calibrated(scored: DataFrame, max_calibration: int = 4096) -> float:
-    """The threshold of least mean error rate over both classes on ``max_calibration`` URLs with a verdict (least hashes),
-    each scored with its own counts taken out."""
-    order = F.xxhash64("url", F.lit("calibration"))
+def calibrated(scored: DataFrame) -> float:
+    """The threshold of least mean error rate over both classes, on every distinct URL with a verdict, each scored with its own
+    counts taken out; a multiple of 1 / STEPS.  Log ratios grow with the logarithm of the counts only, so the histogram is small."""
     known = scored.where("own_ratio is not null").select("url", (F.col("verdict") == "allow").cast("int").alias("allow"), "own_ratio")
-    sample = known.dropDuplicates(["url", "allow"]).orderBy(order, "url", "allow").limit(max_calibration).toArrow()
-    return best_threshold(sample.column("own_ratio").to_numpy(), sample.column("allow").to_numpy())
+    cell = F.floor(F.col("own_ratio") * STEPS).cast("long").alias("cell")
+    counts = known.dropDuplicates(["url", "allow"]).groupBy(cell).agg(F.sum(1 - F.col("allow")).alias("block"), F.sum("allow").alias("allow"))
+    found = counts.orderBy("cell").toArrow()
+    return best_threshold(*(found.column(c).to_numpy() for c in ("cell", "block", "allow")))
 
 
-def best_threshold(ratio: np.ndarray, allow: np.ndarray) -> float:
-    """Cut of least mean error rate of both classes; ties to the cut nearest 0."""
-    if not (allow == 1).any() or not (allow == 0).any():
+def best_threshold(cell: np.ndarray, block: np.ndarray, allow: np.ndarray) -> float:
+    """Cut of least mean error rate of both classes, from their counts by ascending cell; ties to the cut nearest 0."""
+    if not allow.sum() or not block.sum():
         return 0.0
-    values = np.unique(ratio)
-    cuts = np.r_[values[0] - 1e-9, (values[1:] + values[:-1]) / 2, values[-1] + 1e-9, 0.0]
-    good, bad = np.sort(ratio[allow == 1]), np.sort(ratio[allow == 0])
-    error = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
-    return float(cuts[np.lexsort((np.abs(cuts), error))[0]])
+    cuts = np.unique(np.r_[cell, cell[-1] + 1, 0])
+    below = np.searchsorted(cell, cuts)  # cells under the cut
+    error = np.r_[0, np.cumsum(allow)][below] / allow.sum() + 1 - np.r_[0, np.cumsum(block)][below] / block.sum()
+    return float(cuts[np.lexsort((np.abs(cuts), error))[0]]) / STEPS
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

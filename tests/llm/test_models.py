@@ -272,6 +272,12 @@ def test_counts_are_exact_with_more_grams_than_a_fixed_table_holds(spark):
     assert np.allclose([got[4000 + i] for i in range(len(rest))], [log_probability(u, 1) - log_probability(u, 0) for u in rest], rtol=1e-9, atol=1e-12)
 
 
+def test_threshold_comes_from_all_urls_of_a_rare_class(spark):
+    scored = [(f"b{i}", "block", -0.5 - i / 1e6) for i in range(20_000)] + [("a", "allow", -0.25), ("c", None, None)]
+    cut = url_filter.calibrated(spark.createDataFrame(scored, "url string, verdict string, own_ratio double"))
+    assert -0.5 < cut <= -0.25
+
+
 def test_urls_without_a_class_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.info/"), (1, "http://a.info/"), (None, "http://b.net/x")], "page_id long, url string")
     assert sorted(r.verdict for r in url_filter.judge(pages, RULES).collect()) == ["allow", "allow", "block"]
