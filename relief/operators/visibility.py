@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent, tile_key
 from relief.operators.joins import join_bounded, prune_to_tiles, row_bound
 from relief.schema import Grid
+from relief.session import cut_lineage
 
 
 def samples_bound(obs: DataFrame, ray_step: int = 1) -> int:
@@ -315,15 +316,34 @@ def tiles_within(obs_xy: DataFrame, grid: Grid, buff_col: str = "buff") -> DataF
     return k.where(d2 <= F.col("buff") * F.col("buff")).select("id", "col", "row")
 
 
+def selected_extent(observers: DataFrame, obs: DataFrame, surface: DataFrame, grid: Grid) -> DataFrame:
+    """``obs`` with the cell extent ``bx0, by0, bx1, by1`` of the surface's tiles within ``buff`` and the observer's cell, and
+    with the radius that reaches the farthest of these cells (Chebyshev distance, at least 1)."""
+    col, row = tile_key(grid, "gx", "gy")
+    tiles = surface.groupBy(col.alias("col"), row.alias("row")).agg(
+        F.min("gx").alias("x0"), F.min("gy").alias("y0"), F.max("gx").alias("x1"), F.max("gy").alias("y1")
+    )
+    span = tiles_within(observers, grid).join(tiles, ["col", "row"]).groupBy("id").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+    )
+    least = {"bx0": F.least("x0", "ox"), "by0": F.least("y0", "oy"), "bx1": F.greatest("x1", "ox"), "by1": F.greatest("y1", "oy")}
+    o = obs.join(span, "id", "left").withColumns(least).drop("x0", "y0", "x1", "y1")
+    far = F.greatest(F.col("ox") - F.col("bx0"), F.col("bx1") - F.col("ox"), F.col("oy") - F.col("by0"), F.col("by1") - F.col("oy"), F.lit(1))
+    return o.withColumn("radius", far.cast("int"))
+
+
 def observer_viewshed(
     observers: DataFrame, dem: DataFrame, surface: DataFrame, grid: Grid, ray_step: int = 1
 ) -> DataFrame:
-    """V5: observer height from the DEM, visibility over the surface model (DSM) of the
-    tiles within ``buff`` of each observer.  The observer's surface cell counts as its
-    elevation (L8): it is always visible and never sampled by a ray (steps start at 1),
-    so the override needs no per-observer copy of the surface.  ``(id, gx, gy, vis)``."""
-    o = observers.select("id", "x", "y", "height", "radius", F.col("x").alias("px"), F.col("y").alias("py"), "buff")
-    obs = observer_cells(o, dem, grid, carry=BUFFER_COLS)
+    """V5: observer height from the DEM, visibility over the surface model (DSM) of all
+    tiles within ``buff`` of each observer: the rays reach the farthest cell of these
+    tiles, whatever ``radius`` the observers carry.  The observer's surface cell counts
+    as its elevation (L8): it is always visible and never sampled by a ray (steps start
+    at 1), so the override needs no per-observer copy of the surface.  ``(id, gx, gy, vis)``."""
+    xy = observers.select("id", "x", "y", "buff")
+    o = observers.select("id", "x", "y", "height", F.lit(1).alias("radius"), F.col("x").alias("px"), F.col("y").alias("py"), "buff")
+    # read by every step of the viewshed; few rows a partition, as each becomes thousands of ray samples
+    obs = cut_lineage(selected_extent(xy, observer_cells(o, dem, grid, carry=BUFFER_COLS), surface, grid).repartition("id"), 128)
     if ray_step == 1:
         return viewshed_r2(obs, surface, 1, buffer_grid=grid)
     return viewshed_approx(obs, surface, ray_step, buffer_grid=grid)

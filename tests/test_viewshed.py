@@ -1,5 +1,14 @@
+import os
+
+import duckdb
+import pytest
+
 from relief.operators import visibility as V
 from relief.operators.tiles import raster_from_array
+from relief.plans import oracle, products
+from relief.schema import Grid
+
+SF = "/root/testdata/sf0.001"
 
 
 def grid_result(df, n):
@@ -47,3 +56,38 @@ def test_approx_fills_every_valid_cell(spark, raster):
     cells = raster([[float((x * 7 + y * 3) % 5) for x in range(11)] for y in range(11)])
     a = V.viewshed_approx(obs(spark, 5, 5, 3.0, 5), cells, ray_step=3)
     assert a.count() == 121
+
+
+def test_observer_product_answers_every_selected_cell(spark):
+    """A wide raster: the selected tiles reach farther than the request's radius of 2 cells."""
+    grid = Grid(xmin=0.0, ymax=160.0, cell_w=10.0, cell_h=10.0, tile_cols=8, tile_rows=8)
+    cells = spark.createDataFrame([(x, y, 0.0) for x in range(32) for y in range(16)], "gx long, gy long, value double")
+    o = spark.createDataFrame([(1, 125.0, 85.0, 1.0, 2, 20.0), (2, 5.0, 5.0, 1.0, 0, 20.0)], "id long, x double, y double, height double, radius int, buff double")
+    tiles = {1: {(1, 0), (1, 1)}, 2: {(0, 1)}}  # rows count from ymax
+    want = {(i, x, y) for i in tiles for x in range(32) for y in range(16) if (x // 8, y // 8) in tiles[i]}
+    for step in (1, 4):
+        got = V.observer_viewshed(o, cells, cells, grid, step).collect()
+        assert {(r.id, r.gx, r.gy) for r in got} == want and all(r.vis == 1 for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_mask_equals_sql_without_a_radius(spark):
+    """The oracle of p11 with each observer's radius taken from its selected tiles."""
+    cut = oracle.observers_sql(20)
+    whole = cut.replace("obs0 AS", "obs00 AS", 1).replace(
+        "obs AS",
+        """obs0 AS (SELECT o.id, any_value(o.ox) AS ox, any_value(o.oy) AS oy, any_value(o.height) AS height,
+                    max(greatest(abs(d.gx - o.ox), abs(d.gy - o.oy))) AS r
+             FROM obs00 o JOIN dsm d
+             ON pow(greatest(d.gx // 32 * 320 - (o.ox * 10 + 5), 0, o.ox * 10 + 5 - (d.gx // 32 * 320 + 320)), 2)
+              + pow(greatest(d.gy // 32 * 320 - (o.oy * 10 + 5), 0, o.oy * 10 + 5 - (d.gy // 32 * 320 + 320)), 2) <= 40000
+             GROUP BY o.id),
+obs AS""",
+        1,
+    )
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(oracle.P11_VIEWSHED_MASK.replace(cut, whole)).fetchdf()[["id", "gx", "gy", "color"]]
+    got = products.viewshed_mask(spark, SF).select("id", "gx", "gy", "color").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.itertuples(index=False)))
