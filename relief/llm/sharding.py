@@ -3,7 +3,8 @@
 Rows of one group (here: equal texts) are atomic; groups are ordered by a 64-bit hash key.  The smallest feasible
 shard capacity is found by binary search with a greedy check over ordered group sizes.  Spark sums the sizes of key
 ranges (at most ``max_units`` rows); the driver's search over these sums leaves windows in which a cut can lie, and only
-the windows are summed again in finer ranges, until every range in a window is a single group.
+the windows (one key range per cut at most) are summed again in finer ranges, until every range in a window is a single
+group.
 """
 
 from __future__ import annotations
@@ -104,21 +105,21 @@ def plan_cuts(groups: DataFrame, shards: int, max_units: int = 1 << 16) -> tuple
     while True:
         high, low = units.smallest(shards, False), units.smallest(shards, True)
         first, last = units.cuts(low, shards, False), units.cuts(high, shards, True)
-        window = []
-        for a, b in zip(first, last, strict=True):
-            window += range(bisect_left(units.ends, a), min(len(units.ends), bisect_right(units.ends, b) + 1))
-        open_ = sorted({i for i in window if not units.single[i]})
-        if not open_ or high == low:
+        spans: list[list[int]] = []
+        for a, b in zip(first, last, strict=True):  # both ascend; one span of units per window, so at most ``shards`` ranges
+            window = range(bisect_left(units.ends, a), min(len(units.ends), bisect_right(units.ends, b) + 1))
+            open_ = [i for i in window if not units.single[i]]
+            if open_ and spans and open_[0] <= spans[-1][1] + 1:
+                spans[-1][1] = max(spans[-1][1], open_[-1])
+            elif open_:
+                spans.append([open_[0], open_[-1]])
+        if not spans or high == low:
             break
-        bits = min(KEY_BITS, bits + max(1, (max_units // len(open_)).bit_length() - 1))
-        ranges: list[list[int]] = []
-        for i in open_:  # neighbours become one range, so that the filter stays short
-            if ranges and ranges[-1][2] == i - 1:
-                ranges[-1][1:] = [units.rows[i][1], i]
-            else:
-                ranges.append([units.rows[i][0], units.rows[i][1], i])
-        gone = set(open_)
-        finer = _sums(groups, bits, [(lo, hi) for lo, hi, _ in ranges])
+        many = sum(not units.single[i] for lo, hi in spans for i in range(lo, hi + 1))
+        bits = min(KEY_BITS, bits + max(1, (max_units // many).bit_length() - 1))
+        # single groups inside a span are summed again with their neighbours
+        gone = {i for lo, hi in spans for i in range(lo, hi + 1)}
+        finer = _sums(groups, bits, [(units.rows[lo][0], units.rows[hi][1]) for lo, hi in spans])
         units = Units([r for i, r in enumerate(units.rows) if i not in gone] + finer)
     keys = [units.key_after(p) for p in units.balanced(high, shards)]
     return high, [k for k in keys if k is not None]

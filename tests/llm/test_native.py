@@ -103,6 +103,23 @@ def test_shards_have_the_least_capacity(spark, seed):
         assert len(held) == 5 and max(held.values()) < 1.6 * min(held.values())
 
 
+def test_shards_with_a_dominant_group_among_many_keys(spark):
+    """A group with a quarter of all rows sets the capacity and leaves wide windows, in which many ranges are single keys."""
+    n = 50_000
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 4 == 0, F.lit(7)).otherwise(F.xxhash64("id")).cast("long").alias("key"),
+        (F.col("id") % 97 + 1).alias("size"),
+    )
+    placed = sharding.shard_rows(rows, 16, ["doc_id", "key", "size"])
+    by_key = [(r.key, r.b) for r in rows.groupBy("key").agg(F.sum("size").alias("b")).collect()]
+    assert sharding.plan_cuts(rows.select("key", "size"), 16)[0] == max(b for _, b in by_key)
+    got = placed.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("s"), F.max("slot").alias("m")).collect()
+    assert sorted(r.shard for r in got) == list(range(16)) and sum(r.n for r in got) == n
+    assert max(r.b for r in got) == max(b for _, b in by_key) and all(r.n == r.s == r.m + 1 for r in got)
+    assert placed.where("key = 7").select("shard").distinct().count() == 1
+
+
 def test_shards_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, None, None), (1, 5, 3), (1, 5, 3), (2, None, 4)], "doc_id long, key long, size long")
     got = sharding.shard_rows(df, 4, ["doc_id", "key", "size"], max_units=16).collect()
