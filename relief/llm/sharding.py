@@ -70,7 +70,7 @@ class Units:
             least = max(at, earliest[shards - j])
             i = bisect_left(self.ends, ideal)
             near = [self.ends[k] for k in (i - 1, i) if 0 <= k < len(self.ends)] + [least, furthest]
-            near = [x for x in near if least <= x <= furthest] or [furthest]
+            near = [x for x in near if max(least, at + 1) <= x <= furthest] or [furthest]  # no empty shard while rows are left
             at = min(near, key=lambda x: abs(x - ideal))
             out.append(at)
         return out
