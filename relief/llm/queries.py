@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relief.llm import byte_bpe, chat, exact_dedup, language_id, line_quality, ngram_join, packing, sharding, url_filter, vp_search
+from relief.llm import byte_bpe, chat, exact_dedup, fill_middle, language_id, line_quality, ngram_join, packing, sharding, url_filter, vp_search
 from relief.llm.common import shared_table
 from relief.sources.tables import table
 
@@ -118,7 +118,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe)}
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    restored = fill_middle.restore(formed)
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe, op13_fill_middle)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -176,5 +182,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+OP13_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+         WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t
+), c AS (
+  SELECT *, '<P>' || t[1:least(a, b)] AS p, '<M>' || t[least(a, b) + 1:greatest(a, b)] AS m, '<S>' || t[greatest(a, b) + 1:] AS s FROM d
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN s || p || m ELSE p || s || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
 #: the other queries' results depend on hashes, trained models or tokenizers; tests hold them against brute force
-ORACLE = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL}
+ORACLE = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL, "op13_fill_middle": OP13_SQL}
