@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relief.llm import byte_bpe, chat, exact_dedup, fill_middle, language_id, line_quality, ngram_join, packing, sharding, url_filter, vp_search
+from relief.llm import byte_bpe, chat, exact_dedup, fill_middle, language_id, line_quality, merkle, ngram_join, packing, sharding, url_filter, vp_search
 from relief.llm.common import shared_table
 from relief.sources.tables import table
 
@@ -118,13 +118,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document's leaf is claimed with its text's A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest(*others, F.col("text"))
+    lowered = F.when(F.col("text").isNotNull(), exact_dedup.lower_ascii(F.col("text")))
+    claimed = F.when(fold(3) == 0, merkle.leaf_digest(*others, lowered)).otherwise(leaf)
+    rows = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), leaf, claimed)
+    return rows.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     formed = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
     restored = fill_middle.restore(formed)
     return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe, op12_merkle_manifest, op13_fill_middle)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -182,6 +193,53 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+#: zlib's crc32 of an id's decimal text: one list entry per character and eight for its bits
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(doc_id::VARCHAR, '')])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+
+def merkle_sql(levels: int = 8) -> str:
+    """Trees by one aggregate per level (enough for 8 ** ``levels`` documents a language), folds by one join per level."""
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text: str) -> str:
+        values = [text if c == "text" else f"{c}::VARCHAR" for c in names]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+    lower = f"CASE WHEN text IS NOT NULL THEN {_LOWER} END"
+    parts = [
+        f"leaves AS (SELECT doc_id, coalesce('=' || lang, '-') AS key, {leaf('text')} AS d, CASE WHEN {CRC32_SQL} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS claimed FROM documents)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, d, claimed) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n, row_number() OVER () AS rid FROM leaves)",
+        "t0 AS (SELECT key, pos, n, d FROM l)",
+    ]
+
+    def grow(name: str) -> list[str]:
+        return [
+            f"""{name}{k + 1} AS (SELECT key, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d
+              FROM {name}{k} GROUP BY key, pos // 8, n)"""
+            for k in range(levels)
+        ]
+
+    def climb(name: str, path: str) -> list[str]:
+        return [
+            f"""{path}{k + 1} AS (SELECT p.rid, p.key, p.pos // 8 AS pos,
+                CASE WHEN any_value(x.n) > 1 THEN sha256(string_agg(CASE WHEN x.pos = p.pos THEN p.folded ELSE x.d END, '' ORDER BY x.pos)) ELSE any_value(p.folded) END AS folded,
+                any_value(p.proof) || coalesce(string_agg(x.d, '' ORDER BY x.pos) FILTER (x.pos <> p.pos), '') AS proof
+              FROM {path}{k} p JOIN {name}{k} x ON x.key = p.key AND x.pos // 8 = p.pos // 8 GROUP BY p.rid, p.key, p.pos)"""
+            for k in range(levels)
+        ]
+
+    parts += grow("t")
+    parts += ["p0 AS (SELECT rid, key, pos, claimed AS folded, '' AS proof FROM l)", *climb("t", "p")]
+    parts += [f"f0 AS (SELECT '' AS key, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n, d, key AS of FROM t{levels})", *grow("f")]
+    parts += [f"q0 AS (SELECT p.rid, '' AS key, f0.pos, p.folded, p.proof FROM p{levels} p JOIN f0 ON f0.of = p.key)", *climb("f", "q")]
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT l.doc_id, l.d AS leaf, f0.d AS subroot, r.d AS root, sha256(q.proof) AS proof_sha256, q.folded AS folded_root, q.folded = r.d AS verified
+FROM l JOIN f0 ON f0.of = l.key JOIN q{levels} q USING (rid) CROSS JOIN f{levels} r"""
+    )
+
+
 OP13_SQL = """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
@@ -200,4 +258,4 @@ FROM c
 """
 
 #: the other queries' results depend on hashes, trained models or tokenizers; tests hold them against brute force
-ORACLE = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL, "op13_fill_middle": OP13_SQL}
+ORACLE = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_exact_dedup": OP3_SQL, "op9_prefix_targets": OP9_SQL, "op12_merkle_manifest": merkle_sql(), "op13_fill_middle": OP13_SQL}
