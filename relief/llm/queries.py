@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relief.llm import byte_bpe, chat, exact_dedup, fill_middle, language_id, line_quality, merkle, ngram_join, packing, sharding, url_filter, vp_search
+from relief.llm import byte_bpe, chat, exact_dedup, fill_middle, html_text, language_id, line_quality, merkle, ngram_join, packing, sharding, url_filter, vp_search
 from relief.llm.common import shared_table
 from relief.sources.tables import table
 
@@ -118,6 +118,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document's leaf is claimed with its text's A-Z lower-cased."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
@@ -135,7 +139,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe, op12_merkle_manifest, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_vp_search, op2_ngram_join, op2_ngram_links, op3_exact_dedup, op4_vector_packing, op5_language_id, op6_line_quality, op7_url_filter, op8_minimax_shards, op9_prefix_targets, op10_byte_bpe, op11_html_text, op12_merkle_manifest, op13_fill_middle)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
