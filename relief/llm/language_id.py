@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relief.llm.common import bounded_slices, mix64
@@ -145,15 +145,22 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16,
 
 
 def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2048) -> LanguageModel:
-    """Fit on the ``max_rows`` labelled rows with the least hash of their id (whole texts), among those that ``may_learn``.
+    """Fit on at most ``max_rows`` labelled rows (whole texts), among those that ``may_learn``.
 
-    Rows with null id, text or language don't teach.  What reaches the driver is at most ``max_rows`` times ``BUCKETS``
-    counts.  Languages that the sample lacks aren't learned; with fewer than two, the model knows only that one.
+    Rows are drawn language by language in the order of their id's hash, the first of every language, then the second and
+    so on, so that rare languages are learned too.  An id with several rows in a language teaches once, by the text with the
+    least hash.  Rows with null id, text or language don't teach.  What reaches the driver is at most ``max_rows`` times
+    ``BUCKETS`` counts.  With fewer than two languages, the model knows only that one.
     """
     rank = F.xxhash64(F.col(id_col).cast("string"), F.lit("language"))
     usable = F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.coalesce(may_learn, F.lit(False))
-    chosen = docs.where(usable).select(F.col(id_col).alias("_id"), rank.alias("_rank")).distinct().orderBy("_rank", "_id").limit(max_rows)
-    rows = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(chosen), "_id")
+    labelled = docs.where(usable).select(F.col(id_col).alias("_id"), rank.alias("_rank"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    # a limited window: no task keeps more than max_rows rows of a language
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_rank", "_id"))
+    drawn = labelled.select("_id", "_lang", "_rank").distinct().withColumn("_nth", nth).where(F.col("_nth") <= max_rows)
+    chosen = drawn.orderBy("_nth", "_rank", "_id", "_lang").limit(max_rows).select("_id", "_lang")
+    rows = labelled.join(F.broadcast(chosen), ["_id", "_lang"])
+    rows = rows.groupBy("_id", "_lang", "_rank").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

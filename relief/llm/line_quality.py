@@ -108,11 +108,10 @@ def _padded(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(real, at[rows][:, None] + place, 0), real
 
 
-def _buckets(at: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
-    """Rows that have lines, in blocks of similar numbers of lines and at most about ``most`` places."""
+def _buckets(at: np.ndarray, rows: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """``rows`` in blocks of similar numbers of lines and at most about ``most`` places."""
     size = np.diff(at)
-    order = np.argsort(size, kind="stable")
-    order = order[size[order] > 0]
+    order = rows[np.argsort(size[rows], kind="stable")]
     lo = 0
     while lo < len(order):
         least = int(size[order[lo]])
@@ -122,10 +121,54 @@ def _buckets(at: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
         lo = hi
 
 
+#: rows of more lines go through ``_long_marginals``
+LONG = 1 << 11
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices whose entries are logarithms."""
+    return np.logaddexp(a[..., :, 0, None] + b[..., None, 0, :], a[..., :, 1, None] + b[..., None, 1, :])
+
+
+def _long_marginals(score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``marginals`` for one row: products of transition matrices inside blocks of about the square root of its lines, for
+    all blocks at once, then from block to block."""
+    n = len(score)
+    width = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // width)
+    node = np.stack([np.zeros(n), score], axis=1)
+    neutral = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)
+    step = np.broadcast_to(neutral, (blocks * width, 2, 2)).copy()
+    step[1:n] = move + node[1:, None, :]
+    step = step.reshape(blocks, width, 2, 2)
+    ahead, behind = step.copy(), step.copy()  # products from the block's start to here, and from here to its end
+    for k in range(1, width):
+        ahead[:, k] = _times(ahead[:, k - 1], step[:, k])
+        behind[:, -1 - k] = _times(step[:, -1 - k], behind[:, -k])
+    enter, leave = np.zeros((blocks, 2)), np.zeros((blocks, 2))
+    enter[0] = node[0]
+    for k in range(1, blocks):
+        enter[k] = np.logaddexp(enter[k - 1][0] + ahead[k - 1, -1][0], enter[k - 1][1] + ahead[k - 1, -1][1])
+        back = behind[blocks - k, 0] + leave[blocks - k]
+        leave[blocks - 1 - k] = np.logaddexp(back[:, 0], back[:, 1])
+    forward = np.logaddexp(enter[:, None, 0, None] + ahead[:, :, 0], enter[:, None, 1, None] + ahead[:, :, 1]).reshape(-1, 2)[:n]
+    # what follows a line: the products from the next line on
+    after = np.logaddexp(behind[..., 0] + leave[:, None, 0, None], behind[..., 1] + leave[:, None, 1, None]).reshape(-1, 2)[1:n]
+    after = np.concatenate([after, np.zeros((1, 2))])
+    whole = np.logaddexp(forward[-1, 0], forward[-1, 1])
+    good = np.exp(forward[:, 1] + after[:, 1] - whole)
+    joint = np.exp(forward[:-1, :, None] + move + (node[1:] + after[1:])[:, None, :] - whole)
+    return good, joint.sum(0)
+
+
 def marginals(score: np.ndarray, at: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(P(good) of every line, expected transition counts 2 x 2) under line scores for good and transition weights."""
     good, moves = np.zeros(len(score)), np.zeros((2, 2))
-    for rows in _buckets(at):
+    size = np.diff(at)
+    for row in np.flatnonzero(size > LONG).tolist():
+        good[at[row] : at[row + 1]], own = _long_marginals(score[at[row] : at[row + 1]], move)
+        moves += own
+    for rows in _buckets(at, np.flatnonzero((size > 0) & (size <= LONG))):
         index, real = _padded(at, rows)
         node = np.stack([np.zeros(index.shape), score[index]], axis=2)
         steps = index.shape[1]
@@ -232,15 +275,17 @@ def fit(features: np.ndarray, size: np.ndarray, at: np.ndarray, label: np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2048) -> QualityModel:
     """Fit on the ``max_rows`` labelled documents with the least hash of their id (whole texts), among those that ``may_learn``
-    (a condition on ``id_col``).  Null ids, texts and labels don't teach; of several labels of an id, the least counts.
+    (a condition on ``id_col``).  Null ids, texts and labels don't teach; of several labels of an id the least counts, of
+    several texts of an id the one with the least hash teaches.
 
-    What reaches the driver are the lines' features of these documents.
+    What reaches the driver are the lines' features of these at most ``max_rows`` texts.
     """
     rank = F.xxhash64(F.col("_id").cast("string"), F.lit("quality"))
     known = labels.where(F.coalesce(may_learn, F.lit(False)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y")).join(texts.select("_id"), "_id", "left_semi")
     chosen = known.withColumn("_rank", rank).orderBy("_rank", "_id").limit(max_rows)
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_rank", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
                 packed = [np.c_[features[lo:hi], size[lo:hi]].astype("<f4").tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_rank"), part.column("_y"), pa.array(packed, pa.binary())], ["rank", "y", "lines"])
 
-    rows = texts.join(F.broadcast(chosen), "_id").select("_rank", F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(describe, "rank long, y int, lines binary")
+    rows = one.select("_rank", F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(describe, "rank long, y int, lines binary")
     got = sorted((r.rank, r.y, bytes(r.lines)) for r in rows.collect())
     blocks = [np.frombuffer(raw, "<f4").reshape(-1, FEATURES + 1).astype(np.float64) for _, _, raw in got]
     at = np.r_[0, np.cumsum([len(b) for b in blocks])].astype(np.int64)

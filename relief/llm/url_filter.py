@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from relief.llm.common import bounded_slices, mix64, shared_table, text_bytes
 
-CELLS = 1 << 20  # of UrlModel only, which no query uses
 SLICE_BYTES = 1 << 18
 STEPS = 1 << 14  # histogram cells per unit of log ratio
 ORDER = 5
@@ -89,8 +88,9 @@ def _places(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gram_keys(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, contexts, row) as ``gram_cells``, but each gram and context has a number of its own: nine bits a symbol, from
-    1, the last 0 for a context alone."""
+    """(grams, contexts, row) of every byte and STOP of every URL: the gram of k context symbols and the symbol, and the context
+    alone, for k from 0 to ORDER (arrays symbols x orders).  Each has a number of its own: nine bits a symbol, from 1, the
+    last 0 for a context alone."""
     code, at, row = _places(urls)
     value = code + 1
     grams, contexts = np.zeros((len(at), ORDER + 1), np.int64), np.zeros((len(at), ORDER + 1), np.int64)
@@ -102,23 +102,6 @@ def gram_keys(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, contexts, row
 
 
-def gram_cells(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, contexts, row) of every byte and STOP of every URL: cell of the gram of k context symbols and the symbol, and
-    of the context alone, for k from 0 to ORDER (arrays symbols x orders)."""
-    code, at, row = _places(urls)
-    value = mix64(code.astype(np.uint64) + np.uint64(1))
-    step = np.uint64(0x9E3779B97F4A7C15)
-    grams, contexts = np.zeros((len(at), ORDER + 1), np.int64), np.zeros((len(at), ORDER + 1), np.int64)
-    for k in range(ORDER + 1):
-        total = np.full(len(at), np.uint64(k + 1))
-        for j in range(k, 0, -1):
-            total = total * step + value[at - j]
-        contexts[:, k] = (mix64(total) & np.uint64(CELLS - 1)).astype(np.int64)
-        total = total * step + value[at]
-        grams[:, k] = (mix64(total) & np.uint64(CELLS - 1)).astype(np.int64)
-    return grams, contexts, row
-
-
 def mean_log_ratio(seen, base, row: np.ndarray, rows: int, strength: float, less: np.ndarray | None) -> np.ndarray:
     """Per row, the mean over its symbols of log P(allow) - log P(block).  ``seen``, ``base``: counts of the grams and of the
     contexts by class and order; ``less``: the class (0 or 1) whose counts hold the row itself, which are then taken out."""
@@ -134,21 +117,6 @@ def mean_log_ratio(seen, base, row: np.ndarray, rows: int, strength: float, less
     return np.bincount(row, total, minlength=rows) / np.maximum(n, 1)
 
 
-@dataclass(frozen=True)
-class UrlModel:
-    """Counts per cell of grams and contexts, for block (0) and allow (1), in memory; of a few URLs, to compare with."""
-
-    grams: np.ndarray  # 2 x CELLS
-    contexts: np.ndarray
-    threshold: float
-    strength: float = 4.0
-
-    def log_ratio(self, urls: pa.Array, less: np.ndarray | None = None) -> np.ndarray:
-        grams, contexts, row = gram_cells(urls)
-        seen, base = (lambda side, k: self.grams[side, grams[:, k]]), (lambda side, k: self.contexts[side, contexts[:, k]])
-        return mean_log_ratio(seen, base, row, len(urls), self.strength, less)
-
-
 @dataclass(frozen=True)
 class UrlCounts:
     """``table``: key, block, allow, the exact counts of each gram and context (``gram_keys``); the sums of both by class."""

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -94,6 +95,69 @@ def test_language_sample_is_bounded_and_repeatable(spark):
     assert a.languages == b.languages and np.array_equal(a.table, b.table) and a.reject_below == b.reject_below
 
 
+def caught(monkeypatch, module):
+    """What reaches the module's ``fit``."""
+    seen, fit = [], module.fit
+
+    def watch(*args):
+        seen.append(args)
+        return fit(*args)
+
+    monkeypatch.setattr(module, "fit", watch)
+    return seen
+
+
+def test_language_learns_one_text_of_an_id(spark, monkeypatch):
+    seen = caught(monkeypatch, language_id)
+    rng = random.Random(4)
+    rows = [(7, prose(rng, "en", 5 + k % 9), "en") for k in range(3000)] + [(8, "der die und das nicht", "de")] * 500 + [(i, prose(rng, "fr", 9), "fr") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(docs, F.lit(True), max_rows=16)
+    assert len(seen[0][0]) == 16 and [s[0] for s in seen[0][0]].count("en") == 1 == [s[0] for s in seen[0][0]].count("de")
+    assert model.languages == ("de", "en", "fr")  # the rare ones too
+
+
+def test_language_draws_from_every_language(spark, monkeypatch):
+    seen = caught(monkeypatch, language_id)
+    rows = [(i, f"text {i}", "rare" if i in (5, 900) else "en") for i in range(2000)]
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), max_rows=20)
+    assert [s[0] for s in seen[0][0]].count("rare") == 2 and len(seen[0][0]) == 20
+
+
+def test_language_prediction_equals_plain_python(spark):
+    model = language_id.train(languages(spark), F.lit(True))
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * c & mask
+        return x ^ x >> 33
+
+    def predict(text):
+        code = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+        buckets = []
+        for n in language_id.GRAMS:
+            for i in range(len(code) - n + 1):
+                g = code[i : i + n]
+                letter = [c != 32 for c in g]
+                if all(letter[1:-1]) and (n > 2 or any(letter)):
+                    total = n
+                    for c in g:
+                        total = (total * 0x100000001B3 + c) & mask
+                    buckets.append(mix(total) & (language_id.BUCKETS - 1))
+        if not buckets:
+            return "und", 0.0
+        logits = [sum(float(model.table[b, k]) for b in buckets) / len(buckets) + model.bias[k] for k in range(len(model.languages))]
+        weight = [np.exp((x - max(logits)) / model.temperature) for x in logits]
+        best = int(np.argmax(logits))
+        return model.languages[best], weight[best] / sum(weight)
+
+    texts = ["the of and to", "Der, DIE und das!", "où êtes-vous déjà", "ab", "é", "x1y2 z", "", "12 !?", "über können\nfür", "mixed the und les", " a  b "]
+    names, scores = model.predict(texts)
+    want = [predict(t) for t in texts]
+    assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want], atol=1e-5)
+
+
 # ---- quality
 
 
@@ -153,6 +217,33 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(good, want) and np.allclose(moves, want_moves)
 
 
+def test_long_rows_equal_the_plain_recursion(monkeypatch):
+    rng = np.random.default_rng(2)
+    at = np.array([0, 3, 40, 40, 171, 400])
+    score, move = 3 * rng.normal(size=400), rng.normal(size=(2, 2))
+    want, want_moves = line_quality.marginals(score, at, move)
+    for long in (1, 2, 36, 130):
+        monkeypatch.setattr(line_quality, "LONG", long)
+        good, moves = line_quality.marginals(score, at, move)
+        assert np.allclose(good, want) and np.allclose(moves, want_moves)
+
+
+def test_many_lines_take_time_in_proportion():
+    text = "\n".join(["a b c."] * 400_000)
+    start = time.perf_counter()
+    features, _, at = line_quality.line_features(pa.array([text]))
+    good, _ = line_quality.marginals(features[:, 2] - 0.1, at, np.array([[0.5, -0.5], [-0.5, 0.5]]))
+    assert len(good) == 400_000 and time.perf_counter() - start < 15
+
+
+def test_quality_learns_one_text_of_an_id(spark, monkeypatch):
+    seen = caught(monkeypatch, line_quality)
+    docs, labels = documents(spark, n=40)
+    many = spark.range(3000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("A line number "), "id", F.lit(".")).alias("text"), F.lit(1.0).alias("score"))
+    line_quality.train(docs.unionByName(many), labels, F.lit(True), max_rows=16)
+    assert len(seen[0][3]) == 16
+
+
 def test_line_features_do_not_depend_on_the_batch():
     texts = ["A line.\nAnother ONE!!\n\nA line.", None, "", "x", "é ü\n| a | b |", "word word word\nother"]
     features, size, at = line_quality.line_features(pa.array(texts))
@@ -212,18 +303,17 @@ def test_model_tells_the_rest_apart_and_counts_all(spark):
 def test_log_ratio_equals_plain_recursion():
     rng = np.random.default_rng(5)
     train = [("http://abc.de/x", 1), ("http://abd.de/y", 1), ("http://zzz.net/", 0), ("", 0)]
-    grams, contexts = np.zeros((2, url_filter.CELLS)), np.zeros((2, url_filter.CELLS))
+    exact = [{}, {}]
     counted = [{}, {}]
     for u, side in train:
-        g, c, _ = url_filter.gram_cells(pa.array([u]))
-        np.add.at(grams[side], g.ravel(), 1)
-        np.add.at(contexts[side], c.ravel(), 1)
+        g, c, _ = url_filter.gram_keys(pa.array([u]))
+        for key in [*g.ravel().tolist(), *c.ravel().tolist()]:
+            exact[side][key] = exact[side].get(key, 0) + 1
         code = [url_filter.START] * url_filter.ORDER + list(u.encode()) + [url_filter.STOP]
         for i in range(url_filter.ORDER, len(code)):
             for k in range(url_filter.ORDER + 1):
                 for key in ((tuple(code[i - k : i]), code[i]), (tuple(code[i - k : i]), None)):
                     counted[side][key] = counted[side].get(key, 0) + 1
-    model = url_filter.UrlModel(grams, contexts, 0.0)
     tests = ["http://abc.net/", "", "q" * 50, "".join(chr(int(c)) for c in rng.integers(32, 900, 40)), None]
 
     def log_probability(u, side):
@@ -233,11 +323,13 @@ def test_log_ratio_equals_plain_recursion():
             p = 1 / 257
             for k in range(url_filter.ORDER + 1):
                 context = tuple(code[i - k : i])
-                p = (counted[side].get((context, code[i]), 0) + model.strength * p) / (counted[side].get((context, None), 0) + model.strength)
+                p = (counted[side].get((context, code[i]), 0) + 4 * p) / (counted[side].get((context, None), 0) + 4)
             total += np.log(p)
         return total / (len(code) - url_filter.ORDER)
 
-    got = model.log_ratio(pa.array(tests))
+    grams, contexts, row = url_filter.gram_keys(pa.array(tests))
+    held = lambda keys: lambda side, k: np.array([exact[side].get(x, 0) for x in keys[:, k].tolist()])
+    got = url_filter.mean_log_ratio(held(grams), held(contexts), row, len(tests), 4.0, None)
     assert np.allclose(got, [log_probability(u, 1) - log_probability(u, 0) for u in tests])
 
 
