@@ -22,6 +22,8 @@ from relief.llm.common import binary_column, bounded_slices
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
 CELLS_PER_MATRIX = 1 << 20
+#: bytes from which a match is merged by itself
+LONG = 1 << 11
 
 
 class PairTable:
@@ -71,6 +73,20 @@ class PairTable:
         return flat.reshape(left.shape)
 
 
+    def one(self, left: int, right: int) -> int:
+        """As ``rank`` for a single pair of ids."""
+        key = left << 32 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        for _ in range(self.probes):
+            found = int(self.keys[slot])
+            if found == key:
+                return int(self.ranks[slot])
+            if found == 0xFFFFFFFFFFFFFFFF:
+                break
+            slot = slot + 1 & int(self.mask)
+        return int(NO_RANK)
+
+
 class ByteBpe:
     """Vocabulary of a rank file: lines of base64 token and rank; every single byte is a token."""
 
@@ -115,17 +131,12 @@ class ByteBpe:
             n, width = ids.shape
             here = np.arange(n)
             # close up: column at + 1 goes, all behind it move one to the left
-            if n == 1:
-                k = int(at[0])
-                ids = np.concatenate([ids[:, : k + 1], ids[:, k + 2 :]], axis=1)
-                rank = np.concatenate([rank[:, :k], rank[:, k + 1 :]], axis=1)
-            else:
-                keep = np.ones((n, width), bool)
-                keep[here, at + 1] = False
-                ids = ids[keep].reshape(n, width - 1)
-                keep = np.ones((n, width - 1), bool)
-                keep[here, at] = False
-                rank = rank[keep].reshape(n, width - 2)
+            keep = np.ones((n, width), bool)
+            keep[here, at + 1] = False
+            ids = ids[keep].reshape(n, width - 1)
+            keep = np.ones((n, width - 1), bool)
+            keep[here, at] = False
+            rank = rank[keep].reshape(n, width - 2)
             ids[here, at] = best
             # only the pairs on both sides of the merged token are new
             left = at > 0
@@ -133,6 +144,35 @@ class ByteBpe:
             right = at < width - 2
             rank[here[right], at[right]] = self.pairs.rank(ids[here[right], at[right]], ids[here[right], at[right] + 1])
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Final ids of one long row.  As ``merge``, but a merged token's place stays empty instead of closing up the row, and
+        the least rank of every block of about the square root of the row's length is kept, so a round reads two blocks."""
+        n = len(ids)
+        width = 1 << (n.bit_length() + 1) // 2
+        rank = np.full(-(-n // width) * width, NO_RANK, np.int32)
+        rank[: n - 1] = self.pairs.rank(ids[:-1], ids[1:])
+        blocks = rank.reshape(-1, width)
+        least = blocks.min(1)
+        token, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while True:
+            block = int(least.argmin())
+            if least[block] == NO_RANK:
+                return np.array([t for t in token if t >= 0], ids.dtype)
+            at = block * width + int(blocks[block].argmin())
+            gone = after[at]
+            token[at], token[gone] = int(rank[at]), -1
+            after[at] = after[gone]
+            touched = {at: NO_RANK, gone: NO_RANK}
+            if after[at] < n:
+                before[after[at]] = at
+                touched[at] = self.pairs.one(token[at], token[after[at]])
+            if before[at] >= 0:
+                touched[before[at]] = self.pairs.one(token[before[at]], token[at])
+            for place, value in touched.items():
+                rank[place] = value
+            for k in {place // width for place in touched}:
+                least[k] = blocks[k].min()
+
     def encode_matches(self, matches: list[str]) -> list[bytes]:
         """Ids of each match, as little-endian unsigned 32-bit integers."""
         raw = [m.encode("utf-8", "surrogatepass") for m in matches]
@@ -141,6 +181,8 @@ class ByteBpe:
         for k, r in enumerate(raw):
             if (whole := self.ids.get(r)) is not None:  # a token as it stands
                 out[k] = whole.to_bytes(4, "little")
+            elif len(r) > LONG:
+                out[k] = self.merge_long(self.byte[np.frombuffer(r, np.uint8)]).astype("<u4").tobytes()
             elif r:
                 todo.append(k)
         lengths = np.array([len(raw[k]) for k in todo], np.int64)

@@ -7,21 +7,39 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from relief.session import ensure_checkpoint_dir
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder that all executors share and read it back.
 
     Cuts the lineage: later jobs read the files, so a lost executor costs no recomputation of what came before.
-    The folder is the one the session names in ``spark.checkpoint.dir``.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  The table goes when the session's process ends, or
+    before by ``drop_table``.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _folder(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop_table(*tables: DataFrame | None) -> None:
+    """Delete the files of shared tables that nothing will read any more."""
+    for table in tables:
+        if table is not None:
+            where, files = _folder(table.sparkSession, table.shared_path)
+            files.delete(where, True)
 
 
 def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):

@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relief.llm.common import shared_table
+from relief.llm.common import drop_table, shared_table
 
 
 EDGES_PER_PARTITION = 100_000
@@ -45,7 +45,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not before[0]:
             break
         # as few partitions as the edges need, so that a round over few of them is not all task overhead
-        edges = shared_table(_small_star(_large_star(edges.coalesce(ceil(before[0] / EDGES_PER_PARTITION)))))
+        last, edges = edges, shared_table(_small_star(_large_star(edges.coalesce(ceil(before[0] / EDGES_PER_PARTITION)))))
+        drop_table(last)
         after = _mark(edges)
         if after == before:
             break

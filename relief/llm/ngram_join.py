@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relief.llm.common import binary_column, bounded_slices, mix64, shared_table
+from relief.llm.common import binary_column, bounded_slices, drop_table, mix64, shared_table
 from relief.llm.components import components
 from relief.llm.shingles import shingle_sets
 from relief.llm.signature_tree import CHUNK, LEAF, join_group, join_leaves, signature
@@ -39,6 +39,8 @@ SKETCH_CELLS = 1 << 20
 SKETCH_CHUNK = 1 << 15
 #: texts that a task works on at once; the arrays over their bytes take about 60 times as much
 SLICE_BYTES = 1 << 18
+#: what tells the set of a document
+OF_SET = ["doc", "size", "d1", "d2"]
 #: shingles of a block of a component, and about those of the small components that share a task
 BLOCK_SHINGLES, TASK_SHINGLES = 1 << 20, 1 << 18
 
@@ -49,7 +51,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its size and a 128-bit digest of its set; per task the counts of all its shingles by hash cell, in chunks."""
+    """Per document its tag, size and a 128-bit digest of its set; per task the counts of all its shingles by hash cell, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, any_rows = np.zeros(SKETCH_CELLS, np.int64), False
@@ -59,7 +61,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                 hashes, at = shingle_sets(part.column("_text"), words)
                 np.add.at(cells, (hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), 1)
                 none = pa.nulls(part.num_rows, pa.int32())
-                described = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
+                described = [part.column("_id"), part.column("_tag"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
                 yield pa.RecordBatch.from_arrays([*described, none, none, pa.nulls(part.num_rows, pa.binary())], names)
         if any_rows:
             chunks = cells.astype(np.uint32).reshape(-1, SKETCH_CHUNK)
@@ -67,10 +69,10 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             # partial sums first meet in 256 groups of tasks, then in one per chunk
             salt = np.full(len(chunks), TaskContext.get().partitionId() % 256, np.int32)
             counts = [pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array(salt), binary_column([c.tobytes() for c in chunks])]
-            yield pa.RecordBatch.from_arrays([none] * 4 + counts, names)
+            yield pa.RecordBatch.from_arrays([none] * 5 + counts, names)
 
-    names = ["doc", "size", "d1", "d2", "chunk", "salt", "counts"]
-    return docs.mapInArrow(run, "doc long, size long, d1 long, d2 long, chunk int, salt int, counts binary")
+    names = ["doc", "tag", "size", "d1", "d2", "chunk", "salt", "counts"]
+    return docs.mapInArrow(run, "doc long, tag long, size long, d1 long, d2 long, chunk int, salt int, counts binary")
 
 
 def _digests(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -120,10 +122,10 @@ def _describe(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
                 ends = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
-                columns = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at)), listed, binary_column(marks)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "size", "d1", "d2", "prefix", "mark"])
+                columns = [part.column("_id"), part.column("_tag"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at)), listed, binary_column(marks)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "tag", "size", "d1", "d2", "prefix", "mark"])
 
-    return docs.mapInArrow(run, "doc long, size long, d1 long, d2 long, prefix array<long>, mark binary").where("size > 0")
+    return docs.mapInArrow(run, "doc long, tag long, size long, d1 long, d2 long, prefix array<long>, mark binary").where("size > 0")
 
 
 def _id_filter(ids: DataFrame, most_bits: int = 1 << 30):
@@ -149,17 +151,17 @@ def _id_filter(ids: DataFrame, most_bits: int = 1 << 30):
 
 def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool) -> DataFrame:
     """Pairs (a < b) that survive the traversal, from ``members``: token, n (sets of the token), bin (tokens to
-    be dealt together), doc, size, component, mark."""
+    be dealt together), node, size, component, mark."""
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token = table.column("token").to_numpy()
         side = table.column("side").to_numpy()
-        doc = table.column("doc").to_numpy()
+        node = table.column("node").to_numpy()
         size = table.column("size").to_numpy()
         component = table.column("component").to_numpy()
         mark = table.column("mark").to_pylist()
-        order = np.lexsort((doc, size, token))
-        token, side, doc, size = token[order], side[order], doc[order], size[order]
+        order = np.lexsort((node, size, token))
+        token, side, node, size = token[order], side[order], node[order], size[order]
         component = np.unique(component[order], return_inverse=True)[1]
         mark = [mark[k] for k in order.tolist()]
         starts = np.r_[0, np.flatnonzero(np.diff(token)) + 1]
@@ -184,21 +186,21 @@ def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool)
                     up = up[similar[up] > share[x[up]]]
                     share[x[up]], partner[x[up]] = similar[up], y[up]
                 continue
-            out.append(np.stack([doc[i], doc[j]]))
+            out.append(np.stack([node[i], node[j]]))
             held += len(i)
             if held > 1 << 18:  # groups repeat pairs
                 out = [np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)]
                 held = out[0].shape[1] // 2
         if one_partner:
             has = np.flatnonzero(partner >= 0)
-            out = [np.stack([doc[partner[has]], doc[has]])]
+            out = [np.stack([node[partner[has]], node[has]])]
         both = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
         both = both[:, both[0] != both[1]]
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("int")
     small = F.col("blocks") == 1
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a set of block b meets every block: pairs (b, other) with the lower block on side 0; tasks of small groups hold
     # the bins of one hash bucket, about 4 * block rows, and at most about 16 * block more
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -209,27 +211,19 @@ def _candidates(members: DataFrame, percent: int, block: int, one_partner: bool)
     task = F.when(small, F.pmod("bin", F.lit(bins))).otherwise(F.xxhash64("token", low, high))
     rows = rows.withColumn("task", task).withColumn("many", ~small)
     return (
-        rows.select("task", "many", "token", "side", "doc", "size", "component", "mark")
+        rows.select("task", "many", "token", "side", "node", "size", "component", "mark")
         .groupBy("task", "many")
         .applyInArrow(run, "a long, b long")
         .distinct()
     )
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose exact sets are similar: a, b, overlap, union."""
-    wanted = shared_table(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
-    bits, bitmap = _id_filter(wanted)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            cell = batch.column("_cell").to_numpy()
-            batch = batch.filter(pa.array((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
-            for part in bounded_slices(batch, "_text", SLICE_BYTES):
-                hashes, at = shingle_sets(part.column("_text"), words)
-                parts = [hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), binary_column(parts)], ["doc", "shingles"])
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of classes whose exact sets are similar: a, b, overlap, union."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = shared_table(nodes.join(classes.select("node", *OF_SET), "node"))
+    ids = wanted.select(F.col("doc").alias("_id")).distinct()
+    bits, bitmap = _id_filter(ids)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,20 +236,38 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             kept = 100 * common >= percent * union
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[kept]) for c in ("a", "b")] + [pa.array(common[kept]), pa.array(union[kept])], ["a", "b", "overlap", "union"])
 
-    celled = docs.where("_id is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
-    own = celled.mapInArrow(sets, "doc long, shingles binary").join(wanted.withColumnRenamed("_id", "doc"), "doc", "left_semi")
-    own = shared_table(own)
-    left = own.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = own.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, overlap long, union long")
+    # an id may have several texts; equal rows of one id give one set
+    sets = _sets_of(docs, bits, bitmap, words).groupBy(*OF_SET).agg(F.first("shingles").alias("shingles"))
+    own = shared_table(sets.join(wanted, OF_SET).select("node", "shingles"))
+    left = own.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = own.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    found = shared_table(pairs.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, overlap long, union long"))
+    drop_table(wanted, own)
+    return found
+
 
+def _sets_of(docs: DataFrame, bits: int, bitmap, words: int) -> DataFrame:
+    """``doc, size, d1, d2, shingles`` of the documents that the filter lets through."""
 
-def _members_of_components(classes: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
-    """Classes of components of several classes: doc, size, d1, d2, class_key, component, ids (distinct ids with the set)."""
-    key = ["size", "d1", "d2"]
-    ids = described.where("doc is not null").select("doc", *key).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("ids"))
-    labelled = classes.where("doc is not null").select("doc", *key).join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    labelled = labelled.withColumns({"component": F.coalesce("component", "doc"), "class_key": F.xxhash64(*key)}).join(ids, key)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            cell = batch.column("_cell").to_numpy()
+            batch = batch.filter(pa.array((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+            for part in bounded_slices(batch, "_text", SLICE_BYTES):
+                hashes, at = shingle_sets(part.column("_text"), words)
+                parts = [hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                described = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
+                yield pa.RecordBatch.from_arrays([*described, binary_column(parts)], [*OF_SET, "shingles"])
+
+    celled = docs.where("_id is not null").select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(bits)).alias("_cell"))
+    return celled.mapInArrow(sets, "doc long, size long, d1 long, d2 long, shingles binary")
+
+
+def _members_of_components(classes: DataFrame, labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Classes of components of several classes: node, doc, size, d1, d2, component, n (classes), total (shingles), ids."""
+    labelled = classes.where("doc is not null").select("node", *OF_SET).join(labels, "node", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "node")).join(ids, OF_SET[1:])
     several = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
     return shared_table(labelled.join(several, "component"))
 
@@ -278,22 +290,11 @@ def _overlaps(ids: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, hel
 
 def _all_links(members: DataFrame, docs: DataFrame, words: int, percent: int, block: int, counted: bool) -> DataFrame:
     """Of every pair of classes of a component whose exact sets are similar: ``a, b, overlap, union``; ``counted``: instead
-    ``class_key, n``, the ids with a set similar to a class's, in parts that are still to be summed."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            cell = batch.column("_cell").to_numpy()
-            batch = batch.filter(pa.array((held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
-            for part in bounded_slices(batch, "_text", SLICE_BYTES):
-                hashes, at = shingle_sets(part.column("_text"), words)
-                parts = [hashes[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                described = [part.column("_id"), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))]
-                yield pa.RecordBatch.from_arrays([*described, binary_column(parts)], ["doc", "size", "d1", "d2", "shingles"])
+    ``node, n``, the ids with a set similar to a class's, in parts that are still to be summed."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("component", "ascending"), ("size", "ascending"), ("class_key", "ascending")]).combine_chunks()
-        component, side, size, own, doc, many = (table.column(c).to_numpy() for c in ("component", "side", "size", "class_key", "doc", "ids"))
+        table = table.sort_by([("component", "ascending"), ("size", "ascending"), ("node", "ascending")]).combine_chunks()
+        component, side, size, own, doc, many = (table.column(c).to_numpy() for c in ("component", "side", "size", "node", "doc", "ids"))
         parts = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
         marks = [signature(p) for p in parts]
         at = np.r_[0, np.cumsum(size)]
@@ -327,25 +328,23 @@ def _all_links(members: DataFrame, docs: DataFrame, words: int, percent: int, bl
                     found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), common[ok], union[ok]]))
         if counted:
             has = np.flatnonzero(linked)
-            return pa.table({"class_key": pa.array(own[has], pa.int64()), "n": pa.array(linked[has], pa.int64())})
+            return pa.table({"node": pa.array(own[has], pa.int64()), "n": pa.array(linked[has], pa.int64())})
         rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
         return pa.table({name: pa.array(row, pa.int64()) for name, row in zip(("a", "b", "overlap", "union"), rows, strict=True)})
 
     bits, bitmap = _id_filter(members.select(F.col("doc").alias("_id")).distinct())
-    celled = docs.where("_id is not null").withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(bits)))
-    key = ["doc", "size", "d1", "d2"]
-    rows = celled.mapInArrow(sets, "doc long, size long, d1 long, d2 long, shingles binary").join(members, key).dropDuplicates(key)
+    rows = _sets_of(docs, bits, bitmap, words).join(members, OF_SET).dropDuplicates(OF_SET)
     # components of over 256 classes already are several tasks' work; large ones have blocks of at most about ``block`` classes
     several = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(8), F.ceil(F.col("n") / 256)), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    rows = rows.withColumn("blocks", several.cast("int")).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", several.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     total = members.agg(F.sum("size")).first()[0] or 0
     bin_ = F.pmod(F.xxhash64("component"), F.lit(max(1, total // TASK_SHINGLES)))
     rows = rows.withColumn("side", F.when(F.col("block") > F.col("other"), 1).otherwise(0))
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, bin_).otherwise(F.xxhash64("component", low, high))).withColumn("split", F.col("blocks") > 1)
-    rows = rows.select("task", "split", "component", "side", "size", "class_key", "doc", "ids", "shingles")
-    return rows.groupBy("task", "split").applyInArrow(run, "class_key long, n long" if counted else "a long, b long, overlap long, union long")
+    rows = rows.select("task", "split", "component", "side", "size", "node", "doc", "ids", "shingles")
+    return rows.groupBy("task", "split").applyInArrow(run, "node long, n long" if counted else "a long, b long, overlap long, union long")
 
 
 def ngram_join(
@@ -358,37 +357,45 @@ def ngram_join(
     merging_rounds: int = 2,
     block: int = 2048,
     all_links: bool = True,
+    tag_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, links).  Documents: ``id_col, n_shingles, class_id, class_size, component_id, n_links``, one row per
     input row; ``class_id`` is the least id of the documents with the same set, ``component_id`` the least id reachable by
     links, ``n_links`` the number of other documents, by id and set, that link to the row's, those of the same set included.
     Links: ``a, b, overlap, union`` of all linked pairs of classes, by their representatives; they are found when read.
-    Without ``all_links`` there is no ``n_links``, and the links are only enough of them to connect every component.
+    Without ``all_links`` there is no ``n_links``, and the links are only enough of them to connect every component, by the
+    numbers of their classes.  With ``tag_col`` (long, not null; tells the rows of one id apart) the documents have it too,
+    and ``kept``: is the row its component's one of least (id, tag); rows without shingles or id are kept.
 
     Two documents link when ``100 * overlap >= percent * union`` of their sets of ``words``-word shingles (``percent`` over
     50).  Words are runs of other characters than space and 0x09-0x0D, lower-cased in A-Z only; with fewer words the whole
-    sequence is the one shingle.  Null, empty or wordless text: no shingles, no links, a component of its own.  Rows that
-    repeat an id are one node of the graph.  Rows with a null id get the class, component and links of equal sets, else null.
-    Other columns are ignored.  Hashes have 64 bits.
+    sequence is the one shingle.  Null, empty or wordless text: no shingles, no links, a component of its own.  The nodes of
+    the graph are the classes of equal sets, so rows that repeat an id with other texts are documents of their own.  Rows
+    with a null id get the class, component and links of equal sets, else null.  Other columns are ignored.  Hashes have 64
+    bits.
     """
     if percent <= 50:
         raise ValueError("percent has to be over 50")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    tag = F.lit(0).cast("long") if tag_col is None else F.col(tag_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), tag.alias("_tag"))
     scanned = shared_table(_scan(docs, words))
-    described = scanned.where("chunk is null").select("doc", "size", "d1", "d2")
+    described = scanned.where("chunk is null").select("doc", "tag", "size", "d1", "d2")
     levels = spark.sparkContext.broadcast(_levels(scanned.where("chunk is not null").select("chunk", "salt", "counts")).tobytes())
+    least = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "tag")))
+    # written once, so that a class keeps its number
     classes = shared_table(
         _describe(docs, words, percent, levels)
         .groupBy("size", "d1", "d2")
-        .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("class_size"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
+        .agg(least.alias("least"), F.count(F.lit(1)).alias("class_size"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
+        .select(F.monotonically_increasing_id().alias("node"), "least.doc", "least.tag", "size", "d1", "d2", "class_size", "prefix", "mark")
     )
     nodes = classes.where("doc is not null")
     # shingles that more than one set has among its first; one shuffle, read by both sides of the join
-    tokens = nodes.select("doc", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    common = tokens.groupBy("token").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.max("at").alias("_at")).where("_lo <> _hi")
-    held = tokens.join(common, "token").select("token", "doc", "at")
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("at", "token"))
+    tokens = nodes.select("node", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    common = tokens.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("at").alias("_at")).where("_lo <> _hi")
+    held = tokens.join(common, "token").select("token", "node", "at")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("at", "token"))
     held = shared_table(held.withColumn("nth", nth).drop("at"))
 
     def members(tokens: DataFrame) -> DataFrame:
@@ -398,35 +405,45 @@ def ngram_join(
         spread = shared.groupBy("_lo").agg(F.ceil(F.sum("n") / F.lit(16 * block)).alias("_parts"))
         shared = shared.join(spread, "_lo").withColumn("bin", F.xxhash64("_lo", F.pmod(F.xxhash64("token"), "_parts")))
         rows = tokens.join(shared.select("token", "n", "bin"), "token")
-        return shared_table(rows.join(nodes.select("doc", "size", "mark"), "doc").select("token", "n", "bin", "doc", "size", "component", "mark"))
+        return shared_table(rows.join(nodes.select("node", "size", "mark"), "node").select("token", "n", "bin", "node", "size", "component", "mark"))
 
     links = labels = None
     for last in [False] * merging_rounds + [True]:
         part = held if last else held.where(F.col("nth") <= first_shingles)
         if labels is None:
-            labelled = part.select("token", "doc", F.col("doc").alias("component"))
+            labelled = part.select("token", "node", F.col("node").alias("component"))
         else:
-            labelled = part.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-        found = shared_table(_candidates(members(labelled), percent, block, not last))
-        verified = _verify(found, docs, words, percent)
-        links = shared_table(verified if links is None else links.unionByName(verified))
+            labelled = part.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+        gathered = members(labelled)
+        found = shared_table(_candidates(gathered, percent, block, not last))
+        verified = _verify(found, classes, docs, words, percent)
+        drop_table(gathered, found)
+        if links is not None:
+            before, links = (links, verified), shared_table(links.unionByName(verified))
+            drop_table(*before)
+        else:
+            links = verified
         labels = components(links)
-    of_class = classes.select("size", "d1", "d2", "class_size", F.col("doc").alias("class_id")).join(
-        labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
-    )
+    drop_table(held)
+    reached = nodes.select("node", "doc", "tag").join(labels, "node").groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("first"))
+    of_class = classes.select("node", "size", "d1", "d2", "class_size", F.col("doc").alias("class_id"), F.col("tag").alias("class_tag"))
+    of_class = of_class.join(labels, "node", "left").join(reached, "component", "left")
     out = [
         F.col("doc").alias(id_col),
         F.col("size").alias("n_shingles"),
         F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("component", "class_id", "doc").alias("component_id"),
+        F.coalesce("first.doc", "class_id", "doc").alias("component_id"),
     ]
+    if tag_col is not None:
+        one = F.col("doc").isNull() | ((F.col("doc") == F.coalesce("first.doc", "class_id")) & (F.col("tag") == F.coalesce("first.tag", "class_tag")))
+        out += [F.col("tag").alias(tag_col), F.coalesce(one, F.lit(True)).alias("kept")]
     if all_links:
-        grouped = _members_of_components(classes, labels, described)
-        linked = _all_links(grouped, docs, words, percent, block, True).groupBy("class_key").agg(F.sum("n").alias("linked"))
-        ids = described.where("doc is not null").select("doc", "size", "d1", "d2").distinct().groupBy("size", "d1", "d2").agg(F.count(F.lit(1)).alias("ids"))
-        of_class = of_class.join(ids, ["size", "d1", "d2"], "left").withColumn("class_key", F.xxhash64("size", "d1", "d2")).join(linked, "class_key", "left")
+        ids = described.where("doc is not null").select(*OF_SET).distinct().groupBy(*OF_SET[1:]).agg(F.count(F.lit(1)).alias("ids"))
+        grouped = _members_of_components(classes, labels, ids)
+        linked = _all_links(grouped, docs, words, percent, block, True).groupBy("node").agg(F.sum("n").alias("linked"))
+        of_class = of_class.join(ids, OF_SET[1:], "left").join(linked, "node", "left")
         others = F.col("ids") - F.col("doc").isNotNull().cast("int") + F.coalesce("linked", F.lit(0))
         out.append(F.when(F.col("size") == 0, 0).otherwise(others).cast("long").alias("n_links"))
         links = _all_links(grouped, docs, words, percent, block, False).where("a <> b")
-    return described.select("doc", "size", "d1", "d2").join(of_class, ["size", "d1", "d2"], "left").select(*out), links
+    return described.join(of_class, ["size", "d1", "d2"], "left").select(*out), links

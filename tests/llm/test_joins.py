@@ -88,7 +88,17 @@ def test_join_empty_table_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(100))
     got, _ = ngram_join.ngram_join(spark.createDataFrame([(None, "lone text"), (None, text), (4, text), (9, text + " x"), (9, "other words here too")], schema))
     state = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str)
-    assert state == sorted([(None, 1, None), (None, 97, 4), (4, 97, 4), (9, 98, 4), (9, 1, 4)], key=str)
+    assert state == sorted([(None, 1, None), (None, 97, 4), (4, 97, 4), (9, 98, 4), (9, 1, 9)], key=str)  # the unlike text of id 9 is a document of its own
+
+
+def test_join_tells_the_rows_of_one_id_apart(spark):
+    base = [f"w{i}" for i in range(100)]
+    near, other = " ".join(base + ["x"]), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, " ".join(base), 10), (1, near, 11), (5, near + " y", 12), (5, other, 13), (5, other + " z", 14), (None, near, 15), (7, None, 16), (8, other, 17), (8, other, 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag long")
+    got, _ = ngram_join.ngram_join(docs, words=5, percent=80, all_links=False, tag_col="tag")
+    state = sorted(((r.tag, r.component_id, r.kept) for r in got.collect()), key=str)
+    assert state == sorted([(10, 1, True), (11, 1, False), (12, 1, False), (13, 5, True), (14, 5, False), (15, 1, True), (16, 7, True), (17, 5, False), (17, 5, False)], key=str)
 
 
 @pytest.mark.parametrize(("seed", "words", "percent", "block"), [(1, 4, 85, 2048), (2, 5, 80, 8), (3, 3, 60, 16)])

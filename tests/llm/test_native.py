@@ -60,6 +60,26 @@ def test_dedup_null_ids_repeated_rows_and_empty_table(spark):
     assert dedup(spark, []) == []
 
 
+def test_dedup_of_one_large_group_among_many_small_ones(spark, monkeypatch):
+    """The large group is broadcast to its rows, the small ones are shuffled; both give the same."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "The hot text").otherwise(F.concat(F.lit("text "), F.expr("id div 6"))).alias("text"))
+    want = {}
+    for r in df.collect():
+        want.setdefault(norm(r.text), []).append(r.doc_id)
+    for share in (4096, 2, 0):  # all groups of over two rows, the hot one, none
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+        out = exact_dedup.exact_dedup(df)
+        assert no_python(out)
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == sorted((i, max(g), len(g), i == max(g)) for g in want.values() for i in g)
+
+
+def test_dedup_refines_with_more_shared_keys_than_a_fixed_set_of_cells(spark):
+    """Cells grow with the rows: 120,000 rows whose lengths are shared, of which only two have an equal text."""
+    df = spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat(F.lpad((F.col("id") % 119_999).cast("string"), 8, "0"), F.lit("x")).alias("text"))
+    rows = exact_dedup.exact_dedup(df)
+    assert rows.where("group_size = 2").count() == 2 and rows.where("content_hash is not null").count() < 120_000 / 8
+
+
 # ---- sharding
 
 

@@ -118,6 +118,19 @@ def test_near_dedup_equals_brute_force(stages):
     assert sorted(r.doc_id for r in after) == want
 
 
+def test_near_dedup_drops_only_what_something_like_it_stays_for(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    a, near, other = " ".join(base), " ".join(base + ["x"]), " ".join(f"o{i}" for i in range(60))
+
+    def left(rows):
+        docs = spark.createDataFrame([(i, t, "en", None, None, None, None, None, None) for i, t in rows], SCHEMA)
+        return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()), key=str)
+
+    assert left([(1, a), (5, near), (5, other)]) == sorted([(1, a), (5, other)], key=str)
+    assert left([(5, a), (5, near), (5, other), (None, near), (6, None)]) == sorted([(5, min((a, near), key=lambda t: [r for r in left([(5, a), (5, near)]) if r[1] == t] == [])), (5, other), (None, near), (6, None)], key=str)
+    assert len(left([(5, a), (5, near)])) == 1
+
+
 def test_packing_holds_every_document_once(stages):
     before, after, _, _ = stages["pack"]
     held = {}

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,27 @@ def test_ids_equal_the_library_and_decode_back(bpe):
         assert bpe.decode(ids) == (text or "").encode()
 
 
+@pytest.mark.parametrize("long", [1, 7, 64, 1 << 11])
+def test_long_matches_equal_the_library(bpe, monkeypatch, long):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "LONG", long)
+    rng = random.Random(long)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (2, 9, 130, 2049, 5000) for letters in ("a", "ab", "aab", "abcdefghijklmnopqrstuvwxyz", "éa中", " ", "-=")]
+    bpe.known.clear()
+    for text, ids in zip(texts, bpe.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_a_very_long_match_takes_little_more_than_linear_time(bpe):
+    rng = random.Random(0)
+    text = "".join(rng.choice("abcdefghij") for _ in range(300_000))
+    start = time.perf_counter()
+    assert bpe.decode(bpe.encode_texts([text])[0]) == text.encode()
+    assert time.perf_counter() - start < 10
+
+
 def test_cache_may_be_emptied_between_batches(bpe):
     texts = fuzz(2, 50)
     once = bpe.encode_texts(texts)
