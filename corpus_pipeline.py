@@ -50,10 +50,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays; null ids stay."""
-    rows, _ = ngram_join.ngram_join(docs, words=5, percent=80, all_links=False)
-    dropped = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays (of several texts
+    of that id in one group, the one with the least hash); null ids stay.  A row goes only by its own id and text."""
+    tag = free_name(docs)
+    tagged = docs.withColumn(tag, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, _ = ngram_join.ngram_join(tagged, words=5, percent=80, all_links=False, tag_col=tag)
+    dropped = rows.where("not kept").select("doc_id", tag).distinct()
+    return tagged.join(dropped, ["doc_id", tag], "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
