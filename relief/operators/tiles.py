@@ -8,6 +8,8 @@ mosaic, so a "stitch" never materialises one big array.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ from relief.functions.geo import tile_key
 from relief.schema import Grid
 
 
+def dense(arr: pa.Array, length: int) -> np.ndarray:
+    """A list column of fixed-length lists (NULL list or NULL item -> NaN) as (rows, length)."""
+    out = np.full((len(arr), length), np.nan)
+    valid = arr.is_valid().to_numpy(zero_copy_only=False)
+    if valid.any():
+        vals = arr.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
+        out[valid] = np.asarray(vals, dtype=float).reshape(-1, length)
+    return out
+
+
 def raster_from_array(df: DataFrame, array_col: str, cols: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row-major array column of width ``cols`` -> cells ``(gx, gy, value)``."""
     e = df.select(*keep, F.posexplode(F.col(array_col)).alias("pos", "v"))
@@ -45,8 +57,8 @@ def pack(cells: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
     return g.select(*keys, "col", "row", data.alias("data"))
 
 
-def unpack(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), dense: bool = True) -> DataFrame:
-    """S9 back / M1 stitch: tiles -> cells.  ``dense`` keeps NODATA cells as NULL rows."""
+def unpack(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), keep_nodata: bool = True) -> DataFrame:
+    """S9 back: the cells of the tiles that there are.  ``keep_nodata`` keeps NODATA cells as NULL rows."""
     e = tiles.select(*keys, "col", "row", F.posexplode("data").alias("pos", "value"))
     out = e.select(
         *keys,
@@ -54,7 +66,7 @@ def unpack(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), dense: bool
         (F.col("row") * grid.tile_rows + F.expr(f"pos div {grid.tile_cols}")).cast("bigint").alias("gy"),
         "value",
     )
-    return out if dense else out.where(F.col("value").isNotNull())
+    return out if keep_nodata else out.where(F.col("value").isNotNull())
 
 
 def crop(cells: DataFrame, gx0: int, gy0: int, gx1: int, gy1: int) -> DataFrame:

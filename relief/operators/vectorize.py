@@ -3,28 +3,26 @@
 Z1 labels connected equal-valued, non-NODATA cells (4-neighbour).  Region id =
 the smallest cell id ``gy * 2^32 + gx`` in the region.
 
-Plan:
-  1. row runs by gaps-and-islands (``lag`` over (keys, gy, segment) ordered by
-     gx); a segment is ``segment`` cells wide, so no window partition grows
-     with the raster width;
-  2. run graph: every cell sends one message to the cell below it and, at a
-     segment end, one to the cell on its right; an equi-join on
-     (keys, gx, gy, value) returns the touching run pairs;
-  3. connected components, in two levels: inside each ``segment`` x ``segment``
-     block (a bounded group) a union-find in Arrow batches labels the block's
-     runs; only edges between blocks go to alternating large-star / small-star
-     rounds (Kiveris et al., 2014) over block-local labels.  Each round is a
-     few joins and aggregates cut from the lineage with a reliable
-     ``checkpoint()`` in the session's checkpoint folder, so a lost executor
-     recomputes at most one round; no cross-block edge means no round.
-Z2 turns each region's outline into rings: 4 directed sides per cell, sides
-shared inside a region cancel (anti-join), the remaining sides of a region are
-gathered in one row (a region's outline is one output value anyway) and chained
-into rings in Arrow batches of many regions (``mapInArrow``).
+Plan, on packed tiles throughout (a tile is the bounded unit of work):
+  1. ``tile_runs``: an Arrow pass turns each tile into maximal horizontal runs
+     of equal valid values and labels the tile's connected runs; no shuffle;
+  2. only the runs on tile borders meet their neighbours in the next tile, by an
+     equi-join on (keys, gx, gy, value);
+  3. the labels that touch go to alternating large-star / small-star rounds
+     (Kiveris et al., 2014).  Each round is a few joins and aggregates cut from
+     the lineage with a reliable ``checkpoint()`` in the session's checkpoint
+     folder, so a lost executor recomputes at most one round.
+Z2 never looks at single cells: the corners of a region's outline are the points
+where the signed ends of its runs in two neighbouring rows don't cancel; along
+each line of the grid they pair up to the outline's straight edges.  Edges are
+chained inside blocks of the grid, the chains that leave a block in the blocks
+of the next size, and so on until every chain is closed: a ring.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,39 +30,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from relief.operators import tiles as tl
+from relief.operators.stream import grouped, lists, whole_groups
 from relief.schema import Grid
-from relief.session import cut_lineage, ensure_checkpoint_dir
+from relief.session import cut_lineage, ensure_checkpoint_dir, stored
 
 SHIFT = 4294967296  # 2^32: cell id = gy * 2^32 + gx
 
 
-def row_runs(cells: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
-    """``(*keys, run, gy, gx0, gx1, value)``: maximal horizontal runs of equal valid values."""
+# --- Z1: runs and regions ------------------------------------------------------------
+
+
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least node of every node's connected component."""
+    parent = np.arange(n)
+    while len(u):
+        a, b = parent[u], parent[v]
+        low = np.minimum(a, b)
+        np.minimum.at(parent, a, low)
+        np.minimum.at(parent, b, low)
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        apart = parent[u] != parent[v]
+        u, v = u[apart], v[apart]
+    return parent
+
+
+def runs_of_tiles(data: np.ndarray, col: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of tiles (``k x rows x cols``, NaN = NODATA): tile, gy, gx0, gx1, value, label (least cell id of the tile's
+    connected runs)."""
+    k, tr, tc = data.shape
+    valid = ~np.isnan(data)
+    start = valid.copy()
+    start[:, :, 1:] &= ~(valid[:, :, :-1] & (data[:, :, 1:] == data[:, :, :-1]))
+    run = np.cumsum(start.reshape(-1)).reshape(data.shape) - 1
+    tile, y, x0 = np.nonzero(start)
+    size = np.bincount(run[valid], minlength=len(tile))
+    gy, gx0 = row[tile] * tr + y, col[tile] * tc + x0
+    touch = valid[:, 1:] & valid[:, :-1] & (data[:, 1:] == data[:, :-1])
+    pairs = np.unique(np.stack([run[:, 1:][touch], run[:, :-1][touch]]), axis=1)
+    least = _labels(len(tile), pairs[0], pairs[1])  # runs are numbered row by row inside a tile: the least has the least id
+    return tile, gy, gx0, gx0 + size - 1, data[tile, y, x0], gy[least] * SHIFT + gx0[least]
+
+
+def tile_runs(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, gy, gx0, gx1, value, label)``: maximal horizontal runs of every tile; ``label`` is equal for the tile's runs
+    that touch."""
     k = list(keys)
-    v = cells.where(F.col("value").isNotNull()).select(*k, "gx", "gy", "value", F.floor(F.col("gx") / segment).alias("seg"))
-    w = Window.partitionBy(*k, "gy", "seg").orderBy("gx")
-    new = (F.lag("gx").over(w) != F.col("gx") - 1) | (F.lag("value").over(w) != F.col("value"))
-    v = v.select("*", F.coalesce(new, F.lit(True)).cast("int").alias("_new"))
-    v = v.select("*", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_grp"))
-    runs = v.groupBy(*k, "gy", "seg", "_grp").agg(F.min("gx").alias("gx0"), F.max("gx").alias("gx1"), F.first("value").alias("value"))
-    return runs.select(*k, (F.col("gy") * SHIFT + F.col("gx0")).alias("run"), "gy", "gx0", "gx1", "value")
+    schema = T.StructType(
+        [tiles.schema[c] for c in k]
+        + [T.StructField(c, T.LongType()) for c in ("gy", "gx0", "gx1")]
+        + [T.StructField("value", T.DoubleType()), T.StructField("label", T.LongType())]
+    )
+    tc, tr = grid.tile_cols, grid.tile_rows
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            data = tl.dense(rb.column("data"), tc * tr).reshape(-1, tr, tc)
+            tile, *parts = runs_of_tiles(data, rb.column("col").to_numpy().astype(np.int64), rb.column("row").to_numpy().astype(np.int64))
+            own = [rb.column(c).take(pa.array(tile)) for c in k]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parts)], schema=arrow)
 
-def _cell_runs(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return runs.select(*keys, "run", "gy", "value", F.explode(F.sequence("gx0", "gx1")).alias("gx"))
+    arrow = to_arrow_schema(schema)
+    return tiles.select(*k, "col", "row", F.col("data").cast("array<double>").alias("data")).mapInArrow(run, schema)
 
 
-def run_edges(runs: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
-    """``(*keys, u, v)`` with u > v: runs that touch (same value, 4-neighbour)."""
-    k = list(keys)
-    c = _cell_runs(runs, keys)
-    down = c.select(*k, "gx", (F.col("gy") + 1).alias("gy"), "value", F.col("run").alias("r0"))
-    right = c.where((F.col("gx") + 1) % segment == 0).select(
-        *k, (F.col("gx") + 1).alias("gx"), "gy", "value", F.col("run").alias("r0")
-    )
-    msgs = down.unionByName(right)
-    j = msgs.join(c.select(*k, "gx", "gy", "value", F.col("run").alias("r1")), k + ["gx", "gy", "value"])
-    return j.select(*k, F.greatest("r0", "r1").alias("u"), F.least("r0", "r1").alias("v")).where("u != v").distinct()
+def _border_links(runs: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
+    """``(*keys, u, v)``, u > v: labels of runs that touch across a tile border."""
+
+    def cells(at_border, gx0: str, gx1: str, dx: int, dy: int) -> DataFrame:
+        x = F.explode(F.sequence(F.col(gx0) + dx, F.col(gx1) + dx))
+        return runs.where(at_border).select(*keys, x.alias("gx"), (F.col("gy") + dy).alias("gy"), "value", "label")
+
+    tc, tr = grid.tile_cols, grid.tile_rows
+    right, left = F.pmod(F.col("gx1") + 1, F.lit(tc)) == 0, F.pmod(F.col("gx0"), F.lit(tc)) == 0
+    bottom, top = F.pmod(F.col("gy") + 1, F.lit(tr)) == 0, F.pmod(F.col("gy"), F.lit(tr)) == 0
+    # the cell east of a right border, the cells south of a bottom border
+    sent = cells(right, "gx1", "gx1", 1, 0).withColumn("side", F.lit(0)).unionByName(cells(bottom, "gx0", "gx1", 0, 1).withColumn("side", F.lit(1)))
+    here = cells(left, "gx0", "gx0", 0, 0).withColumn("side", F.lit(0)).unionByName(cells(top, "gx0", "gx1", 0, 0).withColumn("side", F.lit(1)))
+    j = sent.join(here.withColumnRenamed("label", "other"), [*keys, "side", "gx", "gy", "value"])
+    return j.select(*keys, F.greatest("label", "other").alias("u"), F.least("label", "other").alias("v")).where("u != v").distinct()
 
 
 def _large_star(e: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,305 +154,203 @@ def components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 2
     return e.select(*k, "u", F.col("v").alias("label"))
 
 
-def _block(run: str, segment: int) -> list:
-    """Block of a run, straight from its id ``gy * 2^32 + gx0``."""
-    return [
-        F.floor(F.shiftright(F.col(run), 32) / segment).alias("_by"),
-        F.floor(F.col(run).bitwiseAND(F.lit(SHIFT - 1)) / segment).alias("_bx"),
-    ]
-
-
-def _union_find(keys: list[str]):
-    def run(batches):
-        for rb in batches:
-            d = rb.to_pydict()
-            out = {c: [] for c in keys + ["run", "label"]}
-            for r in range(rb.num_rows):
-                nodes = d["runs"][r]
-                parent = {n: n for n in nodes}
-
-                def find(x):
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                for e in d["edges"][r] or []:
-                    a, b = find(e["u"]), find(e["v"])
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                for n in nodes:
-                    for c in keys:
-                        out[c].append(d[c][r])
-                    out["run"].append(n)
-                    out["label"].append(find(n))
-            yield pa.RecordBatch.from_pydict(out, schema=run.schema)
-
-    return run
-
-
-def block_components(runs: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
-    """``(*keys, run, label)`` for every run: min run id of its connected component."""
+def region_runs(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Z1 on packed tiles: ``(*keys, gy, gx0, gx1, value, region)``, the runs of every region."""
     k = list(keys)
-    r = runs.select(*k, "run", *_block("run", segment))
-    vb = [c.alias(n) for c, n in zip(_block("v", segment), ("_vy", "_vx"))]
-    e = edges.select(*k, "u", "v", *_block("u", segment), *vb)
-    inner = e.where((F.col("_by") == F.col("_vy")) & (F.col("_bx") == F.col("_vx")))
-    cross = e.where((F.col("_by") != F.col("_vy")) | (F.col("_bx") != F.col("_vx"))).select(*k, "u", "v")
-    g = r.groupBy(*k, "_by", "_bx").agg(F.collect_list("run").alias("runs")).join(
-        inner.groupBy(*k, "_by", "_bx").agg(F.collect_list(F.struct("u", "v")).alias("edges")), k + ["_by", "_bx"], "left"
-    )
-    schema = T.StructType([runs.schema[c] for c in k] + [T.StructField("run", T.LongType()), T.StructField("label", T.LongType())])
-    fn = _union_find(k)
-    fn.schema = to_arrow_schema(schema)
-    local = cut_lineage(g.mapInArrow(fn, schema))
-    # cross-block edges between block-local labels
-    lu = local.select(*k, F.col("run").alias("u"), F.col("label").alias("lu"))
-    lv = local.select(*k, F.col("run").alias("v"), F.col("label").alias("lv"))
-    ce = cross.join(lu, k + ["u"]).join(lv, k + ["v"]).select(
-        *k, F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")
-    ).where("u != v").distinct()
-    ce = cut_lineage(ce)
-    if ce.isEmpty():
-        return local
-    glob = components(ce, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("glabel"))
-    return local.join(glob, k + ["label"], "left").select(
-        *k, "run", F.coalesce("glabel", "label").alias("label")
-    )
+    runs = stored(tile_runs(tiles, grid, keys))
+    links = stored(_border_links(runs, grid, k))
+    if links.isEmpty():
+        return runs.withColumnRenamed("label", "region")
+    joined = components(links, keys).select(*k, F.col("u").alias("label"), F.col("label").alias("least"))
+    return runs.join(joined, [*k, "label"], "left").select(*k, "gy", "gx0", "gx1", "value", F.coalesce("least", "label").alias("region"))
 
 
 def regions(cells: DataFrame, keys: tuple[str, ...] = (), segment: int = 256) -> DataFrame:
-    """``(*keys, gx, gy, value, region)`` for every valid cell."""
+    """``(*keys, gx, gy, value, region)`` for every valid cell.  The cells are packed into tiles of ``segment`` cells a side."""
     k = list(keys)
-    ensure_checkpoint_dir(cells.sparkSession)
-    runs = cut_lineage(row_runs(cells, keys, segment))
-    lab = block_components(runs, run_edges(runs, keys, segment), keys, segment)
-    r = runs.join(lab, k + ["run"]).select(*k, "run", "gy", "gx0", "gx1", "value", F.col("label").alias("region"))
+    grid = Grid(0.0, 0.0, 1.0, 1.0, segment, segment)
+    valid = cells.where(F.col("value").isNotNull()).select(*k, "gx", "gy", F.col("value").cast("double").alias("value"))
+    r = region_runs(tl.pack(valid, grid, keys), grid, keys)
     return r.select(*k, F.explode(F.sequence("gx0", "gx1")).alias("gx"), "gy", "value", "region")
 
 
 def region_summary(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(*keys, region, value, cells)``."""
-    return labelled.groupBy(*keys, "region").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("cells"))
-
-
-# --- Z2: outlines -> rings ---------------------------------------------------------
-
-def boundary_sides(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Directed unit sides ``(*keys, region, value, x0, y0, x1, y1)`` (grid corners) of each
-    region's outline, oriented with the region on the right when walking (gy south)."""
-    k = list(keys)
-    c = labelled.select(*k, "region", "value", "gx", "gy")
-    gx, gy = F.col("gx"), F.col("gy")
-    sides = F.array(
-        F.struct(gx.alias("x0"), gy.alias("y0"), (gx + 1).alias("x1"), gy.alias("y1")),  # top, west->east
-        F.struct((gx + 1).alias("x0"), gy.alias("y0"), (gx + 1).alias("x1"), (gy + 1).alias("y1")),  # right, down
-        F.struct((gx + 1).alias("x0"), (gy + 1).alias("y0"), gx.alias("x1"), (gy + 1).alias("y1")),  # bottom, east->west
-        F.struct(gx.alias("x0"), (gy + 1).alias("y0"), gx.alias("x1"), gy.alias("y1")),  # left, up
-    )
-    s = c.select(*k, "region", "value", F.inline(sides))
-    rev = s.select(*k, "region", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-    return s.join(rev, k + ["region", "x0", "y0", "x1", "y1"], "left_anti")
-
-
-RING_FIELDS = [
-    T.StructField("ring", T.IntegerType()),
-    T.StructField("hole", T.BooleanType()),
-    T.StructField("xs", T.ArrayType(T.LongType())),
-    T.StructField("ys", T.ArrayType(T.LongType())),
-]
-
-
-def _chain(x0s, y0s, x1s, y1s) -> list[tuple[float, list[int], list[int]]]:
-    """Chain one region's directed sides into closed rings, merging collinear sides.
-    At a pinch vertex (two outgoing sides) the walk takes the sharpest right turn, so
-    rings never cross.  Returns rings sorted by |area| (outer ring first)."""
-    out_edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s):
-        out_edges.setdefault((int(x0), int(y0)), []).append((int(x1), int(y1)))
-    rings = []
-    while out_edges:
-        start = min(out_edges)
-        pts = [start]
-        prev = None
-        cur = start
-        while True:
-            nxt_list = out_edges.get(cur)
-            if not nxt_list:
-                break
-            if len(nxt_list) == 1 or prev is None:
-                nxt = nxt_list[0]
-            else:
-                dx, dy = cur[0] - prev[0], cur[1] - prev[1]
-                # right turn in (x east, y south) is (−dy, dx)
-                right = (cur[0] - dy, cur[1] + dx)
-                nxt = right if right in nxt_list else nxt_list[0]
-            nxt_list.remove(nxt)
-            if not nxt_list:
-                del out_edges[cur]
-            prev, cur = cur, nxt
-            if cur == start:
-                break
-            pts.append(cur)
-        # drop collinear vertices
-        keep = []
-        n = len(pts)
-        for i in range(n):
-            a, b, c = pts[i - 1], pts[i], pts[(i + 1) % n]
-            if (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) != 0:
-                keep.append(b)
-        keep.append(keep[0])
-        xs = [p[0] for p in keep]
-        ys = [p[1] for p in keep]
-        signed = sum(a * d - b * c for a, b, c, d in zip(xs, ys, xs[1:], ys[1:])) / 2.0
-        rings.append((signed, xs, ys))
-    # outer ring first; equal areas by the ring's smallest (y, x) vertex, as the distributed path
-    rings.sort(key=lambda r: (-abs(r[0]), min(zip(r[2], r[1]))))
-    return rings
-
-
-def _chain_batches(keys: list[str]):
-    def run(batches):
+    """``(*keys, region, value, cells)`` from labelled cells or runs."""
+    size = F.col("gx1") - F.col("gx0") + 1 if "gx1" in labelled.columns else F.lit(1)
+    return labelled.groupBy(*keys, "region").agg(F.first("value").alias("value"), F.sum(size).cast("bigint").alias("cells"))
+
+
+# --- Z2: outlines -> rings -------------------------------------------------------------
+
+EAST, SOUTH, WEST, NORTH = range(4)
+
+
+def outline_edges(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Straight edges ``(*keys, region, value, x0, y0, dir, x1, y1)`` (grid corners) of each region's outline, with the region
+    on the right when walking (gy south): along the top of a cell to the east.
+
+    A run adds +1 at the start and -1 at the end of its top side, and the opposite on its bottom side.  Where the sum at a
+    point is not 0, the outline turns.  On every row line, and on every column line, the running sum tells the side on which
+    the region lies: 0 inside, outside and on straight stretches."""
+    k = [*keys, "region", "value"]
+
+    def end(y, x, sign: int):
+        return F.struct(y.alias("y"), x.alias("x"), F.lit(sign).alias("s"))
+
+    top, bottom, start, stop = F.col("gy"), F.col("gy") + 1, F.col("gx0"), F.col("gx1") + 1
+    ends = F.array(end(top, start, 1), end(top, stop, -1), end(bottom, start, -1), end(bottom, stop, 1))
+    corners = runs.select(*k, F.inline(ends)).groupBy(*k, "y", "x").agg(F.sum("s").alias("s")).where("s != 0")
+
+    def along(line: str, pos: str, ahead: int, back: int) -> DataFrame:
+        """Edges on the lines of one direction; a running sum of 1 walks ``ahead``."""
+        w = Window.partitionBy(*k, line).orderBy(pos)
+        state = F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        e = corners.select(*k, line, pos, F.lead(pos).over(w).alias("to"), state.alias("state")).where("state != 0")
+        forth = (F.col("state") > 0) if ahead == EAST else (F.col("state") < 0)
+        a, b = F.when(forth, F.col(pos)).otherwise(F.col("to")), F.when(forth, F.col("to")).otherwise(F.col(pos))
+        turn = F.when(forth, F.lit(ahead)).otherwise(F.lit(back)).alias("dir")
+        if line == "y":
+            return e.select(*k, a.alias("x0"), F.col("y").alias("y0"), turn, b.alias("x1"), F.col("y").alias("y1"))
+        return e.select(*k, F.col("x").alias("x0"), a.alias("y0"), turn, F.col("x").alias("x1"), b.alias("y1"))
+
+    return along("y", "x", EAST, WEST).unionByName(along("x", "y", SOUTH, NORTH))
+
+
+def link(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, first: np.ndarray, x1: np.ndarray, y1: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which chain of its group goes on where each chain ends (-1: none).  ``first`` and ``last`` are directions.  Where two
+    chains begin at one point, the right turn is taken, so that rings never cross."""
+    starts = np.rec.fromarrays([group, y0, x0, first])
+    order = np.argsort(starts)
+    held = starts[order]
+    out = np.full(len(group), -1)
+    for turn in (1, 3):
+        todo = np.flatnonzero(out < 0)
+        want = np.rec.fromarrays([group[todo], y1[todo], x1[todo], (last[todo] + turn) % 4], dtype=starts.dtype)
+        at = np.minimum(np.searchsorted(held, want), len(held) - 1)
+        hit = held[at] == want
+        out[todo[hit]] = order[at[hit]]
+    return out
+
+
+def follow(nxt: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """Open chains and closed ones, as lists of places."""
+    after = nxt.tolist()
+    entered = np.zeros(len(nxt), bool)
+    entered[nxt[nxt >= 0]] = True
+    seen = [False] * len(after)
+    found: tuple[list[list[int]], list[list[int]]] = ([], [])
+    for closed, begins in ((0, np.flatnonzero(~entered).tolist()), (1, range(len(after)))):
+        for k in begins:
+            if seen[k]:
+                continue
+            way = []
+            while k >= 0 and not seen[k]:
+                seen[k] = True
+                way.append(k)
+                k = after[k]
+            found[closed].append(way)
+    return found
+
+
+def _chain_blocks(chains: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Chains linked inside blocks of ``size`` grid corners, by their starts; closed ones are marked."""
+    k = [*keys, "region", "value"]
+    schema = T.StructType([*chains.schema.fields])
+    names = schema.names
+    groups = [*keys, "region", "_by", "_bx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in whole_groups(batches, groups):
+            x0, y0, first, x1, y1, last = (t.column(c).to_numpy() for c in ("x0", "y0", "dir", "x1", "y1", "last"))
+            ends, xs, ys = t.column("xs").combine_chunks().offsets.to_numpy(), t.column("xs").combine_chunks().flatten().to_numpy(), t.column("ys").combine_chunks().flatten().to_numpy()
+            opened, rings = follow(link(group, x0, y0, first, x1, y1, last))
+            ways = opened + rings
+            if not ways:
+                continue
+            head, tail = np.array([w[0] for w in ways]), np.array([w[-1] for w in ways])
+            places = [np.concatenate([np.arange(ends[p], ends[p + 1]) for p in w]) for w in ways]
+            closed = np.arange(len(ways)) >= len(opened)
+            cols = {
+                **{c: t.column(c).combine_chunks().take(pa.array(head)) for c in k},
+                "x0": pa.array(x0[head]), "y0": pa.array(y0[head]), "dir": pa.array(first[head]),
+                "x1": pa.array(x1[tail]), "y1": pa.array(y1[tail]), "last": pa.array(last[tail]), "closed": pa.array(closed),
+                "xs": lists([xs[p] for p in places], pa.int64()), "ys": lists([ys[p] for p in places], pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays([cols[c].cast(arrow.field(c).type) for c in names], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    dealt = chains.withColumns({"_by": F.floor(F.col("y0") / size), "_bx": F.floor(F.col("x0") / size)})
+    return grouped(dealt, groups, ["y0", "x0", "dir"]).mapInArrow(run, schema)
+
+
+def closed_chains(edges: DataFrame, keys: tuple[str, ...] = (), block: int = 256) -> DataFrame:
+    """``(*keys, region, value, xs, ys)``: the corners of every ring in walking order, from any of them.
+
+    A round links the chains that begin in one block of the grid; the blocks' side grows fourfold.  Rings leave in the round
+    that closes them, so a late round holds only what is longer than the blocks before."""
+    k = [*keys, "region", "value"]
+    corner = [F.array("x0").alias("xs"), F.array("y0").alias("ys")]
+    chains = edges.select(*k, "x0", "y0", "dir", "x1", "y1", F.col("dir").alias("last"), F.lit(False).alias("closed"), *corner)
+    rings = None
+    while True:
+        chains = stored(_chain_blocks(chains, list(keys), block))
+        done = chains.where("closed").select(*k, "xs", "ys")
+        rings = done if rings is None else rings.unionByName(done)
+        chains = chains.where("not closed")
+        if chains.isEmpty():
+            return rings
+        block *= 4
+
+
+def region_rings(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, region, value, ring, hole, xs, ys)`` in grid-corner units, from labelled runs or cells.  Ring 0 is the
+    outer ring (a 4-connected region has exactly one), the others are holes, larger ones first, equal ones by their least
+    corner.  A ring begins and ends at its least (y, x) corner."""
+    w = Window.partitionBy(*keys, "region").orderBy(F.desc("area"), "y", "x")
+    r = _measured(runs, keys).withColumn("ring", F.row_number().over(w) - 1)
+    return r.select(*keys, "region", "value", F.col("ring").cast("int"), (F.col("ring") > 0).alias("hole"), "xs", "ys")
+
+
+def _measured(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Closed rings from their least corner on, with it (``y, x``) and the area."""
+    if "gx1" not in runs.columns:
+        runs = runs.select(*keys, "region", "value", "gy", F.col("gx").alias("gx0"), F.col("gx").alias("gx1"))
+    rings = closed_chains(outline_edges(runs, keys), keys)
+    schema = T.StructType([*rings.schema.fields, T.StructField("y", T.LongType()), T.StructField("x", T.LongType()), T.StructField("area", T.DoubleType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            d = rb.to_pydict()
-            out = {c: [] for c in keys + ["region", "value", "ring", "hole", "xs", "ys"]}
-            for r in range(rb.num_rows):
-                sides = d["sides"][r]
-                rings = _chain([e["x0"] for e in sides], [e["y0"] for e in sides], [e["x1"] for e in sides], [e["y1"] for e in sides])
-                for n, (_, xs, ys) in enumerate(rings):
-                    for c in keys + ["region", "value"]:
-                        out[c].append(d[c][r])
-                    out["ring"].append(n)
-                    out["hole"].append(n > 0)
-                    out["xs"].append(xs)
-                    out["ys"].append(ys)
-            yield pa.RecordBatch.from_pydict(out, schema=run.schema)
-
-    return run
-
-
-def _side_table(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """Sides with direction (0 E, 1 S, 2 W, 3 N) and an id ordered by (y0, x0, dir)."""
-    d = (
-        F.when(F.col("x1") > F.col("x0"), 0).when(F.col("y1") > F.col("y0"), 1)
-        .when(F.col("x1") < F.col("x0"), 2).otherwise(3)
-    )
-    t = sides.select(*keys, "region", "x0", "y0", "x1", "y1", d.alias("dir"))
-    return t.withColumn("sid", (F.col("y0") * (1 << 30) + F.col("x0")) * 4 + F.col("dir"))
-
-
-def distributed_rings(sides: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 64) -> DataFrame:
-    """Z2 without gathering a region: ``(*keys, region, ring_id, seq, x, y, area)`` corner
-    vertices of every ring, ``seq`` in walking order from the ring's smallest side.
-
-    successor  equi-join of sides on (region, end vertex = start vertex); at a pinch
-               vertex the right turn wins, as in the in-memory chain;
-    rings      pointer jumping: each side keeps the smallest side id seen ahead and its
-               distance; windows double every round (one join + reliable checkpoint),
-               so ceil(log2 L) + 1 rounds label every ring of length L and rank it;
-    corners    a side's end vertex is kept when the next side turns;
-    area       shoelace sum per ring (a partially aggregated sum)."""
-    k = list(keys)
-    t = cut_lineage(_side_table(sides, k))
-    e = t.select(*k, "region", "sid", "x1", "y1", "dir")
-    f = t.select(*k, "region", F.col("sid").alias("fsid"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("dir").alias("fdir"))
-    turn = F.pmod(F.col("fdir") - F.col("dir"), F.lit(4))
-    prio = F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)
-    cand = e.join(f, k + ["region", "x1", "y1"]).select(*k, "region", "sid", "x1", "y1", "dir", "fsid", "fdir", prio.alias("p"))
-    succ = cand.groupBy(*k, "region", "sid").agg(
-        F.min(F.struct("p", "fsid", "fdir")).alias("best"), F.first("x1").alias("x1"), F.first("y1").alias("y1"),
-        F.first("dir").alias("dir"),
-    ).select(
-        *k, "region", "sid", F.col("best.fsid").alias("nxt"), (F.col("best.fdir") != F.col("dir")).alias("corner"), "x1", "y1"
-    )
-    succ = cut_lineage(succ)
-    state = succ.select(*k, "region", "sid", "nxt", F.lit(1).cast("bigint").alias("w"), F.col("sid").alias("mn"), F.lit(0).cast("bigint").alias("dmn"))
-    state = cut_lineage(state)
-    for _ in range(max_rounds):
-        b = state.select(*k, "region", F.col("sid").alias("nxt"), F.col("nxt").alias("bn"), F.col("w").alias("bw"),
-                         F.col("mn").alias("bmn"), F.col("dmn").alias("bdmn"))
-        j = state.join(b, k + ["region", "nxt"])
-        better = F.col("bmn") < F.col("mn")
-        new = j.select(
-            *k, "region", "sid", F.col("bn").alias("nxt"), (F.col("w") + F.col("bw")).alias("w"),
-            F.when(better, F.col("bmn")).otherwise(F.col("mn")).alias("mn"),
-            F.when(better, F.col("w") + F.col("bdmn")).otherwise(F.col("dmn")).alias("dmn"),
-            better.alias("_chg"),
-        )
-        new = cut_lineage(new)
-        changed = not new.where("_chg").isEmpty()
-        state = new.drop("_chg")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("ring labelling did not converge")
-    size = state.groupBy(*k, "region", "mn").agg(F.count(F.lit(1)).alias("L"))
-    area = t.join(state.select(*k, "region", "sid", "mn"), k + ["region", "sid"]).groupBy(*k, "region", "mn").agg(
-        (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area")
-    )
-    v = state.join(succ.select(*k, "region", "sid", "corner", "x1", "y1"), k + ["region", "sid"]).where("corner")
-    v = v.join(size, k + ["region", "mn"]).join(area, k + ["region", "mn"])
-    seq = F.pmod(F.col("L") - F.col("dmn"), F.col("L"))
-    return v.select(*k, "region", F.col("mn").alias("ring_id"), seq.alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"), "area")
-
-
-def region_rings(labelled: DataFrame, keys: tuple[str, ...] = (), max_sides: int = 1_000_000) -> DataFrame:
-    """``(*keys, region, value, ring, hole, xs, ys)`` in grid-corner units; ring 0 is
-    the outer ring (a 4-connected region has exactly one), the others are holes.
-
-    A region with at most ``max_sides`` outline sides is chained in memory (its sides
-    are one bounded row, many regions per Arrow batch); a larger region is chained by
-    :func:`distributed_rings`, so no task ever holds an unbounded outline -- only each
-    ring's final coordinate arrays (the output value itself) are assembled per ring."""
-    k = list(keys)
-    s = boundary_sides(labelled, keys)
-    n = s.groupBy(*k, "region").agg(F.count(F.lit(1)).alias("_n"))
-    ensure_checkpoint_dir(labelled.sparkSession)
-    s = cut_lineage(s.join(n, k + ["region"]))  # both paths and the size test read it once
-    small = s.where(F.col("_n") <= max_sides).drop("_n")
-    large = s.where(F.col("_n") > max_sides).drop("_n")
-    g = small.groupBy(*k, "region").agg(
-        F.first("value").alias("value"), F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("sides")
-    )
-    schema = T.StructType(
-        [s.schema[c] for c in k] + [T.StructField("region", T.LongType()), T.StructField("value", T.DoubleType())] + RING_FIELDS
-    )
-    fn = _chain_batches(k)
-    fn.schema = pa.schema(
-        [(c, pa.from_numpy_dtype(np.int64) if isinstance(s.schema[c].dataType, T.LongType) else pa.string()) for c in k]
-        + [("region", pa.int64()), ("value", pa.float64()), ("ring", pa.int32()), ("hole", pa.bool_()),
-           ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))]
-    )
-    out = g.mapInArrow(fn, schema)
-    if large.isEmpty():
-        return out
-    vals = large.groupBy(*k, "region").agg(F.first("value").alias("value"))
-    v = distributed_rings(large.drop("value"), keys)
-    rings = v.groupBy(*k, "region", "ring_id", "area").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
-    w = Window.partitionBy(*k, "region").orderBy(F.abs(F.col("area")).desc(), F.col("ring_id"))
-    rings = rings.select(
-        *k, "region", F.row_number().over(w).alias("_r"),
-        F.concat(F.transform("p", lambda q: q["x"]), F.slice(F.transform("p", lambda q: q["x"]), 1, 1)).alias("xs"),
-        F.concat(F.transform("p", lambda q: q["y"]), F.slice(F.transform("p", lambda q: q["y"]), 1, 1)).alias("ys"),
-    ).join(vals, k + ["region"])
-    big = rings.select(
-        *k, "region", "value", (F.col("_r") - 1).cast("int").alias("ring"), (F.col("_r") > 1).alias("hole"), "xs", "ys"
-    )
-    return out.unionByName(big)
-
-
-def region_polygons(labelled: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Z2+Z3: one GeoJSON Feature per region, map coordinates, ``value`` property.
-
-    Result ``(*keys, region, value, geojson)``."""
+            ends, xs, ys = rb.column("xs").offsets.to_numpy(), rb.column("xs").flatten().to_numpy(), rb.column("ys").flatten().to_numpy()
+            base = ends[0]
+            out, area = ([], []), np.zeros(rb.num_rows)
+            for r, (lo, hi) in enumerate(zip((ends[:-1] - base).tolist(), (ends[1:] - base).tolist(), strict=True)):
+                x, y = xs[lo:hi], ys[lo:hi]
+                at = int(np.lexsort((x, y))[0])
+                x, y = np.r_[x[at:], x[: at + 1]], np.r_[y[at:], y[: at + 1]]
+                dx, dy = x - x[0], y - y[0]
+                area[r] = abs(int((dx[:-1] * dy[1:] - dx[1:] * dy[:-1]).sum())) / 2
+                out[0].append(x)
+                out[1].append(y)
+            cols = {c: rb.column(c) for c in rb.schema.names} | {"xs": lists(out[0], pa.int64()), "ys": lists(out[1], pa.int64()), "area": pa.array(area)}
+            cols |= {"y": pa.array([int(v[0]) for v in out[1]], pa.int64()), "x": pa.array([int(v[0]) for v in out[0]], pa.int64())}
+            yield pa.RecordBatch.from_arrays([cols[c].cast(arrow.field(c).type) for c in names], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return rings.mapInArrow(run, schema)
+
+
+def region_polygons(runs: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Z2+Z3: one GeoJSON Feature per region, map coordinates, ``value`` property, from labelled runs or cells.
+
+    Result ``(*keys, region, value, geojson)``; a region's polygon is one value and has to fit one row."""
     k = list(keys)
-    r = region_rings(labelled, keys)
     coords = F.transform(
         F.arrays_zip("xs", "ys"),
         lambda p: F.array(F.lit(grid.xmin) + p["xs"] * grid.cell_w, F.lit(grid.ymax) - p["ys"] * grid.cell_h),
     )
-    rr = r.select(*k, "region", "value", "ring", coords.alias("c"))
-    poly = rr.groupBy(*k, "region", "value").agg(F.array_sort(F.collect_list(F.struct("ring", "c"))).alias("rs"))
+    one = F.struct((-F.col("area")).alias("a"), "y", "x", coords.alias("c"))
+    poly = _measured(runs, keys).groupBy(*k, "region", "value").agg(F.array_sort(F.collect_list(one)).alias("rs"))
     geom = F.struct(F.lit("Polygon").alias("type"), F.transform("rs", lambda x: x["c"]).alias("coordinates"))
     feat = F.struct(
         F.lit("Feature").alias("type"), geom.alias("geometry"), F.struct(F.col("value").alias("value")).alias("properties")

@@ -1,13 +1,13 @@
-"""Viewsheds for whole observer tables (V1-V5), as joins, windows and aggregates.
+"""Viewsheds for whole observer tables (V1-V5).
 
-Cells are ``(gx, gy, value)``; an observer is ``(id, ox, oy, oz, radius)`` in grid
+Cells are ``(gx, gy, value)``, tiles ``(col, row, data)``; an observer is ``(id, ox, oy, oz, radius)`` in grid
 units (``observer_cells`` derives it from map coordinates and the DEM).  Slopes
 are ``(z - oz) / d`` with ``d`` in cells -- the cell size scales every slope of a
 ray alike, so it does not change any comparison.  NODATA and off-raster cells
 neither block a ray nor get a result.  The observer's own cell is visible.
 
 Physical plan of the perimeter-ray viewshed (V2), per observer of radius R:
-  rays   8R perimeter targets (``explode(sequence)``),
+  rays   8R perimeter targets (``explode(sequence)``), dealt out over all tasks,
   steps  R samples per ray, the nearest cell at each major-axis step,
   join   samples = raster on the cell index (equi-join, no theta join),
   window running max of the slope over (observer, ray) ordered by step --
@@ -15,15 +15,29 @@ Physical plan of the perimeter-ray viewshed (V2), per observer of radius R:
          the data or with a hot observer,
   group  max(visible) per (observer, cell), partially aggregated.
 About 8R^2 samples per observer.
+
+The approximate viewshed (V4) goes ring by ring: the horizon of a cell is
+interpolated between the two cells of the ring inside it that its line of sight
+passes, so every valid cell has an answer, at the cost of one look per cell.
+Observers of one tile share their window of packed tiles; a task holds one window,
+whose size the request's radius or buffer sets, not the layer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent, tile_key
+from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent
 from relief.operators.joins import join_bounded, prune_to_tiles, row_bound
+from relief.operators.stream import grouped, whole_groups
+from relief.operators.tiles import dense
 from relief.schema import Grid
 from relief.session import cut_lineage
 
@@ -69,19 +83,6 @@ def _nearest(k: Column, d: Column, r: Column) -> Column:
     return F.floor((2 * k * d + r).cast("double") / (2 * r).cast("double")).cast("bigint")
 
 
-BUFFER_COLS = ("px", "py", "buff")
-
-
-def _carry(obs: DataFrame) -> tuple[str, ...]:
-    return BUFFER_COLS if all(c in obs.columns for c in BUFFER_COLS) else ()
-
-
-def in_buffer(grid: Grid) -> Column:
-    """G7 as a row predicate: the cell's tile touches the observer's buffer disk."""
-    col, row = tile_key(grid, "gx", "gy")
-    return point_rect_dist2(F.col("px"), F.col("py"), tile_extent(grid, col, row)) <= F.col("buff") * F.col("buff")
-
-
 EXTENT_COLS = ("bx0", "by0", "bx1", "by1")
 
 
@@ -105,19 +106,20 @@ def _last_step(clip: bool) -> Column:
 
 def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
     """``(id, ray, k, gx, gy, dist, oz)`` samples of the perimeter rays of each observer."""
-    carry = _carry(obs)
     ext = [c for c in EXTENT_COLS if c in obs.columns]
     rays = obs.select(
-        "id", "ox", "oy", "oz", "radius", *carry, *ext,
+        "id", "ox", "oy", "oz", "radius", *ext,
         F.explode(F.sequence(F.lit(0), 8 * F.col("radius") - 1, F.lit(int(ray_step)))).alias("ray"),
     ).where(F.col("radius") > 0)
+    # one observer's rays are many tasks' work; a fixed number, as their few bytes would be coalesced into one task
+    rays = rays.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "ray")
     dx, dy = _perimeter(F.col("ray"), F.col("radius"))
-    rays = rays.select("id", "ox", "oy", "oz", "radius", *carry, *ext, "ray", dx.alias("dx"), dy.alias("dy"))
+    rays = rays.select("id", "ox", "oy", "oz", "radius", *ext, "ray", dx.alias("dx"), dy.alias("dy"))
     steps = rays.select("*", F.explode(F.sequence(F.lit(1), _last_step(len(ext) == 4))).alias("k"))
     sx = _nearest(F.col("k"), F.col("dx"), F.col("radius"))
     sy = _nearest(F.col("k"), F.col("dy"), F.col("radius"))
     return steps.select(
-        "id", "ray", "k", "oz", *carry,
+        "id", "ray", "k", "oz",
         (F.col("ox") + sx).cast("bigint").alias("gx"),
         (F.col("oy") + sy).cast("bigint").alias("gy"),
         F.sqrt((sx * sx + sy * sy).cast("double")).alias("dist"),
@@ -129,36 +131,29 @@ def _valid(cells: DataFrame, keyed: bool) -> DataFrame:
     return cells.where(F.col("value").isNotNull()).select(*keys, "gx", "gy", "value")
 
 
-def observer_tile_keys(obs: DataFrame, grid: Grid) -> DataFrame:
-    """``(id, col, row)``: tiles of each observer's square of radius R (G5/G7 on keys)."""
-    c0 = F.floor((F.col("ox") - F.col("radius")) / grid.tile_cols).cast("int")
-    c1 = F.floor((F.col("ox") + F.col("radius")) / grid.tile_cols).cast("int")
-    r0 = F.floor((F.col("oy") - F.col("radius")) / grid.tile_rows).cast("int")
-    r1 = F.floor((F.col("oy") + F.col("radius")) / grid.tile_rows).cast("int")
-    k = obs.select("id", F.explode(F.sequence(c0, c1)).alias("col"), r0.alias("r0"), r1.alias("r1"))
-    return k.select("id", "col", F.explode(F.sequence("r0", "r1")).alias("row"))
+def observer_tile_keys(obs: DataFrame, grid: Grid, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *carry, col, row)``: tiles of each observer's square of radius R, inside the extent on its row if it has one."""
+    lo, hi = {"x": F.col("ox") - F.col("radius"), "y": F.col("oy") - F.col("radius")}, {"x": F.col("ox") + F.col("radius"), "y": F.col("oy") + F.col("radius")}
+    if all(c in obs.columns for c in EXTENT_COLS):
+        lo = {d: F.greatest(v, F.col(f"b{d}0")) for d, v in lo.items()}
+        hi = {d: F.least(v, F.col(f"b{d}1")) for d, v in hi.items()}
+    c0, c1 = (F.floor(side["x"] / grid.tile_cols).cast("int") for side in (lo, hi))
+    r0, r1 = (F.floor(side["y"] / grid.tile_rows).cast("int") for side in (lo, hi))
+    k = obs.where((c0 <= c1) & (r0 <= r1)).select("id", *carry, F.explode(F.sequence(c0, c1)).alias("col"), r0.alias("r0"), r1.alias("r1"))
+    return k.select("id", *carry, "col", F.explode(F.sequence("r0", "r1")).alias("row"))
 
 
-def viewshed_r2(
-    obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False, buffer_grid: Grid | None = None,
-    prune_grid: Grid | None = None,
-) -> DataFrame:
+def viewshed_r2(obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool = False, prune_grid: Grid | None = None) -> DataFrame:
     """V2: ``(id, gx, gy, vis)`` for every valid cell reached by a perimeter ray.
 
-    ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface).
-    ``buffer_grid``: observers carry ``px, py, buff`` and see only the tiles of
-    ``buffer_grid`` that touch their buffer disk (V5) -- a predicate on each
-    sample, so the surface is never copied per observer."""
+    ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface)."""
     on = ["id", "gx", "gy"] if keyed else ["gx", "gy"]
     samples = ray_samples(obs, ray_step)
-    if buffer_grid is not None:
-        samples = samples.where(in_buffer(buffer_grid))
     bound = samples_bound(obs, ray_step)
-    grid = prune_grid or buffer_grid
     prune = None
-    if grid is not None and not keyed:
-        tk = observer_tile_keys(obs, grid)
-        prune = lambda big: prune_to_tiles(big, tk, grid, bound)
+    if prune_grid is not None and not keyed:
+        tk = observer_tile_keys(obs, prune_grid)
+        prune = lambda big: prune_to_tiles(big, tk, prune_grid, bound)
     s = join_bounded(_valid(cells, keyed), samples, on, bound, row_bytes=56, prune=prune)
     s = s.select("id", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
     w = Window.partitionBy("id", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -242,108 +237,163 @@ def viewshed_exact(obs: DataFrame, cells: DataFrame) -> DataFrame:
     return res.select("id", "gx", "gy", vis.alias("vis")).unionByName(here)
 
 
-def viewshed_approx(
-    obs: DataFrame, cells: DataFrame, ray_step: int = 4, keyed: bool = False, buffer_grid: Grid | None = None,
-    prune_grid: Grid | None = None,
-) -> DataFrame:
-    """V4: V2 over every ``ray_step``-th perimeter ray; a valid cell no ray reached takes
-    the answer of the nearest reached cell on the same square ring (ties -> the
-    earlier position)."""
-    reached = viewshed_r2(obs, cells, ray_step, keyed, buffer_grid, prune_grid)
-    carry = _carry(obs) if buffer_grid is not None else ()
-    sq = obs.select("id", "ox", "oy", "radius", *carry, F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
-    sq = sq.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dy"))
-    ring = F.greatest(F.abs("dx"), F.abs("dy"))
-    # position along the ring, same walk as the perimeter rays
-    pos = (
-        F.when((F.col("dy") == -ring) & (F.col("dx") < ring), F.col("dx") + ring)
-        .when(F.col("dx") == ring, 2 * ring + F.col("dy") + ring)
-        .when(F.col("dy") == ring, 4 * ring + ring - F.col("dx"))
-        .otherwise(6 * ring + ring - F.col("dy"))
-    )
-    sq = sq.select(
-        "id",
-        *carry,
-        (F.col("ox") + F.col("dx")).cast("bigint").alias("gx"),
-        (F.col("oy") + F.col("dy")).cast("bigint").alias("gy"),
-        ring.alias("ring"),
-        pos.alias("pos"),
-    )
-    if buffer_grid is not None:
-        sq = sq.where(in_buffer(buffer_grid) | (F.col("ring") == 0))
-    # valid surface cells, plus the observer's own cell, which always answers
-    flag = _valid(cells, keyed).select(*(["id"] if keyed else []), "gx", "gy", F.lit(True).alias("_v"))
-    grid = prune_grid or buffer_grid
-    if grid is not None and not keyed:
-        flag = prune_to_tiles(flag, observer_tile_keys(obs, grid), grid, samples_bound(obs, 1))
-    sq = sq.join(flag, ["id", "gx", "gy"] if keyed else ["gx", "gy"], "left").where(
-        F.col("_v").isNotNull() | (F.col("ring") == 0)
-    ).select("id", "gx", "gy", "ring", "pos")
-    j = sq.join(reached, ["id", "gx", "gy"], "left")
-    w = Window.partitionBy("id", "ring").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    rp = F.when(F.col("vis").isNotNull(), F.col("pos"))
-    j = j.select(
-        "id", "gx", "gy", "pos", "vis",
-        F.last(rp, ignorenulls=True).over(before).alias("p0"),
-        F.last(F.when(F.col("vis").isNotNull(), F.col("vis")), ignorenulls=True).over(before).alias("v0"),
-        F.first(rp, ignorenulls=True).over(after).alias("p1"),
-        F.first(F.when(F.col("vis").isNotNull(), F.col("vis")), ignorenulls=True).over(after).alias("v1"),
-    )
-    fill = F.when(F.col("p1").isNull(), F.col("v0")).when(F.col("p0").isNull(), F.col("v1")).when(
-        (F.col("pos") - F.col("p0")) <= (F.col("p1") - F.col("pos")), F.col("v0")
-    ).otherwise(F.col("v1"))
-    return j.select("id", "gx", "gy", F.coalesce(F.col("vis"), fill).alias("vis")).where(F.col("vis").isNotNull())
-
-
-def tiles_within(obs_xy: DataFrame, grid: Grid, buff_col: str = "buff") -> DataFrame:
-    """``(id, col, row)`` of the tiles whose rectangle touches the disk of radius
+# --- V4: ring by ring ------------------------------------------------------------------
+
+#: observers that share a window, and cells of their results that a task holds at once
+MEMBERS = 64
+RESULT_CELLS = 1 << 25
+#: cells of a window (8 bytes each); a larger one fails with a message
+WINDOW_CELLS = 1 << 28
+
+
+def _ring_looks(z: np.ndarray, ox: np.ndarray, oy: np.ndarray, oz: np.ndarray, own: np.ndarray | None, reach: np.ndarray, tile: tuple[int, int]) -> np.ndarray:
+    """1 / 0 / -1 (visible, hidden, no cell) for every cell of the window ``z`` (NaN = NODATA) and observer (``n x rows x cols``).
+
+    ``own``: per observer, which tiles of the window it sees; ``reach``: its radius.  On each of the four sides of ring k
+    the cell at offset t looks through ring k - 1 at offset t (k - 1) / k: between two cells there, or at one of them.  Only
+    offsets that the window holds are looked at; the offsets they look through lie nearer to the axis."""
+    n, (rows, cols) = len(ox), z.shape
+    out = np.full((n, rows, cols), -1, np.int8)
+    here = (oy >= 0) & (oy < rows) & (ox >= 0) & (ox < cols)
+    out[np.flatnonzero(here), oy[here], ox[here]] = 1
+    last = int(min(reach.max(), max(ox.max(), cols - 1 - ox.min(), oy.max(), rows - 1 - oy.min())))
+    # sides: axis that grows with the ring, its direction, offsets of the other axis that the window holds
+    sides = [(0, 1, -oy.max(), rows - 1 - oy.min()), (0, -1, -oy.max(), rows - 1 - oy.min()), (1, 1, -ox.max(), cols - 1 - ox.min()), (1, -1, -ox.max(), cols - 1 - ox.min())]
+    for axis, sign, least, most in sides:
+        horizon, begin = np.full((n, 1), -np.inf), 0
+        furthest = (cols - 1 - ox.min() if sign > 0 else ox.max()) if axis == 0 else (rows - 1 - oy.min() if sign > 0 else oy.max())
+        for k in range(1, min(last, int(furthest)) + 1):
+            t = np.arange(max(-k, least), min(k, most) + 1)
+            if not len(t):
+                break
+            low = t * (k - 1) // k
+            rest = t * (k - 1) - low * k
+            a, b = horizon[:, low - begin], horizon[:, low - begin + (rest > 0)]
+            f = rest / k
+            with np.errstate(invalid="ignore"):
+                inner = np.where(np.isneginf(a), b, np.where(np.isneginf(b), a, a * (1 - f) + b * f))
+            inner = np.where(rest == 0, a, inner)
+            x = (ox[:, None] + sign * k + 0 * t) if axis == 0 else ox[:, None] + t
+            y = oy[:, None] + t if axis == 0 else (oy[:, None] + sign * k + 0 * t)
+            inside = (x >= 0) & (x < cols) & (y >= 0) & (y < rows) & (reach[:, None] >= k)
+            cx, cy = np.where(inside, x, 0), np.where(inside, y, 0)
+            if own is not None:
+                inside &= own[np.arange(n)[:, None], cy // tile[0], cx // tile[1]]
+            value = np.where(inside, z[cy, cx], np.nan)
+            slope = (value - oz[:, None]) / np.sqrt((k * k + t * t).astype(float))
+            who, at = np.nonzero(~np.isnan(value))
+            out[who, cy[who, at], cx[who, at]] = slope[who, at] >= inner[who, at]
+            horizon, begin = np.fmax(inner, slope), int(t[0])
+    return out
+
+
+def binary_median(vis: np.ndarray) -> np.ndarray:
+    """F5 of 1 / 0 / -1 masks (``n x rows x cols``): with ``ones`` of ``n`` valid cells of the window, the median is 1 if
+    2 ones > n, 0.5 if 2 ones = n, else 0; NaN where the cell has no value."""
+    def boxes(x: np.ndarray) -> np.ndarray:
+        p = np.pad(x.astype(np.int8), ((0, 0), (1, 1), (1, 1)))
+        p = p[:, :-2] + p[:, 1:-1] + p[:, 2:]
+        return p[:, :, :-2] + p[:, :, 1:-1] + p[:, :, 2:]
+
+    valid = vis >= 0
+    ones, n = boxes(vis == 1), boxes(valid)
+    return np.where(valid, np.where(2 * ones > n, 1.0, np.where(2 * ones == n, 0.5, 0.0)), np.nan)
+
+
+def viewshed_approx(obs: DataFrame, tiles: DataFrame, grid: Grid, median: bool = False) -> DataFrame:
+    """V4: ``(id, col, row, data)``, per observer the tiles of its answers: 1 visible, 0 hidden, NULL for NODATA.
+
+    ``obs``: ``(id, ox, oy, oz)`` and either ``radius`` (cells up to that Chebyshev distance) or ``px, py, buff`` (all cells of
+    the tiles that touch the disk, G7).  Every valid cell has an answer, the observer's own is always 1.  ``median`` returns
+    the 3x3 median (F5) of the answers instead."""
+    tc, tr = grid.tile_cols, grid.tile_rows
+    buffered = "buff" in obs.columns
+    group = ["gc", "gr", "chunk"]
+    o = obs.withColumns({"gc": F.floor(F.col("ox") / tc).cast("int"), "gr": F.floor(F.col("oy") / tr).cast("int")})
+    crowd = o.groupBy("gc", "gr").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks"))
+    o = o.join(crowd, ["gc", "gr"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    o = o.select(*group, "id", "ox", "oy", "oz", *(["px", "py", "buff"] if buffered else ["radius"]))
+    if buffered:
+        wanted = tiles_within(o.withColumnsRenamed({"px": "x", "py": "y"}), grid, carry=tuple(group))
+    else:
+        wanted = observer_tile_keys(o, grid, tuple(group))
+    shared = wanted.select(*group, "col", "row").distinct().join(tiles.select("col", "row", F.col("data").cast("array<double>").alias("data")), ["col", "row"])
+    rows = grouped(o.withColumn("kind", F.lit(0)).unionByName(shared.withColumn("kind", F.lit(1)), allowMissingColumns=True), group, ["kind", "row", "col"])
+    schema = T.StructType([obs.schema["id"], *(T.StructField(c, T.IntegerType()) for c in ("col", "row")), T.StructField("data", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, number in whole_groups(batches, group):
+            for lo, hi in zip(np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1, strict=True):
+                part = t.slice(lo, hi - lo).combine_chunks()
+                kind = part.column("kind").to_numpy()
+                yield from _window(part.filter(pa.array(kind == 0)), part.filter(pa.array(kind == 1)), grid, buffered, median, arrow)
+
+    arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _window(members: pa.Table, held: pa.Table, grid: Grid, buffered: bool, median: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Answers of the observers of one group from its tiles."""
+    tc, tr = grid.tile_cols, grid.tile_rows
+    ox, oy, oz = (members.column(c).to_numpy() for c in ("ox", "oy", "oz"))
+    col, row = (held.column(c).to_numpy().astype(np.int64) for c in ("col", "row"))
+    c0, r0 = (int(np.r_[v, own].min()) for v, own in ((col, ox // tc), (row, oy // tr)))
+    c1, r1 = (int(np.r_[v, own].max()) + 1 for v, own in ((col, ox // tc), (row, oy // tr)))
+    if (c1 - c0) * (r1 - r0) * tc * tr > WINDOW_CELLS:
+        raise ValueError(f"an observer's window of {c1 - c0} x {r1 - r0} tiles is larger than {WINDOW_CELLS} cells; use viewshed_r2")
+    z = np.full((r1 - r0, c1 - c0, tr, tc), np.nan)
+    z[row - r0, col - c0] = dense(held.column("data").combine_chunks(), tc * tr).reshape(-1, tr, tc)
+    z = z.transpose(0, 2, 1, 3).reshape((r1 - r0) * tr, (c1 - c0) * tc)
+    keys = np.stack(np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij"))
+    if buffered:
+        px, py, buff = (members.column(c).to_numpy()[:, None, None] for c in ("px", "py", "buff"))
+        w, h = tc * grid.cell_w, tr * grid.cell_h
+        xmin, ymax = grid.xmin + keys[1] * w, grid.ymax - keys[0] * h
+        dx = np.maximum(np.maximum(xmin - px, 0.0), px - (xmin + w))
+        dy = np.maximum(np.maximum((ymax - h) - py, 0.0), py - ymax)
+        own, reach = dx * dx + dy * dy <= buff * buff, np.full(len(ox), max(z.shape))
+    else:
+        own, reach = None, members.column("radius").to_numpy().astype(np.int64)
+    x, y = ox - c0 * tc, oy - r0 * tr
+    step = max(1, RESULT_CELLS // z.size)
+    for lo in range(0, len(ox), step):
+        part = slice(lo, lo + step)
+        vis = _ring_looks(z, x[part], y[part], oz[part], None if own is None else own[part], reach[part], (tr, tc))
+        data = binary_median(vis) if median else np.where(vis >= 0, vis, np.nan)
+        data = data.reshape(-1, r1 - r0, tr, c1 - c0, tc).transpose(0, 1, 3, 2, 4).reshape(-1, r1 - r0, c1 - c0, tr * tc)
+        who, rr, cc = np.nonzero(~np.isnan(data).all(axis=3))
+        values = data[who, rr, cc].reshape(-1)
+        offsets = pa.array(np.arange(0, len(values) + 1, tr * tc, dtype=np.int32))
+        arrays = [
+            members.column("id").combine_chunks().take(pa.array(who + lo)), pa.array((cc + c0).astype(np.int32)), pa.array((rr + r0).astype(np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array(values, mask=np.isnan(values))),
+        ]
+        yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+def tiles_within(obs_xy: DataFrame, grid: Grid, buff_col: str = "buff", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *carry, col, row)`` of the tiles whose rectangle touches the disk of radius
     ``buff`` around each observer (whole tiles, not clipped).  Key bounding box
     first, then the exact point-rectangle distance."""
     tw = grid.tile_cols * grid.cell_w
     th = grid.tile_rows * grid.cell_h
     b = obs_xy.select(
-        "id", "x", "y", F.col(buff_col).alias("buff"),
+        "id", *carry, "x", "y", F.col(buff_col).alias("buff"),
         F.floor((F.col("x") - F.col(buff_col) - grid.xmin) / tw).cast("int").alias("c0"),
         F.floor((F.col("x") + F.col(buff_col) - grid.xmin) / tw).cast("int").alias("c1"),
         F.floor((grid.ymax - F.col("y") - F.col(buff_col)) / th).cast("int").alias("r0"),
         F.floor((grid.ymax - F.col("y") + F.col(buff_col)) / th).cast("int").alias("r1"),
     )
-    k = b.select("id", "x", "y", "buff", "r0", "r1", F.explode(F.sequence("c0", "c1")).alias("col"))
-    k = k.select("id", "x", "y", "buff", "col", F.explode(F.sequence("r0", "r1")).alias("row"))
+    k = b.select("id", *carry, "x", "y", "buff", "r0", "r1", F.explode(F.sequence("c0", "c1")).alias("col"))
+    k = k.select("id", *carry, "x", "y", "buff", "col", F.explode(F.sequence("r0", "r1")).alias("row"))
     d2 = point_rect_dist2(F.col("x"), F.col("y"), tile_extent(grid, "col", "row"))
-    return k.where(d2 <= F.col("buff") * F.col("buff")).select("id", "col", "row")
+    return k.where(d2 <= F.col("buff") * F.col("buff")).select("id", *carry, "col", "row")
 
 
-def selected_extent(observers: DataFrame, obs: DataFrame, surface: DataFrame, grid: Grid) -> DataFrame:
-    """``obs`` with the cell extent ``bx0, by0, bx1, by1`` of the surface's tiles within ``buff`` and the observer's cell, and
-    with the radius that reaches the farthest of these cells (Chebyshev distance, at least 1)."""
-    col, row = tile_key(grid, "gx", "gy")
-    tiles = surface.groupBy(col.alias("col"), row.alias("row")).agg(
-        F.min("gx").alias("x0"), F.min("gy").alias("y0"), F.max("gx").alias("x1"), F.max("gy").alias("y1")
-    )
-    span = tiles_within(observers, grid).join(tiles, ["col", "row"]).groupBy("id").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
-    )
-    least = {"bx0": F.least("x0", "ox"), "by0": F.least("y0", "oy"), "bx1": F.greatest("x1", "ox"), "by1": F.greatest("y1", "oy")}
-    o = obs.join(span, "id", "left").withColumns(least).drop("x0", "y0", "x1", "y1")
-    far = F.greatest(F.col("ox") - F.col("bx0"), F.col("bx1") - F.col("ox"), F.col("oy") - F.col("by0"), F.col("by1") - F.col("oy"), F.lit(1))
-    return o.withColumn("radius", far.cast("int"))
-
-
-def observer_viewshed(
-    observers: DataFrame, dem: DataFrame, surface: DataFrame, grid: Grid, ray_step: int = 1
-) -> DataFrame:
-    """V5: observer height from the DEM, visibility over the surface model (DSM) of all
-    tiles within ``buff`` of each observer: the rays reach the farthest cell of these
-    tiles, whatever ``radius`` the observers carry.  The observer's surface cell counts
-    as its elevation (L8): it is always visible and never sampled by a ray (steps start
-    at 1), so the override needs no per-observer copy of the surface.  ``(id, gx, gy, vis)``."""
-    xy = observers.select("id", "x", "y", "buff")
+def observer_viewshed(observers: DataFrame, dem: DataFrame, surface: DataFrame, grid: Grid, median: bool = False) -> DataFrame:
+    """V5: observer height from the DEM (cells), visibility over the packed surface model (DSM) of all tiles within ``buff`` of
+    each observer, whatever ``radius`` it carries.  The observer's surface cell counts as its elevation (L8): it is always
+    visible and no line of sight passes through it.  ``(id, col, row, data)`` as :func:`viewshed_approx`."""
     o = observers.select("id", "x", "y", "height", F.lit(1).alias("radius"), F.col("x").alias("px"), F.col("y").alias("py"), "buff")
-    # read by every step of the viewshed; few rows a partition, as each becomes thousands of ray samples
-    obs = cut_lineage(selected_extent(xy, observer_cells(o, dem, grid, carry=BUFFER_COLS), surface, grid).repartition("id"), 128)
-    if ray_step == 1:
-        return viewshed_r2(obs, surface, 1, buffer_grid=grid)
-    return viewshed_approx(obs, surface, ray_step, buffer_grid=grid)
+    obs = cut_lineage(observer_cells(o, dem, grid, carry=("px", "py", "buff")).drop("radius"))
+    return viewshed_approx(obs, surface, grid, median)

@@ -101,6 +101,8 @@ ORACLE: dict[str, str] = {
     "v4_viewshed_approx": O.V4_VIEWSHED_APPROX,
     "p11_viewshed_mask": O.P11_VIEWSHED_MASK,
     "z1_regions": O.Z1_REGIONS,
+    "z3_region_polygons": O.Z3_REGION_POLYGONS,
+    "p12_viewshed_polygons": O.P12_VIEWSHED_POLYGONS,
     "s2_tile_lookup": O.S2_TILE_LOOKUP,
     "s3_layer_metadata": O.S3_LAYER_METADATA,
     "s4_key_bounds": O.S4_KEY_BOUNDS,

@@ -285,30 +285,37 @@ V2_VIEWSHED = f"""WITH {DEM}, {observers_sql(20)}, {rays_sql()}, {r2_sql('dem')}
 SELECT id, gx, gy, vis FROM vs"""
 
 
-def approx_fill_sql(surface: str, keyed: bool = False) -> str:
-    on = "AND c.id = q.id" if keyed else ""
-    return f"""sq AS (SELECT id, ox, oy, r, unnest(range(-r, r + 1)) AS dx FROM obs),
-sq2 AS (SELECT id, ox, oy, r, dx, unnest(range(-r, r + 1)) AS dy FROM sq),
-ring AS (SELECT id, ox + dx AS gx, oy + dy AS gy, greatest(abs(dx), abs(dy)) AS g, dx, dy FROM sq2),
-pos AS (SELECT id, gx, gy, g,
-               CASE WHEN dy = -g AND dx < g THEN dx + g WHEN dx = g THEN 2 * g + dy + g
-                    WHEN dy = g THEN 4 * g + g - dx ELSE 6 * g + g - dy END AS p FROM ring),
-cand AS (SELECT q.id, q.gx, q.gy, q.g, q.p, v.vis FROM pos q JOIN {surface} c ON c.gx = q.gx AND c.gy = q.gy {on}
-         LEFT JOIN vs v ON v.id = q.id AND v.gx = q.gx AND v.gy = q.gy WHERE c.value IS NOT NULL),
-nb AS (SELECT id, gx, gy, p, vis,
-              last_value(CASE WHEN vis IS NOT NULL THEN p END IGNORE NULLS) OVER wb AS p0,
-              last_value(vis IGNORE NULLS) OVER wb AS v0,
-              first_value(CASE WHEN vis IS NOT NULL THEN p END IGNORE NULLS) OVER wa AS p1,
-              first_value(vis IGNORE NULLS) OVER wa AS v1
-       FROM cand
-       WINDOW wb AS (PARTITION BY id, g ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-              wa AS (PARTITION BY id, g ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-filled AS (SELECT id, gx, gy, coalesce(vis, CASE WHEN p1 IS NULL THEN v0 WHEN p0 IS NULL THEN v1
-                                              WHEN p - p0 <= p1 - p THEN v0 ELSE v1 END) AS vis FROM nb)"""
-
-
-V4_VIEWSHED_APPROX = f"""WITH {DEM}, {observers_sql(20)}, {rays_sql(4)}, {r2_sql('dem')}, {approx_fill_sql('dem')}
-SELECT id, gx, gy, vis FROM filled WHERE vis IS NOT NULL"""
+def ring_sql(surface: str, keyed: bool = False) -> str:
+    """V4: a recursion over rings.  Each of the four sides of ring k is a list by offset -k..k; offset t looks through the
+    same side of ring k - 1 at t * (k - 1) / k.  Cells without a value pass the horizon on.  ``looked``: id, gx, gy, vis."""
+    on = "AND c.id = p.id" if keyed else ""
+    inner = "CAST(floor(t * (k - 1) / CAST(k AS DOUBLE)) AS BIGINT)"
+    rest = f"(t * (k - 1) - {inner} * k)"
+    low, high, f = f"h[{inner} + k]", f"h[{inner} + k + 1]", f"({rest} / CAST(k AS DOUBLE))"
+    return f"""rk AS (SELECT id, ox, oy, oz, unnest(range(1, CAST(r AS BIGINT) + 1)) AS k FROM obs),
+sd AS (SELECT *, unnest([0, 1, 2, 3]) AS s FROM rk),
+pt AS (SELECT *, unnest(range(-k, k + 1)) AS t FROM sd),
+pos AS (SELECT id, s, k, t, oz, ox + CASE s WHEN 0 THEN k WHEN 2 THEN -k ELSE t END AS gx, oy + CASE s WHEN 1 THEN k WHEN 3 THEN -k ELSE t END AS gy FROM pt),
+side AS (SELECT p.id, p.s, p.k, list((c.value - p.oz) / sqrt(CAST(p.k * p.k + p.t * p.t AS DOUBLE)) ORDER BY p.t) AS sl
+         FROM pos p LEFT JOIN {surface} c ON c.gx = p.gx AND c.gy = p.gy {on} GROUP BY p.id, p.s, p.k),
+w AS (
+  SELECT id, s, k, sl AS h, [CASE WHEN x IS NULL THEN NULL ELSE 1 END FOR x IN sl] AS vis FROM side WHERE k = 1
+  UNION ALL
+  SELECT id, s, k,
+         [CASE WHEN sl[i] IS NULL THEN hin[i] WHEN hin[i] IS NULL OR sl[i] > hin[i] THEN sl[i] ELSE hin[i] END FOR i IN range(1, 2 * k + 2)],
+         [CASE WHEN sl[i] IS NULL THEN NULL WHEN hin[i] IS NULL OR sl[i] >= hin[i] THEN 1 ELSE 0 END FOR i IN range(1, 2 * k + 2)]
+  FROM (SELECT id, s, k, sl, [CASE WHEN {rest} = 0 OR {high} IS NULL THEN {low} WHEN {low} IS NULL THEN {high}
+                                   ELSE {low} * (1 - {f}) + {high} * {f} END FOR t IN range(-k, k + 1)] AS hin
+        FROM (SELECT d.id, d.s, d.k, d.sl, w.h FROM w JOIN side d ON d.id = w.id AND d.s = w.s AND d.k = w.k + 1))),
+seen4 AS (SELECT id, s, k, unnest(range(-k, k + 1)) AS t, unnest(vis) AS vis FROM w),
+looked AS (
+  SELECT o.id, o.ox + CASE s WHEN 0 THEN k WHEN 2 THEN -k ELSE t END AS gx, o.oy + CASE s WHEN 1 THEN k WHEN 3 THEN -k ELSE t END AS gy, vis
+  FROM seen4 v JOIN obs o ON o.id = v.id WHERE vis IS NOT NULL AND (s IN (0, 2) OR abs(t) < k)
+  UNION ALL SELECT id, ox, oy, 1 FROM obs)"""
+
+
+V4_VIEWSHED_APPROX = f"""WITH RECURSIVE {DEM}, {observers_sql(20)}, {ring_sql('dem')}
+SELECT id, gx, gy, vis FROM looked"""
 
 V3_VIEWSHED_EXACT = f"""WITH {DEM}, {observers_sql(6)},
 sq AS (SELECT id, ox, oy, oz, r, unnest(range(-r, r + 1)) AS dx FROM obs),
@@ -335,19 +342,21 @@ SELECT t.id, t.gx, t.gy, CASE WHEN h.h IS NULL OR t.ts >= h.h THEN 1 ELSE 0 END
 FROM tg t LEFT JOIN hz h ON h.id = t.id AND h.tx = t.gx AND h.ty = t.gy
 UNION ALL SELECT id, ox, oy, 1 FROM obs"""
 
-# DSM cells of the tiles within buff (200 m) of each observer; observer cell overridden
-P11_SURFACE = f"""tk AS (SELECT o.id, c.col, c.row, o.ox, o.oy FROM obs0 o,
+# All DSM cells of the tiles within buff (200 m) of each observer; the radius reaches the farthest of them
+P11_SURFACE = f"""obs1 AS (SELECT s_suppkey AS id, s_suppkey * 37 % 128 AS ox, s_suppkey * 53 % {ROWS} AS oy, 200.0 AS height FROM supplier),
+tk AS (SELECT o.id, c.col, c.row FROM obs1 o,
           (SELECT DISTINCT gx // 32 AS col, gy // 32 AS row FROM dsm) c
         WHERE pow(greatest(-7420000e0 + c.col * 320e0 - (-7420000e0 + (o.ox + 0.5) * 10e0), 0e0,
                            (-7420000e0 + (o.ox + 0.5) * 10e0) - (-7420000e0 + c.col * 320e0 + 320e0)), 2)
             + pow(greatest((5775000e0 - c.row * 320e0 - 320e0) - (5775000e0 - (o.oy + 0.5) * 10e0), 0e0,
                            (5775000e0 - (o.oy + 0.5) * 10e0) - (5775000e0 - c.row * 320e0)), 2) <= 200e0 * 200e0),
-surf AS (SELECT t.id, d.gx, d.gy, CASE WHEN d.gx = b.ox AND d.gy = b.oy THEN b.oz ELSE d.value END AS value
-         FROM tk t JOIN dsm d ON d.gx // 32 = t.col AND d.gy // 32 = t.row JOIN obs b ON b.id = t.id)"""
+surf AS (SELECT t.id, d.gx, d.gy, d.value FROM tk t JOIN dsm d ON d.gx // 32 = t.col AND d.gy // 32 = t.row),
+obs AS (SELECT o.id, any_value(o.ox) AS ox, any_value(o.oy) AS oy, any_value(d.value + o.height) AS oz,
+               max(greatest(abs(f.gx - o.ox), abs(f.gy - o.oy))) AS r
+        FROM obs1 o JOIN dem d ON d.gx = o.ox AND d.gy = o.oy JOIN surf f ON f.id = o.id WHERE d.value IS NOT NULL GROUP BY o.id)"""
 
-P11_VIEWSHED_MASK = f"""WITH {DEM}, {DSM}, {observers_sql(20)}, {P11_SURFACE}, {rays_sql(4)}, {r2_sql('surf', keyed=True)},
-{approx_fill_sql('surf', keyed=True)},
-fv AS (SELECT id, gx, gy, CAST(vis AS DOUBLE) AS value FROM filled WHERE vis IS NOT NULL),
+P11_MEDIAN = f"""{DEM}, {DSM}, {P11_SURFACE}, {ring_sql('surf', keyed=True)},
+fv AS (SELECT id, gx, gy, CAST(vis AS DOUBLE) AS value FROM looked),
 med AS (SELECT z.id, z.gx, z.gy,
                (SELECT median(x) FROM (SELECT unnest([a.value, b.value, c.value, d.value, z.value, f.value, g.value, h.value, i.value]) AS x)) AS m
         FROM fv z
@@ -359,11 +368,67 @@ med AS (SELECT z.id, z.gx, z.gy,
         LEFT JOIN fv g ON g.id = z.id AND g.gx = z.gx - 1 AND g.gy = z.gy + 1
         LEFT JOIN fv h ON h.id = z.id AND h.gx = z.gx AND h.gy = z.gy + 1
         LEFT JOIN fv i ON i.id = z.id AND i.gx = z.gx + 1 AND i.gy = z.gy + 1),
-lv AS (SELECT id, gx, gy, CAST(floor(m + 0.5) AS BIGINT) AS idx FROM med),
+lv AS (SELECT id, gx, gy, CAST(floor(m + 0.5) AS BIGINT) AS idx FROM med)"""
+
+P11_VIEWSHED_MASK = f"""WITH RECURSIVE {P11_MEDIAN},
 gl AS (SELECT id, gx, gy, (idx * 510 + 1) // 2 AS gg FROM lv)
 SELECT id, gx, gy, CAST(gg * 16777216 + gg * 65536 + gg * 256 + 255 AS BIGINT) AS color FROM gl"""
 
 
+# --- outlines: unit sides, ranked by pointer doubling -----------------------------------
+
+
+def rings_sql(rounds: int = 17) -> str:
+    """From ``rc`` (id, gx, gy, v): ``polygons`` (id, region, value, geojson).
+
+    Every cell has four directed sides, with the cell on the right; sides that two cells of one value share fall out.  A side
+    is followed by the one to its right, else ahead, else to its left.  After ``rounds`` doublings every side of a ring of up to
+    2 ** ``rounds`` sides knows the ring's least side and its distance to it.  A hole belongs to the region of the cell above its least
+    corner; the left end of that cell's run lies on another ring of the region, and so on up to the outer ring."""
+    doubled = [
+        f"""g{k + 1} AS (SELECT a.id, a.sid, b.nxt, CASE WHEN b.mn < a.mn THEN b.mn ELSE a.mn END AS mn, CASE WHEN b.mn < a.mn THEN {2**k} + b.d ELSE a.d END AS d
+              FROM g{k} a JOIN g{k} b ON b.id = a.id AND b.sid = a.nxt)"""
+        for k in range(rounds)
+    ]
+    near = [(0, 0, -1), (1, 1, 0), (2, 0, 1), (3, -1, 0)]
+    corner = {0: ("gx", "gy", "gx + 1", "gy"), 1: ("gx + 1", "gy", "gx + 1", "gy + 1"), 2: ("gx + 1", "gy + 1", "gx", "gy + 1"), 3: ("gx", "gy + 1", "gx", "gy")}
+    sides = " UNION ALL ".join(
+        f"""SELECT c.id, c.v, c.gx AS cx, c.gy AS cy, {d} AS dir, {', '.join('c.' + e for e in corner[d][:1])} AS x0, c.{corner[d][1]} AS y0, c.{corner[d][2]} AS x1, c.{corner[d][3]} AS y1
+            FROM rc c LEFT JOIN rc n ON n.id = c.id AND n.gx = c.gx + ({dx}) AND n.gy = c.gy + ({dy}) AND n.v = c.v WHERE n.gx IS NULL"""
+        for d, dx, dy in near
+    )
+    return f"""sides0 AS ({sides}),
+-- two regions can have a side at one place: the cell tells them apart
+sid AS (SELECT id, v, cx, cy, dir, x0, y0, x1, y1, row_number() OVER (PARTITION BY id ORDER BY y0, x0, dir, v, cy, cx) AS sid FROM sides0),
+follow AS (
+  SELECT a.id, a.sid, b.sid AS nxt, row_number() OVER (PARTITION BY a.id, a.sid ORDER BY CASE (b.dir - a.dir + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS choice
+  FROM sid a JOIN sid b ON b.id = a.id AND b.x0 = a.x1 AND b.y0 = a.y1 AND b.v = a.v
+   AND (((b.dir - a.dir + 4) % 4 = 1 AND b.cx = a.cx AND b.cy = a.cy)
+     OR ((b.dir = a.dir) AND b.cx = a.cx + CASE a.dir WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AND b.cy = a.cy + CASE a.dir WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)
+     OR ((b.dir - a.dir + 4) % 4 = 3 AND b.cx = a.cx + CASE a.dir WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE -1 END AND b.cy = a.cy + CASE a.dir WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE -1 END))),
+g0 AS (SELECT id, sid, nxt, sid AS mn, 0 AS d FROM follow WHERE choice = 1),
+{', '.join(doubled)},
+ranked AS (SELECT s.*, g.mn, count(*) OVER (PARTITION BY s.id, g.mn) AS n, g.d FROM sid s JOIN g{rounds} g ON g.id = s.id AND g.sid = s.sid),
+placed AS (SELECT *, (n - d) % n AS place FROM ranked),
+turned AS (SELECT *, lag(dir) OVER (PARTITION BY id, mn ORDER BY place) AS before FROM placed),
+corners AS (SELECT id, mn, place, x0, y0 FROM turned WHERE before IS NULL OR before <> dir),
+ring AS (SELECT id, mn, any_value(v) AS v, sum(x0 * y1 - x1 * y0) / 2.0 AS area, arg_min(x0, place) AS lx, arg_min(y0, place) AS ly FROM placed GROUP BY id, mn),
+path AS (SELECT id, mn, string_agg('[' || (-7420000.0::DOUBLE + x0 * 10.0::DOUBLE)::VARCHAR || ',' || (5775000.0::DOUBLE - y0 * 10.0::DOUBLE)::VARCHAR || ']', ',' ORDER BY place) AS p FROM corners GROUP BY id, mn),
+-- the left end of each cell's run
+rs0 AS (SELECT id, gx, gy, v, CASE WHEN lag(gx) OVER w = gx - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS nw FROM rc WINDOW w AS (PARTITION BY id, gy ORDER BY gx)),
+rs AS (SELECT id, gx, gy, max(CASE WHEN nw = 1 THEN gx END) OVER (PARTITION BY id, gy ORDER BY gx ROWS UNBOUNDED PRECEDING) AS gx0 FROM rs0),
+up AS (SELECT h.id, h.mn, o.mn AS parent FROM ring h JOIN rs ON rs.id = h.id AND rs.gx = h.lx AND rs.gy = h.ly - 1
+       JOIN placed o ON o.id = h.id AND o.dir = 3 AND o.cx = rs.gx0 AND o.cy = h.ly - 1 WHERE h.area < 0),
+climb AS (SELECT id, mn, mn AS top FROM ring UNION ALL SELECT c.id, c.mn, u.parent FROM climb c JOIN up u ON u.id = c.id AND u.mn = c.top),
+outer_ring AS (SELECT c.id, c.mn, c.top FROM climb c JOIN ring r ON r.id = c.id AND r.mn = c.top WHERE r.area > 0),
+polygons AS (
+  SELECT o.id, any_value(t.ly * 4294967296 + t.lx) AS region, any_value(t.v) AS value,
+         '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[' || string_agg('[' || p.p || ',' || split_part(p.p, '],', 1) || CASE WHEN contains(p.p, '],') THEN ']' ELSE '' END || ']', ',' ORDER BY abs(r.area) DESC, r.ly, r.lx)
+         || ']}},"properties":{{"value":' || any_value(t.v)::VARCHAR || '}}}}' AS geojson
+  FROM outer_ring o JOIN ring r ON r.id = o.id AND r.mn = o.mn JOIN path p ON p.id = o.id AND p.mn = o.mn JOIN ring t ON t.id = o.id AND t.mn = o.top
+  GROUP BY o.id, o.top)"""
+
+
 # --- regions (recursive closure over row runs) ------------------------------------------
 
 Z1_REGIONS = f"""WITH RECURSIVE {DEM},
@@ -381,6 +446,13 @@ SELECT l.region, any_value(r.v) AS value, CAST(sum(r.gx1 - r.gx0 + 1) AS BIGINT)
 FROM runs r JOIN lab l ON l.run = r.run GROUP BY l.region"""
 
 
+Z3_REGION_POLYGONS = f"""WITH RECURSIVE {DEM}, rc AS (SELECT 0 AS id, gx, gy, CAST(floor(value / 100) AS DOUBLE) AS v FROM dem WHERE value IS NOT NULL), {rings_sql()}
+SELECT region, value, geojson FROM polygons"""
+
+P12_VIEWSHED_POLYGONS = f"""WITH RECURSIVE {P11_MEDIAN}, rc AS (SELECT id, gx, gy, CAST(idx AS DOUBLE) AS v FROM lv WHERE idx <> 0), {rings_sql()}
+SELECT id, region, value, geojson FROM polygons"""
+
+
 # --- sources, geometry and local rows ----------------------------------------------
 
 TILE_REQ = """treq AS (SELECT s_suppkey AS id, CAST(s_suppkey % 6 - 1 AS INTEGER) AS col,

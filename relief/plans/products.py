@@ -148,43 +148,26 @@ def viewshed_exact(spark: SparkSession, sf_dir: str, radius: int = 6) -> DataFra
     return V.viewshed_exact(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir))
 
 
-def viewshed_approx(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+def viewshed_approx(spark: SparkSession, sf_dir: str, radius: int = 20) -> DataFrame:
     """V4 for every supplier observer on the DEM."""
-    return V.viewshed_approx(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), ray_step, prune_grid=G)
+    t = V.viewshed_approx(_observers(spark, sf_dir, radius), dem_tiles(spark, sf_dir), G)
+    return _seen(t).select("id", "gx", "gy", F.col("value").cast("int").alias("vis"))
 
 
-def observer_viewshed(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
-    """V5: DEM observer heights, DSM surface within ``buff``, approximate rays."""
-    obs = fx.observers(spark, sf_dir, radius)
-    return V.observer_viewshed(obs, fx.dem(spark, sf_dir), fx.dsm(spark, sf_dir), G, ray_step)
+def _seen(t: DataFrame) -> DataFrame:
+    return tiles.unpack(t, G, ("id",), keep_nodata=False)
 
 
-def binary_median(cells: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """F5 for 0/1 rasters (viewshed masks): with k ones among the n valid values of the
-    window, the median is 1 if 2k > n, 0.5 if 2k = n, else 0 -- exactly the sorted
-    median, but from two sums that aggregate partially before the shuffle instead
-    of a nine-column pivot.  ``(*keys, gx, gy, m)`` for the input cells."""
-    from relief.functions.kernels import OFFSETS
-
-    msgs = F.array(*[F.struct(F.lit(-dx).alias("ox"), F.lit(-dy).alias("oy"), F.lit(dx == 0 and dy == 0).alias("c"))
-                     for dx, dy in OFFSETS.values()])
-    s = cells.select(*keys, "gx", "gy", "value", F.explode(msgs).alias("m")).select(
-        *keys, (F.col("gx") + F.col("m.ox")).alias("gx"), (F.col("gy") + F.col("m.oy")).alias("gy"),
-        F.col("m.c").alias("c"), "value",
-    )
-    g = s.groupBy(*keys, "gx", "gy").agg(
-        F.sum("value").alias("k"), F.count("value").alias("n"), F.max(F.col("c").cast("int")).alias("_here")
-    ).where("_here = 1")
-    m = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(2 * F.col("k") > F.col("n"), 1.0).when(
-        2 * F.col("k") == F.col("n"), 0.5).otherwise(0.0)
-    return g.select(*keys, "gx", "gy", m.alias("m"))
+def observer_viewshed(spark: SparkSession, sf_dir: str, median: bool = False) -> DataFrame:
+    """V5: DEM observer heights, DSM surface within ``buff``; packed, per observer."""
+    surface = tiles.pack(fx.dsm(spark, sf_dir), G)
+    return V.observer_viewshed(fx.observers(spark, sf_dir), fx.dem(spark, sf_dir), surface, G, median)
 
 
-def viewshed_mask(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+def viewshed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5 -> 3x3 focal median per observer -> black/white ramp colour."""
-    vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
-    m = binary_median(vs)
-    return m.select("id", "gx", "gy", Y.grey_rgba(F.round("m").cast("int"), 1).alias("color"))
+    m = _seen(observer_viewshed(spark, sf_dir, median=True))
+    return m.select("id", "gx", "gy", Y.grey_rgba(F.round("value").cast("int"), 1).alias("color"))
 
 
 # --- vectorize (Z1-Z3, P12) ----------------------------------------------------------
@@ -198,20 +181,19 @@ def dem_classes(spark: SparkSession, sf_dir: str, interval: float = 100.0) -> Da
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected regions of equal elevation band: ``(region, value, cells)``."""
-    return Z.region_summary(Z.regions(dem_classes(spark, sf_dir)))
+    return Z.region_summary(Z.region_runs(tiles.pack(dem_classes(spark, sf_dir), G), G))
 
 
 def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z2+Z3: one GeoJSON polygon (with holes) per elevation-band region."""
-    return Z.region_polygons(Z.regions(dem_classes(spark, sf_dir)), G)
+    return Z.region_polygons(Z.region_runs(tiles.pack(dem_classes(spark, sf_dir), G), G), G)
 
 
-def viewshed_polygons(spark: SparkSession, sf_dir: str, radius: int = 20, ray_step: int = 4) -> DataFrame:
+def viewshed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5 -> median 3x3, an even split counting as visible as in P11 -> 0 becomes NODATA -> regions per observer ->
     GeoJSON."""
-    vs = observer_viewshed(spark, sf_dir, radius, ray_step).withColumnRenamed("vis", "value")
-    m = binary_median(vs).select("id", "gx", "gy", zero_to_nodata(F.round("m")).alias("value"))
-    return Z.region_polygons(Z.regions(m, keys=("id",)), G, keys=("id",))
+    m = map_tiles(observer_viewshed(spark, sf_dir, median=True), lambda v: zero_to_nodata(F.round(v)))
+    return Z.region_polygons(Z.region_runs(m, G, ("id",)), G, ("id",))
 
 
 # --- sources, geometry and local rows registered on their own -------------------------
@@ -300,7 +282,7 @@ def collection_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of the DEM with their valid-cell count and sum (unpacked back)."""
     t = dem_tiles(spark, sf_dir)
-    c = tiles.unpack(t, G, dense=False)
+    c = tiles.unpack(t, G, keep_nodata=False)
     col = F.floor(F.col("gx") / G.tile_cols).cast("int").alias("col")
     row = F.floor(F.col("gy") / G.tile_rows).cast("int").alias("row")
     return c.groupBy(col, row).agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))

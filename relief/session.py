@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def stored(df):
+    """``df`` written as a table to the shared checkpoint folder, and read back.
+
+    Unlike a checkpoint, the table tells Catalyst its size: joins with it are broadcast or shuffled by what it really holds,
+    not by an estimate that knows nothing of an ``explode``.  The files go when the session's process ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, rows_per_partition: int = 1_000_000):
     """Reliable checkpoint into the shared checkpoint folder, computed once.
 

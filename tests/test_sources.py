@@ -68,7 +68,7 @@ def test_pack_unpack_roundtrip_and_layer_store(spark, raster, tmp_path):
     cells = raster([[float(x * y) if (x + y) % 5 else None for x in range(6)] for y in range(5)])
     t = tiles.pack(cells, G)
     assert t.count() == 4 and t.select(F.size("data")).first()[0] == 16
-    back = tiles.unpack(t, G, dense=False)
+    back = tiles.unpack(t, G, keep_nodata=False)
     assert sorted(back.collect()) == sorted(cells.where("value is not null").collect())
     path = str(tmp_path / "pyramid")
     layers.write_layer(t, path, "dem", 15)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from relief.operators import vectorize as Z
@@ -47,24 +48,96 @@ def test_polygon_geojson(raster):
     assert '"type":"Polygon"' in g and '"value":3.0' in g
 
 
-def _norm(xs, ys):
-    pts = list(zip(xs, ys))[:-1]
-    i = pts.index(min(pts))
-    return tuple(pts[i:] + pts[:i])
+def traced(rows):
+    """Rings of every region by plain tracing of unit sides: {region: [corners from the least (y, x), outer ring first]}."""
+    value = {(x, y): v for y, row in enumerate(rows) for x, v in enumerate(row) if v is not None}
+    region, out = {}, {}
+    for y, x in sorted((y, x) for x, y in value):
+        if (x, y) in region:
+            continue
+        todo, region[x, y] = [(x, y)], y * 2**32 + x
+        while todo:
+            a, b = todo.pop()
+            for c in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                if value.get(c) == value[a, b] and c not in region:
+                    region[c] = region[x, y]
+                    todo.append(c)
+    for name in set(region.values()):
+        sides = {}
+        for (x, y), r in region.items():
+            if r == name:
+                for dx, dy, a, b in ((0, -1, (x, y), (x + 1, y)), (1, 0, (x + 1, y), (x + 1, y + 1)), (0, 1, (x + 1, y + 1), (x, y + 1)), (-1, 0, (x, y + 1), (x, y))):
+                    if region.get((x + dx, y + dy)) != name:
+                        sides.setdefault(a, []).append(b)
+        rings = []
+        while sides:
+            start = min(sides, key=lambda p: (p[1], p[0]))
+            ring, cur, before = [], start, None
+            while True:
+                ahead = sides[cur]
+                right = None if before is None else (cur[0] - (cur[1] - before[1]), cur[1] + (cur[0] - before[0]))
+                nxt = right if right in ahead else ahead[0]
+                ahead.remove(nxt)
+                if not ahead:
+                    del sides[cur]
+                ring.append(cur)
+                before, cur = cur, nxt
+                if cur == start:
+                    break
+            n = len(ring)
+            corners = [p for i, p in enumerate(ring) if (ring[i - 1][0] == p[0]) != (p[0] == ring[(i + 1) % n][0])]
+            area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
+            rings.append((-area, corners[0][1], corners[0][0], corners + corners[:1]))
+        out[name] = [r[3] for r in sorted(rings)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rings_equal_plain_tracing(raster, seed):
+    import random
+
+    rnd = random.Random(seed)
+    rows = [[float(rnd.random() < 0.3) if rnd.random() > 0.03 else None for _ in range(23)] for _ in range(19)]
+    want = traced(rows)
+    lab = Z.regions(raster(rows), segment=(4, 7, 64)[seed])
+    got = {}
+    for r in Z.region_rings(lab).orderBy("region", "ring").collect():
+        assert r.hole == (r.ring > 0)
+        got.setdefault(r.region, []).append(list(zip(r.xs, r.ys, strict=True)))
+    assert got == want and any(len(rings) > 1 for rings in want.values())
 
 
-def test_distributed_rings_equal_in_memory_chain(raster):
+def test_chains_close_whatever_the_blocks(raster):
     import random
 
     rnd = random.Random(11)
-    rows = [[float(rnd.randint(0, 1)) if rnd.random() > 0.05 else None for _ in range(13)] for _ in range(12)]
-    rows[5][5] = None  # a hole somewhere
-    lab = Z.regions(raster(rows), segment=4)
-    a = Z.region_rings(lab).collect()
-    b = Z.region_rings(lab, max_sides=0).collect()
-    key = lambda r: (r.region, r.ring, r.hole, _norm(r.xs, r.ys))
-    assert sorted(map(key, a)) == sorted(map(key, b))
-    assert len(a) > 10
+    rows = [[float(rnd.random() < 0.35) for _ in range(40)] for _ in range(30)]
+    runs = Z.regions(raster(rows), segment=8).select("region", "value", "gy", F.col("gx").alias("gx0"), F.col("gx").alias("gx1"))
+    edges = Z.outline_edges(runs).cache()
+
+    def rings(block):
+        out = []
+        for r in Z.closed_chains(edges, block=block).collect():
+            pts = list(zip(r.ys, r.xs, strict=True))
+            at = pts.index(min(pts))
+            out.append((r.region, pts[at:] + pts[:at]))
+        return sorted(out)
+
+    once = rings(256)
+    assert rings(1) == once and rings(5) == once and len(once) > 50
+
+
+def test_outlines_of_runs_and_of_cells_are_equal(raster):
+    from relief.operators.tiles import pack
+    from relief.schema import Grid
+
+    rows = [[1.0, 1, 1, 2], [1.0, None, 1, 2], [1.0, 1, 1, 1], [3.0, 3, 1, 3]]
+    g = Grid(0.0, 0.0, 1.0, 1.0, 2, 2)
+    cells = raster(rows)
+    runs = Z.region_runs(pack(cells, g), g)
+    key = lambda df: sorted((r.region, r.value, r.geojson) for r in Z.region_polygons(df, FIXTURE_GRID).collect())
+    assert key(runs) == key(Z.regions(cells, segment=2)) and len(key(runs)) == 4
+    assert {r.region: r.cells for r in Z.region_summary(runs).collect()} == {0: 10, 3: 2, 3 * 2**32: 2, 3 * 2**32 + 3: 1}
 
 
 def reach(edges):

@@ -1,15 +1,14 @@
-import os
+import math
+import random
 
-import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from relief.operators import visibility as V
-from relief.operators.tiles import raster_from_array
-from relief.plans import oracle, products
+from relief.operators.tiles import pack, raster_from_array, unpack
 from relief.schema import Grid
 
-SF = "/root/testdata/sf0.001"
-
 
 def grid_result(df, n):
     rows = {(r.gx, r.gy): r.vis for r in df.collect()}
@@ -52,10 +51,111 @@ def test_nodata_neither_blocks_nor_answers(spark, raster):
     assert res[2][3] is None and res[2][4] == 1
 
 
-def test_approx_fills_every_valid_cell(spark, raster):
-    cells = raster([[float((x * 7 + y * 3) % 5) for x in range(11)] for y in range(11)])
-    a = V.viewshed_approx(obs(spark, 5, 5, 3.0, 5), cells, ray_step=3)
-    assert a.count() == 121
+def ring_by_ring(z, ox, oy, oz, radius):
+    """V4 by its definition, cell by cell: ``z`` maps (x, y) to a value or None."""
+    looks, vis = {}, {(ox, oy): 1}
+    for k in range(1, radius + 1):
+        for dy in range(-k, k + 1):
+            for dx in range(-k, k + 1):
+                if max(abs(dx), abs(dy)) != k:
+                    continue
+                along, t = (dx, dy) if abs(dx) >= abs(dy) else (dy, dx)
+                low = t * (k - 1) // k
+                rest = t * (k - 1) - low * k
+
+                def inside(offset):
+                    step = (k - 1) * (1 if along > 0 else -1)
+                    return looks.get((step, offset) if abs(dx) >= abs(dy) else (offset, step))
+
+                a, b = inside(low), inside(low + (rest > 0))
+                if rest == 0 or b is None:
+                    h = a
+                elif a is None:
+                    h = b
+                else:
+                    h = a * (1 - rest / k) + b * (rest / k)
+                value = z.get((ox + dx, oy + dy))
+                looks[dx, dy] = h
+                if value is not None:
+                    slope = (value - oz) / math.sqrt(k * k + t * t)
+                    vis[ox + dx, oy + dy] = int(h is None or slope >= h)
+                    looks[dx, dy] = slope if h is None else max(h, slope)
+    return vis
+
+
+@pytest.mark.parametrize("tile", [4, 16])
+def test_approx_equals_the_ring_recursion(spark, raster, tile):
+    rnd = random.Random(tile)
+    rows = [[None if rnd.random() < 0.15 else float(rnd.randint(0, 12)) for _ in range(21)] for _ in range(17)]
+    rows[8] = [None] * 21  # a wall of NODATA
+    z = {(x, y): rows[y][x] for y in range(17) for x in range(21)}
+    grid = Grid(0.0, 0.0, 1.0, 1.0, tile, tile)
+    watchers = [(i, rnd.randint(0, 20), rnd.randint(0, 16), float(rnd.randint(3, 15)), rnd.randint(0, 20)) for i in range(30)]
+    watchers += [(100 + i, 3, 3, 5.0 + i, 4) for i in range(70)]  # more than share a window
+    o = spark.createDataFrame(watchers, "id long, ox long, oy long, oz double, radius int")
+    t = V.viewshed_approx(o, pack(raster(rows), grid), grid)
+    got = {}
+    for r in unpack(t, grid, ("id",), keep_nodata=False).collect():
+        got.setdefault(r.id, {})[r.gx, r.gy] = int(r.value)
+    for i, ox, oy, oz, radius in watchers:
+        want = ring_by_ring(z, ox, oy, oz, radius)
+        assert got[i] == want
+        # every valid cell within the radius has an answer
+        assert want.keys() == {(x, y) for (x, y), v in z.items() if max(abs(x - ox), abs(y - oy)) <= radius and (v is not None or (x, y) == (ox, oy))}
+
+
+def test_approx_answers_beyond_walls_of_nodata(spark, raster):
+    """Only two far cells are valid: no ray of a coarse set need reach them, but both have an answer."""
+    rows = [[None] * 33 for _ in range(33)]
+    rows[0][1], rows[31][32], rows[16][16] = 5.0, 5.0, 0.0
+    grid = Grid(0.0, 0.0, 1.0, 1.0, 8, 8)
+    got = unpack(V.viewshed_approx(obs(spark, 16, 16, 1.0, 16), pack(raster(rows), grid), grid), grid, ("id",), keep_nodata=False)
+    assert {(r.gx, r.gy): r.value for r in got.collect()} == {(1, 0): 1.0, (32, 31): 1.0, (16, 16): 1.0}
+
+
+def test_approx_of_plane_wall_and_empty(spark, raster):
+    grid = Grid(0.0, 0.0, 1.0, 1.0, 4, 4)
+    look = lambda o, cells: grid_result(unpack(V.viewshed_approx(o, pack(cells, grid), grid), grid, ("id",), keep_nodata=False).withColumn("vis", F.col("value").cast("int")), 9)
+    assert all(v == 1 for row in look(obs(spark, 4, 4, 1.0, 4), raster([[0.0] * 9 for _ in range(9)])) for v in row)
+    rows = [[0.0] * 9 for _ in range(9)]
+    for y in range(9):
+        rows[y][6] = 50.0
+    res = look(obs(spark, 2, 4, 1.0, 6), raster(rows))
+    assert res[4][6] == 1 and res[4][7] == 0 and res[4][8] == 0 and res[4][3] == 1
+    assert V.viewshed_approx(obs(spark, 2, 4, 1.0, 6).limit(0), pack(raster(rows), grid), grid).count() == 0
+    # an observer off all tiles still sees its own cell
+    far = unpack(V.viewshed_approx(obs(spark, 500, 500, 1.0, 2), pack(raster(rows), grid), grid), grid, ("id",), keep_nodata=False).collect()
+    assert [(r.gx, r.gy, r.value) for r in far] == [(500, 500, 1.0)]
+
+
+def test_median_of_masks_equals_the_focal_median(spark, raster):
+    from relief.operators import focal
+
+    rnd = random.Random(2)
+    rows = [[None if rnd.random() < 0.2 else float(rnd.randint(0, 9)) for _ in range(16)] for _ in range(12)]
+    grid = Grid(0.0, 0.0, 1.0, 1.0, 4, 4)
+    o, t = obs(spark, 6, 6, 4.0, 16), pack(raster(rows), grid)
+    plain = V.viewshed_approx(o, t, grid)
+    want = unpack(focal.focal_tiles(plain, grid, "median", keys=("id",)), grid, ("id",)).withColumnRenamed("value", "m")
+    want = want.join(unpack(plain, grid, ("id",), keep_nodata=False), ["id", "gx", "gy"])  # a cell without an answer has no median
+    got = unpack(V.viewshed_approx(o, t, grid, median=True), grid, ("id",), keep_nodata=False)
+    assert {(r.gx, r.gy): r.value for r in got.collect()} == {(r.gx, r.gy): r.m for r in want.collect()}
+
+
+def test_too_large_a_window_says_so(spark, raster, monkeypatch):
+    from relief.operators.visibility import _window
+
+    monkeypatch.setattr(V, "WINDOW_CELLS", 10)
+    held = pa.table({"col": pa.array([0], pa.int32()), "row": pa.array([0], pa.int32()), "data": pa.array([[0.0] * 16])})
+    members = pa.table({"id": [1], "ox": [0], "oy": [0], "oz": [1.0], "radius": pa.array([3], pa.int32())})
+    with pytest.raises(ValueError, match="viewshed_r2"):
+        list(_window(members, held, Grid(0.0, 0.0, 1.0, 1.0, 4, 4), False, False, None))
+
+
+def test_tiles_of_an_observer_stay_inside_its_extent(spark):
+    o = spark.createDataFrame([(0, 5, 5, 1_000_000, 0, 0, 31, 70)], "id long, ox long, oy long, radius int, bx0 long, by0 long, bx1 long, by1 long")
+    got = {(r.col, r.row) for r in V.observer_tile_keys(o, Grid(0.0, 0.0, 1.0, 1.0, 32, 32)).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2)}
 
 
 def test_observer_product_answers_every_selected_cell(spark):
@@ -65,29 +165,11 @@ def test_observer_product_answers_every_selected_cell(spark):
     o = spark.createDataFrame([(1, 125.0, 85.0, 1.0, 2, 20.0), (2, 5.0, 5.0, 1.0, 0, 20.0)], "id long, x double, y double, height double, radius int, buff double")
     tiles = {1: {(1, 0), (1, 1)}, 2: {(0, 1)}}  # rows count from ymax
     want = {(i, x, y) for i in tiles for x in range(32) for y in range(16) if (x // 8, y // 8) in tiles[i]}
-    for step in (1, 4):
-        got = V.observer_viewshed(o, cells, cells, grid, step).collect()
-        assert {(r.id, r.gx, r.gy) for r in got} == want and all(r.vis == 1 for r in got)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-def test_mask_equals_sql_without_a_radius(spark):
-    """The oracle of p11 with each observer's radius taken from its selected tiles."""
-    cut = oracle.observers_sql(20)
-    whole = cut.replace("obs0 AS", "obs00 AS", 1).replace(
-        "obs AS",
-        """obs0 AS (SELECT o.id, any_value(o.ox) AS ox, any_value(o.oy) AS oy, any_value(o.height) AS height,
-                    max(greatest(abs(d.gx - o.ox), abs(d.gy - o.oy))) AS r
-             FROM obs00 o JOIN dsm d
-             ON pow(greatest(d.gx // 32 * 320 - (o.ox * 10 + 5), 0, o.ox * 10 + 5 - (d.gx // 32 * 320 + 320)), 2)
-              + pow(greatest(d.gy // 32 * 320 - (o.oy * 10 + 5), 0, o.oy * 10 + 5 - (d.gy // 32 * 320 + 320)), 2) <= 40000
-             GROUP BY o.id),
-obs AS""",
-        1,
-    )
-    con = duckdb.connect()
-    for t in ("orders", "lineitem", "supplier"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(oracle.P11_VIEWSHED_MASK.replace(cut, whole)).fetchdf()[["id", "gx", "gy", "color"]]
-    got = products.viewshed_mask(spark, SF).select("id", "gx", "gy", "color").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want.itertuples(index=False)))
+    got = unpack(V.observer_viewshed(o, cells, pack(cells, grid), grid), grid, ("id",), keep_nodata=False).collect()
+    assert {(r.id, r.gx, r.gy) for r in got} == want and all(r.value == 1 for r in got)
+
+
+def test_rays_of_one_observer_are_many_tasks(spark):
+    o = spark.createDataFrame([(0, 50, 50, 1.0, 50)], "id long, ox long, oy long, oz double, radius int").coalesce(1)
+    tasks = V.ray_samples(o).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
