@@ -8,7 +8,9 @@ Colours are unsigned BIGINT (no 32-bit wrap).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Colour-map definitions used by the products.  The reference loads
@@ -37,13 +39,11 @@ def parse_colormap(definition: Column | str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.array_sort(entries))
 
 
-def parse_definition(definition: str) -> list[tuple[float, int]]:
-    """S10 for a constant definition (driver side, a few entries): sorted (limit, colour)."""
-    out = []
-    for part in definition.split(";"):
-        lim, hexa = part.strip().split(":")
-        out.append((float(lim), int(hexa, 16) & 0xFFFFFFFF))
-    return sorted(out)
+@lru_cache(maxsize=64)
+def color_entries(definition: str) -> tuple[tuple[float, int], ...] | None:
+    """S10 of a constant definition, as values on the driver: sorted (limit, colour), None if it is malformed."""
+    row = SparkSession.active().range(1).select(parse_colormap(F.lit(definition)).alias("m")).first()
+    return None if row.m is None else tuple((e["limit"], e["color"]) for e in row.m)
 
 
 def classify_le(v: Column | str, cmap: Column | str) -> Column:
@@ -54,7 +54,9 @@ def classify_le(v: Column | str, cmap: Column | str) -> Column:
     constant definition string, which becomes a CASE chain inside whole-stage codegen."""
     v = F.col(v) if isinstance(v, str) else v
     if isinstance(cmap, str):
-        cm = parse_definition(cmap)
+        cm = color_entries(cmap)
+        if cm is None:
+            return F.lit(None).cast("bigint")
         e = F.when(v.isNull(), F.lit(0).cast("bigint"))
         for lim, colour in cm:
             e = e.when(v <= F.lit(lim), F.lit(colour).cast("bigint"))
@@ -70,7 +72,9 @@ def classify_ge(v: Column | str, cmap: Column | str) -> Column:
     colour; NODATA -> 0.  ``cmap`` as for :func:`classify_le`."""
     v = F.col(v) if isinstance(v, str) else v
     if isinstance(cmap, str):
-        cm = parse_definition(cmap)
+        cm = color_entries(cmap)
+        if cm is None:
+            return F.lit(None).cast("bigint")
         e = F.when(v.isNull(), F.lit(0).cast("bigint"))
         for lim, colour in reversed(cm):
             e = e.when(v >= F.lit(lim), F.lit(colour).cast("bigint"))
@@ -104,6 +108,18 @@ def shade_blend(argb: Column, shade: Column) -> Column:
     return F.when(shade.isNotNull(), blended)
 
 
+def classify_requests(values: DataFrame, maps: DataFrame, at_least: bool = False) -> DataFrame:
+    """Y1 / Y2 with a colour map per request: ``values (id, name, value)`` and ``maps (name, definition)`` give ``(id, name,
+    value, color)``.
+
+    Definitions are parsed once per map, then looked up by name; a request whose map is unknown or malformed keeps its row
+    with a NULL colour.  A value finds its class in the map's sorted array (an as-of lookup)."""
+    parsed = maps.select("name", parse_colormap("definition").alias("_map"))
+    classify = classify_ge if at_least else classify_le
+    found = values.join(parsed, "name", "left")
+    return found.select("id", "name", "value", F.when(F.col("_map").isNotNull(), classify("value", F.col("_map"))).alias("color"))
+
+
 def colormap_literal(definition: str) -> Column:
     """A definition string as a constant column (folded by Catalyst)."""
     return parse_colormap(F.lit(definition))

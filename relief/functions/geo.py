@@ -52,6 +52,20 @@ def tile_key(grid: Grid, gx: Column | str, gy: Column | str) -> tuple[Column, Co
     return col, row
 
 
+def morton(col: Column | str, row: Column | str) -> Column:
+    """Morton (Z-order) code of a key: the bits of both indices in turn, so that near keys have near codes.  Indices from
+    -2^30 to 2^30 - 1."""
+
+    def spread(x: Column) -> Column:
+        x = _c(x).cast("bigint") + F.lit(1 << 30)
+        # Masks of the classic bit interleaving of 32 bits into every second one of 64.
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return spread(col).bitwiseOR(F.shiftleft(spread(row), 1))
+
+
 def tile_extent(grid: Grid, col: Column | str, row: Column | str) -> Column:
     """Map extent of a tile key."""
     col, row = _c(col), _c(row)

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relief.functions.kernels import NAMES, OFFSETS, kernel_col, kernel_np
-from relief.operators.tiles import ROLES, halo
+from relief.operators.tiles import ROLES, halo, list_column, padded
 from relief.schema import Grid
 
 
@@ -54,60 +53,25 @@ def focal_cells(cells: DataFrame, op: str, keys: tuple[str, ...] = (), **kw) ->
 
 # --- tile path -------------------------------------------------------------------
 
-def _dense(arr: pa.Array, length: int) -> np.ndarray:
-    """A list column of fixed-length lists (NULL list or NULL item -> NaN) as (rows, length)."""
-    out = np.full((len(arr), length), np.nan)
-    valid = arr.is_valid().to_numpy(zero_copy_only=False)
-    if valid.any():
-        vals = arr.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False)
-        out[valid] = np.asarray(vals, dtype=float).reshape(-1, length)
-    return out
-
-
-def _tile_kernel(op: str, tc: int, tr: int, keys: tuple[str, ...], kw: dict, keep_source: bool):
+def _tile_kernel(op: str, grid: Grid, keys: tuple[str, ...], kw: dict):
     """Arrow batch -> batch: every tile of the batch is padded and processed at once."""
 
     def run(batches):
         warnings.simplefilter("ignore", RuntimeWarning)
         for rb in batches:
-            cols = {name: rb.column(name) for name in rb.schema.names}
-            k = rb.num_rows
-            pad = np.full((k, tr + 2, tc + 2), np.nan)
-            pad[:, 1:-1, 1:-1] = _dense(cols["data"], tc * tr).reshape(k, tr, tc)
-            pad[:, 0, 1:-1] = _dense(cols["n"], tc)
-            pad[:, -1, 1:-1] = _dense(cols["s"], tc)
-            pad[:, 1:-1, 0] = _dense(cols["w"], tr)
-            pad[:, 1:-1, -1] = _dense(cols["e"], tr)
-            pad[:, 0, 0] = _dense(cols["nw"], 1)[:, 0]
-            pad[:, 0, -1] = _dense(cols["ne"], 1)[:, 0]
-            pad[:, -1, 0] = _dense(cols["sw"], 1)[:, 0]
-            pad[:, -1, -1] = _dense(cols["se"], 1)[:, 0]
-            values = np.ascontiguousarray(kernel_np(op, pad, **kw)).reshape(-1)
-            offsets = pa.array(np.arange(0, (k + 1) * tc * tr, tc * tr, dtype=np.int32))
-            data = pa.ListArray.from_arrays(offsets, pa.array(values, mask=np.isnan(values)))
-            arrays = [cols[c] for c in keys] + [cols["col"], cols["row"], data]
-            names = list(keys) + ["col", "row", "data"]
-            if keep_source:
-                arrays.append(cols["data"])
-                names.append("src")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if not rb.num_rows:
+                continue
+            values = kernel_np(op, padded(rb, grid), **kw)
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in (*keys, "col", "row")), list_column(values.reshape(len(values), -1))], [*keys, "col", "row", "data"])
 
     return run
 
 
-def focal_tiles(
-    tiles: DataFrame, grid: Grid, op: str, keys: tuple[str, ...] = (), diagonals: bool = True, keep_source: bool = False, **kw
-) -> DataFrame:
-    """F1-F5 on packed tiles: ``(*keys, col, row, data)`` of the same layout.
-
-    ``keep_source`` also returns the input tile as ``src``, so a product that
-    combines the result with its own input (masking, blending) needs no join."""
-    h = halo(tiles, grid, keys, diagonals)
-    h = h.select(*keys, "col", "row", "data", *ROLES)
+def focal_tiles(tiles: DataFrame, grid: Grid, op: str, keys: tuple[str, ...] = (), diagonals: bool = True, **kw) -> DataFrame:
+    """F1-F5 on packed tiles: ``(*keys, col, row, data)`` of the same layout.  Several steps in one pass: ``plans.compose``."""
+    h = halo(tiles, grid, keys, diagonals).select(*keys, "col", "row", "data", *ROLES)
     schema = T.StructType(
         [h.schema[k] for k in keys]
-        + [T.StructField("col", T.IntegerType()), T.StructField("row", T.IntegerType()),
-           T.StructField("data", T.ArrayType(T.DoubleType()))]
-        + ([T.StructField("src", T.ArrayType(T.DoubleType()))] if keep_source else [])
+        + [T.StructField("col", T.IntegerType()), T.StructField("row", T.IntegerType()), T.StructField("data", T.ArrayType(T.DoubleType()))]
     )
-    return h.mapInArrow(_tile_kernel(op, grid.tile_cols, grid.tile_rows, tuple(keys), dict(kw), keep_source), schema)
+    return h.mapInArrow(_tile_kernel(op, grid, tuple(keys), dict(kw)), schema)

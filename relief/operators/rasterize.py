@@ -9,8 +9,8 @@ Plan (no theta join, no cross join):
      (``sequence`` over the edge's row span) -> one crossing per (edge, row);
   2. ``row_number``/``lead`` over (polygon, row) ordered by x pairs crossings
      1-2, 3-4, ... into spans;
-  3. each span explodes into its cells -> ``(id, gx, gy)``, ready for an
-     equi-join on the cell index.
+  3. each span is cut at tile borders, ready for an equi-join with packed tiles on
+     (col, row); only where cells are the result, it explodes into them.
 Work is proportional to perimeter-rows + covered cells; a huge polygon spreads
 over (id, gy) partitions, so one hot polygon does not land on one task.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relief.schema import Grid
+from relief.schema import Grid, KeyBounds
 
 
 def _edges(rings: Column) -> Column:
@@ -42,12 +42,13 @@ def _edges(rings: Column) -> Column:
 
 
 def polygon_spans(
-    polygons: DataFrame, grid: Grid, id_col: str = "id", rings_col: str = "rings", carry: tuple[str, ...] = ()
+    polygons: DataFrame, grid: Grid, id_col: str = "id", rings_col: str = "rings", carry: tuple[str, ...] = (), bounds: KeyBounds | None = None
 ) -> DataFrame:
     """Row spans ``(id, *carry, gy, gx_lo, gx_hi)`` (inclusive) of the cells inside each polygon.
 
     ``carry`` columns (per-polygon request parameters such as a flood level) ride
-    along, so no join back to the request table is needed afterwards."""
+    along, so no join back to the request table is needed afterwards.  ``bounds``: a layer's key bounds; rows and cells
+    outside them are cut off before anything is exploded, so a polygon larger than the layer costs no more than the layer."""
     carry = tuple(carry)
     e = polygons.select(F.col(id_col).alias("_pid"), *carry, F.explode(_edges(F.col(rings_col))).alias("e"))
     # grid units: u grows east, v grows south
@@ -59,6 +60,9 @@ def polygon_spans(
     # rows whose centre line v = gy + 0.5 lies in [min(v1,v2), max(v1,v2)); horizontal edges give none
     lo = F.ceil(F.least("v1", "v2") - 0.5)
     hi = F.ceil(F.greatest("v1", "v2") - 0.5) - 1
+    if bounds is not None:
+        lo = F.greatest(lo, F.lit(bounds.row_min * grid.tile_rows))
+        hi = F.least(hi, F.lit((bounds.row_max + 1) * grid.tile_rows - 1))
     e = e.where(F.col("v1") != F.col("v2")).select("*", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
     x = e.select(
         "_pid", *carry, "u1", "v1", "u2", "v2", F.explode(F.sequence("lo", "hi")).alias("gy")
@@ -79,9 +83,24 @@ def polygon_spans(
             F.ceil(F.col("u") - 0.5).cast("bigint").alias("gx_lo"),
             (F.ceil(F.col("u_end") - 0.5) - 1).cast("bigint").alias("gx_hi"),
         )
-        .where("gx_lo <= gx_hi")
     )
-    return spans
+    if bounds is not None:
+        spans = spans.withColumns({
+            "gx_lo": F.greatest("gx_lo", F.lit(bounds.col_min * grid.tile_cols)), "gx_hi": F.least("gx_hi", F.lit((bounds.col_max + 1) * grid.tile_cols - 1))
+        })
+    return spans.where("gx_lo <= gx_hi")
+
+
+def tile_spans(spans: DataFrame, grid: Grid, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Spans cut at tile borders: ``(*keys, col, row, at, cells)``, the place of the first cell in the tile's array and the
+    number of cells."""
+    tc, tr = grid.tile_cols, grid.tile_rows
+    first, last = F.floor(F.col("gx_lo") / tc).cast("int"), F.floor(F.col("gx_hi") / tc).cast("int")
+    s = spans.select(*keys, "gy", "gx_lo", "gx_hi", F.explode(F.sequence(first, last)).alias("col"), F.floor(F.col("gy") / tr).cast("int").alias("row"))
+    lo = F.greatest(F.col("gx_lo"), F.col("col") * tc) - F.col("col") * tc
+    hi = F.least(F.col("gx_hi"), (F.col("col") + 1) * tc - 1) - F.col("col") * tc
+    at = (F.col("gy") - F.col("row") * tr) * tc + lo
+    return s.select(*keys, "col", "row", at.cast("int").alias("at"), (hi - lo + 1).cast("int").alias("cells"))
 
 
 def rasterize(
@@ -92,31 +111,30 @@ def rasterize(
     return s.select(id_col, *carry, F.explode(F.sequence("gx_lo", "gx_hi")).alias("gx"), "gy")
 
 
-def polygon_tile_keys(polygons: DataFrame, grid: Grid, id_col: str = "id", rings_col: str = "rings") -> DataFrame:
-    """``(id, col, row)`` of the tiles a polygon's bounding box touches (the layer-query
-    predicate rewritten to tile keys; exactness comes from :func:`rasterize`)."""
-    pts = F.flatten(F.col(rings_col))
-    xs = F.transform(pts, lambda p: p["x"])
-    ys = F.transform(pts, lambda p: p["y"])
-    tw = grid.tile_cols * grid.cell_w
-    th = grid.tile_rows * grid.cell_h
-    b = polygons.select(
-        F.col(id_col),
-        F.floor((F.array_min(xs) - F.lit(grid.xmin)) / F.lit(tw)).cast("int").alias("c0"),
-        F.floor((F.array_max(xs) - F.lit(grid.xmin)) / F.lit(tw)).cast("int").alias("c1"),
-        F.floor((F.lit(grid.ymax) - F.array_max(ys)) / F.lit(th)).cast("int").alias("r0"),
-        F.floor((F.lit(grid.ymax) - F.array_min(ys)) / F.lit(th)).cast("int").alias("r1"),
-    )
-    return b.select(
-        id_col, F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1"
-    ).select(id_col, "col", F.explode(F.sequence("r0", "r1")).alias("row"))
-
-
-def cover_bound(polygons: DataFrame, grid: Grid, rings_col: str = "rings") -> Column:
-    """Per-polygon upper bound of covered cells: its bounding box in cells (a column)."""
-    pts = F.flatten(F.col(rings_col))
-    xs = F.transform(pts, lambda p: p["x"])
-    ys = F.transform(pts, lambda p: p["y"])
-    w = F.ceil((F.array_max(xs) - F.array_min(xs)) / F.lit(grid.cell_w)) + 1
-    h = F.ceil((F.array_max(ys) - F.array_min(ys)) / F.lit(grid.cell_h)) + 1
-    return F.coalesce(w * h, F.lit(0))
+def polygon_tile_keys(polygons: DataFrame, grid: Grid, id_col: str = "id", rings_col: str = "rings", bounds: KeyBounds | None = None) -> DataFrame:
+    """``(id, col, row)`` of the tiles that a polygon intersects (tiles half-open, holes left out).
+
+    An edge walks through the tile rows that it passes, and in each through the columns between its ends there.  A tile that
+    no edge enters lies inside or outside as a whole, as its centre does: a scanline over the grid of tiles."""
+    tiles = Grid(grid.xmin, grid.ymax, grid.cell_w * grid.tile_cols, grid.cell_h * grid.tile_rows, 1, 1)
+    e = polygons.select(F.col(id_col).alias("_pid"), F.explode(_edges(F.col(rings_col))).alias("e"))
+    u, v = (lambda x: (x - F.lit(tiles.xmin)) / F.lit(tiles.cell_w)), (lambda y: (F.lit(tiles.ymax) - y) / F.lit(tiles.cell_h))
+    e = e.select("_pid", u(F.col("e.x1")).alias("u1"), v(F.col("e.y1")).alias("v1"), u(F.col("e.x2")).alias("u2"), v(F.col("e.y2")).alias("v2"))
+    r0, r1 = F.floor(F.least("v1", "v2")), F.floor(F.greatest("v1", "v2"))
+    if bounds is not None:
+        r0, r1 = F.greatest(r0, F.lit(bounds.row_min)), F.least(r1, F.lit(bounds.row_max))
+    walk = e.withColumns({"_r0": r0, "_r1": r1}).where("_r0 <= _r1").select("*", F.explode(F.sequence("_r0", "_r1")).alias("row"))
+
+    def u_at(line):
+        """Where the edge is at a row line, no further than its own ends."""
+        at = F.greatest(F.least("v1", "v2"), F.least(F.greatest("v1", "v2"), line))
+        return F.when(F.col("v1") == F.col("v2"), F.col("u1")).otherwise(F.col("u1") + (at - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1")))
+
+    a, b = u_at(F.col("row").cast("double")), F.when(F.col("v1") == F.col("v2"), F.col("u2")).otherwise(u_at((F.col("row") + 1).cast("double")))
+    c0, c1 = F.floor(F.least(a, b)), F.floor(F.greatest(a, b))
+    if bounds is not None:
+        c0, c1 = F.greatest(c0, F.lit(bounds.col_min)), F.least(c1, F.lit(bounds.col_max))
+    crossed = walk.withColumns({"_c0": c0, "_c1": c1}).where("_c0 <= _c1").select("_pid", F.explode(F.sequence("_c0", "_c1")).alias("col"), "row")
+    inside = polygon_spans(polygons, tiles, id_col, rings_col, bounds=bounds)
+    inside = inside.select(F.col(id_col).alias("_pid"), F.explode(F.sequence("gx_lo", "gx_hi")).alias("col"), F.col("gy").alias("row"))
+    return crossed.unionByName(inside).distinct().select(F.col("_pid").alias(id_col), F.col("col").cast("int"), F.col("row").cast("int"))

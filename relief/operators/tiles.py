@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relief.functions.geo import tile_key
-from relief.schema import Grid
+from relief.schema import Grid, KeyBounds
 
 
 def dense(arr: pa.Array, length: int) -> np.ndarray:
@@ -69,48 +69,72 @@ def unpack(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), keep_nodata
     return out if keep_nodata else out.where(F.col("value").isNotNull())
 
 
+def stitch(tiles: DataFrame, grid: Grid, bounds: KeyBounds) -> DataFrame:
+    """M1: the layer as one raster: a cell ``(gx, gy, value)`` for every key inside ``bounds``, NODATA where a tile is missing.
+
+    The key grid is generated in parallel and joined to the tiles that there are."""
+    cols = bounds.col_max - bounds.col_min + 1
+    n = cols * (bounds.row_max - bounds.row_min + 1)
+    keys = tiles.sparkSession.range(n).select(
+        (F.col("id") % cols + bounds.col_min).cast("int").alias("col"), (F.expr(f"id div {cols}") + bounds.row_min).cast("int").alias("row")
+    )
+    held = keys.join(tiles.select("col", "row", "data"), ["col", "row"], "left")
+    gap = F.array_repeat(F.lit(None).cast("double"), F.lit(grid.tile_size))
+    return unpack(held.withColumn("data", F.coalesce("data", gap)), grid)
+
+
 def crop(cells: DataFrame, gx0: int, gy0: int, gx1: int, gy1: int) -> DataFrame:
     """M3: inclusive bounds, pushed down as a plain range filter."""
     return cells.where(F.col("gx").between(gx0, gx1) & F.col("gy").between(gy0, gy1))
 
 
+def crop_tiles(tiles: DataFrame, grid: Grid, gx0: int, gy0: int, gx1: int, gy1: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """M3 on packed tiles: only the tiles of the window are unpacked (a predicate on the key, which reaches a stored layer's
+    scan), then :func:`crop`."""
+    col, row = F.col("col"), F.col("row")
+    held = tiles.where(col.between(gx0 // grid.tile_cols, gx1 // grid.tile_cols) & row.between(gy0 // grid.tile_rows, gy1 // grid.tile_rows))
+    return crop(unpack(held, grid, keys), gx0, gy0, gx1, gy1)
+
+
 # --- M2: halo exchange -------------------------------------------------------
 
 ROLES = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
 
 
-def _strips(grid: Grid) -> list[tuple[int, int, str, Column]]:
-    """What a tile sends to each neighbour: (dcol, drow, role at the receiver, strip)."""
+def _strips(grid: Grid, width: int) -> list[tuple[int, int, str, Column]]:
+    """What a tile sends to each neighbour: (dcol, drow, role at the receiver, strip of ``width`` cells, row-major)."""
     tc, tr = grid.tile_cols, grid.tile_rows
     d = F.col("data")
-    first_row = F.slice(d, 1, tc)
-    last_row = F.slice(d, (tr - 1) * tc + 1, tc)
-    first_col = F.transform(F.sequence(F.lit(0), F.lit(tr - 1)), lambda r: F.get(d, r * tc))
-    last_col = F.transform(F.sequence(F.lit(0), F.lit(tr - 1)), lambda r: F.get(d, r * tc + tc - 1))
 
-    def one(i: int) -> Column:
-        return F.array(F.get(d, i))
+    def block(x: int, y: int, w: int, h: int) -> Column:
+        if w == tc:
+            return F.slice(d, y * tc + 1, w * h)
+        place = lambda i: F.get(d, (F.lit(y) + F.floor(i / w)) * tc + x + i % w)
+        return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), place)
 
+    n, w, e = width, 0, tc - width
     return [
-        (0, 1, "n", last_row),  # I am the north neighbour of the tile below me
-        (0, -1, "s", first_row),
-        (1, 0, "w", last_col),
-        (-1, 0, "e", first_col),
-        (1, 1, "nw", one(tr * tc - 1)),
-        (-1, 1, "ne", one((tr - 1) * tc)),
-        (1, -1, "sw", one(tc - 1)),
-        (-1, -1, "se", one(0)),
+        (0, 1, "n", block(0, tr - n, tc, n)),  # I am the north neighbour of the tile below me
+        (0, -1, "s", block(0, 0, tc, n)),
+        (1, 0, "w", block(e, 0, n, tr)),
+        (-1, 0, "e", block(w, 0, n, tr)),
+        (1, 1, "nw", block(e, tr - n, n, n)),
+        (-1, 1, "ne", block(w, tr - n, n, n)),
+        (1, -1, "sw", block(e, 0, n, n)),
+        (-1, -1, "se", block(w, 0, n, n)),
     ]
 
 
-def halo(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), diagonals: bool = True) -> DataFrame:
+def halo(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), diagonals: bool = True, width: int = 1) -> DataFrame:
     """M2: every tile with its neighbours' edge strips ``(*keys, col, row, data, n, s, w, e, nw, ne, sw, se)``.
 
-    Each tile emits itself plus 1-cell strips to its 8 neighbours; one shuffle on
-    the tile key gathers them (about (1 + 4/tile_cols) x the layer).  An absent
+    Each tile emits itself plus strips of ``width`` cells to its 8 neighbours; one shuffle on
+    the tile key gathers them (about (1 + 4 width/tile_cols) x the layer).  An absent
     neighbour leaves its strip NULL (NODATA).  ``diagonals=False`` reproduces the
     reference's plus-shaped mosaic (corners NODATA)."""
-    strips = [s for s in _strips(grid) if diagonals or len(s[2]) == 1]
+    if width > min(grid.tile_cols, grid.tile_rows):
+        raise ValueError(f"a halo of {width} cells is wider than a tile")
+    strips = [s for s in _strips(grid, width) if diagonals or len(s[2]) == 1]
     msgs = F.array(
         F.struct(F.lit(0).alias("dc"), F.lit(0).alias("dr"), F.lit("c").alias("role"), F.col("data").alias("strip")),
         *[F.struct(F.lit(dc).alias("dc"), F.lit(dr).alias("dr"), F.lit(role).alias("role"), s.alias("strip")) for dc, dr, role, s in strips],
@@ -126,3 +150,26 @@ def halo(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), diagonals: bo
     g = m.groupBy(*keys, "col", "row").agg(F.map_from_entries(F.collect_list(F.struct("role", "strip"))).alias("_m"))
     g = g.select(*keys, "col", "row", *[F.try_element_at("_m", F.lit(r)).alias(r) for r in ("c",) + ROLES])
     return g.where(F.col("c").isNotNull()).withColumnRenamed("c", "data")
+
+
+def padded(rb: pa.RecordBatch, grid: Grid, width: int = 1) -> np.ndarray:
+    """The tiles of a batch of :func:`halo` with their strips around them: ``k x (rows + 2 width) x (cols + 2 width)``, NaN = NODATA."""
+    tc, tr, n, k = grid.tile_cols, grid.tile_rows, width, rb.num_rows
+    out = np.full((k, tr + 2 * n, tc + 2 * n), np.nan)
+    out[:, n : n + tr, n : n + tc] = dense(rb.column("data"), tc * tr).reshape(k, tr, tc)
+    if n:
+        top, bottom, left, right, row, col = slice(0, n), slice(n + tr, None), slice(0, n), slice(n + tc, None), slice(n, n + tr), slice(n, n + tc)
+        for role, ys, xs, h, w in (
+            ("n", top, col, n, tc), ("s", bottom, col, n, tc), ("w", row, left, tr, n), ("e", row, right, tr, n),
+            ("nw", top, left, n, n), ("ne", top, right, n, n), ("sw", bottom, left, n, n), ("se", bottom, right, n, n),
+        ):
+            out[:, ys, xs] = dense(rb.column(role), h * w).reshape(k, h, w)
+    return out
+
+
+def list_column(values: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """``k x cells`` (NaN = NULL) as a list column."""
+    flat = np.ascontiguousarray(values).reshape(-1)
+    gone = np.isnan(flat)
+    items = pa.array(flat, mask=gone) if kind is None else pa.array(np.where(gone, 0, flat).astype(kind.to_pandas_dtype()), mask=gone)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, values.shape[1], dtype=np.int32)), items)

@@ -30,7 +30,7 @@ def _g9_rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p10_flood_summary": lambda s, d: P.flood_summary(s, d, with_intervals=False),
+    "p10_flood_summary": P.flood_summary,
     "k2_flood_classes": P.flood_class_shares,
     "g9_rasterize": _g9_rasterize,
     "k4_point_value": P.point_value,
@@ -39,13 +39,13 @@ QUERIES: dict[str, Query] = {
     "f3_hillshade": lambda s, d: P.focal_layer(s, d, "hillshade"),
     "f4_flow_direction": lambda s, d: P.focal_layer(s, d, "flowdir"),
     "f5_focal_median": lambda s, d: P.focal_layer(s, d, "median"),
-    "p1_color": P.color,
-    "p2_grey": P.grey,
-    "p3_contour": P.contour,
-    "p4_hillshade": P.hillshade,
-    "p5_aspect": P.aspect,
-    "p6_slope": P.slope,
-    "p7_color_hillshade": P.color_hillshade,
+    "p1_color": lambda s, d: P.rendered(s, d, "color"),
+    "p2_grey": lambda s, d: P.rendered(s, d, "grey"),
+    "p3_contour": lambda s, d: P.rendered(s, d, "contour", "value", "double"),
+    "p4_hillshade": lambda s, d: P.rendered(s, d, "hillshade", "value", "int"),
+    "p5_aspect": lambda s, d: P.rendered(s, d, "aspect"),
+    "p6_slope": lambda s, d: P.rendered(s, d, "slope", "value", "int"),
+    "p7_color_hillshade": lambda s, d: P.rendered(s, d, "color-hillshade"),
     "p8_hand": P.hand,
     "v2_viewshed_r2": P.viewshed_r2,
     "v3_viewshed_exact": P.viewshed_exact,
@@ -54,18 +54,26 @@ QUERIES: dict[str, Query] = {
     "z1_regions": P.regions,
     "z3_region_polygons": P.region_polygons,
     "p12_viewshed_polygons": P.viewshed_polygons,
+    "s1_stored_product": P.stored_product,
     "s2_tile_lookup": P.tile_lookup,
     "s3_layer_metadata": P.layer_metadata,
     "s4_key_bounds": P.key_bounds_guard,
     "s5_point_requests": P.point_request_check,
     "s7_collection_polygon": P.collection_polygon,
+    "s8_array_raster": P.array_raster,
     "s9_pack": P.pack_stats,
+    "s10_colormaps": P.colormap_requests,
+    "s11_json_sink": P.json_sink,
+    "s12_request_stream": P.request_stream,
     "g1_reproject": P.reproject,
+    "g5_point_tiles": P.point_tile_value,
     "g6_polygon_tiles": P.polygon_tiles,
     "g7_buffer_tiles": P.buffer_tiles,
     "l2_combine": P.combine,
     "v1_observers": P.observers,
     "p13_fixed_cell_viewshed": P.fixed_cell_viewshed,
+    "p13_fixed_cell_approx": P.fixed_cell_approx,
+    "m1_stitch": P.stitched,
     "l3_exaggerate": P.exaggerated,
     "l4_contour_quantise": P.contour_levels,
     "l5_normalize": P.normalized,
@@ -103,18 +111,26 @@ ORACLE: dict[str, str] = {
     "z1_regions": O.Z1_REGIONS,
     "z3_region_polygons": O.Z3_REGION_POLYGONS,
     "p12_viewshed_polygons": O.P12_VIEWSHED_POLYGONS,
+    "s1_stored_product": O.P7_COLOR_HILLSHADE,
     "s2_tile_lookup": O.S2_TILE_LOOKUP,
     "s3_layer_metadata": O.S3_LAYER_METADATA,
     "s4_key_bounds": O.S4_KEY_BOUNDS,
     "s5_point_requests": O.S5_POINT_REQUESTS,
     "s7_collection_polygon": O.S7_COLLECTION_POLYGON,
+    "s8_array_raster": O.S8_ARRAY_RASTER,
     "s9_pack": O.S9_PACK,
+    "s10_colormaps": O.S10_COLORMAPS,
+    "s11_json_sink": O.P10_FLOOD_SUMMARY,
+    "s12_request_stream": O.S12_REQUEST_STREAM,
     "g1_reproject": O.G1_REPROJECT,
+    "g5_point_tiles": O.K4_POINT_VALUE,
     "g6_polygon_tiles": O.G6_POLYGON_TILES,
     "g7_buffer_tiles": O.G7_BUFFER_TILES,
     "l2_combine": O.L2_COMBINE,
     "v1_observers": O.V1_OBSERVERS,
     "p13_fixed_cell_viewshed": O.P13_FIXED_CELL_VIEWSHED,
+    "p13_fixed_cell_approx": O.P13_FIXED_CELL_APPROX,
+    "m1_stitch": O.M1_STITCH,
     "l3_exaggerate": O.L3_EXAGGERATE,
     "l4_contour_quantise": O.L4_CONTOUR,
     "l5_normalize": O.L5_NORMALIZE,

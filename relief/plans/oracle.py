@@ -25,7 +25,7 @@ DSM = """dsm AS (
 
 HAND_EXTENT = """hand_extent AS (
   SELECT o_orderkey % 128 AS gx, o_orderkey // 128 AS gy,
-         CASE WHEN o_custkey % 11 = 0 THEN 0e0 WHEN o_custkey % 13 = 0 THEN -1e0
+         CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_custkey % 11 = 0 THEN 0e0 WHEN o_custkey % 13 = 0 THEN -1e0
               ELSE CAST(floor(o_totalprice / 25000) AS DOUBLE) END AS value
   FROM orders)"""
 
@@ -52,6 +52,15 @@ bbox AS (
   SELECT id, min(least(u1, u2)) AS u0, max(greatest(u1, u2)) AS u9, min(least(v1, v2)) AS v0, max(greatest(v1, v2)) AS v9
   FROM edges GROUP BY id)"""
 
+# every cell position of every stored 32x32 tile (tiles are full; positions past the data are NODATA)
+GRID = """tile_rows AS (SELECT unnest(range(0, (max(o_orderkey) // 128 // 32 + 1) * 32)) AS gy FROM orders),
+grid AS (SELECT a.gx, t.gy FROM range(0, 128) a(gx), tile_rows t)"""
+
+
+def dense(raster: str, name: str, scale: str = "") -> str:
+    return f"""{name} AS (SELECT g.gx, g.gy, r.value{scale} AS value FROM grid g LEFT JOIN {raster} r ON r.gx = g.gx AND r.gy = g.gy)"""
+
+
 # brute-force even-odd test of every cell centre in the polygon's bounding box
 def cover(raster: str) -> str:
     return f"""cand AS (
@@ -69,17 +78,21 @@ def ratio(n: str, t: str) -> str:
     return f"CASE WHEN {t} > 0 THEN (({n}) * 20000 + ({t})) // (2 * ({t})) / 10000e0 END"
 
 
-FLOOD_CLASSES = f"""WITH {HAND_EXTENT}, {POLYS}, {cover('hand_extent')},
+# the cells of a tile past the raster's last are NODATA cells of the polygon too
+FLOOD_CLASSES = f"""WITH {HAND_EXTENT}, {GRID}, {dense('hand_extent', 'dhand')}, {POLYS}, {cover('dhand')},
 cls AS (
   SELECT c.id, CAST(CASE WHEN c.value < p.level THEN ceil((p.level - c.value) / p.step) ELSE 0 END AS INTEGER) AS class
   FROM cover c JOIN poly p ON p.id = c.id)"""
 
 P10_FLOOD_SUMMARY = f"""{FLOOD_CLASSES},
 per AS (SELECT id, count(*) AS total, count(*) FILTER (WHERE class > 0) AS flooded FROM cls GROUP BY id),
+share AS (SELECT id, class, count(*) AS n FROM cls GROUP BY id, class),
+iv AS (SELECT s.id, '{{' || string_agg('"' || class || '":' || CAST({ratio('s.n', 'p.total')} AS DECIMAL(5, 4)), ',' ORDER BY class) || '}}' AS intervals
+       FROM share s JOIN per p ON p.id = s.id GROUP BY s.id),
 area AS (SELECT id, CAST(trunc(abs(sum(u1 * v2 - u2 * v1)) / 2 * 100) AS BIGINT) AS area FROM edges GROUP BY id)
 SELECT p.id, a.area, CAST(coalesce(per.total, 0) AS BIGINT) AS total, CAST(coalesce(per.flooded, 0) AS BIGINT) AS flooded,
-       {ratio('per.flooded', 'per.total')} AS coverage
-FROM poly p JOIN area a ON a.id = p.id LEFT JOIN per ON per.id = p.id"""
+       {ratio('per.flooded', 'per.total')} AS coverage, iv.intervals
+FROM poly p JOIN area a ON a.id = p.id LEFT JOIN per ON per.id = p.id LEFT JOIN iv ON iv.id = p.id"""
 
 K2_FLOOD_CLASSES = f"""{FLOOD_CLASSES},
 n AS (SELECT id, class, count(*) AS cells FROM cls GROUP BY id, class)
@@ -113,15 +126,6 @@ from relief.functions.color import ASPECT_COLORMAP, DEM_COLORMAP, HAND_COLORMAP
 from relief.functions.local import exaggeration_factor  # noqa: E402
 from relief.sources.fixtures import FIXTURE_ZOOM  # noqa: E402
 
-# every cell position of every stored 32x32 tile (tiles are full; positions past the data are NODATA)
-GRID = """tile_rows AS (SELECT unnest(range(0, (max(o_orderkey) // 128 // 32 + 1) * 32)) AS gy FROM orders),
-grid AS (SELECT a.gx, t.gy FROM range(0, 128) a(gx), tile_rows t)"""
-
-
-def dense(raster: str, name: str, scale: str = "") -> str:
-    return f"""{name} AS (SELECT g.gx, g.gy, r.value{scale} AS value FROM grid g LEFT JOIN {raster} r ON r.gx = g.gx AND r.gy = g.gy)"""
-
-
 _NB = {"a": (-1, -1), "b": (0, -1), "c": (1, -1), "d": (-1, 0), "e": (0, 0), "f": (1, 0), "g": (-1, 1), "h": (0, 1), "i": (1, 1)}
 
 
@@ -455,22 +459,24 @@ SELECT id, region, value, geojson FROM polygons"""
 
 # --- sources, geometry and local rows ----------------------------------------------
 
-TILE_REQ = """treq AS (SELECT s_suppkey AS id, CAST(s_suppkey % 6 - 1 AS INTEGER) AS col,
-                       CAST(s_suppkey * 7 % 50 - 1 AS INTEGER) AS row FROM supplier),
-dtiles AS (SELECT gx // 32 AS col, gy // 32 AS row, count(value) AS valid_cells FROM dem GROUP BY 1, 2)"""
+TILE_REQ = f"""treq AS (SELECT s_suppkey AS id, CAST(s_suppkey % 6 - 1 AS INTEGER) AS col,
+                       CAST(s_suppkey * 7 % (({ROWS} + 31) // 32 + 2) - 1 AS INTEGER) AS row FROM supplier),
+dtiles AS (SELECT gx // 32 AS col, gy // 32 AS row, count(value) AS valid_cells,
+                  string_agg(coalesce(CAST(CAST(value AS BIGINT) AS VARCHAR), 'x'), ' ' ORDER BY gy, gx) AS cells FROM ddem GROUP BY 1, 2)"""
 
-S2_TILE_LOOKUP = f"""WITH {DEM}, {TILE_REQ}
-SELECT r.id, r.col, r.row, CAST(t.valid_cells AS INTEGER) AS valid_cells
+S2_TILE_LOOKUP = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}, {TILE_REQ}
+SELECT r.id, r.col, r.row, CAST(t.valid_cells AS INTEGER) AS valid_cells, t.cells
 FROM treq r LEFT JOIN dtiles t ON t.col = r.col AND t.row = r.row"""
 
 S3_LAYER_METADATA = f"""WITH {DEM}, kb AS (SELECT CAST(min(gx // 32) AS INTEGER) AS col_min, CAST(min(gy // 32) AS INTEGER) AS row_min,
-                           CAST(max(gx // 32) AS INTEGER) AS col_max, CAST(max(gy // 32) AS INTEGER) AS row_max FROM dem)
-SELECT 'dem' AS layer, {FIXTURE_ZOOM} AS zoom, 'EPSG:3857' AS crs, 32 AS tile_cols, 32 AS tile_rows,
+                           CAST(max(gx // 32) AS INTEGER) AS col_max, CAST(max(gy // 32) AS INTEGER) AS row_max,
+                           count(DISTINCT gy // 32 * 1000 + gx // 32) AS tiles, count(value) AS valid_cells, min(value) AS value_min, max(value) AS value_max FROM dem)
+SELECT 'dem' AS layer, {FIXTURE_ZOOM} AS zoom, 'EPSG:3857' AS crs, 'int32' AS cell_type, -2147483648e0 AS nodata, 32 AS tile_cols, 32 AS tile_rows,
        -7420000e0 + col_min * 320e0 AS xmin, 5775000e0 - (row_max + 1) * 320e0 AS ymin,
        -7420000e0 + (col_max + 1) * 320e0 AS xmax, 5775000e0 - row_min * 320e0 AS ymax,
-       col_min, row_min, col_max, row_max FROM kb"""
+       col_min, row_min, col_max, row_max, tiles, valid_cells, value_min, value_max FROM kb"""
 
-S4_KEY_BOUNDS = f"""WITH {DEM}, {TILE_REQ},
+S4_KEY_BOUNDS = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}, {TILE_REQ},
 kb AS (SELECT min(gx // 32) AS c0, min(gy // 32) AS r0, max(gx // 32) AS c1, max(gy // 32) AS r1 FROM dem)
 SELECT r.id, r.col, r.row FROM treq r, kb WHERE r.col BETWEEN kb.c0 AND kb.c1 AND r.row BETWEEN kb.r0 AND kb.r1"""
 
@@ -494,10 +500,22 @@ S9_PACK = f"""WITH {DEM}
 SELECT CAST(gx // 32 AS INTEGER) AS col, CAST(gy // 32 AS INTEGER) AS row, count(value) AS cells, sum(value) AS total
 FROM dem GROUP BY 1, 2 HAVING count(value) > 0"""
 
+# every tile of the bounding box against every edge (clipped to the tile by its parameter) and its centre against the polygon
 G6_POLYGON_TILES = f"""WITH {POLYS},
-bb AS (SELECT id, CAST(floor(u0 / 32) AS INTEGER) AS c0, CAST(floor(u9 / 32) AS INTEGER) AS c1,
-              CAST(floor(v0 / 32) AS INTEGER) AS r0, CAST(floor(v9 / 32) AS INTEGER) AS r1 FROM bbox)
-SELECT id, CAST(c.col AS INTEGER) AS col, CAST(r.row AS INTEGER) AS row FROM bb, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r"""
+es AS (SELECT s.scale, id, u1 * s.scale / 32 AS u1, v1 * s.scale / 32 AS v1, u2 * s.scale / 32 AS u2, v2 * s.scale / 32 AS v2 FROM edges, (VALUES (1), (40)) s(scale)),
+bb AS (SELECT scale, id, CAST(floor(min(least(u1, u2))) AS BIGINT) AS c0, CAST(floor(max(greatest(u1, u2))) AS BIGINT) AS c1,
+              CAST(floor(min(least(v1, v2))) AS BIGINT) AS r0, CAST(floor(max(greatest(v1, v2))) AS BIGINT) AS r1 FROM es GROUP BY scale, id),
+bc AS (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM bb),
+tk AS (SELECT scale, id, col, unnest(range(r0, r1 + 1)) AS row FROM bc),
+cl AS (SELECT t.scale, t.id, t.col, t.row, e.v1, e.v2, e.u1, e.u2,
+              CASE WHEN u1 = u2 THEN CASE WHEN u1 BETWEEN col AND col + 1 THEN 0 ELSE 2 END ELSE least((col - u1) / (u2 - u1), (col + 1 - u1) / (u2 - u1)) END AS tu0,
+              CASE WHEN u1 = u2 THEN 1 ELSE greatest((col - u1) / (u2 - u1), (col + 1 - u1) / (u2 - u1)) END AS tu1,
+              CASE WHEN v1 = v2 THEN CASE WHEN v1 BETWEEN row AND row + 1 THEN 0 ELSE 2 END ELSE least((row - v1) / (v2 - v1), (row + 1 - v1) / (v2 - v1)) END AS tv0,
+              CASE WHEN v1 = v2 THEN 1 ELSE greatest((row - v1) / (v2 - v1), (row + 1 - v1) / (v2 - v1)) END AS tv1
+       FROM tk t JOIN es e ON e.scale = t.scale AND e.id = t.id)
+SELECT CAST(scale AS INTEGER) AS scale, id, CAST(col AS INTEGER) AS col, CAST(row AS INTEGER) AS row FROM cl GROUP BY scale, id, col, row
+HAVING bool_or(greatest(tu0, tv0, 0) <= least(tu1, tv1, 1))
+    OR sum(CASE WHEN (v1 > row + 0.5) <> (v2 > row + 0.5) AND col + 0.5 < u1 + (row + 0.5 - v1) * (u2 - u1) / (v2 - v1) THEN 1 ELSE 0 END) % 2 = 1"""
 
 G7_BUFFER_TILES = f"""WITH obs AS (SELECT s_suppkey AS id, -7420000e0 + (s_suppkey * 37 % 128 + 0.5) * 10e0 AS x,
                      5775000e0 - (s_suppkey * 53 % {ROWS} + 0.5) * 10e0 AS y FROM supplier),
@@ -537,9 +555,41 @@ FROM dem d LEFT JOIN ov ON ov.gx = d.gx AND ov.gy = d.gy"""
 L9_FLOOD_DEPTH = P8_HAND.replace(f"SELECT id, gx, gy, {classify_le_sql('depth', HAND_COLORMAP)} AS color FROM v", "SELECT id, gx, gy, depth AS value FROM v")
 M3_CROP = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}
 SELECT gx, gy, value FROM ddem WHERE gx BETWEEN 30 AND 97 AND gy BETWEEN 4 AND 90"""
-K5_QUANTILE_CLASS = f"""WITH {DEM},
-k AS (SELECT gx, gy, value, rank() OVER w - 1 AS r, count(value) OVER w AS n FROM dem
+K5_QUANTILE_CLASS = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')},
+k AS (SELECT gx, gy, value, rank() OVER w - 1 AS r, count(value) OVER w AS n FROM ddem
       WINDOW w AS (PARTITION BY gx // 32, gy // 32 ORDER BY value ASC NULLS LAST
                    RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT gx, gy, CAST(CASE WHEN value IS NULL THEN NULL WHEN n > 1 THEN r * 254 // (n - 1) ELSE 0 END AS INTEGER) AS class FROM k"""
+M1_STITCH = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}
+SELECT gx, gy, CASE WHEN (gx // 32 + 2 * (gy // 32)) % 5 = 3 THEN NULL ELSE value END AS value FROM ddem"""
+S8_ARRAY_RASTER = f"""WITH {DEM}, {GRID}, {dense('dem', 'ddem')}
+SELECT CAST(gx // 32 AS INTEGER) AS col, CAST(gy // 32 AS INTEGER) AS row, gx % 32 AS gx, gy % 32 AS gy, value FROM ddem"""
+S12_REQUEST_STREAM = f"""WITH {HAND_EXTENT}, {POINTS},
+ok AS (SELECT id, CAST(floor((x + 7420000e0) / 10) AS BIGINT) AS gx, CAST(floor((5775000e0 - y) / 10) AS BIGINT) AS gy FROM pts WHERE id % 7 <> 0)
+SELECT p.id, p.gx, p.gy, h.value, CAST(NULL AS VARCHAR) AS reason FROM ok p LEFT JOIN hand_extent h ON h.gx = p.gx AND h.gy = p.gy
+UNION ALL SELECT id, NULL, NULL, NULL, 'bad_request' FROM pts WHERE id % 7 = 0"""
+# a range join of values with the parsed classes of their map
+S10_COLORMAPS = f"""WITH {DEM},
+maps AS (SELECT CAST(s_suppkey AS VARCHAR) AS name,
+           CASE WHEN s_suppkey % 16 = 0 THEN '10:xyz;20:ff' WHEN s_suppkey % 16 = 4 THEN '10;20:ff' WHEN s_suppkey % 16 = 8 THEN '10:ff:1' WHEN s_suppkey % 4 = 0 THEN 'ten:ff'
+                ELSE (s_suppkey % 90) || ':ff0000ff ; ' || (s_suppkey % 90 + 100) || ':00FF00;' || (s_suppkey % 90 + 250) || '.5:80c06000' END AS definition
+         FROM supplier WHERE s_suppkey % 10 <> 9),
+parts AS (SELECT name, trim(unnest(string_split(definition, ';'))) AS part FROM maps),
+entries AS (SELECT name, TRY_CAST(split_part(part, ':', 1) AS DOUBLE) AS lim, regexp_full_match(part, '[^:]*:[0-9a-fA-F]{{1,8}}') AS ok, split_part(part, ':', 2) AS hexa FROM parts),
+sound AS (SELECT name FROM entries GROUP BY name HAVING bool_and(ok AND lim IS NOT NULL)),
+cm AS (SELECT e.name, e.lim, ('0x' || e.hexa)::BIGINT AS color FROM entries e JOIN sound s ON s.name = e.name),
+last AS (SELECT name, arg_max(color, lim) AS color FROM cm GROUP BY name),
+vals AS (SELECT c_custkey AS id, CAST(c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS VARCHAR) AS name, d.value
+         FROM customer LEFT JOIN dem d ON d.gx = c_custkey % 128 AND d.gy = c_custkey // 128)
+SELECT v.id, any_value(v.name) AS name, any_value(v.value) AS value,
+       CAST(CASE WHEN any_value(l.color) IS NULL THEN NULL WHEN any_value(v.value) IS NULL THEN 0 ELSE coalesce(arg_min(c.color, c.lim), any_value(l.color)) END AS BIGINT) AS color
+FROM vals v LEFT JOIN last l ON l.name = v.name LEFT JOIN cm c ON c.name = v.name AND v.value <= c.lim GROUP BY v.id"""
+# V4 inside the tile under each point, from its cell (20, 20)
+P13_FIXED_CELL_APPROX = f"""WITH RECURSIVE {DEM}, {POINTS},
+asked AS (SELECT CAST(floor((x + 7420000e0) / 320) AS BIGINT) AS col, CAST(floor((5775000e0 - y) / 320) AS BIGINT) AS row, count(*) AS requests FROM pts GROUP BY 1, 2),
+obs AS (SELECT a.row * 1000 + a.col AS id, a.col * 32 + 20 AS ox, a.row * 32 + 20 AS oy, d.value + 2.0 AS oz, 20 AS r, a.requests
+        FROM asked a JOIN dem d ON d.gx = a.col * 32 + 20 AND d.gy = a.row * 32 + 20 WHERE d.value IS NOT NULL),
+surf AS (SELECT o.id, d.gx, d.gy, d.value FROM obs o JOIN dem d ON d.gx // 32 = o.ox // 32 AND d.gy // 32 = o.oy // 32),
+{ring_sql('surf', keyed=True)}
+SELECT l.gx, l.gy, CAST(l.vis AS INTEGER) AS vis, o.requests FROM looked l JOIN obs o ON o.id = l.id"""
 F0_NEIGHBOURHOOD = f"""WITH {DEM}, {neighbourhood('dem')} SELECT * FROM nb"""

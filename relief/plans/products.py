@@ -9,30 +9,39 @@ from pyspark.sql import functions as F
 
 from relief.functions import color as Y
 from relief.functions import local as L
-from relief.functions.geo import lonlat_to_mercator, polygon_area
+from relief.functions.geo import lonlat_to_mercator, map_to_grid_x, map_to_grid_y, morton, polygon_area, tile_key
 from relief.functions.local import zero_to_nodata
 from relief.operators import focal, tiles, zonal
 from relief.operators import vectorize as Z
 from relief.operators import visibility as V
 from relief.operators.local import combine_cells, flood_depth_tiles, map_cells, map_tiles, override_cells
 from relief.operators.rasterize import polygon_tile_keys
+from relief.plans.compose import product
+from relief.session import cut_lineage, scratch_path
 from relief.sources import fixtures as fx
 from relief.sources import layers as S
 from relief.sources.requests import flood_requests, geojson_first_polygon_rings, point_requests
+from relief.streaming.requests import start_point_value_stream
 
 G = fx.FIXTURE_GRID
 
 
-def flood_summary(spark: SparkSession, sf_dir: str, with_intervals: bool = True) -> DataFrame:
-    """P10: GeoJSON flood requests -> polygons -> cells -> flood statistics per request."""
-    valid, _rejected = flood_requests(fx.flood_requests(spark, sf_dir), src_crs="EPSG:3857")
-    out = zonal.flood_summary(valid, fx.hand_extent(spark, sf_dir), G)
-    return out if with_intervals else out.drop("intervals")
+def hand_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HAND extent layer, packed."""
+    return tiles.pack(fx.hand_extent(spark, sf_dir), G)
+
+
+def flood_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: GeoJSON flood requests in lon/lat -> reprojected polygons -> flood statistics per request; the intervals as a JSON
+    object of class and share, in the order of the classes."""
+    valid, _rejected = flood_requests(fx.flood_requests(spark, sf_dir))
+    out = zonal.flood_summary(valid, hand_tiles(spark, sf_dir), G, fx.key_bounds(spark, sf_dir))
+    return out.withColumn("intervals", F.to_json(F.transform_values("intervals", lambda _, v: v.cast("decimal(5,4)"))))
 
 
 def flood_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _ = flood_requests(fx.flood_requests(spark, sf_dir), src_crs="EPSG:3857")
-    return zonal.flood_class_shares(valid, fx.hand_extent(spark, sf_dir), G)
+    valid, _ = flood_requests(fx.flood_requests(spark, sf_dir))
+    return zonal.flood_class_shares(valid, hand_tiles(spark, sf_dir), G, fx.key_bounds(spark, sf_dir))
 
 
 def point_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,78 +60,26 @@ def dem_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.pack(fx.dem(spark, sf_dir), G)
 
 
-def _unpack2(t: DataFrame) -> DataFrame:
-    """Cells of a focal result tile with its source tile: ``(gx, gy, value, src)``."""
-    e = t.select("col", "row", F.posexplode(F.arrays_zip(F.col("data"), F.col("src"))).alias("pos", "z"))
-    return e.select(
-        (F.col("col") * G.tile_cols + F.col("pos") % G.tile_cols).cast("bigint").alias("gx"),
-        (F.col("row") * G.tile_rows + F.expr(f"pos div {G.tile_cols}")).cast("bigint").alias("gy"),
-        F.col("z.data").alias("value"),
-        F.col("z.src").alias("src"),
-    )
-
-
-def color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DEM classified by the elevation colour map (NODATA -> 0)."""
-    c = tiles.unpack(dem_tiles(spark, sf_dir), G)
-    return c.select("gx", "gy", Y.classify_le("value", Y.DEM_COLORMAP).alias("color"))
-
-
-def grey(spark: SparkSession, sf_dir: str, stops: int = 254) -> DataFrame:
-    """Per-tile equal-count classes onto a grey ramp of ``stops + 1`` colours."""
-    c = tiles.unpack(dem_tiles(spark, sf_dir), G)
-    k = zonal.tile_quantile_class(c, G, stops)
-    return k.select("gx", "gy", F.coalesce(Y.grey_rgba(F.col("class"), stops), F.lit(0).cast("bigint")).alias("color"))
-
-
-def contour(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
-    """Whole contour intervals of the elevation at the zoom (truncated, as the DEM holds whole numbers), then D8 flow
-    direction."""
-    t = map_tiles(dem_tiles(spark, sf_dir), lambda v: L.contour_quantise(v, zoom, integer_layer=True))
-    return tiles.unpack(focal.focal_tiles(t, G, "flowdir"), G)
-
-
-def hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude: float = 60.0, azimuth: float = 315.0) -> DataFrame:
-    """Exaggerated hillshade over the tile and its neighbours, 0..127 -> 1..254, NODATA -> 0."""
-    t = focal.focal_tiles(
-        dem_tiles(spark, sf_dir), G, "hillshade", keep_source=True,
-        zfactor=L.exaggeration_factor(zoom, "hillshade"), altitude=altitude, azimuth=azimuth,
-    )
-    c = _unpack2(t)
-    return c.select("gx", "gy", L.mask_nodata(L.normalize("value", 0, 127, 1, 254), "src").alias("value"))
-
-
-def aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5: aspect classified with the >= boundary rule (NODATA -> 0)."""
-    c = tiles.unpack(focal.focal_tiles(dem_tiles(spark, sf_dir), G, "aspect"), G)
-    return c.select("gx", "gy", Y.classify_ge("value", Y.ASPECT_COLORMAP).alias("color"))
-
-
-def slope(spark: SparkSession, sf_dir: str, zoom: int = ZOOM) -> DataFrame:
-    """Exaggerated slope (degrees) 0..100 -> 1..254, NODATA -> 0."""
-    t = focal.focal_tiles(dem_tiles(spark, sf_dir), G, "slope", keep_source=True, zfactor=L.exaggeration_factor(zoom, "slope"))
-    c = _unpack2(t)
-    return c.select("gx", "gy", L.mask_nodata(L.normalize("value", 0, 100, 1, 254), "src").alias("value"))
-
-
-def color_hillshade(spark: SparkSession, sf_dir: str, zoom: int = ZOOM, altitude: float = 60.0, azimuth: float = 315.0) -> DataFrame:
-    """Colour-map colour darkened by the (unmasked) normalised hillshade; NODATA -> 0."""
-    t = focal.focal_tiles(
-        dem_tiles(spark, sf_dir), G, "hillshade", keep_source=True,
-        zfactor=L.exaggeration_factor(zoom, "hillshade"), altitude=altitude, azimuth=azimuth,
-    )
-    c = _unpack2(t)
-    base = Y.classify_le("src", Y.DEM_COLORMAP)
-    blended = Y.shade_blend(base, L.normalize("value", 0, 127, 1, 254))
-    return c.select("gx", "gy", L.mask_nodata(blended, "src").cast("bigint").alias("color"))
+def rendered(spark: SparkSession, sf_dir: str, name: str, out: str = "color", kind: str = "bigint", **params) -> DataFrame:
+    """A product of the DEM by name, unpacked at the end: ``(gx, gy, out)``."""
+    t = product(name, _layered(dem_tiles(spark, sf_dir)), G, **params)
+    return tiles.unpack(t, G).select("gx", "gy", F.col("value").cast(kind).alias(out))
 
 
 def hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile requests (key + level) -> flood depth from the two HAND layers -> colour."""
-    depth = tiles.pack(fx.hand_depth(spark, sf_dir), G)
-    ext = tiles.pack(fx.hand_extent(spark, sf_dir), G)
-    d = flood_depth_tiles(fx.tile_requests(spark, sf_dir), depth, ext, G)
-    return d.select("id", "gx", "gy", Y.classify_le("value", Y.HAND_COLORMAP).alias("color"))
+    depth = _layered(tiles.pack(fx.hand_depth(spark, sf_dir), G), "hand_depth")
+    asked = fx.tile_requests(spark, sf_dir).select("id", "col", "row", "level").join(_layered(hand_tiles(spark, sf_dir), "hand"), ["col", "row"])
+    t = product("hand", asked, G, depth=depth, carry=("id", "level"), level="level")
+    return tiles.unpack(t, G, ("id",)).select("id", "gx", "gy", F.col("value").alias("color"))
+
+
+def stored_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + P7: the DEM written to a layer store, read back through its catalogue, rendered by name."""
+    path = stored_dem(spark, sf_dir)
+    grid = S.entry_grid(S.layer_entry(spark, path, "dem", ZOOM))
+    t = product("color-hillshade", S.read_layer(spark, path, "dem", ZOOM), grid)
+    return tiles.unpack(t, grid).select("gx", "gy", F.col("value").alias("color"))
 
 
 def focal_layer(spark: SparkSession, sf_dir: str, op: str, **kw) -> DataFrame:
@@ -200,43 +157,75 @@ def viewshed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layered(t: DataFrame, layer: str = "dem", zoom: int = ZOOM) -> DataFrame:
-    return t.select(F.lit(layer).alias("layer"), F.lit(zoom).alias("zoom"), "col", "row", "data")
+    return t.select(F.lit(layer).alias("layer"), F.lit(zoom).alias("zoom"), *(c for c in t.columns if c not in ("layer", "zoom")))
+
+
+def stored_dem(spark: SparkSession, sf_dir: str) -> str:
+    """A new layer store with the DEM, beside the checkpoints."""
+    path = scratch_path(spark, "store")
+    S.write_layer(dem_tiles(spark, sf_dir), path, "dem", ZOOM, G, cell_type="int32", nodata=-2147483648.0)
+    return path
 
 
 def _tile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tile request per supplier; keys deliberately run past the layer's bounds."""
+    """One tile request per supplier; keys deliberately run past the layer's bounds on all sides."""
     s = fx.table(spark, sf_dir, "supplier", "s_suppkey")
     k = F.col("s_suppkey")
+    rows = F.ceil(fx.raster_rows(spark, sf_dir) / G.tile_rows)
     return s.select(
         k.alias("id"), F.lit("dem").alias("layer"), F.lit(ZOOM).alias("zoom"),
-        (k % 6 - 1).cast("int").alias("col"), (k * 7 % 50 - 1).cast("int").alias("row"),
+        (k % 6 - 1).cast("int").alias("col"), (k * 7 % (rows + 2) - 1).cast("int").alias("row"),
     )
 
 
 def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed tile lookup; a missing key keeps its request row with NULL data."""
-    t = _layered(dem_tiles(spark, sf_dir))
-    j = S.lookup_tiles(_tile_requests(spark, sf_dir), t)
-    return j.select("id", "col", "row", F.size(F.array_compact("data")).alias("valid_cells"))
+    """Keyed lookup in a stored layer; the tile's cells as text (``x`` = NODATA), NULL for a missing key."""
+    j = S.lookup_stored(_tile_requests(spark, sf_dir), stored_dem(spark, sf_dir), "dem", ZOOM)
+    cells = F.array_join(F.transform("data", lambda v: F.coalesce(v.cast("bigint").cast("string"), F.lit("x"))), " ")
+    return j.select("id", "col", "row", F.size(F.array_compact("data")).alias("valid_cells"), F.when(F.col("data").isNotNull(), cells).alias("cells"))
 
 
 def layer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: the layers row of the packed DEM (extent, layout, key bounds) flattened."""
-    m = S.layer_metadata(dem_tiles(spark, sf_dir), G, "dem", ZOOM)
+    """S3: the stored catalogue's row of the DEM, flattened."""
+    m = S.read_catalogue(spark, stored_dem(spark, sf_dir))
     return m.select(
-        "layer", "zoom", "crs", "tile_cols", "tile_rows",
+        "layer", "zoom", "crs", "cell_type", "nodata", "tile_cols", "tile_rows",
         "extent.xmin", "extent.ymin", "extent.xmax", "extent.ymax",
         "key_bounds.col_min", "key_bounds.row_min", "key_bounds.col_max", "key_bounds.row_max",
+        "tiles", "valid_cells", "value_min", "value_max",
     )
 
 
 def key_bounds_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile requests kept only when inside the layer's key bounds."""
-    t = dem_tiles(spark, sf_dir)
-    meta = S.layer_metadata(t, G, "dem", ZOOM)
+    """Tile requests kept only when inside the stored layer's key bounds."""
+    meta = S.read_catalogue(spark, stored_dem(spark, sf_dir))
     return S.within_key_bounds(_tile_requests(spark, sf_dir), meta).select("id", "col", "row")
 
 
+def array_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored tile's array as a raster of its own, row-major, 32 columns wide."""
+    return tiles.raster_from_array(dem_tiles(spark, sf_dir), "data", G.tile_cols, keep=("col", "row"))
+
+
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flood summaries written as JSON lines and read back with a declared schema."""
+    path = scratch_path(spark, "json")
+    S.write_json(flood_summary(spark, sf_dir), path)
+    return spark.read.schema("id bigint, area bigint, total bigint, flooded bigint, coverage double, intervals string").json(path)
+
+
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point requests as files, answered by a stream that ends when it has read them; its answers and rejects."""
+    root = scratch_path(spark, "stream")
+    k = F.col("id")
+    fx.points(spark, sf_dir).select("id", F.when(k % 7 != 0, F.col("x")).alias("x"), "y").write.json(f"{root}/requests")
+    query = start_point_value_stream(spark, f"{root}/requests", hand_tiles(spark, sf_dir), G, f"{root}/answers", f"{root}/rejects", f"{root}/state")
+    query.awaitTermination()
+    answers = spark.read.schema("id bigint, gx bigint, gy bigint, value double").parquet(f"{root}/answers/batch=*")
+    rejects = spark.read.schema("id bigint, reason string").parquet(f"{root}/rejects/batch=*")
+    return answers.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
+
+
 def point_request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5+G1: a request table mixing (lat, lon), (x, y) and malformed rows."""
     c = fx.table(spark, sf_dir, "customer", "c_custkey")
@@ -289,8 +278,12 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygon_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile keys each flood polygon's bounding box touches."""
-    return polygon_tile_keys(fx.flood_polygons(spark, sf_dir), G)
+    """Tile keys that each flood polygon intersects, and those of polygons forty times as large (L- and U-shaped in tiles)."""
+    p = fx.flood_polygons(spark, sf_dir)
+    small = polygon_tile_keys(p, G).withColumn("scale", F.lit(1))
+    x0, y0 = F.lit(G.xmin), F.lit(G.ymax)
+    large = p.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda v: F.struct((x0 + (v["x"] - x0) * 40.0).alias("x"), (y0 + (v["y"] - y0) * 40.0).alias("y")))))
+    return small.unionByName(polygon_tile_keys(large, G).withColumn("scale", F.lit(40)))
 
 
 def buffer_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +322,22 @@ def fixed_cell_viewshed(spark: SparkSession, sf_dir: str, oy: int = 5, height: f
     return V.viewshed_r2(obs, dem, prune_grid=G)
 
 
+def fixed_cell_approx(spark: SparkSession, sf_dir: str, x: int = 20, y: int = 20, height: float = 2.0) -> DataFrame:
+    """P13, the approximate half: V4 inside the tile under each point request, from cell (x, y) of that tile; a tile that many
+    points ask for is answered once, with their number."""
+    col, row = tile_key(G, map_to_grid_x(G, "x"), map_to_grid_y(G, "y"))
+    asked = fx.points(spark, sf_dir).groupBy(col.alias("col"), row.alias("row")).agg(F.count(F.lit(1)).alias("requests"))
+    t = dem_tiles(spark, sf_dir).join(asked, ["col", "row"])
+    ground = F.get("data", F.lit(y * G.tile_cols + x))
+    obs = t.where(ground.isNotNull()).select(
+        morton("col", "row").alias("id"), (F.col("col") * G.tile_cols + x).cast("bigint").alias("ox"), (F.col("row") * G.tile_rows + y).cast("bigint").alias("oy"),
+        (ground + F.lit(height)).alias("oz"), (F.lit(G.xmin) + (F.col("col") + 0.5) * (G.tile_cols * G.cell_w)).alias("px"),
+        (F.lit(G.ymax) - (F.col("row") + 0.5) * (G.tile_rows * G.cell_h)).alias("py"), F.lit(1.0).alias("buff"), "requests",
+    )
+    seen = _seen(V.viewshed_approx(cut_lineage(obs), dem_tiles(spark, sf_dir), G)).join(obs.select("id", "requests"), "id")
+    return seen.select("gx", "gy", F.col("value").cast("int").alias("vis"), "requests")
+
+
 # --- local, crop, quantile and neighbourhood rows registered on their own -------------
 
 
@@ -373,12 +382,40 @@ def flood_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: the stitched DEM tiles cropped to an inclusive window."""
-    return tiles.crop(tiles.unpack(dem_tiles(spark, sf_dir), G), 30, 4, 97, 90)
+    return tiles.crop_tiles(dem_tiles(spark, sf_dir), G, 30, 4, 97, 90)
+
+
+def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the DEM without every fifth tile, stitched over its key grid: the gaps are NODATA."""
+    t = dem_tiles(spark, sf_dir).where((F.col("col") + 2 * F.col("row")) % 5 != 3)
+    return tiles.stitch(t, G, fx.key_bounds(spark, sf_dir))
+
+
+def colormap_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colour map per supplier (every fourth malformed in one of several ways, every tenth unknown), and a value of the
+    DEM per customer, classified by its supplier's map."""
+    s = fx.table(spark, sf_dir, "supplier", "s_suppkey")
+    k = F.col("s_suppkey")
+    good = F.concat((k % 90).cast("string"), F.lit(":ff0000ff ; "), (k % 90 + 100).cast("string"), F.lit(":00FF00;"), (k % 90 + 250).cast("string"), F.lit(".5:80c06000"))
+    bad = F.when(k % 16 == 0, F.lit("10:xyz;20:ff")).when(k % 16 == 4, F.lit("10;20:ff")).when(k % 16 == 8, F.lit("10:ff:1")).otherwise(F.lit("ten:ff"))
+    maps = s.where(k % 10 != 9).select(k.cast("string").alias("name"), F.when(k % 4 == 0, bad).otherwise(good).alias("definition"))
+    n = s.agg(F.max("s_suppkey") + 1).scalar()
+    c = fx.table(spark, sf_dir, "customer", "c_custkey")
+    cell = F.col("c_custkey")
+    values = c.select(cell.alias("id"), (cell % n).cast("string").alias("name"), (cell % fx.RASTER_COLS).alias("gx"), F.expr(f"c_custkey div {fx.RASTER_COLS}").alias("gy"))
+    values = values.join(fx.dem(spark, sf_dir), ["gx", "gy"], "left")
+    return Y.classify_requests(values.select("id", "name", "value"), maps)
 
 
 def quantile_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: per-tile equal-count class (0..254) of every DEM cell, NULL for NODATA."""
-    return zonal.tile_quantile_class(fx.dem(spark, sf_dir), G, 254).select("gx", "gy", "class")
+    """K5: per-tile equal-count class (0..254) of every cell of the DEM's tiles, NULL for NODATA."""
+    t = zonal.tile_quantile_class(dem_tiles(spark, sf_dir), G, 254)
+    return tiles.unpack(t, G).withColumnRenamed("value", "class")
+
+
+def point_tile_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 + K4 on packed tiles: the value under each point, from the one tile that holds it."""
+    return zonal.point_values_tiles(fx.points(spark, sf_dir), hand_tiles(spark, sf_dir), G)
 
 
 def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:

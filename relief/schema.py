@@ -27,6 +27,11 @@ LAYERS = T.StructType(
         T.StructField("tile_cols", T.IntegerType()),
         T.StructField("tile_rows", T.IntegerType()),
         T.StructField("key_bounds", KEY_BOUNDS),
+        T.StructField("tiles", T.LongType()),
+        T.StructField("valid_cells", T.LongType()),
+        T.StructField("value_min", T.DoubleType()),
+        T.StructField("value_max", T.DoubleType()),
+        T.StructField("version", T.StringType()),
     ]
 )
 
@@ -85,6 +90,16 @@ OBSERVERS = T.StructType(
 COLORMAPS = T.StructType([T.StructField("name", T.StringType()), T.StructField("definition", T.StringType())])
 
 
+@dataclass(frozen=True)
+class KeyBounds:
+    """Least and greatest tile keys of a layer: four numbers on the driver, so predicates on them reach the scan."""
+
+    col_min: int
+    row_min: int
+    col_max: int
+    row_max: int
+
+
 @dataclass(frozen=True)
 class Grid:
     """Affine layout of one layer: map <-> grid transform and the tile size.

@@ -49,17 +49,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the session's process ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def stored(df):
     """``df`` written as a table to the shared checkpoint folder, and read back.
 
     Unlike a checkpoint, the table tells Catalyst its size: joins with it are broadcast or shuffled by what it really holds,
     not by an estimate that knows nothing of an ``explode``.  The files go when the session's process ends."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table") + "/rows"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df, rows_per_partition: int = 1_000_000):

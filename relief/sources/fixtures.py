@@ -8,10 +8,13 @@ aggregation of the given tables, so its size grows with them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relief.schema import Grid
+from relief.functions.geo import EARTH_RADIUS
+from relief.schema import Grid, KeyBounds
 from relief.sources.tables import table
 
 # Fixed values of the fixture layout (see FIXTURES.md).
@@ -20,9 +23,10 @@ FIXTURE_GRID = Grid(xmin=-7420000.0, ymax=5775000.0, cell_w=10.0, cell_h=10.0, t
 FIXTURE_ZOOM = 15
 
 # Vertex offsets (grid units) of the concave U-shaped flood polygon,
-# one per supplier, anchored at (cx, cy); those near the last column or row reach over the raster's edge.
+# one per supplier, anchored at (cx, cy); those near the last column or row reach over the raster's edge.  The area in square
+# metres is no whole number, so that its truncation survives a reprojection.
 U_SHAPE = [
-    (0.25, 0.25), (20.25, 2.25), (20.25, 18.25), (12.25, 18.25), (12.25, 8.25),
+    (0.25, 0.25), (20.25, 2.2537), (20.25, 18.25), (12.25, 18.25), (12.25, 8.25),
     (6.25, 8.25), (6.25, 18.25), (0.25, 18.25), (0.25, 0.25),
 ]
 
@@ -32,6 +36,13 @@ def raster_rows(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "orders", "o_orderkey").select(F.expr(f"max(o_orderkey) div {RASTER_COLS} + 1")).scalar()
 
 
+def key_bounds(spark: SparkSession, sf_dir: str) -> KeyBounds:
+    """Tile keys of the whole raster."""
+    last = table(spark, sf_dir, "orders", "o_orderkey").agg(F.max("o_orderkey")).first()[0] or 0
+    g = FIXTURE_GRID
+    return KeyBounds(0, 0, (RASTER_COLS - 1) // g.tile_cols, last // RASTER_COLS // g.tile_rows)
+
+
 def _cell_index() -> tuple:
     k = F.col("o_orderkey")
     return (k % RASTER_COLS).alias("gx"), F.expr(f"o_orderkey div {RASTER_COLS}").alias("gy")
@@ -58,11 +69,12 @@ def dsm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hand_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Height above nearest drainage, with the flood rule's special values 0 and -1."""
+    """Height above nearest drainage, with the flood rule's special values 0 and -1, and NODATA."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     c = F.col("o_custkey")
     value = (
-        F.when(c % 11 == 0, F.lit(0.0))
+        F.when(c % 17 == 0, F.lit(None).cast("double"))
+        .when(c % 11 == 0, F.lit(0.0))
         .when(c % 13 == 0, F.lit(-1.0))
         .otherwise(F.floor(F.col("o_totalprice") / 25000).cast("double"))
     )
@@ -110,9 +122,10 @@ def flood_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flood_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The polygons as GeoJSON request strings (``geom``), the reference's request shape."""
+    """The polygons as GeoJSON request strings (``geom``) in lon/lat, the reference's request shape."""
     p = flood_polygons(spark, sf_dir)
-    coords = F.transform("rings", lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
+    lon, lat = (lambda v: F.degrees(v["x"] / EARTH_RADIUS)), (lambda v: F.degrees(2 * F.atan(F.exp(v["y"] / EARTH_RADIUS)) - math.pi / 2))
+    coords = F.transform("rings", lambda r: F.transform(r, lambda v: F.array(lon(v), lat(v))))
     geom = F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))
     return p.select(
         "id",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relief.functions.geo import lonlat_to_mercator, reproject_rings
+from relief.session import stored
 
 _POLY_COORDS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 POLYGON_JSON = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", _POLY_COORDS)])
@@ -86,7 +87,8 @@ def flood_requests(requests: DataFrame, src_crs: str = "EPSG:4326") -> tuple[Dat
     """S6+S7+G2: ``(id, zoom, level, step, geom|collection)`` -> ``(id, zoom, level, step, rings)``.
 
     Exactly one of ``geom``/``collection`` must be set and yield a polygon, and
-    ``step`` must be positive; other rows go to the reject DataFrame."""
+    ``step`` must be positive; other rows go to the reject DataFrame.  The JSON is parsed once: both results read the
+    written table of checked requests."""
     geom_set = F.col("geom").isNotNull()
     coll_set = F.col("collection").isNotNull()
     rings = F.when(geom_set & ~coll_set, geojson_polygon_rings("geom")).when(
@@ -94,6 +96,7 @@ def flood_requests(requests: DataFrame, src_crs: str = "EPSG:4326") -> tuple[Dat
     )
     tagged = requests.select("*", reproject_rings(rings, src_crs).alias("rings"))
     ok = F.coalesce(F.col("rings").isNotNull() & (F.size("rings") > 0) & (F.col("step") > 0) & F.col("level").isNotNull(), F.lit(False))
-    valid = tagged.where(ok).select("id", "zoom", "level", "step", "rings")
-    rejected = tagged.where(~ok).drop("rings")
+    tagged = stored(tagged.withColumn("_ok", ok))
+    valid = tagged.where("_ok").select("id", "zoom", "level", "step", "rings")
+    rejected = tagged.where("not _ok").drop("rings", "_ok")
     return valid, rejected
