@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relief.functions.kernels import NAMES, OFFSETS, kernel_col, kernel_np
-from relief.operators.tiles import ROLES, halo, list_column, padded
+from relief.operators.tiles import ROLES, few_tiles, halo, list_column, padded
 from relief.schema import Grid
 
 
@@ -58,9 +58,7 @@ def _tile_kernel(op: str, grid: Grid, keys: tuple[str, ...], kw: dict):
 
     def run(batches):
         warnings.simplefilter("ignore", RuntimeWarning)
-        for rb in batches:
-            if not rb.num_rows:
-                continue
+        for rb in few_tiles(batches, grid):
             values = kernel_np(op, padded(rb, grid), **kw)
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in (*keys, "col", "row")), list_column(values.reshape(len(values), -1))], [*keys, "col", "row", "data"])
 

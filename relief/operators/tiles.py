@@ -8,6 +8,8 @@ mosaic, so a "stitch" never materialises one big array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -152,6 +154,15 @@ def halo(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), diagonals: bo
     return g.where(F.col("c").isNotNull()).withColumnRenamed("c", "data")
 
 
+def few_tiles(batches: Iterator[pa.RecordBatch], grid: Grid, cells: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``cells`` cells, one tile at least: a kernel's arrays over a slice stay small whatever
+    Arrow's batch size."""
+    step = max(1, cells // grid.tile_size)
+    for rb in batches:
+        for lo in range(0, rb.num_rows, step):
+            yield rb.slice(lo, step)
+
+
 def padded(rb: pa.RecordBatch, grid: Grid, width: int = 1) -> np.ndarray:
     """The tiles of a batch of :func:`halo` with their strips around them: ``k x (rows + 2 width) x (cols + 2 width)``, NaN = NODATA."""
     tc, tr, n, k = grid.tile_cols, grid.tile_rows, width, rb.num_rows

@@ -88,7 +88,7 @@ def tile_runs(tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataF
     tc, tr = grid.tile_cols, grid.tile_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in tl.few_tiles(batches, grid):
             data = tl.dense(rb.column("data"), tc * tr).reshape(-1, tr, tc)
             tile, *parts = runs_of_tiles(data, rb.column("col").to_numpy().astype(np.int64), rb.column("row").to_numpy().astype(np.int64))
             own = [rb.column(c).take(pa.array(tile)) for c in k]

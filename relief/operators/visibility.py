@@ -168,11 +168,15 @@ def viewshed_r2(obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool
     )
 
 
-def viewshed_exact(obs: DataFrame, cells: DataFrame) -> DataFrame:
+def viewshed_exact(obs: DataFrame, cells: DataFrame, prune_grid: Grid | None = None) -> DataFrame:
     """V3: a ray to every valid target within the Chebyshev radius; at each major-axis
     step the terrain is interpolated linearly between the two straddled cells.
-    Cost ~R^3 per observer: for small radii and checks."""
+    Cost ~R^3 per observer: for small radii and checks.  ``prune_grid``: the layer's layout; only cells of the tiles
+    that some observer's square touches are read further."""
     valid = cells.where(F.col("value").isNotNull()).select("gx", "gy", "value")
+    if prune_grid is not None:
+        side = F.floor(2 * F.col("radius") / min(prune_grid.tile_cols, prune_grid.tile_rows)) + 2
+        valid = prune_to_tiles(valid, observer_tile_keys(obs, prune_grid), prune_grid, row_bound(obs, side * side))
     t = obs.select("id", "ox", "oy", "oz", "radius", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dx"))
     t = t.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias("dy")).where("dx != 0 OR dy != 0")
     t = t.select(

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, polygon_area, tile_key
 from relief.operators.rasterize import polygon_spans, tile_spans
-from relief.operators.tiles import dense
+from relief.operators.tiles import dense, few_tiles
 from relief.schema import Grid, KeyBounds
 from relief.session import stored
 
@@ -138,7 +138,7 @@ def tile_quantile_class(tiles: DataFrame, grid: Grid, classes: int = 254, keys:
     schema = T.StructType([tiles.schema[c] for c in (*keys, "col", "row")] + [T.StructField("data", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in few_tiles(batches, grid):
             ranks = quantile_ranks(dense(rb.column("data"), size), classes).reshape(-1)
             offsets = pa.array(np.arange(0, len(ranks) + 1, size, dtype=np.int32))
             data = pa.ListArray.from_arrays(offsets, pa.array(np.nan_to_num(ranks).astype(np.int32), mask=np.isnan(ranks)))

@@ -70,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "g6_polygon_tiles": P.polygon_tiles,
     "g7_buffer_tiles": P.buffer_tiles,
     "l2_combine": P.combine,
+    "l2_combine_tiles": P.combine_packed,
     "v1_observers": P.observers,
     "p13_fixed_cell_viewshed": P.fixed_cell_viewshed,
     "p13_fixed_cell_approx": P.fixed_cell_approx,
@@ -127,6 +128,7 @@ ORACLE: dict[str, str] = {
     "g6_polygon_tiles": O.G6_POLYGON_TILES,
     "g7_buffer_tiles": O.G7_BUFFER_TILES,
     "l2_combine": O.L2_COMBINE,
+    "l2_combine_tiles": O.L2_COMBINE_TILES,
     "v1_observers": O.V1_OBSERVERS,
     "p13_fixed_cell_viewshed": O.P13_FIXED_CELL_VIEWSHED,
     "p13_fixed_cell_approx": O.P13_FIXED_CELL_APPROX,

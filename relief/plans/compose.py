@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from relief.functions import color as Y
 from relief.functions import local as L
 from relief.functions.kernels import kernel_np
-from relief.operators.tiles import ROLES, halo, list_column, padded
+from relief.operators.tiles import ROLES, few_tiles, halo, list_column, padded
 from relief.operators.zonal import quantile_ranks
 from relief.schema import Grid
 
@@ -223,9 +223,7 @@ def run_plan(plan: Plan, tiles: DataFrame, grid: Grid, carry: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore", RuntimeWarning)
-        for rb in batches:
-            if not rb.num_rows:
-                continue
+        for rb in few_tiles(batches, grid):
             whole = padded(rb, grid, width)
             source = {"data": whole} | {name: padded(rb.select([name]).rename_columns(["data"]), grid, 0) for name in layers}
             carried = {name: np.array(rb.column(name).to_pylist()) for name in carry}

@@ -530,6 +530,9 @@ WHERE pow(greatest((-7420000e0 + col * 320e0) - x, 0e0, x - (-7420000e0 + col *
 L2_COMBINE = f"""WITH {DEM}, {DSM}
 SELECT s.gx, s.gy, s.value - d.value AS value FROM dsm s JOIN dem d ON d.gx = s.gx AND d.gy = s.gy"""
 
+L2_COMBINE_TILES = f"""WITH {DEM}, {DSM}, {GRID}
+SELECT g.gx, g.gy, s.value - d.value AS value FROM grid g LEFT JOIN dsm s ON s.gx = g.gx AND s.gy = g.gy LEFT JOIN dem d ON d.gx = g.gx AND d.gy = g.gy"""
+
 V1_OBSERVERS = f"""WITH {DEM}, {observers_sql(20)} SELECT id, ox, oy, oz FROM obs"""
 
 P13_FIXED_CELL_VIEWSHED = f"""WITH {DEM},

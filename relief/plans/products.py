@@ -14,7 +14,7 @@ from relief.functions.local import zero_to_nodata
 from relief.operators import focal, tiles, zonal
 from relief.operators import vectorize as Z
 from relief.operators import visibility as V
-from relief.operators.local import combine_cells, flood_depth_tiles, map_cells, map_tiles, override_cells
+from relief.operators.local import combine_cells, combine_tiles, flood_depth_tiles, map_cells, map_tiles, override_cells
 from relief.operators.rasterize import polygon_tile_keys
 from relief.plans.compose import product
 from relief.session import cut_lineage, scratch_path
@@ -102,7 +102,7 @@ def viewshed_r2(spark: SparkSession, sf_dir: str, radius: int = 20) -> DataFrame
 
 def viewshed_exact(spark: SparkSession, sf_dir: str, radius: int = 6) -> DataFrame:
     """V3 for every supplier observer on the DEM."""
-    return V.viewshed_exact(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir))
+    return V.viewshed_exact(_observers(spark, sf_dir, radius), fx.dem(spark, sf_dir), prune_grid=G)
 
 
 def viewshed_approx(spark: SparkSession, sf_dir: str, radius: int = 20) -> DataFrame:
@@ -296,6 +296,12 @@ def combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_cells(fx.dsm(spark, sf_dir), fx.dem(spark, sf_dir), lambda a, b: a - b)
 
 
+def combine_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 on packed tiles: the same, tile by tile."""
+    dsm = tiles.pack(fx.dsm(spark, sf_dir), G)
+    return tiles.unpack(combine_tiles(dsm, dem_tiles(spark, sf_dir), lambda a, b: a - b), G)
+
+
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: observer grid cell and elevation (DEM + height)."""
     return _observers(spark, sf_dir, 20).select("id", "ox", "oy", "oz")

@@ -46,15 +46,17 @@ def test_entry_runs(spark):
     assert df.count() >= 0 and "coverage" in df.columns
 
 
-@pytest.mark.parametrize("name", ["p10_flood_summary", "k2_flood_classes", "v2_viewshed_r2", "p13_fixed_cell_viewshed"])
+@pytest.mark.parametrize("name", ["v2_viewshed_r2", "p13_fixed_cell_viewshed", "p10_flood_summary", "k2_flood_classes"])
 def test_shuffle_join_path_matches_oracle(spark, con, name):
     """Same queries with broadcasting disabled: pruned sort-merge joins."""
     spark.conf.set("relief.broadcastMaxBytes", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = E.queries()[name](spark, SF)
         rows = [tuple(r) for r in df.collect()]
     finally:
         spark.conf.unset("relief.broadcastMaxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert canon(df.columns, rows) == canon(dcols, res.fetchall())

@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from relief.functions.color import classify_ge, classify_le, colormap_literal, grey_rgba, parse_colormap, shade_blend
-from relief.functions.geo import lonlat_to_mercator
+from relief.functions.color import classify_ge, classify_le, classify_requests, colormap_literal, grey_rgba, parse_colormap, shade_blend
+from relief.functions.geo import lonlat_to_mercator, morton
 from relief.operators import tiles
-from relief.schema import Grid
+from relief.schema import Grid, KeyBounds
 from relief.sources import layers
 from relief.sources.requests import flood_requests, point_requests
 
@@ -64,27 +65,97 @@ def test_mercator_origin(spark):
     assert abs(r.x) < 1e-9 and abs(r.y) < 1e-9
 
 
-def test_pack_unpack_roundtrip_and_layer_store(spark, raster, tmp_path):
+def test_pack_unpack_roundtrip(spark, raster):
     cells = raster([[float(x * y) if (x + y) % 5 else None for x in range(6)] for y in range(5)])
     t = tiles.pack(cells, G)
     assert t.count() == 4 and t.select(F.size("data")).first()[0] == 16
     back = tiles.unpack(t, G, keep_nodata=False)
     assert sorted(back.collect()) == sorted(cells.where("value is not null").collect())
-    path = str(tmp_path / "pyramid")
-    layers.write_layer(t, path, "dem", 15)
-    layers.write_layer(t.limit(1), path, "dem", 14)
+
+
+def test_layer_store_and_its_catalogue(spark, raster, tmp_path):
+    cells = raster([[float(x * y) if (x + y) % 5 else None for x in range(6)] for y in range(5)])
+    t, path = tiles.pack(cells, G), str(tmp_path / "pyramid")
+    layers.write_layer(t, path, "dem", 15, G, nodata=-1.0)
+    layers.write_layer(t.where("col = 0"), path, "dem", 14, G)
     r = layers.read_layer(spark, path, "dem", 15)
-    assert r.count() == 4
+    assert r.count() == 4 and r.columns == ["layer", "zoom", "col", "row", "data"]
+    assert sorted(tiles.unpack(r, G, keep_nodata=False).collect()) == sorted(cells.where("value is not null").collect())
     plan = r._jdf.queryExecution().executedPlan().toString()
     pf = plan[plan.index("PartitionFilters: [") :].split("]")[0]
-    assert "(layer#" in pf and "= dem)" in pf and "(zoom#" in pf and "= 15)" in pf
-    meta = layers.layer_metadata(r, G, "dem", 15)
-    kb = meta.first().key_bounds
-    assert (kb.col_min, kb.row_min, kb.col_max, kb.row_max) == (0, 0, 1, 1)
-    req = spark.createDataFrame([("dem", 15, 0, 0), ("dem", 15, 5, 5), ("dem", 15, 1, 1)], "layer string, zoom int, col int, row int")
-    got = {(x.col, x.row): x.data is not None for x in layers.lookup_tiles(req, r).collect()}
-    assert got == {(0, 0): True, (5, 5): False, (1, 1): True}
-    assert layers.within_key_bounds(req, meta).count() == 2
+    assert all(f"isnotnull({c}#" in pf for c in ("layer", "zoom", "version")) and "= dem)" in pf
+    entry = layers.layer_entry(spark, path, "dem", 15)
+    assert layers.entry_bounds(entry) == KeyBounds(0, 0, 1, 1) and layers.entry_grid(entry) == G
+    valid = cells.where("value is not null")
+    assert (entry.tiles, entry.valid_cells, entry.value_min, entry.value_max) == (4, valid.count(), 0.0, valid.agg(F.max("value")).first()[0])
+    assert layers.read_catalogue(spark, path).count() == 2
+    # the catalogue of tiles that are in no store is the same
+    names = [c for c in entry.asDict() if c not in ("version", "nodata")]
+    assert layers.layer_metadata(t, G, "dem", 15).select(*names).first() == layers.read_catalogue(spark, path).where("zoom = 15").select(*names).first()
+    req = spark.createDataFrame([("dem", 15, 0, 0), ("dem", 15, 5, 5), ("dem", 15, 1, 1), ("dem", 15, None, 1)], "layer string, zoom int, col int, row int")
+    for found in (layers.lookup_tiles(req, r), layers.lookup_stored(req, path, "dem", 15)):
+        assert {(x.col, x.row): x.data is not None for x in found.collect()} == {(0, 0): True, (5, 5): False, (1, 1): True, (None, 1): False}
+    assert layers.within_key_bounds(req, layers.read_catalogue(spark, path)).count() == 2
+
+
+def test_a_layer_is_replaced_whole_and_a_failed_write_leaves_no_trace(spark, tmp_path):
+    path = str(tmp_path / "pyramid")
+    one = spark.range(6).select(F.col("id").cast("int").alias("col"), F.lit(0).alias("row"), F.array_repeat(F.lit(1.0), 16).alias("data"))
+    layers.write_layer(one, path, "dem", 15, G)
+    broken = one.withColumn("data", F.when(F.col("col") == 5, F.raise_error(F.lit("lost")).cast("array<double>")).otherwise(F.array_repeat(F.lit(2.0), 16)))
+    with pytest.raises(Exception, match="lost"):
+        layers.write_layer(broken, path, "dem", 15, G)
+    assert {r.data[0] for r in layers.read_layer(spark, path, "dem", 15).collect()} == {1.0}
+    layers.write_layer(one.where("col < 2").withColumn("data", F.array_repeat(F.lit(3.0), 16)), path, "dem", 15, G)
+    assert [r.data[0] for r in layers.read_layer(spark, path, "dem", 15).collect()] == [3.0, 3.0]
+    assert layers.layer_entry(spark, path, "dem", 15).tiles == 2
+    layers.write_layer(one.limit(0), path, "dem", 15, G)
+    assert layers.read_layer(spark, path, "dem", 15).count() == 0 and layers.entry_bounds(layers.layer_entry(spark, path, "dem", 15)) is None
+    with pytest.raises(ValueError, match="no layer"):
+        layers.read_layer(spark, path, "dsm", 15)
+
+
+def test_a_lookup_of_ten_tiles_opens_few_files(spark, tmp_path):
+    path, g = str(tmp_path / "pyramid"), Grid(0.0, 0.0, 1.0, 1.0, 1, 1)
+    keys = spark.range(256 * 128).select((F.col("id") % 256 - 100).cast("int").alias("col"), F.expr("cast(id div 256 as int)").alias("row"))
+    layers.write_layer(keys.withColumn("data", F.array((F.col("col") * 1000 + F.col("row")).cast("double"))), path, "big", 3, g)
+
+    def files(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+    asked = [(i, "big", 3, -60 + i, 40) for i in range(9)] + [(9, "big", 3, 150, 120), (10, "big", 3, 900, 900)]
+    req = spark.createDataFrame(asked, "id int, layer string, zoom int, col int, row int")
+    few = files(layers.read_layer(spark, path, "big", 3, layers.touched_blocks(req)))
+    whole = files(layers.read_layer(spark, path, "big", 3))
+    assert whole >= 30 and few <= 6
+    got = {r.id: r.data for r in layers.lookup_stored(req, path, "big", 3).collect()}
+    assert got == {i: ([c * 1000.0 + r] if i < 10 else None) for i, _, _, c, r in asked}
+
+
+def test_morton_codes_keep_neighbours_near(spark):
+    df = spark.range(64).select((F.col("id") % 8 - 4).cast("int").alias("c"), F.expr("cast(id div 8 - 4 as int)").alias("r"))
+    codes = {(x.c, x.r): x.m for x in df.select("c", "r", morton("c", "r").alias("m")).collect()}
+    assert len(set(codes.values())) == 64
+    spread = lambda v: sum((v + (1 << 30) >> k & 1) << 2 * k for k in range(31))
+    assert all(m == spread(c) | spread(r) << 1 for (c, r), m in codes.items())
+
+
+def test_stitch_fills_missing_tiles_with_nodata(spark, raster):
+    rows = [[float(10 * y + x) if (x + y) % 7 else None for x in range(9)] for y in range(10)]
+    t = tiles.pack(raster(rows), G).where("not (col = 1 and row = 1)")
+    got = {(r.gx, r.gy): r.value for r in tiles.stitch(t, G, KeyBounds(0, 0, 2, 2)).collect()}
+    inside = lambda x, y: x < 9 and y < 10 and not (x // 4 == 1 and y // 4 == 1)
+    assert got == {(x, y): rows[y][x] if inside(x, y) else None for x in range(12) for y in range(12)}
+    assert tiles.crop_tiles(t, G, 3, 2, 5, 9).where("value is not null").count() == sum(rows[y][x] is not None and inside(x, y) for x in range(3, 6) for y in range(2, 10))
+
+
+def test_requests_with_their_own_colour_maps(spark):
+    maps = spark.createDataFrame([("a", "0:ff ; 10:0A"), ("bad", "0:ff;x:1"), ("bad2", "0"), ("none", None)], "name string, definition string")
+    rows = [(1, "a", -3.0), (2, "a", 0.5), (3, "a", 99.0), (4, "a", None), (5, "bad", 1.0), (6, "bad2", 1.0), (7, "missing", 1.0), (8, None, 1.0), (9, "none", 1.0)]
+    values = spark.createDataFrame(rows, "id long, name string, value double")
+    assert {r.id: r.color for r in classify_requests(values, maps).collect()} == {1: 255, 2: 10, 3: 10, 4: 0, 5: None, 6: None, 7: None, 8: None, 9: None}
+    assert {r.id: r.color for r in classify_requests(values, maps, at_least=True).where("id < 5").collect()} == {1: 255, 2: 255, 3: 10, 4: 0}
 
 
 def test_sinks_write_parquet_and_json(spark, raster, tmp_path):
