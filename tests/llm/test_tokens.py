@@ -187,3 +187,33 @@ def test_packing_null_repeated_and_empty(spark):
     assert sum(r.length for r in got) == 7 and sum(r.length for r in got if r.doc_id == 1) == 4
     assert not [r for r in got if r.doc_id == 2]
     assert packing.pack(docs.limit(0), numbers()).collect() == []
+
+
+def test_packer_takes_the_largest_dot_product():
+    """Whole documents, as a plain loop would place them: of those that fit, the one whose demand lies best along what is free."""
+    rng = random.Random(3)
+    limits = packing.Limits(tokens=64, segments=4, loss=20)
+    sizes = [(k, rng.randint(1, 40)) for k in range(60)]
+    demand = {k: (n, 1, rng.randint(0, min(n, 20))) for k, n in sizes}
+    packer = packing.Packer(limits, 60, False)
+    got = []
+    for k, n in sizes:
+        mask = np.array([1] * demand[k][2] + [0] * (n - demand[k][2]))
+        got += packer.add(packing.Piece(k, 0, np.arange(n), mask, n))
+    got = [[p.doc for p in sequence] for sequence in [*got, *packer.finish()]]
+    cap, waiting, want = (64, 4, 20), [k for k, _ in sizes], []
+    while waiting:
+        free, sequence = list(cap), []
+        while True:
+            fits = [k for k in waiting if all(d <= f for d, f in zip(demand[k], free, strict=True))]
+            if not fits:
+                break
+            value = {k: sum(d * f / c / c for d, f, c in zip(demand[k], free, cap, strict=True)) for k in fits}
+            top = max(value.values())
+            best = [k for k in fits if abs(value[k] - top) < 1e-12]
+            pick = next(k for k in got[len(want)][len(sequence) : len(sequence) + 1] if k in best)  # any of equal ones
+            waiting.remove(pick)
+            free = [f - d for f, d in zip(free, demand[pick], strict=True)]
+            sequence.append(pick)
+        want.append(sequence)
+    assert got == want
