@@ -340,7 +340,8 @@ def fixed_cell_approx(spark: SparkSession, sf_dir: str, x: int = 20, y: int = 20
         (ground + F.lit(height)).alias("oz"), (F.lit(G.xmin) + (F.col("col") + 0.5) * (G.tile_cols * G.cell_w)).alias("px"),
         (F.lit(G.ymax) - (F.col("row") + 0.5) * (G.tile_rows * G.cell_h)).alias("py"), F.lit(1.0).alias("buff"), "requests",
     )
-    seen = _seen(V.viewshed_approx(cut_lineage(obs), dem_tiles(spark, sf_dir), G)).join(obs.select("id", "requests"), "id")
+    obs = cut_lineage(obs)
+    seen = _seen(V.viewshed_approx(obs, dem_tiles(spark, sf_dir), G)).join(obs.select("id", "requests"), "id")
     return seen.select("gx", "gy", F.col("value").cast("int").alias("vis"), "requests")
 
 
