@@ -39,6 +39,7 @@ SKETCH_CELLS = 1 << 20
 SKETCH_CHUNK = 1 << 15
 #: texts that a task works on at once; the arrays over their bytes take about 60 times as much
 SLICE_BYTES = 1 << 18
+HOT_SHARE = 4096
 #: what tells the set of a document
 OF_SET = ["doc", "size", "d1", "d2"]
 #: shingles of a block of a component, and about those of the small components that share a task
@@ -347,6 +348,16 @@ def _all_links(members: DataFrame, docs: DataFrame, words: int, percent: int, bl
     return rows.groupBy("task", "split").applyInArrow(run, "node long, n long" if counted else "a long, b long, overlap long, union long")
 
 
+def _with_classes(described: DataFrame, of_class: DataFrame) -> DataFrame:
+    """``described`` with the columns of each row's class.  Classes that hold more than 1/4096 of all rows (at most 4,096) are
+    broadcast to their rows, so that no task gets all copies of a text; the rest meet by a shuffle."""
+    key = OF_SET[1:]
+    large = F.col("class_size") * HOT_SHARE > described.count()
+    hot = F.broadcast(of_class.where(large))
+    rest = described.join(hot.select(*key), key, "left_anti").join(of_class.where(~large), key, "left")
+    return described.join(hot, key).unionByName(rest)
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -446,4 +457,4 @@ def ngram_join(
         others = F.col("ids") - F.col("doc").isNotNull().cast("int") + F.coalesce("linked", F.lit(0))
         out.append(F.when(F.col("size") == 0, 0).otherwise(others).cast("long").alias("n_links"))
         links = _all_links(grouped, docs, words, percent, block, False).where("a <> b")
-    return described.join(of_class, ["size", "d1", "d2"], "left").select(*out), links
+    return _with_classes(described, shared_table(of_class)).select(*out), links

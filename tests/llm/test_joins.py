@@ -127,6 +127,19 @@ def test_links_of_split_components_and_repeated_ids(spark):
     assert found.count() == 290 * 289 // 2
 
 
+def test_one_large_class_is_broadcast_to_its_rows(spark, monkeypatch):
+    texts = corpus(4, 60)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "the same text again and again") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for share in (4096, 2, 0):  # all classes, the large one, none
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
+        got, _ = ngram_join.ngram_join(docs)
+        got = sorted(tuple(r) for r in got.collect())
+        want = want or got
+        assert got == want and len(got) == 260
+
+
 def test_shingles_of_whole_texts():
     texts = corpus(9, 60) + ["x" * 5000, "a\x0bb\x0cc\rd e\tf\ng", "nb sp stays one", None]
     hashes, at = shingle_sets(pa.array(texts), 4)
