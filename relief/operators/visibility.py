@@ -245,7 +245,7 @@ def viewshed_exact(obs: DataFrame, cells: DataFrame, prune_grid: Grid | None = N
 
 #: observers that share a window, and cells of their results that a task holds at once
 MEMBERS = 64
-RESULT_CELLS = 1 << 25
+RESULT_CELLS = 1 << 22
 #: cells of a window (8 bytes each); a larger one fails with a message
 WINDOW_CELLS = 1 << 28
 
