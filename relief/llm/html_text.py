@@ -50,19 +50,31 @@ DROPPED_TAGS = frozenset(
     " nav footer aside dialog search form button select input textarea".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar tablist toolbar status".split())
-#: classes and ids by which a part says that it isn't main text; also with a prefix or suffix joined by - or _
+#: classes and ids by which a part says that it isn't main text; before them anything joined by - or _, behind them only
+#: words of layout
 DROPPED_NAMES = (
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination"  # menus
-    " masthead topbar site-header page-header site-footer page-footer footer copyright"  # headers and footers
+    " footer copyright"  # footers
     " sidebar aside related recommended"  # sidebars
     " notice notices cookie cookies consent gdpr newsletter popup modal overlay toast"  # notices
     " ad ads advert adverts advertisement advertising adsense sponsor sponsored promo"  # adverts
-    " search-form searchbox login signup"  # forms
-    " comment comments commentlist disqus"  # reader comments
+    " searchbox login signup search-form"  # forms
     " share sharing social"
 ).split()
-_NAMES = "|".join(map(re.escape, sorted(DROPPED_NAMES, key=len, reverse=True)))
-DROPPED = re.compile(rf"(?:header|(?!(?:has|no|not|with|without|show|hide)[-_])(?:[a-z0-9]+[-_])*(?:{_NAMES})(?:[-_](?!open\b|closed\b|enabled\b|disabled\b)[a-z0-9]+)*)\Z")
+COMMENTS = "comment comments commentlist disqus".split()
+HEADERS = "header masthead topbar".split()
+LAYOUT = (
+    "area bar block body bottom box col column container content count desktop feed form group inner item items large left link links list main"
+    " message mobile notice outer panel primary right row secondary section sidebar slot small sticky text thread top unit widget wrap wrapper"
+).split()
+
+
+def _named(names: list[str]) -> re.Pattern:
+    name, layout = ("|".join(map(re.escape, words)) for words in (names, LAYOUT))
+    return re.compile(rf"(?!(?:has|no|non|not|with|without|show|hide)[-_])(?:[a-z0-9]+[-_])*(?:{name})(?:[-_](?:{layout}|[0-9x]+))*\Z")
+
+
+_DROPPED, _COMMENTS, _HEADERS = _named(DROPPED_NAMES), _named(COMMENTS), _named(HEADERS)
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+)>""")
@@ -118,10 +130,10 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Page:
-    """Elements in page order: tag, parent, whether they leave; ``runs``: (element, text), text None where a block starts or ends."""
+    """Elements in page order: tag, parent, whether they leave (anywhere, or as headers outside an article); ``runs``: (element, text), text None where a block starts or ends."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.names_itself, self.dropped = ["body"], [0], [False], [False]
+        self.tag, self.parent, self.names_itself, self.dropped, self.header = ["body"], [0], [False], [False], [False]
         self.runs: list[tuple[int, str | None]] = []
         self.open = [0]
         self.places: dict[str, list[int]] = {}  # of open elements in ``open``, by tag
@@ -178,9 +190,10 @@ class Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        named, dropped = self._says(tag, attributes)
+        named, dropped, header = self._says(tag, attributes)
         self.names_itself.append(named)
         self.dropped.append(dropped)
+        self.header.append(header)
         if tag in BLOCK:
             self.runs.append((node, None))
         if tag in VOID:
@@ -199,20 +212,24 @@ class Page:
         if place > limit or (place > 0 and (tag in TABLE or tag in SCOPE)):
             self._close_to(place)
 
-    def _says(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """(does a name mark the element as something else than main text, does it leave for any reason)."""
+    def _says(self, tag: str, attributes: str) -> tuple[bool, bool, bool]:
+        """(does a name mark the element as something else than main text, does it leave for any reason, is it a header).
+
+        An article or main element is only taken at its name when that says comments."""
         named = hidden = False
-        role = ""
+        header, role = tag == "header", ""
         if attributes and not attributes.isspace():
             for m in ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    named |= any(DROPPED.match(name) for name in value.lower().split())
+                    for name in value.lower().split():
+                        named |= bool(_COMMENTS.match(name)) or (tag not in ("article", "main") and bool(_DROPPED.match(name)))
+                        header |= tag not in ("article", "main") and bool(_HEADERS.match(name))
                 elif key == "role":
                     role = value.strip().lower()
                 elif key == "hidden" or (key == "style" and HIDDEN.search(value)):
                     hidden = True
-        return named, named or hidden or tag in DROPPED_TAGS or role in DROPPED_ROLES
+        return named, named or hidden or tag in DROPPED_TAGS or role in DROPPED_ROLES, header
 
     def _settle(self) -> None:
         """What leaves although, or stays because, of what it holds."""
@@ -233,7 +250,7 @@ class Page:
             inside[k] = inside[self.parent[k]] or self.tag[k] in ("article", "main")
             # a whole page can be one form; a header outside the article is the page's
             whole = self.tag[k] == "form" and paragraph[k] and 2 * chars[k] > chars[0]
-            self.dropped[k] = (self.dropped[k] or (self.tag[k] == "header" and not inside[k])) and not holds[k] and not whole
+            self.dropped[k] = (self.dropped[k] or (self.header[k] and not inside[k])) and not holds[k] and not whole
             self.dropped[k] |= self.dropped[self.parent[k]]
         self.own, self.inside = own, inside
 

@@ -182,6 +182,22 @@ def test_parts_inside_an_article_leave():
     assert X.main_text(page) == TEXT + "\nA caption"
 
 
+@pytest.mark.parametrize("name", ["post ad-free", "social-science", "menu-of-the-day", "has-sidebar", "no-comments", "related-work", "noticeable", "adverbs", "comments-open", "headers"])
+def test_names_that_only_look_like_boilerplate(name):
+    assert X.main_text(f'<div class="{name}">{ARTICLE}</div>') == TEXT
+    assert X.main_text(f'<article class="ad sidebar {name}">{ARTICLE}</article>') == TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "x ADS y", "google-ad", "ad-slot-3", "ad_728x90", "main-menu", "sidebar-left", "cookie-notice-bar", "comment-list", "user_comments", "site-footer", "newsletter-box", "header", "page-header", "masthead-wrap"])
+def test_names_of_boilerplate(name):
+    assert X.main_text(f'<div class="{name}"><p>Some words that are no part of the article at all.</p></div><div>{ARTICLE}</div>') == TEXT
+    assert X.main_text(f'<div>{ARTICLE}</div><section id="{name}"><p>Some words that are no part of the article at all.</p></section>' if " " not in name else f"<div>{ARTICLE}</div>") == TEXT
+
+
+def test_a_header_inside_the_article_is_its_heading():
+    assert X.main_text(f'<div class="header">Site</div><article><div class="article-header"><h1>Title</h1></div><p>Words.</p></article>') == "Title\nWords."
+
+
 def test_whole_page_in_a_form():
     assert X.main_text(f"<form id=aspnet><div>{ARTICLE}</div><input type=hidden value=x></form>") == TEXT
 
