@@ -9,9 +9,9 @@ Plan, on packed tiles throughout (a tile is the bounded unit of work):
   2. only the runs on tile borders meet their neighbours in the next tile, by an
      equi-join on (keys, gx, gy, value);
   3. the labels that touch go to alternating large-star / small-star rounds
-     (Kiveris et al., 2014).  Each round is a few joins and aggregates cut from
-     the lineage with a reliable ``checkpoint()`` in the session's checkpoint
-     folder, so a lost executor recomputes at most one round.
+     (Kiveris et al., 2014).  Each round is a few joins and aggregates written to a
+     table in the session's checkpoint folder, so a lost executor recomputes at
+     most one round.
 Z2 never looks at single cells: the corners of a region's outline are the points
 where the signed ends of its runs in two neighbouring rows don't cancel; along
 each line of the grid they pair up to the outline's straight edges.  Edges are
@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from relief.operators import tiles as tl
 from relief.operators.stream import grouped, lists, whole_groups
 from relief.schema import Grid
-from relief.session import cut_lineage, ensure_checkpoint_dir, stored
+from relief.session import ensure_checkpoint_dir, stored
 
 SHIFT = 4294967296  # 2^32: cell id = gy * 2^32 + gx
 
@@ -141,13 +141,12 @@ def components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 2
     k = list(keys)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = cut_lineage(edges.select(*k, "u", "v"))
+    e = stored(edges.select(*k, "u", "v"))
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e, k), k))
-        leaves = e.groupBy(*k, "u").agg(F.count(F.lit(1)).alias("n"))
-        torn = leaves.where("n > 1").select(*k, "u")
-        chained = e.select(*k, F.col("v").alias("u")).join(leaves, k + ["u"], "left_semi")
-        if torn.unionByName(chained).isEmpty():
+        e = stored(_small_star(_large_star(e, k), k))
+        # per vertex: how often it is a leaf, and whether it is a centre
+        ends = e.select(*k, "u", F.lit(1).alias("n"), F.lit(0).alias("c")).unionByName(e.select(*k, F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("c")))
+        if ends.groupBy(*k, "u").agg(F.sum("n").alias("n"), F.max("c").alias("c")).where("n > 1 or (n > 0 and c > 0)").isEmpty():
             break
     else:
         raise RuntimeError("connected components did not converge")
