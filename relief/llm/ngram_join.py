@@ -413,8 +413,9 @@ def ngram_join(
         """Sets of the shingles that sets of several components share, with size and signature."""
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
         # groups with the same least component go to the same few tasks, which then repeat fewer pairs
-        spread = shared.groupBy("_lo").agg(F.ceil(F.sum("n") / F.lit(16 * block)).alias("_parts"))
-        shared = shared.join(spread, "_lo").withColumn("bin", F.xxhash64("_lo", F.pmod(F.xxhash64("token"), "_parts")))
+        spread = shared.groupBy("_lo").agg(F.ceil(F.sum("n") / F.lit(16 * block)).alias("_parts")).where("_parts > 1")
+        parts = F.coalesce("_parts", F.lit(1))  # only the few components of many sets are looked up, so a hot one isn't shuffled together
+        shared = shared.join(spread, "_lo", "left").withColumn("bin", F.xxhash64("_lo", F.pmod(F.xxhash64("token"), parts)))
         rows = tokens.join(shared.select("token", "n", "bin"), "token")
         return shared_table(rows.join(nodes.select("node", "size", "mark"), "node").select("token", "n", "bin", "node", "size", "component", "mark"))
 
