@@ -21,6 +21,8 @@ BUCKETS = 1 << 14
 GRAMS = (1, 2, 3, 4)
 #: texts that a task works on at once; the arrays over their subwords take about 200 times as much
 SLICE_BYTES = 1 << 18
+#: tasks that count the subwords of the training sample
+SAMPLE_TASKS = 12
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
 
@@ -160,7 +162,8 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     drawn = labelled.select("_id", "_lang", "_rank").distinct().withColumn("_nth", nth).where(F.col("_nth") <= max_rows)
     chosen = drawn.orderBy("_nth", "_rank", "_id", "_lang").limit(max_rows).select("_id", "_lang")
     rows = labelled.join(F.broadcast(chosen), ["_id", "_lang"])
-    rows = rows.groupBy("_id", "_lang", "_rank").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    # few rows: not one Python task for each shuffle partition
+    rows = rows.groupBy("_id", "_lang", "_rank").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).coalesce(SAMPLE_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

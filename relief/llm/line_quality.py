@@ -27,6 +27,8 @@ OWN = 14
 FEATURES = 3 * OWN + 1
 #: texts that a task works on at once; the arrays over their bytes take about 80 times as much
 SLICE_BYTES = 1 << 18
+#: tasks that describe the training sample
+SAMPLE_TASKS = 12
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,6 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     known = known.groupBy("_id").agg(F.min("_y").alias("_y")).join(texts.select("_id"), "_id", "left_semi")
     chosen = known.withColumn("_rank", rank).orderBy("_rank", "_id").limit(max_rows)
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_rank", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    one = one.coalesce(SAMPLE_TASKS)  # few rows: not one Python task for each shuffle partition
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
