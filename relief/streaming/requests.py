@@ -18,13 +18,6 @@ from relief.schema import POINTS, Grid
 from relief.sources.requests import point_requests
 
 
-def point_value_stream(spark: SparkSession, request_dir: str, tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Streaming ``(answers(id, gx, gy, value), rejects)`` for JSON request files."""
-    req = spark.readStream.schema(POINTS).json(request_dir)
-    valid, rejected = point_requests(req)
-    return point_values_tiles(valid, tiles, grid), rejected.select("id", F.lit("bad_request").alias("reason"))
-
-
 def start_point_value_stream(
     spark: SparkSession, request_dir: str, tiles: DataFrame, grid: Grid, out_dir: str, reject_dir: str, checkpoint_dir: str, available_now: bool = True
 ):
