@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relief.llm.common import bounded_slices, mix64, shared_table, text_bytes
+from relief.llm.common import bounded_slices, shared_table, text_bytes
 
 SLICE_BYTES = 1 << 18
 STEPS = 1 << 14  # histogram cells per unit of log ratio
