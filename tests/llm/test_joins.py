@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from relief.llm import ngram_join, signature_tree, vp_search
-from relief.llm.components import components
+from relief.llm.components import _round, components
 from relief.llm.shingles import shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -190,6 +190,23 @@ def test_components_equal_union_find(spark):
         assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
 
+def test_a_round_over_few_edges_has_no_shuffle(spark):
+    """Hundreds of tasks and threads a round filled the driver of the pipeline."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(60)], "u long, v long").repartition(4)
+    plan = _round(edges, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" not in plan
+
+
+def test_components_of_more_edges_than_one_partition_takes(spark, monkeypatch):
+    monkeypatch.setattr("relief.llm.components.EDGES_PER_PARTITION", 7)
+    rng = random.Random(5)
+    links = [(0, i) for i in range(1, 50)] + [(i, i + 1) for i in range(100, 160)] + [(rng.randint(200, 280), rng.randint(200, 280)) for _ in range(60)]
+    real = [(a, b) for a, b in links if a != b]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = reach({x for link in real for x in link}, real)
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
 def brute_nearest(rows, queries, k):
     out = []
     for q, v in queries:
