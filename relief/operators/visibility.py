@@ -9,11 +9,15 @@ neither block a ray nor get a result.  The observer's own cell is visible.
 Physical plan of the perimeter-ray viewshed (V2), per observer of radius R:
   rays   8R perimeter targets (``explode(sequence)``), dealt out over all tasks,
   steps  R samples per ray, the nearest cell at each major-axis step,
-  join   samples = raster on the cell index (equi-join, no theta join),
+  join   a few samples: broadcast to the raster's cells (equi-join on the cell
+         index, no theta join); more: the runs of a ray's samples that lie in one
+         tile = the packed tile, from which they take the values of all their
+         steps, so no sample is shuffled by itself,
   window running max of the slope over (observer, ray) ordered by step --
-         a window partition is one ray (R rows), so no partition grows with
-         the data or with a hot observer,
-  group  max(visible) per (observer, cell), partially aggregated.
+         a window partition is one ray (R rows); neighbouring rays of at most
+         SECTOR_SAMPLES samples (or one ray) are dealt out together, so no
+         partition grows with the data or with a hot observer,
+  group  max(visible) per (observer, cell), first within such a sector.
 About 8R^2 samples per observer.
 
 The approximate viewshed (V4) goes ring by ring: the horizon of a cell is
@@ -35,9 +39,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from relief.functions.geo import map_to_grid_x, map_to_grid_y, point_rect_dist2, tile_extent
-from relief.operators.joins import join_bounded, prune_to_tiles, row_bound
+from relief.operators.joins import join_bounded, max_broadcast_bytes, prune_to_tiles, row_bound
 from relief.operators.stream import grouped, whole_groups
-from relief.operators.tiles import dense
+from relief.operators.tiles import dense, pack
 from relief.schema import Grid
 from relief.session import cut_lineage
 
@@ -104,8 +108,8 @@ def _last_step(clip: bool) -> Column:
     return F.least(r, axis("dx", "ox", "bx0", "bx1"), axis("dy", "oy", "by0", "by1")).cast("int")
 
 
-def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
-    """``(id, ray, k, gx, gy, dist, oz)`` samples of the perimeter rays of each observer."""
+def _rays(obs: DataFrame, ray_step: int) -> DataFrame:
+    """``(id, ox, oy, oz, radius, ray, dx, dy)`` and the raster's extent if the observers have it."""
     ext = [c for c in EXTENT_COLS if c in obs.columns]
     rays = obs.select(
         "id", "ox", "oy", "oz", "radius", *ext,
@@ -114,18 +118,77 @@ def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
     # one observer's rays are many tasks' work; a fixed number, as their few bytes would be coalesced into one task
     rays = rays.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "ray")
     dx, dy = _perimeter(F.col("ray"), F.col("radius"))
-    rays = rays.select("id", "ox", "oy", "oz", "radius", *ext, "ray", dx.alias("dx"), dy.alias("dy"))
-    steps = rays.select("*", F.explode(F.sequence(F.lit(1), _last_step(len(ext) == 4))).alias("k"))
-    sx = _nearest(F.col("k"), F.col("dx"), F.col("radius"))
-    sy = _nearest(F.col("k"), F.col("dy"), F.col("radius"))
+    return rays.select("id", "ox", "oy", "oz", "radius", *ext, "ray", dx.alias("dx"), dy.alias("dy"))
+
+
+def _sample(k: Column) -> tuple[Column, Column]:
+    """Offsets from the observer of step k of a ray."""
+    return _nearest(k, F.col("dx"), F.col("radius")), _nearest(k, F.col("dy"), F.col("radius"))
+
+
+def _at_steps(steps: DataFrame, *more: str) -> DataFrame:
+    """``(id, ray, k, gx, gy, dist, oz, *more)`` of rays with their steps k."""
+    sx, sy = _sample(F.col("k"))
     return steps.select(
-        "id", "ray", "k", "oz",
+        "id", "ray", "k", "oz", *more,
         (F.col("ox") + sx).cast("bigint").alias("gx"),
         (F.col("oy") + sy).cast("bigint").alias("gy"),
         F.sqrt((sx * sx + sy * sy).cast("double")).alias("dist"),
     )
 
 
+def ray_samples(obs: DataFrame, ray_step: int = 1) -> DataFrame:
+    """``(id, ray, k, gx, gy, dist, oz, sector)`` samples of the perimeter rays of each observer."""
+    rays = _rays(obs, ray_step).withColumn("sector", _sector())
+    return _at_steps(rays.select("*", F.explode(F.sequence(F.lit(1), _last_step("bx0" in rays.columns))).alias("k")), "sector")
+
+
+#: steps of a ray that are looked up together, and samples of the neighbouring rays of an observer that are dealt out together
+PIECE_STEPS = 32
+SECTOR_SAMPLES = 1 << 16
+#: of a sample that is broadcast
+SAMPLE_BYTES = 56
+
+
+def _sector() -> Column:
+    """Number of a ray's group of neighbouring rays, of at most SECTOR_SAMPLES samples or one ray."""
+    return F.floor(F.col("ray") / F.greatest(F.lit(1), F.floor(F.lit(SECTOR_SAMPLES) / F.col("radius"))))
+
+
+def _looked_up(obs: DataFrame, tiles: DataFrame, grid: Grid, ray_step: int, keyed: bool) -> DataFrame:
+    """``(id, sector, ray, k, gx, gy, dist, oz, value)`` of the samples with a value.
+
+    Offsets grow monotonically along a ray, so the steps of a piece that lie in one tile follow each other: such a run is
+    joined with its tile as one row, and carries its values as a list until its sector is together."""
+    rays = _rays(obs, ray_step)
+    last = _last_step("bx0" in rays.columns).cast("bigint")
+    rays = rays.withColumn("last", last).where("last >= 1").drop(*EXTENT_COLS)
+    pieces = rays.withColumn("from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last"), F.lit(PIECE_STEPS).cast("bigint"))))
+    steps = F.sequence("from", F.least(F.col("from") + (PIECE_STEPS - 1), "last"))
+
+    def tile(k: Column) -> Column:
+        sx, sy = _sample(k)
+        return F.struct(F.floor((F.col("ox") + sx) / grid.tile_cols).cast("int").alias("col"), F.floor((F.col("oy") + sy) / grid.tile_rows).cast("int").alias("row"))
+
+    runs = pieces.withColumn("tiles", F.transform(steps, tile)).withColumn("tile", F.explode(F.array_distinct("tiles")))
+    first = F.col("from") + F.array_position("tiles", F.col("tile")) - 1
+    n = F.size(F.filter("tiles", lambda t: t == F.col("tile")))
+    own = ["id", "ray", "ox", "oy", "oz", "radius", "dx", "dy"]
+    runs = runs.select(*own, first.alias("from"), (first + n - 1).alias("to"), "tile.col", "tile.row")
+
+    def value(k: Column) -> Column:
+        sx, sy = _sample(k)
+        x, y = F.col("ox") + sx - F.col("col") * grid.tile_cols, F.col("oy") + sy - F.col("row") * grid.tile_rows
+        return F.get(F.col("data"), (y * grid.tile_cols + x).cast("int"))
+
+    held = tiles.join(runs.hint("merge"), [*(["id"] if keyed else []), "col", "row"])
+    held = held.select(*own, "from", F.transform(F.sequence("from", "to"), value).alias("values"), _sector().alias("sector"))
+    # a fixed number, as partitions coalesced by their lists' bytes would sort many more samples
+    held = held.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "sector")
+    dealt = held.select(*own, "sector", "from", F.posexplode("values").alias("at", "value")).where("value is not null")
+    return _at_steps(dealt.withColumn("k", F.col("from") + F.col("at")), "sector", "value")
+
+
 def _valid(cells: DataFrame, keyed: bool) -> DataFrame:
     keys = ["id"] if keyed else []
     return cells.where(F.col("value").isNotNull()).select(*keys, "gx", "gy", "value")
@@ -148,20 +211,22 @@ def viewshed_r2(obs: DataFrame, cells: DataFrame, ray_step: int = 1, keyed: bool
 
     ``keyed``: ``cells`` carry an observer ``id`` (each observer sees its own surface)."""
     on = ["id", "gx", "gy"] if keyed else ["gx", "gy"]
-    samples = ray_samples(obs, ray_step)
     bound = samples_bound(obs, ray_step)
-    prune = None
-    if prune_grid is not None and not keyed:
-        tk = observer_tile_keys(obs, prune_grid)
-        prune = lambda big: prune_to_tiles(big, tk, prune_grid, bound)
-    s = join_bounded(_valid(cells, keyed), samples, on, bound, row_bytes=56, prune=prune)
-    s = s.select("id", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
-    w = Window.partitionBy("id", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    seen = s.select("id", "gx", "gy", "slope", F.max("slope").over(w).alias("horizon"))
+    if bound * SAMPLE_BYTES <= max_broadcast_bytes(obs):
+        s = join_bounded(_valid(cells, keyed), ray_samples(obs, ray_step), on, bound, row_bytes=SAMPLE_BYTES).repartition("id", "sector")
+    else:
+        grid = prune_grid or Grid(xmin=0.0, ymax=0.0, cell_w=1.0, cell_h=1.0, tile_cols=32, tile_rows=32)
+        if prune_grid is not None and not keyed:
+            side = F.floor(2 * F.col("radius") / min(grid.tile_cols, grid.tile_rows)) + 2
+            cells = prune_to_tiles(cells, observer_tile_keys(obs, grid), grid, min(bound, row_bound(obs, side * side)))
+        s = _looked_up(obs, pack(cells, grid, ("id",) if keyed else ()), grid, ray_step, keyed)
+    s = s.select("id", "sector", "ray", "k", "gx", "gy", ((F.col("value") - F.col("oz")) / F.col("dist")).alias("slope"))
+    w = Window.partitionBy("id", "sector", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    seen = s.select("id", "sector", "gx", "gy", "slope", F.max("slope").over(w).alias("horizon"))
     vis = F.when(F.col("horizon").isNull() | (F.col("slope") >= F.col("horizon")), 1).otherwise(0)
     here = obs.select("id", F.col("ox").cast("bigint").alias("gx"), F.col("oy").cast("bigint").alias("gy"), F.lit(1).alias("vis"))
     return (
-        seen.select("id", "gx", "gy", vis.alias("vis"))
+        seen.groupBy("id", "sector", "gx", "gy").agg(F.max(vis).alias("vis")).drop("sector")
         .unionByName(here)
         .groupBy("id", "gx", "gy")
         .agg(F.max("vis").alias("vis"))

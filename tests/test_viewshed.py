@@ -173,3 +173,42 @@ def test_rays_of_one_observer_are_many_tasks(spark):
     o = spark.createDataFrame([(0, 50, 50, 1.0, 50)], "id long, ox long, oy long, oz double, radius int").coalesce(1)
     tasks = V.ray_samples(o).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 1
+
+
+def many_samples(spark, monkeypatch, sector):
+    """Observers, a raster with NODATA and the limits of a run whose samples are too many to broadcast."""
+    rng = random.Random(11)
+    cells = spark.createDataFrame([(x, y, None if rng.random() < 0.1 else float(rng.randint(0, 30))) for x in range(70) for y in range(90)], "gx long, gy long, value double")
+    rows = [(k, rng.randrange(70), rng.randrange(90), float(rng.randint(20, 60)), rng.choice([1, 5, 40, 75])) for k in range(6)]
+    monkeypatch.setattr(V, "SECTOR_SAMPLES", sector)
+    return spark.createDataFrame([*rows, (9, 5, 5, 20.0, 0)], "id long, ox long, oy long, oz double, radius int"), cells
+
+
+@pytest.mark.parametrize("sector", [100, 1 << 16])
+@pytest.mark.parametrize("clip", [False, True])
+def test_values_by_tile_equal_values_by_cell(spark, monkeypatch, sector, clip):
+    o, cells = many_samples(spark, monkeypatch, sector)
+    if clip:
+        o = o.select("*", F.lit(0).alias("bx0"), F.lit(0).alias("by0"), F.lit(69).alias("bx1"), F.lit(89).alias("by1"))
+    grid = Grid(xmin=0.0, ymax=0.0, cell_w=1.0, cell_h=1.0, tile_cols=32, tile_rows=16)
+    keyed = o.select("id").crossJoin(cells).withColumn("value", F.col("value") + F.col("id") * (F.col("gx") % 3))
+    cases = [dict(prune_grid=grid), dict(ray_step=3), dict(keyed=True)]
+    results = []
+    for limit in (1 << 30, 1):
+        spark.conf.set("relief.broadcastMaxBytes", str(limit))
+        try:
+            results.append([sorted(map(tuple, V.viewshed_r2(o, keyed if c.get("keyed") else cells, **c).collect())) for c in cases])
+        finally:
+            spark.conf.unset("relief.broadcastMaxBytes")
+    assert results[0] == results[1] and all(len(r) > 1000 for r in results[0])
+
+
+def test_samples_are_not_shuffled_by_cell(spark, monkeypatch):
+    """A row per sample went through the join's shuffle, the window's and nearly all of the last group's."""
+    o, cells = many_samples(spark, monkeypatch, 1 << 16)
+    spark.conf.set("relief.broadcastMaxBytes", "1")
+    try:
+        plan = V.viewshed_r2(o, cells)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("relief.broadcastMaxBytes")
+    assert "hashpartitioning(gx#" not in plan and "hashpartitioning(id#" in plan
